@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lotwise.functions import cols as C
 from lotwise.functions.quantiles import percentiles
 from lotwise.functions.ranges import range_stats, range_sums
+from lotwise.session import staged
 
 YEAR_BAND = 2
 
@@ -75,7 +76,7 @@ def nearest_comps(keys: DataFrame, table: DataFrame, as_of: Column, p: CompsPara
     ).dropna(subset=["fuel_k", "gearbox_k", "y", "km"])
     cell = [*GROUP, "y", "km"]
     first = Window.partitionBy(*cell).orderBy("comp_id")
-    members = rows.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= p.limit).drop("rn")
+    members = staged(rows.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= p.limit).drop("rn"), "members")
     cells = members.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
 
     years = F.when(has(4), F.sequence(F.col("year_k") - YEAR_BAND, F.col("year_k") + YEAR_BAND)).otherwise(F.array(F.lit(0)))
@@ -83,12 +84,14 @@ def nearest_comps(keys: DataFrame, table: DataFrame, as_of: Column, p: CompsPara
     order = Window.partitionBy(*GROUP, "y").orderBy("km", "kind").rowsBetween(Window.unboundedPreceding, 0)
     placed = cells.withColumns({"kind": F.lit(0), "year_k": F.lit(None).cast("int"), "km_k": F.lit(None).cast("int")}) \
         .unionByName(probes.withColumns({"kind": F.lit(1), "n": F.lit(0).cast("bigint")})) \
-        .withColumn("pos", F.sum(F.lit(1) - F.col("kind")).over(order))
+        .withColumns({"pos": F.sum(F.lit(1) - F.col("kind")).over(order),
+                      "total": F.sum(F.lit(1) - F.col("kind")).over(Window.partitionBy(*GROUP, "y"))})
+    placed = staged(placed.filter("total > 0"), "placed")
     numbered = placed.filter("kind = 0").select(*cell, "n", "pos", F.floor(F.col("pos") / p.limit).alias("block"))
     asking = placed.filter("kind = 1").select(
         *KEY, "y", F.col("pos").alias("at"),
-        F.explode(F.sequence(F.floor((F.col("pos") - p.limit + 1) / p.limit),
-                             F.floor((F.col("pos") + p.limit) / p.limit))).alias("block"))
+        F.explode(F.sequence(F.floor(F.greatest(F.lit(1), F.col("pos") - p.limit + 1) / p.limit),
+                             F.floor(F.least(F.col("total"), F.col("pos") + p.limit) / p.limit))).alias("block"))
     in_band = ~has(8) | F.col("km").between((F.col("km_k") * p.low).cast("int"), (F.col("km_k") * p.high).cast("int"))
     near = asking.join(numbered, [*GROUP, "y", "block"]).filter(
         F.col("pos").between(F.col("at") - p.limit + 1, F.col("at") + p.limit) & in_band)
@@ -121,7 +124,8 @@ STATS = ["p10", "p25", "p50", "p75", "p90", "mean", "std", "min", "max", "n", "c
 def comps_strict(probes: DataFrame, table: DataFrame, as_of: Column, p: CompsParams = STRICT) -> DataFrame:
     """Statistics of the strict comparables: one row per probe that has any."""
     keyed = with_comp_key(probes, p)
-    stats = price_stats(nearest_comps(keyed.select(*KEY).distinct(), table, as_of, p))
+    keys = staged(keyed.select(*KEY).distinct(), "keys")
+    stats = price_stats(nearest_comps(keys, table, as_of, p))
     return keyed.join(stats, KEY).select("listing_id", "price_bgn", *STATS)
 
 
@@ -131,7 +135,7 @@ def comps_relaxed(unmet: DataFrame, table: DataFrame, as_of: Column, p: CompsPar
 
 def price_estimate(probes: DataFrame, table: DataFrame, as_of: Column) -> DataFrame:
     """Strict comparables where at least three exist, else the relaxed ones; no row below three."""
-    strict = comps_strict(probes, table, as_of).filter(F.col("n") >= MIN_COMPS)
+    strict = staged(comps_strict(probes, table, as_of).filter(F.col("n") >= MIN_COMPS), "strict")
     unmet = probes.join(strict.select("listing_id"), "listing_id", "left_anti")
     relaxed = comps_relaxed(unmet, table, as_of).filter(F.col("n") >= MIN_COMPS)
     return estimate(strict.unionByName(relaxed))

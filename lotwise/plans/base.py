@@ -62,6 +62,12 @@ def as_of(*_) -> Column:
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``L`` as a stored table: written once per application, then scanned with pruned columns."""
+    S.tune(spark)
+    return S.stored(spark, f"{sf_dir}/listings", lambda: listings_view(spark, sf_dir))
+
+
+def listings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """View ``L``.  The first line of an order is a map-side combinable minimum,
     so only one row per order and map task is shuffled."""
     line = F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",

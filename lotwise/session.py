@@ -25,6 +25,8 @@ def tune(spark: SparkSession) -> SparkSession:
         ("spark.sql.adaptive.enabled", "true"),
         ("spark.sql.adaptive.skewJoin.enabled", "true"),
         ("spark.sql.adaptive.coalescePartitions.enabled", "true"),
+        # small but CPU-heavy stages keep their parallelism
+        ("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k"),
         ("spark.sql.mapKeyDedupPolicy", "LAST_WIN"),
     ):
         spark.conf.set(key, value)
@@ -49,3 +51,30 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the checkpoint root."""
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+_STORED: dict = {}
+
+
+def staged(df, name: str):
+    """Writes an intermediate result as a table in the shared folder and reads it back.
+
+    Used where a plan needs the same result more than once: it is computed once,
+    its size is then known to the planner, its lineage is cut, and losing an
+    executor does not lose it.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(spark: SparkSession, key: str, build):
+    """A derived base table, written once per application and read by every later query."""
+    slot = (spark.sparkContext.applicationId, key)
+    if slot not in _STORED:
+        df = build()
+        path = scratch(spark, key.strip("/").replace("/", "_"))
+        df.write.parquet(path)
+        _STORED[slot] = (path, df.schema)
+    path, schema = _STORED[slot]
+    return spark.read.schema(schema).parquet(path)
