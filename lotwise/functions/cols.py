@@ -81,3 +81,8 @@ def fixed0(col: Column) -> Column:
 def fixed1(col: Column) -> Column:
     """One-decimal text without grouping, rounded half-even on the exact value."""
     return F.replace(F.format_number(col, 1), F.lit(","), F.lit(""))
+
+
+def round2(col: Column) -> Column:
+    """Two decimals; floating noise is removed first so that ties always round up."""
+    return F.round(F.round(col, 9), 2)

@@ -34,9 +34,9 @@ def score_base(df: DataFrame, p: BaseParams = BaseParams()) -> DataFrame:
         F.when(n < 20, F.concat(lit("Limited comparables ("), n.cast("string"), lit(" similar listings)"))),
         F.when(conf < 0.7, "Price estimate has moderate uncertainty"))
     return df.withColumns({
-        "score": F.round(total, 2), "price_score": price, "risk_penalty": penalty, "freshness_bonus": fresh,
+        "score": C.round2(total), "price_score": price, "risk_penalty": penalty, "freshness_bonus": fresh,
         "liquidity_bonus": liquid,
-        "is_approved": (total >= p.approve_at) & (n >= p.min_sample) & (conf >= p.min_confidence),
+        "is_approved": (F.round(total, 9) >= p.approve_at) & (n >= p.min_sample) & (conf >= p.min_confidence),
         "reasons": reasons})
 
 
@@ -108,13 +108,13 @@ def score_simple(df: DataFrame, as_of: Column, p: SimpleParams = SimpleParams())
         F.when(length < 50, "⚠️ Minimal description - request more details"))
     none = F.array().cast("array<string>")
     out = df.withColumns({
-        "passes": ok, "score": F.when(ok, F.round(total, 2)).otherwise(0.0),
-        **{n: F.when(ok, F.round(v, 2)).otherwise(0.0) for n, v in (
+        "passes": ok, "score": F.when(ok, C.round2(total)).otherwise(0.0),
+        **{n: F.when(ok, C.round2(v)).otherwise(0.0) for n, v in (
             ("price_score", price_pts), ("age_score", age_pts), ("mileage_score", km_pts),
             ("quality_score", quality), ("freshness_score", fresh))},
         "reasons": F.when(ok, reasons).otherwise(none),
         "warnings": F.when(ok, warnings).otherwise(F.array(lit("Filtered out: price, year, or mileage outside acceptable range"))),
-        "should_post": ok & (total >= p.post_at) & (F.size(warnings) == 0)})
+        "should_post": ok & (F.round(total, 9) >= p.post_at) & (F.size(warnings) == 0)})
     return out.withColumn("state", F.when(F.col("should_post"), "approved").when(F.col("score") >= p.draft_at, "draft").otherwise("rejected"))
 
 
@@ -177,11 +177,11 @@ def score_market(df: DataFrame, as_of: Column, p: MarketParams = MarketParams())
     out = df.withColumns({
         "blocked": blocked,
         "block_reason": F.when(flagged, F.try_element_at("red_flags", lit(1))).when(thin, "Insufficient market data"),
-        "score": F.when(blocked, 0.0).otherwise(F.round(total, 2)),
-        **{k: F.when(blocked, 0.0).otherwise(F.round(v, 2)) for k, v in (
+        "score": F.when(blocked, 0.0).otherwise(C.round2(total)),
+        **{k: F.when(blocked, 0.0).otherwise(C.round2(v)) for k, v in (
             ("price_points", price_pts), ("age_points", age_pts), ("mileage_points", km_pts),
             ("confidence_points", sure), ("quality_points", quality))},
-        "should_post": ~blocked & (total >= p.post_at) & (disc >= p.min_discount),
+        "should_post": ~blocked & (F.round(total, 9) >= p.post_at) & (disc >= p.min_discount),
         "reasons": F.when(flagged, F.array().cast("array<string>")).when(thin, short).otherwise(reasons)})
     return out.withColumn("state", F.when(F.col("blocked"), "rejected").when(F.col("should_post"), "approved")
                           .when(F.col("score") >= p.draft_at, "draft").otherwise("rejected"))

@@ -81,7 +81,7 @@ def distinct_text_cache(spark, d):
 
 # --- base score ------------------------------------------------------------------
 def base_sql(src: str) -> str:
-    return f"""(SELECT *, round(total, 2) AS score, total >= 4.0 AND sample_size >= 10 AND confidence >= 0.5 AS is_approved FROM (
+    return f"""(SELECT *, round(CAST(total AS DECIMAL(18,9)), 2)::DOUBLE AS score, total >= 4.0 AND sample_size >= 10 AND confidence >= 0.5 AS is_approved FROM (
  SELECT *, least(10.0{D}, greatest(1.0{D}, price_score + risk_penalty + freshness_bonus + liquidity_bonus)) AS total FROM (
   SELECT *, (CASE WHEN discount_pct >= 20 THEN 5 WHEN discount_pct >= 15 THEN 4 WHEN discount_pct >= 10 THEN 3 WHEN discount_pct >= 5 THEN 2 ELSE 1 END
     + CASE WHEN confidence >= 0.8 THEN 0.5 WHEN confidence < 0.6 THEN -0.5 ELSE 0 END){D} AS price_score,
@@ -139,12 +139,12 @@ SIMPLE_CTE = f"""s0 AS (SELECT *, 2025 - year AS age, brand_id IN {R.PREMIUM_BRA
   (CASE WHEN mileage_km < age * 15000 * 0.5 THEN 2.0 WHEN mileage_km < age * 15000 * 0.8 THEN 1.7 WHEN mileage_km < age * 15000 * 1.2 THEN 1.3 WHEN mileage_km < age * 15000 * 1.5 THEN 0.8 ELSE 0.3 END){D} AS mp,
   (CASE WHEN dl > 500 THEN 0.5 WHEN dl > 200 THEN 0.3 WHEN dl > 50 THEN 0.1 ELSE 0 END + CASE WHEN image_count >= 10 THEN 0.5 WHEN image_count >= 5 THEN 0.3 WHEN image_count >= 2 THEN 0.1 ELSE 0 END){D} AS qp,
   (CASE WHEN hrs <= 1 THEN 1 WHEN hrs <= 6 THEN 0.7 WHEN hrs <= 24 THEN 0.4 WHEN hrs <= 48 THEN 0.2 ELSE 0 END){D} AS fp FROM s1),
- s3 AS (SELECT *, CASE WHEN ok THEN round(least(10, greatest(0, pp + ap + mp + qp + fp)), 2) ELSE 0 END{D} AS score,
+ s3 AS (SELECT *, CASE WHEN ok THEN round(CAST(least(10, greatest(0, pp + ap + mp + qp + fp)) AS DECIMAL(18,9)), 2) ELSE 0 END{D} AS score,
   ok AND round(pp + ap + mp + qp + fp, 9) >= 8.0 AND NOT (price_bgn < 8000 OR mileage_km > 200000 OR dl < 50) AS should_post FROM s2)"""
 POINTS = (("price_score", "pp"), ("age_score", "ap"), ("mileage_score", "mp"), ("quality_score", "qp"), ("freshness_score", "fp"))
 
 
-@query("score_simple", B.with_l(SIMPLE_CTE) + f"""SELECT listing_id, score, should_post, {', '.join(f'CASE WHEN ok THEN round({b}, 2) ELSE 0 END{D} AS {a}' for a, b in POINTS)},
+@query("score_simple", B.with_l(SIMPLE_CTE) + f"""SELECT listing_id, score, should_post, {', '.join(f'CASE WHEN ok THEN round(CAST({b} AS DECIMAL(18,9)), 2) ELSE 0 END{D} AS {a}' for a, b in POINTS)},
   CASE WHEN should_post THEN 'approved' WHEN score >= 7.0 THEN 'draft' ELSE 'rejected' END AS state,
   CASE WHEN NOT ok THEN '' ELSE coalesce(array_to_string([
    CASE WHEN pp >= 3.5 THEN '💰 Excellent price: ' || format('{{:,}}', CAST(trunc(price_bgn) AS BIGINT)) || ' BGN' WHEN pp >= 2.5 THEN '💵 Fair price: ' || format('{{:,}}', CAST(trunc(price_bgn) AS BIGINT)) || ' BGN' END,
@@ -183,7 +183,7 @@ MARKET_SCORE_CTE = f"""m0 AS (SELECT mk.*, fl.red_flags, 2025 - mk.year AS age,
    + CASE WHEN hrs <= 6 THEN 0.4 WHEN hrs <= 24 THEN 0.2 ELSE 0 END){D} AS qp FROM m0),
  m2 AS (SELECT *, least(2.0{D}, (CASE WHEN ratio < 0.5 THEN 2.0 WHEN ratio < 0.8 THEN 1.7 WHEN ratio < 1.2 THEN 1.3 WHEN ratio < 1.5 THEN 0.8 ELSE 0.3 END){D} * ({_bracket(3)}){D} / 2) AS mp FROM m1),
  m3 AS (SELECT *, least(10.0{D}, pp + ap + mp + cp + qp) AS total FROM m2),
- m4 AS (SELECT *, flagged OR thin AS blocked, CASE WHEN flagged OR thin THEN 0 ELSE round(total, 2) END{D} AS score,
+ m4 AS (SELECT *, flagged OR thin AS blocked, CASE WHEN flagged OR thin THEN 0 ELSE round(CAST(total AS DECIMAL(18,9)), 2) END{D} AS score,
   NOT (flagged OR thin) AND round(total, 9) >= 7.5 AND discount_pct >= 10 AS should_post FROM m3)"""
 
 
@@ -193,7 +193,7 @@ def _below(head: str) -> str:
 
 @query("score_market", B.with_l(MARKET_CTE, FLAG_CTE, MARKET_SCORE_CTE) + f"""SELECT listing_id, score, should_post, blocked, discount_pct, n,
   CASE WHEN flagged THEN red_flags[1] WHEN thin THEN 'Insufficient market data' END AS block_reason,
-  CASE WHEN blocked THEN 0 ELSE round(mp, 2) END{D} AS mileage_points, CASE WHEN blocked THEN 0 ELSE round(qp, 2) END{D} AS quality_points,
+  CASE WHEN blocked THEN 0 ELSE round(CAST(mp AS DECIMAL(18,9)), 2) END{D} AS mileage_points, CASE WHEN blocked THEN 0 ELSE round(CAST(qp AS DECIMAL(18,9)), 2) END{D} AS quality_points,
   CASE WHEN blocked THEN 'rejected' WHEN should_post THEN 'approved' WHEN score >= 6 THEN 'draft' ELSE 'rejected' END AS state,
   CASE WHEN flagged THEN '' WHEN thin THEN 'Not enough market data (' || n || ' comparables, need 5)' ELSE coalesce(array_to_string([
    CASE WHEN discount_pct >= 25 THEN {_below('🔥 EXCELLENT PRICE: ')} WHEN discount_pct >= 15 THEN {_below('💰 Great price: ')} WHEN discount_pct >= 10 THEN {_below('💵 Good price: ')} END,

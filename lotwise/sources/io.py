@@ -1,5 +1,5 @@
 """Scans and sinks: tables, pages, JSON configuration, logs, seeds."""
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lotwise import rules as R
 from lotwise.operators import normalize as N
@@ -50,7 +50,7 @@ def page_scan(spark: SparkSession, rows: DataFrame, files: str | None = None) ->
     return rows.withColumn("file", at).join(texts, "file", "left").select("page_id", "url", F.coalesce("html", "value").alias("html"))
 
 
-CONFIG_SCHEMA = T.StructType.fromDDL(
+CONFIG_SCHEMA = (
     "searches array<struct<type:string,brand:string,model:string,url:string,priority:boolean,estimated_listings:int>>, "
     "search_urls array<struct<type:string,brand:string,model:string,url:string,priority:boolean,estimated_listings:int>>")
 
