@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lotwise.functions import cols as C, text as T
 from lotwise.functions.ranges import blocks_covering, blocks_holding
+from lotwise.session import staged
 
 WHEN = ("created_at", "listing_id")
 
@@ -100,13 +101,22 @@ def _packed(gram: Column) -> Column:
     return F.shiftleft(at(1), 42) + F.shiftleft(at(2), 21) + at(3)
 
 
+def _bitmap(grams: Column, word: int) -> Column:
+    """64 of 128 hash bits of a trigram set."""
+    bit = lambda g: F.pmod(F.xxhash64(g), F.lit(128))
+    mine = F.filter(grams, lambda g: F.floor(bit(g) / 64) == word)
+    return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, g: acc.bitwiseOR(F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), F.pmod(bit(g), F.lit(64)).cast("int"))))
+
+
 def trigram_similarity(sigs: DataFrame, threshold: float = 0.8, min_length: int = 10) -> DataFrame:
     """sigs[listing_id, created_at, signature] -> most similar earlier listing above the threshold.
 
     Listings with the same trigram set are one candidate: its earliest listing.
     Only distinct sets are joined, on the rarest trigrams of each (two sets above
     the threshold must share one of the first |A| - ceil(t|A|) + 1 trigrams in
-    rarity order), then the exact similarity is checked.
+    rarity order).  Differing bits of two hash bitmaps never exceed the number of
+    differing trigrams, so most candidates fall before the exact comparison.
     """
     pack = F.transform(T.trigrams(F.col("signature")), _packed)
     rows = sigs.withColumn("grams", F.array_sort(pack)).filter(F.size("grams") > 0)
@@ -114,18 +124,22 @@ def trigram_similarity(sigs: DataFrame, threshold: float = 0.8, min_length: int
     repeat = rows.filter(F.length("signature") >= min_length).join(sets, "grams").filter(F.struct(*WHEN) > F.col("first")) \
         .select("listing_id", F.col("first.listing_id").alias("duplicate_of"), F.lit(1.0).alias("sim"))
 
-    spread = sets.select("sid", F.size("grams").alias("size"), F.explode("grams").alias("g"))
+    body = staged(sets.select("sid", "grams", "first", F.size("grams").alias("size"),
+                              _bitmap(F.col("grams"), 0).alias("b0"), _bitmap(F.col("grams"), 1).alias("b1")), "sets")
+    spread = body.select("sid", "size", F.explode("grams").alias("g"))
     rarity = spread.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("sid").orderBy("df", "g")
     keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
     prefix = spread.join(rarity, "g").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= keep).select("sid", "g")
     long_enough = rows.filter(F.length("signature") >= min_length).select("listing_id")
-    body = sets.select("sid", "grams", "first", F.size("grams").alias("size"))
     left = prefix.join(body, "sid").join(long_enough, F.col("sid") == F.col("listing_id"), "left_semi")
-    right = prefix.join(body, "sid").select("g", F.col("grams").alias("o_grams"), F.col("first").alias("o_first"), F.col("size").alias("o_size"))
+    right = prefix.join(body, "sid").select("g", F.col("grams").alias("o_grams"), F.col("first").alias("o_first"), F.col("size").alias("o_size"),
+                                             F.col("b0").alias("o_b0"), F.col("b1").alias("o_b1"))
+    differ = F.bit_count(F.col("b0").bitwiseXOR(F.col("o_b0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("o_b1")))
+    allowed = (F.col("size") + F.col("o_size")) * ((1 - threshold) / (1 + threshold))
     both = F.size(F.array_intersect("grams", "o_grams"))
     near = left.join(right, "g").filter(
-        (F.col("o_first") < F.col("first")) & (F.least("size", "o_size") > F.greatest("size", "o_size") * threshold)) \
+        (differ <= allowed) & (F.col("o_first") < F.col("first")) & (F.least("size", "o_size") > F.greatest("size", "o_size") * threshold)) \
         .withColumn("sim", both / (F.col("size") + F.col("o_size") - both)).filter(F.col("sim") > threshold)
     best = near.groupBy("sid").agg(F.min(F.struct((-F.col("sim")).alias("neg"), "o_first")).alias("b")) \
         .select(F.col("sid").alias("listing_id"), F.col("b.o_first.listing_id").alias("duplicate_of"), (-F.col("b.neg")).alias("sim"))

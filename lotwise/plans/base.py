@@ -173,6 +173,11 @@ def with_l(*ctes: str) -> str:
 
 
 # --- stored state derived from the same tables ---------------------------------
+def ad_id(col: Column) -> Column:
+    """Site ad id of a listing: 17 digits."""
+    return F.concat(F.lit("17"), F.lpad(col.cast("string"), 15, "0"))
+
+
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L as the stored normalized table: with raw_id, updated_at and the duplicate mark."""
     return listings(spark, sf_dir).withColumns({
@@ -194,14 +199,14 @@ def raw(df: DataFrame) -> DataFrame:
         F.col("year").cast("string").alias("year"), F.col("cents").alias("price_cents"), F.col("price_bgn").alias("price"),
         F.col("mileage_km"), "fuel", "gearbox", "currency", F.col("region"), "title", "description"))
     return df.select(
-        F.col("listing_id").alias("raw_id"), "listing_id", "source", F.lpad(F.col("listing_id").cast("string"), 17, "1").alias("site_ad_id"),
-        F.concat(F.lit("https://www.mobile.bg/obiava-"), F.lpad(F.col("listing_id").cast("string"), 17, "1"), F.lit("-"), "brand_id").alias("url"),
+        F.col("listing_id").alias("raw_id"), "listing_id", "source", ad_id(F.col("listing_id")).alias("site_ad_id"),
+        F.concat(F.lit("https://www.mobile.bg/obiava-"), ad_id(F.col("listing_id")), F.lit("-"), "brand_id").alias("url"),
         F.when(F.col("priority") != "4-NOT SPECIFIED", doc).alias("parsed_data"), "first_seen_at",
         F.col("created_at").alias("last_seen_at"), F.col("created_at").alias("updated_at"), "is_active", "created_at")
 
 
-R_CTE = """r AS (SELECT listing_id AS raw_id, listing_id, source, lpad(CAST(listing_id AS VARCHAR), 17, '1') AS site_ad_id,
-  'https://www.mobile.bg/obiava-' || lpad(CAST(listing_id AS VARCHAR), 17, '1') || '-' || brand_id AS url,
+R_CTE = """r AS (SELECT listing_id AS raw_id, listing_id, source, ('17' || lpad(CAST(listing_id AS VARCHAR), 15, '0')) AS site_ad_id,
+  'https://www.mobile.bg/obiava-' || ('17' || lpad(CAST(listing_id AS VARCHAR), 15, '0')) || '-' || brand_id AS url,
   priority <> '4-NOT SPECIFIED' AS has_doc, CASE WHEN fuel <> 'hybrid' THEN make END AS doc_brand, model_raw AS doc_model,
   year AS doc_year, price_bgn AS doc_price, mileage_km AS doc_km, first_seen_at, created_at AS last_seen_at, created_at AS updated_at,
   is_active, created_at FROM l)"""
@@ -265,7 +270,7 @@ def pages_first(df: DataFrame) -> DataFrame:
         lit('<span class="phone">0888'), c("seller_id").cast("string"), lit('</span><div class="sellerName">Seller '), c("seller_id").cast("string"),
         lit('</div><div class="location">'), c("region"), lit("</div></body></html>"))
     url = F.when(c("priority") == "5-LOW", F.concat(lit("https://www.mobile.bg/ad/"), id_)).otherwise(
-        F.concat(lit("https://www.mobile.bg/obiava-"), F.lpad(id_, 17, "1"), lit("-"), F.replace(c("brand_id"), lit("-"), lit("")), lit("-"), F.regexp_extract("model_id", "^[a-z]+", 0), lit("-"), id_))
+        F.concat(lit("https://www.mobile.bg/obiava-"), ad_id(c("listing_id")), lit("-"), F.replace(c("brand_id"), lit("-"), lit("")), lit("-"), F.regexp_extract("model_id", "^[a-z]+", 0), lit("-"), id_))
     return df.select(c("listing_id").alias("page_id"), url.alias("url"), html.alias("html"))
 
 

@@ -128,7 +128,7 @@ def alert_rows(spark, d):
     whole = F.floor(F.abs(bal)).cast("string")
     text = F.concat_ws(
         " ", B.pick(B.MAKES, k % 25), part(k % 3 != 0, F.lower(B.pick(B.TYPES, k % 6))), part(k % 4 == 1, F.lit("diesel")), part(k % 4 == 2, F.lit("бензин")),
-        part(bal > 0, F.concat(F.lit("<"), whole, F.lit("0"))), part(k % 7 == 3, F.lit(">1500")), part(k % 5 == 0, F.lit("2020+")), part(k % 5 == 1, F.lit("2019-2023")),
+        F.when(bal > 0, F.concat(F.lit("<"), whole, F.lit("0"))).otherwise("<999999"), part(k % 7 == 3, F.lit(">1500")), part(k % 5 == 0, F.lit("2020+")), part(k % 5 == 1, F.lit("2019-2023")),
         part(k % 3 == 1, F.lit("<180000km")), part(k % 9 == 2, F.lit("<90 km")), part(k % 8 == 5, F.lit(">100hp")), part(F.col("c_mktsegment") == "BUILDING", F.lit("automatic")),
         part(k % 10 == 7, F.lit("комби")), part(k % 6 == 4, B.pick(B.CITIES, k % 8)))
     plan = F.when(k % 11 == 0, None).when(F.col("c_mktsegment") == "HOUSEHOLD", "Free").when(F.col("c_mktsegment") == "FURNITURE", "Premium").otherwise("Pro")
@@ -138,7 +138,7 @@ def alert_rows(spark, d):
 ALERT_CTE = f"""al AS (SELECT c_custkey AS alert_id, c_nationkey % 5 <> 0 AS active,
    CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_mktsegment = 'HOUSEHOLD' THEN 'Free' WHEN c_mktsegment = 'FURNITURE' THEN 'Premium' ELSE 'Pro' END AS plan,
    lower(({B._arr(B.MAKES)})[c_custkey % 25 + 1]) AS a_brand, CASE WHEN c_custkey % 3 <> 0 THEN lower(({B._arr(B.TYPES)})[c_custkey % 6 + 1]) END AS a_model,
-   CASE c_custkey % 4 WHEN 1 THEN 'diesel' WHEN 2 THEN 'petrol' END AS a_fuel, CASE WHEN c_acctbal > 0 THEN CAST(floor(abs(c_acctbal)) * 10 AS INTEGER) END AS price_max,
+   CASE c_custkey % 4 WHEN 1 THEN 'diesel' WHEN 2 THEN 'petrol' END AS a_fuel, CASE WHEN c_acctbal > 0 THEN CAST(floor(abs(c_acctbal)) * 10 AS INTEGER) ELSE 999999 END AS price_max,
    CASE WHEN c_custkey % 7 = 3 THEN 1500 END AS price_min, CASE c_custkey % 5 WHEN 0 THEN 2020 WHEN 1 THEN 2019 END AS year_min, CASE WHEN c_custkey % 5 = 1 THEN 2023 END AS year_max,
    CASE WHEN c_custkey % 3 = 1 THEN 180000 WHEN c_custkey % 9 = 2 THEN 90000 END AS mileage_max, CASE WHEN c_custkey % 8 = 5 THEN 100 END AS power_min,
    CASE WHEN c_mktsegment = 'BUILDING' THEN 'automatic' END AS a_gear, CASE WHEN c_custkey % 10 = 7 THEN 'wagon' END AS a_body,

@@ -126,14 +126,14 @@ def normalize_listings(spark, d):
 def sightings(spark, d):
     """Every order line is a sighting of its listing; the address carries the line number."""
     lines = B.table(spark, d, "lineitem")
-    ad = F.lpad(F.col("l_orderkey").cast("string"), 17, "1")
+    ad = B.ad_id(F.col("l_orderkey"))
     return lines.select(
         F.lit("mobile_bg").alias("source"), ad.alias("site_ad_id"), F.concat(F.lit("https://www.mobile.bg/obiava-"), ad, F.lit("?line="), F.col("l_linenumber").cast("string")).alias("url"),
         F.concat(F.lit('{"qty":'), F.col("l_quantity").cast("int").cast("string"), F.lit("}")).alias("parsed_data"), F.expr("l_shipdate + interval 24 years").alias("seen_at"),
         (F.col("l_returnflag") != "R").alias("is_active"))
 
 
-SEEN_CTE = """sg AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 17, '1') AS site_ad_id, 'https://www.mobile.bg/obiava-' || lpad(CAST(l_orderkey AS VARCHAR), 17, '1') || '?line=' || l_linenumber AS url,
+SEEN_CTE = """sg AS (SELECT ('17' || lpad(CAST(l_orderkey AS VARCHAR), 15, '0')) AS site_ad_id, 'https://www.mobile.bg/obiava-' || ('17' || lpad(CAST(l_orderkey AS VARCHAR), 15, '0')) || '?line=' || l_linenumber AS url,
   '{"qty":' || CAST(l_quantity AS INTEGER) || '}' AS parsed_data, l_shipdate + INTERVAL 24 YEAR AS seen_at, l_returnflag <> 'R' AS is_active FROM lineitem)"""
 
 
@@ -161,7 +161,7 @@ def new_listings_anti(spark, d):
 @query("inactive_sweep", B.with_l(B.R_CTE) + """SELECT raw_id, CASE WHEN source = 'mobile_bg' AND raw_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_discount < 0.05) THEN false ELSE is_active END AS is_active FROM r""")
 def inactive_sweep(spark, d):
     # this run saw the listings that have a line with a small discount
-    seen = B.table(spark, d, "lineitem").filter("l_discount < 0.05").select(F.lit("mobile_bg").alias("source"), F.lpad(F.col("l_orderkey").cast("string"), 17, "1").alias("site_ad_id"))
+    seen = B.table(spark, d, "lineitem").filter("l_discount < 0.05").select(F.lit("mobile_bg").alias("source"), B.ad_id(F.col("l_orderkey")).alias("site_ad_id"))
     return A.inactive_sweep(B.raw(B.listings(spark, d)), seen, "mobile_bg").select("raw_id", "is_active")
 
 
@@ -222,14 +222,13 @@ def dispatched(spark, d):
     return A.source_dispatch(named_raw(df), kept)
 
 
-MB, MM = "regexp_replace(model_raw, '!', '')", "model_raw"
 DISPATCH_CTE = """dp AS (SELECT l.*, has_doc, doc_brand, CASE WHEN image_count = 13 THEN NULL WHEN status = 'P' THEN 'cars_bg' ELSE 'mobile_bg' END AS src,
   CASE WHEN image_count = 13 THEN 'none' WHEN has_doc THEN 'document' WHEN status = 'F' THEN 'page' ELSE 'none' END AS how FROM l JOIN r USING (listing_id))"""
 
 
 @query("source_dispatch", B.with_l(B.R_CTE, DISPATCH_CTE) + """SELECT listing_id AS raw_id, src AS source, how AS parsed_by, CASE WHEN how <> 'none' THEN year END AS year, CASE WHEN how <> 'none' THEN mileage_km END AS mileage_km,
   CASE how WHEN 'document' THEN price_bgn WHEN 'page' THEN trunc(price_bgn) END AS price, CASE how WHEN 'document' THEN fuel WHEN 'page' THEN fuel_raw END AS fuel,
-  CASE how WHEN 'document' THEN doc_brand WHEN 'page' THEN replace(brand_id, '-', '') END AS brand FROM dp""")
+  CASE how WHEN 'document' THEN doc_brand WHEN 'page' THEN CASE brand_id WHEN 'mercedes-benz' THEN 'mercedes' ELSE make END END AS brand FROM dp""")
 def source_dispatch(spark, d):
     return dispatched(spark, d).select("raw_id", "source", "parsed_by", "year", "mileage_km", "price", "fuel", "brand")
 
