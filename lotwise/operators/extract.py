@@ -193,7 +193,7 @@ def title_brand(title: Column) -> tuple[Column, Column]:
     """(brand, model) of a second-source title: dictionary scan, then text up to a comma or price, at most three words."""
     text = F.regexp_replace(title, r"(?i)CARS\.BG\s*-\s*", "")
     brand = F.try_element_at(F.filter(C.words(R.TITLE_BRANDS), lambda b: F.contains(F.upper(text), F.upper(b))), F.lit(1))
-    after = strip(F.substring(text, F.locate(F.upper(brand), F.upper(text)) + F.length(brand), F.length(text)))
+    after = strip(F.substring(text, F.position(F.upper(brand), F.upper(text)) + F.length(brand), F.length(text)))
     raw = strip(H.found(after, r"(?i)^([A-Za-z0-9\-\s/\.]+?)(?:\s*,|\s+\d+\s*(?:BGN|EUR)|$)"))
     words = F.filter(F.split(raw, r"(?U)\s+"), lambda w: w != "")
     short = F.when(F.size(words) > 3, F.array_join(F.slice(words, 1, 3), " ")).otherwise(raw)
