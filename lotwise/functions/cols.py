@@ -46,9 +46,14 @@ def words(items) -> Column:
     return F.array(*[F.lit(w) for w in items])
 
 
-def present(col: Column) -> Column:
-    """Zero and the empty string count as missing."""
-    return F.when((col.cast("string") == "") | (col.cast("string") == "0"), None).otherwise(col)
+def present(number: Column) -> Column:
+    """Zero counts as missing."""
+    return F.nullif(number, F.lit(0))
+
+
+def text(col: Column) -> Column:
+    """The empty string counts as missing."""
+    return F.nullif(col, F.lit(""))
 
 
 def compact(*items: Column) -> Column:

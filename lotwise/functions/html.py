@@ -14,9 +14,8 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
-    """First match of a group, NULL when there is none."""
-    hit = F.regexp_extract(text, pattern, group)
-    return F.when(F.regexp_like(text, F.lit(pattern)), hit)
+    """First match of a group, NULL when there is none or it is empty; the pattern runs once."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def all_of(text: Column, pattern: str, group: int = 1) -> Column:

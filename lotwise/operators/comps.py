@@ -36,13 +36,13 @@ def with_comp_key(df: DataFrame, p: CompsParams) -> DataFrame:
     ``pattern`` tells which of fuel, gearbox, year and mileage restrict the
     search; a missing attribute does not restrict it.
     """
-    fuel, gearbox = C.present(F.col("fuel")), C.present(F.col("gearbox"))
+    fuel, gearbox = C.text(F.col("fuel")), C.text(F.col("gearbox"))
     year, km = C.present(F.col("year")), C.present(F.col("mileage_km"))
     use_fuel = fuel.isNotNull() & F.lit(p.same_fuel)
     use_gear = gearbox.isNotNull() & F.lit(p.same_gearbox)
     bits = (use_fuel.cast("int") + use_gear.cast("int") * 2 + year.isNotNull().cast("int") * 4
             + km.isNotNull().cast("int") * 8)
-    return df.filter(C.present(F.col("brand_id")).isNotNull() & C.present(F.col("model_id")).isNotNull()).withColumns({
+    return df.filter(C.text(F.col("brand_id")).isNotNull() & C.text(F.col("model_id")).isNotNull()).withColumns({
         "pattern": bits,
         "fuel_k": F.when(use_fuel, fuel).otherwise(""),
         "gearbox_k": F.when(use_gear, gearbox).otherwise(""),
@@ -311,5 +311,5 @@ def price_drops(observations: DataFrame, min_gap_seconds: int = 3600) -> DataFra
         .withColumns({"prev_price": F.col("before.price"), "prev_at": F.col("before.seen_at")})
     gap = F.timestamp_diff("SECOND", F.col("prev_at"), F.col("seen_at"))
     return prev.filter((gap > min_gap_seconds) & (F.col("price") != F.col("prev_price"))).withColumns({
-        "pct": (F.col("price") - F.col("prev_price")) / F.col("prev_price") * 100,
+        "pct": F.try_divide(F.col("price") - F.col("prev_price"), F.col("prev_price")) * 100,
         "is_drop": F.col("price") < F.col("prev_price")}).drop("day", "before", "carry")

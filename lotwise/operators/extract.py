@@ -61,8 +61,8 @@ def max_price(df: DataFrame) -> DataFrame:
 
 def brand_fallback(df: DataFrame) -> DataFrame:
     """Needs url_brand, url_model, entries, page_title."""
-    brand = F.coalesce(C.present(F.col("url_brand")), C.present(entry(F.col("entries"), R.PAGE_KEYS["brand"])))
-    model = F.coalesce(C.present(F.col("url_model")), entry(F.col("entries"), R.PAGE_KEYS["model"]))
+    brand = F.coalesce(C.text(F.col("url_brand")), C.text(entry(F.col("entries"), R.PAGE_KEYS["brand"])))
+    model = F.coalesce(C.text(F.col("url_model")), entry(F.col("entries"), R.PAGE_KEYS["model"]))
     words = F.filter(F.split(F.get(F.split("page_title", ","), F.lit(0)), r"(?U)\s+"), lambda w: w != "")
     from_title = brand.isNull() & (F.length("page_title") > 0)
     return df.withColumns({
@@ -144,10 +144,10 @@ def _class_like(html: Column, part: str) -> Column:
 def listing_detail(df: DataFrame) -> DataFrame:
     """First-source detail row from the rendered page."""
     html = F.col("html")
-    title = F.coalesce(C.present(H.tag_text(html, "h1")), C.present(H.class_text(html, "adTitle", "title")), H.tag_text(html, "title"), F.lit(""))
+    title = F.coalesce(C.text(H.tag_text(html, "h1")), C.text(H.class_text(html, "adTitle", "title")), H.tag_text(html, "title"), F.lit(""))
     words = F.filter(F.split(title, r"(?U)\s+"), lambda w: w != "")
     price, currency = price_text(F.array_join(F.transform(H.class_blocks(html, "Price"), lambda b: H.plain(b, " ")), " "))
-    phone = F.coalesce(C.present(H.class_text(html, "phone")), C.present(_class_like(html, "phone")))
+    phone = F.coalesce(C.text(H.class_text(html, "phone")), C.text(_class_like(html, "phone")))
     srcs = F.transform(H.all_of(html, "<img[^>]*>", 0), lambda t: F.coalesce(H.attribute(t, "src"), F.lit("")))
     shown = F.filter(srcs, lambda s: s.rlike("jpg|jpeg|png") & ~F.lower(s).rlike("logo|icon"))
     out = live_pages(df).withColumns({
@@ -156,9 +156,9 @@ def listing_detail(df: DataFrame) -> DataFrame:
         "price": price, "currency": currency, "year": H.found(html, r"(\d{4})\s*г").try_cast("int"),
         "mileage_km": H.digits(strip(H.found(html, r"(?U)([\d\s]+)\s*км"))),
         "fuel": C.first_word_hit(html, R.PAGE_FUEL), "gearbox": C.first_word_hit(html, R.PAGE_GEARBOX),
-        "description": F.coalesce(C.present(H.class_text(html, "description", "adDescription")), _class_like(html, "description"), F.lit("")),
+        "description": F.coalesce(C.text(H.class_text(html, "description", "adDescription")), _class_like(html, "description"), F.lit("")),
         "images": shown, "phone_hash": F.sha2(phone, 256),
-        "region": F.coalesce(C.present(H.class_text(html, "region", "location")), C.present(_class_like(html, "location")))})
+        "region": F.coalesce(C.text(H.class_text(html, "region", "location")), C.text(_class_like(html, "location")))})
     return out.filter("site_ad_id is not null")
 
 
@@ -181,7 +181,7 @@ def sitemap_detail(df: DataFrame) -> DataFrame:
     out = jsonld(df)
     return out.withColumns({
         "site_ad_id": H.found(F.col("url"), r"/obiava-(\d+)"),
-        "title": F.coalesce(C.present(F.col("ld_name")), H.tag_text(html, "h1")),
+        "title": F.coalesce(C.text(F.col("ld_name")), H.tag_text(html, "h1")),
         "price": F.coalesce(F.col("ld_price"), H.digits(strip(number)).cast("double")),
         "currency": F.when(F.col("ld_price").isNotNull(), F.col("ld_currency")).when(mark.isin("EUR", "€"), "EUR").otherwise("BGN"),
         "year": H.found(html, r"(\d{4})\s*г").try_cast("int"), "mileage_km": H.found(html, r"(\d+)\s*км").try_cast("int"),
@@ -232,7 +232,7 @@ def listing_detail_2(df: DataFrame) -> DataFrame:
     html = F.col("html")
     page_title = H.tag_text(html, "title")
     from_title = F.when(page_title.contains("CARS.BG"), strip(F.get(F.split(F.replace(page_title, F.lit("CARS.BG - "), F.lit("")), ","), F.lit(0))))
-    title = F.coalesce(C.present(H.tag_text(html, "h2")), from_title, F.lit(""))
+    title = F.coalesce(C.text(H.tag_text(html, "h2")), from_title, F.lit(""))
     copies = H.class_blocks(html, "text-copy")
     details = squeeze(F.coalesce(H.plain(F.try_element_at(copies, F.lit(1))),
                                  F.array_join(F.transform(H.all_of(html, r"(?s)<p[^>]*>(.*?)</p>"), lambda p: H.plain(p)), " ")))
@@ -255,7 +255,7 @@ def listing_detail_2(df: DataFrame) -> DataFrame:
     d = F.col("details")
     brand, model = title_brand(F.col("title"))
     location = F.coalesce(place, city)
-    seller = F.when(~dealer, C.present(_class_like(html, "seller")))
+    seller = F.when(~dealer, C.text(_class_like(html, "seller")))
     return out.withColumns({
         "listing_hash": F.md5(F.concat(F.lit("cars_bg_"), "site_ad_id")),
         "brand": brand, "model": F.when(brand.isNotNull(), model),

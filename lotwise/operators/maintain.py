@@ -31,7 +31,7 @@ def upsert_listings(current: DataFrame, seen: DataFrame) -> DataFrame:
 
 def new_listings(seen: DataFrame, known: DataFrame, key: str = "site_ad_id") -> DataFrame:
     """The first sighting of every ad that is not known yet."""
-    first = seen.filter(C.present(F.col(key)).isNotNull()).groupBy(key).agg(F.min(F.struct("seen_at", "url")).alias("x"))
+    first = seen.filter(C.text(F.col(key)).isNotNull()).groupBy(key).agg(F.min(F.struct("seen_at", "url")).alias("x"))
     return first.join(known.select(key), key, "left_anti").select(key, "x.*")
 
 
@@ -113,7 +113,7 @@ def source_dispatch(raw: DataFrame, pages: DataFrame) -> DataFrame:
     second = F.col("source") == "cars_bg"
     docs = docs.withColumns({
         "model": F.when(second, F.coalesce("model_base", "model")).otherwise(F.col("model")),
-        "fuel": F.when(second, F.coalesce(C.present(F.col("fuel")), F.initcap("engine_type"))).otherwise(F.col("fuel"))})
+        "fuel": F.when(second, F.coalesce(C.text(F.col("fuel")), F.initcap("engine_type"))).otherwise(F.col("fuel"))})
     page = X.page_fields(pages.join(known.select("raw_id", "url"), "raw_id")).select(
         "raw_id", F.struct(F.col("brand").alias("brand"), F.col("model").alias("model"), F.col("year").alias("year"), F.col("mileage_km").alias("mileage_km"),
                            F.col("price").cast("double").alias("price"), F.col("currency").alias("currency"), F.col("fuel_raw").alias("fuel"),

@@ -17,8 +17,8 @@ WHEN = ("created_at", "listing_id")
 
 
 def dedupe_signature(df: DataFrame) -> DataFrame:
-    parts = [F.lower(C.present(F.col("brand_id"))), F.lower(C.present(F.col("model_id"))),
-             C.present(F.col("year")).cast("string"), F.lower(C.present(F.col("fuel"))), F.lower(C.present(F.col("gearbox")))]
+    parts = [F.lower(C.text(F.col("brand_id"))), F.lower(C.text(F.col("model_id"))),
+             C.present(F.col("year")).cast("string"), F.lower(C.text(F.col("fuel"))), F.lower(C.text(F.col("gearbox")))]
     return df.withColumn("signature", F.concat_ws(" ", *parts))
 
 

@@ -28,7 +28,7 @@ def alias_dictionary(mappings: DataFrame) -> DataFrame:
 
 
 def _distinct_pairs(df: DataFrame, brand: str, model: str) -> DataFrame:
-    known = C.present(F.col(brand)).isNotNull() & C.present(F.col(model)).isNotNull()
+    known = C.text(F.col(brand)).isNotNull() & C.text(F.col(model)).isNotNull()
     return df.filter(known).select(F.col(brand).alias("b_raw"), F.col(model).alias("m_raw")).distinct().withColumns(
         {"b": T.text_clean(F.col("b_raw")), "m": T.text_clean(F.col("m_raw"))})
 
@@ -92,7 +92,7 @@ def seller_key(df: DataFrame, name: str, location: str, phone: str) -> DataFrame
     """Phone hashes of both sources and the seller hash: name, else location, else phone."""
     local = T.strip(F.replace(F.replace(F.col(phone), F.lit("tel:"), F.lit("")), F.lit("+359"), F.lit("0")))
     phone_md5 = F.md5(local)
-    who = F.coalesce(C.present(F.col(name)), C.present(F.col(location)), phone_md5, F.lit("unknown"))
+    who = F.coalesce(C.text(F.col(name)), C.text(F.col(location)), phone_md5, F.lit("unknown"))
     return df.withColumns({"phone_sha": F.sha2(F.col(phone), 256), "phone_hash": phone_md5,
                            "seller_hash": F.md5(F.concat(F.lit("cars_bg_"), who))})
 
@@ -126,5 +126,5 @@ def normalize_listings(df: DataFrame, dictionary: DataFrame, as_of_year: Column)
     named = fuzzy_jaccard_join(df, dictionary)
     out = fx_convert(range_validity(enum_map(named), as_of_year))
     version = F.col("listing_version") if "listing_version" in df.columns else F.lit(0)
-    return out.withColumns({"description_hash": F.when(C.present(F.col("description")).isNotNull(), T.content_hash(F.col("description"))),
+    return out.withColumns({"description_hash": F.when(C.text(F.col("description")).isNotNull(), T.content_hash(F.col("description"))),
                             "listing_version": version + 1})

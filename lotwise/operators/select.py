@@ -32,7 +32,7 @@ def unprocessed(raw: DataFrame, normalized: DataFrame) -> DataFrame:
 
 def unpriced(df: DataFrame, comps: DataFrame, as_of: Column, minutes: int = 30, limit: int = 500) -> DataFrame:
     """Usable listings updated in the last minutes without a price estimate."""
-    recent = df.filter((C.present(F.col("brand_id")).isNotNull()) & F.col("model_id").isNotNull() & (F.col("price_bgn") > 500)
+    recent = df.filter((C.text(F.col("brand_id")).isNotNull()) & F.col("model_id").isNotNull() & (F.col("price_bgn") > 500)
                        & (F.col("updated_at") > as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))))
     return _newest(recent.join(comps.select("listing_id"), "listing_id", "left_anti"), "created_at", limit)
 

@@ -66,11 +66,14 @@ def stream_pipeline(spark, d):
     return spark.read.parquet(folder).select("event_id", "risk_level", "bracket", "k")
 
 
-@query("stream_price_change", """SELECT user_id AS listing_id, event_id, round((value - prev) / prev * 100, 6) AS pct FROM (SELECT *, lag(value) OVER w AS prev, lag(ts) OVER w AS prev_ts FROM events
+@query("stream_price_change", """SELECT user_id AS listing_id, event_id, round((value - prev) / nullif(prev, 0) * 100, 6) AS pct FROM (SELECT *, lag(value) OVER w AS prev, lag(ts) OVER w AS prev_ts FROM events
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE epoch_us(ts) - epoch_us(prev_ts) >= 3601000000 AND value <> prev""")
 def stream_price_change(spark, d):
-    rows = S.price_changes(stream(spark, d).select("ts", "user_id", "event_id", "value"))
-    return S.run_available(rows, "prices").withColumn("pct", F.round("pct", 6))
+    folder = scratch(spark, "prices")
+    seen = stream(spark, d).select(F.col("user_id").alias("listing_id"), F.col("ts").alias("seen_at"), F.col("value").alias("price"), F.col("event_id").alias("tie"))
+    S.run_batches(seen, "prices", S.price_changes(folder))
+    out = spark.read.parquet(os.path.join(folder, "out"))
+    return out.select("listing_id", F.col("tie").alias("event_id"), F.round("pct", 6).alias("pct"))
 
 
 @query("stream_sessions", f"""SELECT user_id, min(ts) AS first_seen, max(ts) + INTERVAL 6 HOUR AS gone_at, count(*) AS sightings FROM (SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) > 21600000000 THEN 1 ELSE 0 END)

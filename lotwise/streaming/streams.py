@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from lotwise.operators.comps import price_drops
 from lotwise.session import scratch
 
 LATE = "2 hours"
@@ -66,31 +67,6 @@ def batch_sessions(events: DataFrame, gap_seconds: int = 21600) -> DataFrame:
 
 
 # --- keyed state -------------------------------------------------------------------------
-class PriceChange(StatefulProcessor):
-    """Keeps the last price of a listing; emits a change when the gap is over an hour."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "price double, at bigint")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["at", "event_id"])
-        state = self.last.get() if self.last.exists() else None
-        before = batch["value"].shift(1)
-        before_at = batch["at"].shift(1).astype("float64")
-        if state is not None:
-            before.iloc[0], before_at.iloc[0] = state[0], state[1]
-        # the gap is counted in whole seconds, as in the batch rule
-        gap = (batch["at"] - before_at) // 1_000_000
-        hit = (gap > 3600) & (batch["value"] != before) & before.notna()
-        self.last.update((float(batch["value"].iloc[-1]), int(batch["at"].iloc[-1])))
-        out = batch[hit]
-        yield pd.DataFrame({"listing_id": out["user_id"].astype("int64"), "event_id": out["event_id"].astype("int64"),
-                            "pct": (out["value"] - before[hit]) / before[hit] * 100})
-
-    def close(self) -> None:
-        pass
-
-
 class Capped(StatefulProcessor):
     """Passes the first rows of a (key, period): a counter of what the period already sent."""
 
@@ -152,20 +128,22 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def price_changes(events: DataFrame) -> DataFrame:
-    return _with_micros(events).groupBy("user_id").transformWithStateInPandas(
-        PriceChange(), "listing_id bigint, event_id bigint, pct double", "Append", "None")
-
-
 def capped(events: DataFrame, cap: int, period: str) -> DataFrame:
     """At most ``cap`` rows per user and period."""
     return _with_micros(events).withColumn("period", F.date_trunc(period, "ts")).groupBy("user_id", "period").transformWithStateInPandas(
         Capped(cap), "user_id bigint, event_id bigint, at bigint", "Append", "None")
 
 
+PARTS = 64  # a busy user's waiting rows are spread over this many state keys
+
+
 def delayed(events: DataFrame) -> DataFrame:
-    """events with delay_minutes: each row leaves once event time passed its own time plus the delay."""
-    return _with_micros(events).groupBy("user_id").transformWithStateInPandas(
+    """events with delay_minutes: each row leaves once event time passed its own time plus the delay.
+
+    Rows wait independently of each other, so the state key carries a part number.
+    """
+    part = F.pmod(F.hash("event_id"), F.lit(PARTS))
+    return _with_micros(events).withColumn("part", part).groupBy("user_id", "part").transformWithStateInPandas(
         Delayed(), "user_id bigint, event_id bigint, due bigint", "Append", "EventTime")
 
 
@@ -183,6 +161,25 @@ def upsert_into(spark: SparkSession, folder: str, merge, empty_schema: str):
     return body
 
 
+def price_changes(folder: str, schema: str = "listing_id bigint, seen_at timestamp, price double, tie bigint"):
+    """``foreachBatch`` body: changes against the last stored price of each listing.
+
+    The state is a table with the last observation per listing, one version per
+    batch id.  The batch rule runs on stored plus new observations, so a listing
+    with a third of the batch is spread over its days like in the batch job.
+    """
+    def body(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        version = lambda n: os.path.join(folder, "state", f"v{n}")
+        last = session.read.schema(schema).parquet(version(batch_id - 1)) if batch_id else session.createDataFrame([], schema)
+        both = last.withColumn("stored", F.lit(True)).unionByName(batch.withColumn("stored", F.lit(False)))
+        price_drops(both).filter("not stored").select("listing_id", "seen_at", "tie", "prev_price", "price", "pct") \
+            .write.mode("overwrite").parquet(os.path.join(folder, "out", f"batch={batch_id}"))
+        newest = both.groupBy("listing_id").agg(F.max(F.struct("seen_at", "tie", "price")).alias("x"))
+        newest.select("listing_id", "x.seen_at", "x.price", "x.tie").write.mode("overwrite").parquet(version(batch_id))
+    return body
+
+
 def append_once(path: str, stage):
     """``foreachBatch`` body: runs a DataFrame stage on the batch into a folder of its own batch id."""
     def body(batch: DataFrame, batch_id: int) -> None:
