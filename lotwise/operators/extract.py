@@ -142,24 +142,32 @@ def _class_like(html: Column, part: str) -> Column:
 
 
 def listing_detail(df: DataFrame) -> DataFrame:
-    """First-source detail row from the rendered page."""
+    """First-source detail row from the rendered page.
+
+    Texts that several fields need are columns of their own first, so each
+    pattern runs once per page.
+    """
     html = F.col("html")
-    title = F.coalesce(C.text(H.tag_text(html, "h1")), C.text(H.class_text(html, "adTitle", "title")), H.tag_text(html, "title"), F.lit(""))
-    words = F.filter(F.split(title, r"(?U)\s+"), lambda w: w != "")
-    price, currency = price_text(F.array_join(F.transform(H.class_blocks(html, "Price"), lambda b: H.plain(b, " ")), " "))
-    phone = F.coalesce(C.text(H.class_text(html, "phone")), C.text(_class_like(html, "phone")))
+    first = live_pages(df).withColumns({
+        "site_ad_id": H.found(F.col("url"), r"/obiava-(\d+)"),
+        "title": F.coalesce(H.tag_text(html, "h1"), F.lit("")),
+        "price_text": F.array_join(F.transform(H.class_blocks(html, "Price"), lambda b: H.plain(b, " ")), " "),
+        "phone_text": H.class_text(html, "phone"), "text": H.class_text(html, "description", "adDescription"),
+        "place": H.class_text(html, "region", "location")}).filter("site_ad_id is not null")
+    first = first.withColumn("title", F.when(F.col("title") != "", F.col("title")).otherwise(
+        F.coalesce(C.text(H.class_text(html, "adTitle", "title")), H.tag_text(html, "title"), F.lit(""))))
+    words = F.filter(F.split("title", r"(?U)\s+"), lambda w: w != "")
+    price, currency = price_text(F.col("price_text"))
     srcs = F.transform(H.all_of(html, "<img[^>]*>", 0), lambda t: F.coalesce(H.attribute(t, "src"), F.lit("")))
     shown = F.filter(srcs, lambda s: s.rlike("jpg|jpeg|png") & ~F.lower(s).rlike("logo|icon"))
-    out = live_pages(df).withColumns({
-        "site_ad_id": H.found(F.col("url"), r"/obiava-(\d+)"), "title": title,
+    return first.withColumns({
         "brand": F.get(words, F.lit(0)), "model": F.when(F.size(words) > 1, F.array_join(F.slice(words, 2, 2), " ")),
         "price": price, "currency": currency, "year": H.found(html, r"(\d{4})\s*г").try_cast("int"),
         "mileage_km": H.digits(strip(H.found(html, r"(?U)([\d\s]+)\s*км"))),
         "fuel": C.first_word_hit(html, R.PAGE_FUEL), "gearbox": C.first_word_hit(html, R.PAGE_GEARBOX),
-        "description": F.coalesce(C.text(H.class_text(html, "description", "adDescription")), _class_like(html, "description"), F.lit("")),
-        "images": shown, "phone_hash": F.sha2(phone, 256),
-        "region": F.coalesce(C.text(H.class_text(html, "region", "location")), C.text(_class_like(html, "location")))})
-    return out.filter("site_ad_id is not null")
+        "description": F.coalesce(C.text(F.col("text")), _class_like(html, "description"), F.lit("")),
+        "images": shown, "phone_hash": F.sha2(F.coalesce(C.text(F.col("phone_text")), C.text(_class_like(html, "phone"))), 256),
+        "region": F.coalesce(C.text(F.col("place")), C.text(_class_like(html, "location")))}).drop("price_text", "phone_text", "text", "place")
 
 
 def jsonld(df: DataFrame) -> DataFrame:
@@ -228,47 +236,46 @@ def numeric_clean(df: DataFrame, price: str, mileage: str, fuel: str) -> DataFra
 
 
 def listing_detail_2(df: DataFrame) -> DataFrame:
-    """Second-source detail row."""
-    html = F.col("html")
-    page_title = H.tag_text(html, "title")
-    from_title = F.when(page_title.contains("CARS.BG"), strip(F.get(F.split(F.replace(page_title, F.lit("CARS.BG - "), F.lit("")), ","), F.lit(0))))
-    title = F.coalesce(C.text(H.tag_text(html, "h2")), from_title, F.lit(""))
-    copies = H.class_blocks(html, "text-copy")
-    details = squeeze(F.coalesce(H.plain(F.try_element_at(copies, F.lit(1))),
-                                 F.array_join(F.transform(H.all_of(html, r"(?s)<p[^>]*>(.*?)</p>"), lambda p: H.plain(p)), " ")))
-    body = H.plain(F.regexp_extract(html, r"(?s)<body[^>]*>(.*)</body>", 1), " ")
-    priced = F.array_join(F.transform(H.all_of(html, r'(?s)<\w+[^>]*class="[^"]*price[^"]*"[^>]*>([^<]*)<'), lambda p: p), " ")
-    money = lambda text: (clean_price(H.found(text, r"(\d[\d\s,]*)\s*BGN")), clean_price(H.found(text, r"(\d[\d\s,.]*)\s*EUR")))
-    tb, te = money(page_title)
-    pb, pe = money(priced)
+    """Second-source detail row; shared texts are columns of their own first."""
+    html, c = F.col("html"), F.col
+    known = df.withColumn("site_ad_id", H.found(F.col("url"), r"/offer/([a-f0-9]+)")).filter("site_ad_id is not null")
+    texts = known.withColumns({
+        "page_title": H.tag_text(html, "title"), "heading": H.tag_text(html, "h2"), "copies": H.class_blocks(html, "text-copy"),
+        "body_text": H.plain(F.regexp_extract(html, r"(?s)<body[^>]*>(.*)</body>", 1), " "), "near": _class_like(html, "location"),
+        "tel": H.found(html, r'href="(tel:[^"]*)"')})
+    from_title = F.when(c("page_title").contains("CARS.BG"), strip(F.get(F.split(F.replace("page_title", F.lit("CARS.BG - "), F.lit("")), ","), F.lit(0))))
+    paragraphs = F.array_join(F.transform(H.all_of(html, r"(?s)<p[^>]*>(.*?)</p>"), lambda p: H.plain(p)), " ")
+    priced = F.array_join(H.all_of(html, r'(?s)<\w+[^>]*class="[^"]*price[^"]*"[^>]*>([^<]*)<'), " ")
+    bgn = lambda text: clean_price(H.found(text, r"(\d[\d\s,]*)\s*BGN"))
+    eur = lambda text: clean_price(H.found(text, r"(\d[\d\s,.]*)\s*EUR"))
+    shared = texts.withColumns({
+        "title": F.coalesce(C.text(c("heading")), from_title, F.lit("")),
+        "details": squeeze(F.coalesce(H.plain(F.try_element_at("copies", F.lit(1))), paragraphs)),
+        "bgn1": bgn(c("page_title")), "eur1": eur(c("page_title")), "bgn2": bgn(priced), "eur2": eur(priced),
+        "is_dealer": html.rlike(r"<td[^>]*>[^<]*Фирма") | c("body_text").contains("ООД"),
+        "location": F.coalesce(F.when((F.length("near") > 2) & ~c("near").rlike(r"\d"), c("near")),
+                               F.try_element_at(F.filter(C.words(R.PAGE2_CITIES), lambda w: F.contains("body_text", w)), F.lit(1))),
+        "phone_hash": F.md5(strip(F.replace(F.replace("tel", F.lit("tel:"), F.lit("")), F.lit("+359"), F.lit("0"))))})
+    brand, model = title_brand(c("title"))
+    shared = shared.withColumns({"brand": brand, "model": model, "seller_name": F.when(~c("is_dealer"), C.text(_class_like(html, "seller")))})
+    d = c("details")
     month = "(?:" + "|".join(R.MONTHS) + ")"
-    city = F.try_element_at(F.filter(C.words(R.PAGE2_CITIES), lambda c: F.contains(body, c)), F.lit(1))
-    place = _class_like(html, "location")
-    place = F.when((F.length(place) > 2) & ~place.rlike(r"\d"), place)
-    dealer = html.rlike(r"<td[^>]*>[^<]*Фирма") | body.contains("ООД")
-    tel = F.replace(F.replace(H.found(html, r'href="(tel:[^"]*)"'), F.lit("tel:"), F.lit("")), F.lit("+359"), F.lit("0"))
-    phone_hash = F.md5(strip(tel))
-    imgs = F.filter(F.transform(H.all_of(html, "<img[^>]*>", 0), lambda t: F.coalesce(H.attribute(t, "src"), F.lit(""))),
-                    lambda s: F.contains(s, F.lit("cars.bg")) & F.contains(s, F.lit("/2")) & F.contains(s, F.lit("http")))
-    rest = F.array_join(F.filter(F.transform(F.slice(copies, 2, 1000), lambda b: H.plain(b)), lambda t: t != ""), " ")
-    out = df.withColumns({"site_ad_id": H.found(F.col("url"), r"/offer/([a-f0-9]+)"), "title": title, "details": details}).filter("site_ad_id is not null")
-    d = F.col("details")
-    brand, model = title_brand(F.col("title"))
-    location = F.coalesce(place, city)
-    seller = F.when(~dealer, C.text(_class_like(html, "seller")))
-    return out.withColumns({
-        "listing_hash": F.md5(F.concat(F.lit("cars_bg_"), "site_ad_id")),
-        "brand": brand, "model": F.when(brand.isNotNull(), model),
-        "price": F.coalesce(tb, te, pb, pe), "currency": F.when(F.coalesce(tb, F.when(te.isNull(), pb)).isNull() & F.coalesce(te, pe).isNotNull(), "EUR").otherwise("BGN"),
+    srcs = F.transform(H.all_of(html, "<img[^>]*>", 0), lambda t: F.coalesce(H.attribute(t, "src"), F.lit("")))
+    shown = F.filter(srcs, lambda s: F.contains(s, F.lit("cars.bg")) & F.contains(s, F.lit("/2")) & F.contains(s, F.lit("http")))
+    rest = F.array_join(F.filter(F.transform(F.slice("copies", 2, 1000), lambda b: H.plain(b)), lambda t: t != ""), " ")
+    return shared.withColumns({
+        "listing_hash": F.md5(F.concat(F.lit("cars_bg_"), "site_ad_id")), "model": F.when(c("brand").isNotNull(), c("model")),
+        "price": F.coalesce("bgn1", "eur1", "bgn2", "eur2"),
+        "currency": F.when(c("bgn1").isNull() & (c("eur1").isNotNull() | (c("bgn2").isNull() & c("eur2").isNotNull())), "EUR").otherwise("BGN"),
         "year": F.coalesce(H.found(d, month + r"\s+(\d{4})"), H.found(d, r"\b((?:19|20)\d{2})\b")).try_cast("int"),
         "mileage_km": clean_mileage(H.found(d, r"(?iu)(\d[\d\s]*)\s*км")),
         "fuel": C.first_word_hit(d, R.PAGE2_FUEL), "gearbox": C.first_word_hit(d, R.PAGE2_GEARBOX),
         "power_hp": H.found(d, r"(\d+)\s*к\.с\.").try_cast("int"), "engine_cc": H.found(d, r"(\d+)\s*см3").try_cast("int"),
         "color": H.found(d, r",\s*([А-Яа-я]+)\s*$"), "body": C.first_word_hit(d, R.PAGE2_BODY),
         "condition": F.when(d.contains("Нов автомобил"), "New").otherwise("Used"),
-        "location": location, "is_dealer": dealer, "seller_name": seller, "phone_hash": phone_hash,
-        "seller_hash": F.md5(F.concat(F.lit("cars_bg_"), F.coalesce(seller, location, phone_hash, F.lit("unknown")))),
-        "description": F.when(F.size(copies) > 1, rest).otherwise(d), "images": F.array_distinct(imgs)}).drop("details")
+        "seller_hash": F.md5(F.concat(F.lit("cars_bg_"), F.coalesce("seller_name", "location", "phone_hash", F.lit("unknown")))),
+        "description": F.when(F.size("copies") > 1, rest).otherwise(d), "images": F.array_distinct(shown),
+    }).drop("page_title", "heading", "copies", "body_text", "near", "tel", "details", "bgn1", "eur1", "bgn2", "eur2")
 
 
 # --- links ------------------------------------------------------------------------------

@@ -25,17 +25,15 @@ def _ntz(df, *cols):
 @query("stream_intake", """SELECT CAST(user_id AS VARCHAR) AS site_ad_id, min(ts) AS first_seen_at, max(ts) AS last_seen_at, arg_max('https://ads.example/' || user_id || '/' || event_type, {'t': ts, 'u': event_type}) AS url
   FROM events GROUP BY user_id""")
 def stream_intake(spark, d):
-    folder = scratch(spark, "intake")
     schema = "source string, site_ad_id string, url string, parsed_data string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, is_active boolean"
     ad = F.col("user_id").cast("string")
 
-    def merge(current, batch):
-        seen = batch.select(F.lit("mobile_bg").alias("source"), ad.alias("site_ad_id"), F.concat(F.lit("https://ads.example/"), ad, F.lit("/"), "event_type").alias("url"),
-                            F.col("props").alias("parsed_data"), F.col("ts").cast("timestamp_ntz").alias("seen_at"), (F.col("event_type") != "error").alias("is_active"))
-        return A.upsert_listings(current, seen)
-    S.run_batches(stream(spark, d), "intake", S.upsert_into(spark, folder, merge, schema))
-    last = max(int(n[1:]) for n in os.listdir(folder) if n.startswith("v")) if "://" not in folder else 0
-    return spark.read.parquet(os.path.join(folder, f"v{last}")).select("site_ad_id", "first_seen_at", "last_seen_at", "url")
+    seen = stream(spark, d).select(
+        F.lit("mobile_bg").alias("source"), ad.alias("site_ad_id"), F.concat(F.lit("https://ads.example/"), ad, F.lit("/"), "event_type").alias("url"),
+        F.col("props").alias("parsed_data"), F.col("ts").cast("timestamp_ntz").alias("seen_at"), (F.col("event_type") != "error").alias("is_active"))
+    table = S.BucketedState(scratch(spark, "intake"), schema, "site_ad_id")
+    S.run_batches(seen, "intake", S.upsert_into(table, A.upsert_listings))
+    return table.current(spark).select("site_ad_id", "first_seen_at", "last_seen_at", "url")
 
 
 @query("stream_dedupe", "SELECT user_id, event_type, count(*) > 0 AS seen FROM events GROUP BY 1, 2")
@@ -71,7 +69,8 @@ def stream_pipeline(spark, d):
 def stream_price_change(spark, d):
     folder = scratch(spark, "prices")
     seen = stream(spark, d).select(F.col("user_id").alias("listing_id"), F.col("ts").alias("seen_at"), F.col("value").alias("price"), F.col("event_id").alias("tie"))
-    S.run_batches(seen, "prices", S.price_changes(folder))
+    state = S.BucketedState(os.path.join(folder, "state"), S.PRICE_STATE, "listing_id")
+    S.run_batches(seen, "prices", S.price_changes(state, os.path.join(folder, "out")))
     out = spark.read.parquet(os.path.join(folder, "out"))
     return out.select("listing_id", F.col("tie").alias("event_id"), F.round("pct", 6).alias("pct"))
 

@@ -9,11 +9,12 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lotwise.operators.comps import price_drops
-from lotwise.session import scratch
+from lotwise.session import scratch, staged
 
 LATE = "2 hours"
 
@@ -148,35 +149,66 @@ def delayed(events: DataFrame) -> DataFrame:
 
 
 # --- micro-batch jobs -----------------------------------------------------------------------
-def upsert_into(spark: SparkSession, folder: str, merge, empty_schema: str):
-    """``foreachBatch`` body: merges a batch into a table kept as one version per batch id.
+class BucketedState:
+    """A keyed table for ``foreachBatch`` jobs, in ``bucket=b/version=n`` folders.
 
-    Version n is computed from version n - 1 and the batch, so a repeated batch
-    writes the same version again and nothing is counted twice.
+    A batch reads the newest version of the buckets it touches that is older than
+    its own id and writes those buckets as its own version.  Other buckets are
+    neither read nor written, and a repeated batch finds the same state and writes
+    the same folders again.
     """
+
+    def __init__(self, folder: str, schema: str, key: str, buckets: int = 16):
+        self.folder, self.schema, self.key, self.buckets = folder, schema, key, buckets
+
+    def _bucket(self):
+        return F.pmod(F.hash(F.col(self.key).cast("string")), F.lit(self.buckets)).cast("int")
+
+    def _versions(self, session: SparkSession) -> DataFrame:
+        try:
+            return session.read.schema(f"{self.schema}, bucket int, version bigint").parquet(self.folder)
+        except AnalysisException:  # nothing written yet
+            return session.createDataFrame([], f"{self.schema}, bucket int, version bigint")
+
+    def before(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """The stored rows of the buckets that the batch touches."""
+        touched = [r[0] for r in batch.select(self._bucket().alias("b")).distinct().collect()]  # at most ``buckets`` numbers
+        old = self._versions(batch.sparkSession).filter(F.col("bucket").isin(touched) & (F.col("version") < batch_id))
+        newest = old.groupBy("bucket").agg(F.max("version").alias("version"))
+        return old.join(newest, ["bucket", "version"], "left_semi").drop("bucket", "version")
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.withColumns({"bucket": self._bucket(), "version": F.lit(batch_id).cast("bigint")}).write.mode("overwrite") \
+            .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(self.folder)
+
+    def current(self, session: SparkSession) -> DataFrame:
+        rows = self._versions(session)
+        newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+        return rows.join(newest, ["bucket", "version"], "left_semi").drop("bucket", "version")
+
+
+def upsert_into(state: BucketedState, merge):
+    """``foreachBatch`` body: merges the batch into the stored table."""
     def body(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        current = session.read.parquet(os.path.join(folder, f"v{batch_id - 1}")) if batch_id else session.createDataFrame([], empty_schema)
-        merge(current, batch).write.mode("overwrite").parquet(os.path.join(folder, f"v{batch_id}"))
+        state.write(staged(merge(state.before(batch, batch_id), batch), "upsert"), batch_id)
     return body
 
 
-def price_changes(folder: str, schema: str = "listing_id bigint, seen_at timestamp, price double, tie bigint"):
+PRICE_STATE = "listing_id bigint, seen_at timestamp, price double, tie bigint"
+
+
+def price_changes(state: BucketedState, out: str):
     """``foreachBatch`` body: changes against the last stored price of each listing.
 
-    The state is a table with the last observation per listing, one version per
-    batch id.  The batch rule runs on stored plus new observations, so a listing
-    with a third of the batch is spread over its days like in the batch job.
+    The batch rule runs on stored plus new observations, so a listing with a
+    third of the batch is spread over its days like in the batch job.
     """
     def body(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        version = lambda n: os.path.join(folder, "state", f"v{n}")
-        last = session.read.schema(schema).parquet(version(batch_id - 1)) if batch_id else session.createDataFrame([], schema)
-        both = last.withColumn("stored", F.lit(True)).unionByName(batch.withColumn("stored", F.lit(False)))
+        both = staged(state.before(batch, batch_id).withColumn("stored", F.lit(True)).unionByName(batch.withColumn("stored", F.lit(False))), "prices")
         price_drops(both).filter("not stored").select("listing_id", "seen_at", "tie", "prev_price", "price", "pct") \
-            .write.mode("overwrite").parquet(os.path.join(folder, "out", f"batch={batch_id}"))
+            .write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
         newest = both.groupBy("listing_id").agg(F.max(F.struct("seen_at", "tie", "price")).alias("x"))
-        newest.select("listing_id", "x.seen_at", "x.price", "x.tie").write.mode("overwrite").parquet(version(batch_id))
+        state.write(newest.select("listing_id", "x.seen_at", "x.price", "x.tie"), batch_id)
     return body
 
 

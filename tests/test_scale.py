@@ -20,7 +20,7 @@ def listings(spark, n=400, seed=1, hot=0.4):
     for i in range(n):
         model = "hot" if rnd.random() < hot else rnd.choice(["a", "b"])
         rows.append((i, "bmw", model, rnd.choice([2018, 2019, 2020, 2021, 0]), rnd.choice([0, None] + list(range(1000, 60000, 997))), rnd.choice(["diesel", "petrol", None, ""]),
-                     rnd.choice(["manual", "automatic", None]), float(rnd.randint(400, 4000)), pd.Timestamp("2025-05-30") - pd.Timedelta(hours=rnd.randint(0, 9000)),
+                     rnd.choice(["manual", "automatic", None]), float(rnd.randint(400, 4000)), (pd.Timestamp("2025-05-30") - pd.Timedelta(hours=rnd.randint(0, 9000))).to_pydatetime(),
                      rnd.random() < 0.1, rnd.choice([1, 2]), rnd.random() < 0.8))
     df = spark.createDataFrame(rows, "listing_id long, brand_id string, model_id string, year int, mileage_km int, fuel string, gearbox string, price_bgn double, created_at timestamp_ntz, "
                                "is_duplicate boolean, seller_id int, is_active boolean").withColumn("cents", (F.col("price_bgn") * 100).cast("bigint"))

@@ -63,14 +63,14 @@ def _two_batches(spark, tmp_path):
 def test_price_state_survives_batches(spark, tmp_path):
     ev, stream = _two_batches(spark, tmp_path)
     shape = lambda df: df.select(F.col("user_id").alias("listing_id"), F.col("ts").cast("timestamp").alias("seen_at"), F.col("value").alias("price"), F.col("event_id").alias("tie"))
-    S.run_batches(shape(stream), "t-prices", S.price_changes(str(tmp_path / "p")))
+    S.run_batches(shape(stream), "t-prices", S.price_changes(S.BucketedState(str(tmp_path / "p" / "state"), S.PRICE_STATE, "listing_id"), str(tmp_path / "p" / "out")))
     got = {(r.listing_id, r.tie, r.prev_price) for r in spark.read.parquet(str(tmp_path / "p" / "out")).collect()}
     want = {(r.listing_id, r.tie, r.prev_price) for r in K.price_drops(shape(ev)).collect()}
     assert got == want and len(spark.read.parquet(str(tmp_path / "p" / "out")).select("batch").distinct().collect()) == 2
 
 
 def test_repeated_batch_changes_nothing(spark, tmp_path):
-    body = S.price_changes(str(tmp_path / "q"))
+    body = S.price_changes(S.BucketedState(str(tmp_path / "q" / "state"), S.PRICE_STATE, "listing_id"), str(tmp_path / "q" / "out"))
     b0 = spark.sql("select 1L listing_id, timestamp'2025-01-01 00:00:00' seen_at, 10D price, 1L tie")
     b1 = spark.sql("select 1L listing_id, timestamp'2025-01-02 00:00:00' seen_at, 8D price, 2L tie")
     for batch, i in ((b0, 0), (b1, 1), (b1, 1)):
