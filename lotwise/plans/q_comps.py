@@ -80,9 +80,9 @@ YEAR_CTE = """y AS (SELECT p.brand_id, p.model_id, p.year, sum(c.cents)::BIGINT
  ly AS (SELECT l.*, n, CASE WHEN n > 0 THEN s / 100.0::DOUBLE / n END AS avg_price FROM l JOIN y USING (brand_id, model_id, year))"""
 
 
-@query("comps_year_window", B.with_l(YEAR_CTE) + "SELECT listing_id, n, round(avg_price, 6) AS avg_price FROM ly")
+@query("comps_year_window", B.with_l(YEAR_CTE) + "SELECT listing_id, n, avg_price FROM ly")
 def comps_year_window(spark, d):
-    return K.comps_year_window(B.listings(spark, d)).select("listing_id", "n", F.round("avg_price", 6).alias("avg_price"))
+    return K.comps_year_window(B.listings(spark, d)).select("listing_id", "n", "avg_price")
 
 
 ENH_CTE = f"""e AS (SELECT p.listing_id, count(*) AS n, sum(c.cents)::BIGINT / 100.0::DOUBLE / count(*) AS avg_price,
@@ -91,10 +91,10 @@ ENH_CTE = f"""e AS (SELECT p.listing_id, count(*) AS n, sum(c.cents)::BIGINT / 1
   AND c.year BETWEEN p.year - 2 AND p.year + 2 AND c.mileage_km BETWEEN {KM} AND c.fuel = p.fuel AND c.gearbox = p.gearbox GROUP BY 1)"""
 
 
-@query("comps_enhanced", B.with_l(ENH_CTE) + "SELECT listing_id, n, round(avg_price, 6) AS avg_price, min_price, max_price FROM e")
+@query("comps_enhanced", B.with_l(ENH_CTE) + "SELECT listing_id, n, avg_price, min_price, max_price FROM e")
 def comps_enhanced(spark, d):
     df = B.listings(spark, d)
-    return K.comps_enhanced(df, df).select("listing_id", "n", F.round("avg_price", 6).alias("avg_price"), "min_price", "max_price")
+    return K.comps_enhanced(df, df).select("listing_id", "n", "avg_price", "min_price", "max_price")
 
 
 ABS_CTE = """ab AS (SELECT p.listing_id, count(c.cents) AS n, sum(c.cents)::BIGINT / 100.0::DOUBLE / nullif(count(c.cents), 0) AS avg_price
@@ -102,10 +102,10 @@ ABS_CTE = """ab AS (SELECT p.listing_id, count(c.cents) AS n, sum(c.cents)::BIGI
   AND c.year BETWEEN p.year - 2 AND p.year + 2 AND c.mileage_km BETWEEN p.mileage_km - 20000 AND p.mileage_km + 20000 GROUP BY 1)"""
 
 
-@query("comps_abs_band", B.with_l(ABS_CTE) + "SELECT listing_id, n, round(avg_price, 6) AS avg_price FROM ab")
+@query("comps_abs_band", B.with_l(ABS_CTE) + "SELECT listing_id, n, avg_price FROM ab")
 def comps_abs_band(spark, d):
     df = B.listings(spark, d)
-    return K.comps_abs_band(df, df).select("listing_id", "n", F.round("avg_price", 6).alias("avg_price"))
+    return K.comps_abs_band(df, df).select("listing_id", "n", "avg_price")
 
 
 MARKET_CTE = f"""mp AS (SELECT p.listing_id, CAST(trunc(c.price_bgn) AS INTEGER) AS ip,

@@ -62,18 +62,18 @@ def trigram_similarity(spark, d):
 
 
 COSINE_CTE = """un AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
- cs AS (SELECT a.vec_id AS listing_id, arg_min(b.vec_id, {'s': -round(list_inner_product(a.v, b.v), 9), 'i': b.vec_id}) AS duplicate_of, round(max(list_inner_product(a.v, b.v)), 6) AS sim
+ cs AS (SELECT a.vec_id AS listing_id, arg_min(b.vec_id, {'s': -round(list_inner_product(a.v, b.v), 9), 'i': b.vec_id}) AS duplicate_of, round(max(list_inner_product(a.v, b.v)), 4) AS sim
   FROM un a JOIN un b ON b.vec_id < a.vec_id AND list_inner_product(a.v, b.v) > %s GROUP BY 1)"""
 
 
 @query("embedding_cosine", "WITH " + COSINE_CTE % 0.85 + "SELECT * FROM cs")
 def embedding_cosine(spark, d):
-    return M.embedding_cosine(B.table(spark, d, "embeddings")).select("listing_id", "duplicate_of", F.round("sim", 6).alias("sim"))
+    return M.embedding_cosine(B.table(spark, d, "embeddings")).select("listing_id", "duplicate_of", F.round("sim", 4).alias("sim"))
 
 
 @query("embedding_cosine_loose", "WITH " + COSINE_CTE % 0.4 + "SELECT * FROM cs")
 def embedding_cosine_loose(spark, d):
-    return M.embedding_cosine(B.table(spark, d, "embeddings"), threshold=0.4).select("listing_id", "duplicate_of", F.round("sim", 6).alias("sim"))
+    return M.embedding_cosine(B.table(spark, d, "embeddings"), threshold=0.4).select("listing_id", "duplicate_of", F.round("sim", 4).alias("sim"))
 
 
 def cascade(spark, d):
