@@ -178,7 +178,7 @@ def embedding_cosine(vecs: DataFrame, threshold: float = 0.85, pivots: int = 32,
                                     "visits": [np.flatnonzero(row).astype("int32").tolist() for row in near]})
 
     placed = vecs.select("vec_id", "embedding").mapInPandas(place, "vec_id bigint, embedding array<float>, home int, visits array<int>")
-    placed = placed.persist()
+    placed = staged(placed, "placed")
     parts = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
     piece = F.pmod(F.hash("vec_id"), F.col("parts"))
     stored = placed.select("vec_id", "embedding", F.col("home").alias("cell")).join(parts, "cell") \

@@ -49,18 +49,18 @@ def stream_tumbling(spark, d):
     return _ntz(out, "start").select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("stream_pipeline", """SELECT event_id, CASE WHEN event_type = 'error' THEN 'medium' ELSE 'low' END AS risk_level, CASE WHEN value * 100 < 5000 THEN 'too_cheap' WHEN value * 100 <= 10000 THEN 'budget'
+@query("stream_stages", """SELECT event_id, CASE WHEN event_type = 'error' THEN 'medium' ELSE 'low' END AS risk_level, CASE WHEN value * 100 < 5000 THEN 'too_cheap' WHEN value * 100 <= 10000 THEN 'budget'
   WHEN value * 100 <= 30000 THEN 'sweet_spot' WHEN value * 100 <= 60000 THEN 'premium' ELSE 'luxury' END AS bracket, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE value * 100 > 500""")
-def stream_pipeline(spark, d):
+def stream_stages(spark, d):
     """Parse the document, read the text for risk, place the price, filter: the batch stages on each micro-batch."""
-    folder = scratch(spark, "pipeline")
+    folder = scratch(spark, "stages")
 
     def stage(batch):
         parsed = A.json_fields(batch, "props", {"k": "int"}).withColumns({
             "title": F.col("event_type"), "description": F.when(F.col("event_type") == "error", "crashed, see notes").otherwise("fine"), "price_bgn": F.col("value") * 100})
         scored = G.risk_keywords(parsed).withColumn("bracket", P.price_bracket(F.col("price_bgn")))
         return scored.filter(H._passes({"price_min": 500.0000001})).select("event_id", "risk_level", "bracket", "k")
-    S.run_batches(stream(spark, d), "pipeline", S.append_once(folder, stage))
+    S.run_batches(stream(spark, d), "stages", S.append_once(folder, stage))
     return spark.read.parquet(folder).select("event_id", "risk_level", "bracket", "k")
 
 
