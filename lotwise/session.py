@@ -1,9 +1,8 @@
 """Session helpers: settings that the operators rely on, and scratch storage."""
-import os
-import tempfile
+import atexit
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "lotwise", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -33,30 +32,58 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_HOMES: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and written tables.
+    """This application's folder for checkpoints and written tables, on storage that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests) a local folder is made and remembered in the session.
+    It lies below ``spark.checkpoint.dir``; where the cluster names none, below
+    ``spark.sql.warehouse.dir``, which is shared too.  The session's settings are
+    left as they are.  The folder goes when the application ends, or by ``sweep``.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+    app = spark.sparkContext.applicationId
+    if app not in _HOMES:
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        _HOMES[app] = f"{root.rstrip('/')}/lotwise-{app}"
+        atexit.register(_end, spark, app)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+        spark.sparkContext.setCheckpointDir(_HOMES[app] + "/checkpoints")
+    return _HOMES[app]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system it is."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all that this application has staged; call it when the results that read it are written."""
+    app = spark.sparkContext.applicationId
+    if app in _HOMES:
+        remove(spark, _HOMES[app])
+        for slot in [slot for slot in _STORED if slot[0] == app]:
+            del _STORED[slot]
+
+
+def _end(spark: SparkSession, app: str) -> None:
+    """At exit: nothing to do where the application has been stopped before."""
+    context = spark.sparkContext
+    if context._jsc is not None and context.applicationId == app:
+        sweep(spark)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the checkpoint root."""
-    return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 _STORED: dict = {}
 
 
-def staged(df, name: str):
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes an intermediate result as a table in the shared folder and reads it back.
 
     Used where a plan needs the same result more than once: it is computed once,
@@ -68,12 +95,16 @@ def staged(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored(spark: SparkSession, key: str, build):
-    """A derived base table, written once per application and read by every later query."""
-    slot = (spark.sparkContext.applicationId, key)
+def stored(spark: SparkSession, key: str, build, source: DataFrame | None = None) -> DataFrame:
+    """A derived base table, written once per application and read by every later query.
+
+    ``source``: its file list becomes part of the key, so a changed input is derived anew.
+    """
+    files = tuple(sorted(source.inputFiles())) if source is not None else ()
+    slot = (spark.sparkContext.applicationId, key, files)
     if slot not in _STORED:
         df = build()
-        path = scratch(spark, key.strip("/").replace("/", "_"))
+        path = scratch(spark, key.strip("/").replace("/", "_").replace(":", "_"))
         df.write.parquet(path)
         _STORED[slot] = (path, df.schema)
     path, schema = _STORED[slot]
