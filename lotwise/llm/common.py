@@ -1,6 +1,10 @@
 """Helpers of the training-data operators: Arrow columns to numpy, and small table reads."""
-from collections.abc import Iterator
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterator
 
+import lotwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,6 +15,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python this package (code only), once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.abspath(lotwise.__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "lotwise_code.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
+def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle width, which the cluster sets to fit its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -184,7 +184,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, n_vocabulary: int,
     ranged = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("tie"))
               .repartitionByRange(shards or common.partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
               .select("doc_id", "text", F.spark_partition_id().alias("shard")))
-    ranged.mapInArrow(lambda it: _encode(it, tokenizer, bits, end_id, block_ids), BLOCKS).write.parquet(path)
+    common.arrow_map(ranged, lambda it: _encode(it, tokenizer, bits, end_id, block_ids), BLOCKS).write.parquet(path)
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +206,7 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.schema(BLOCKS).parquet(path)
     bases = (blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
              .select("shard", (F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base")))
-    found = blocks.select("shard", "start", "n_ids", "bits", "doc_ids", "offsets", "payload").mapInArrow(_entries, ENTRIES)
+    found = common.arrow_map(blocks.select("shard", "start", "n_ids", "bits", "doc_ids", "offsets", "payload"), _entries, ENTRIES)
     return (found.join(bases, "shard")
             .select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", "shard"))
 
