@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators, with production parameters, and their checking SQL."""
 from pyspark.sql import DataFrame, SparkSession
 
-from lotwise.llm import tokens
+from lotwise.llm import decontaminate, tokens
 from lotwise.llm.common import table
 
 QUERIES: dict = {}
@@ -27,3 +27,8 @@ def byte_bpe() -> str:
 @query("op1_token_bits")
 def op1_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_index(table(spark, sf_dir, "documents"), byte_bpe(), 50_257)
+
+
+@query("op5_winnowing")
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
