@@ -1,7 +1,8 @@
 """Registered queries of the training-data operators, with production parameters, and their checking SQL."""
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lotwise.llm import decontaminate, tokens
+from lotwise.llm import decontaminate, simhash, tokens
 from lotwise.llm.common import table
 
 QUERIES: dict = {}
@@ -29,6 +30,12 @@ def op1_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_index(table(spark, sf_dir, "documents"), byte_bpe(), 50_257)
 
 
+@query("op3_simhash_trie")
+def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op5_winnowing")
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
