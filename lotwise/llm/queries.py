@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import decontaminate, simhash, tokens
+from lotwise.llm import decontaminate, mixing, simhash, tokens
 from lotwise.llm.common import table
 
 QUERIES: dict = {}
@@ -39,3 +39,37 @@ def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_winnowing")
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The draws follow the documents' order by an MD5 of the doc_id, source by source.
+MIX_SQL = r"""
+WITH d AS (
+    SELECT doc_id, CAST(source AS VARCHAR) AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+           CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key
+    FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (
+    SELECT *, 3 * CAST(source_size AS DOUBLE) AS cap,
+           CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+    FROM s),
+v AS (
+    SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+              / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM w),
+l AS (SELECT level FROM v WHERE cap > weight * level ORDER BY cap / weight, source IS NULL, source LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN (SELECT count(*) FROM l) = 0 THEN cap ELSE least(cap, weight * (SELECT level FROM l)) END AS target FROM v),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, CAST(floor(target / source_size) AS BIGINT)) ELSE 0 END AS passes FROM t),
+q AS (SELECT *, CAST(round(target - passes * source_size) AS BIGINT) AS rest FROM p),
+r AS (
+    SELECT d.doc_id, d.size, q.source_size, q.target, q.passes, q.rest,
+           coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+    FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (passes + CASE WHEN rest > 0 AND 2 * place + size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r
+"""
+
+
+@query("op7_hypergeometric_mix", MIX_SQL)
+def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
