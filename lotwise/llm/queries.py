@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import decontaminate, mixing, simhash, tokens
+from lotwise.llm import decontaminate, language, mixing, simhash, tokens
 from lotwise.llm.common import table
 
 QUERIES: dict = {}
@@ -36,6 +36,11 @@ def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op4_ecoc_language")
+def op4_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 @query("op5_winnowing")
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
