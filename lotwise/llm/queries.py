@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import decontaminate, language, mixing, neighbours, sharding, simhash, tokens
+from lotwise.llm import decontaminate, html_text, language, mixing, neighbours, sharding, simhash, tokens
 from lotwise.llm.common import table
 
 QUERIES: dict = {}
@@ -85,6 +85,11 @@ def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
 
+@query("op9_line_blocks")
+def op9_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op10_minimax_shards")
 def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents")).drop("tie")
