@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import decontaminate, html_text, language, mixing, neighbours, sharding, simhash, tokens
+from lotwise.llm import decontaminate, html_text, language, link_trust, mixing, neighbours, sharding, simhash, tokens
 from lotwise.llm.common import table
 
 QUERIES: dict = {}
@@ -30,6 +30,48 @@ def op1_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_index(table(spark, sf_dir, "documents"), byte_bpe(), 50_257)
 
 
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+URL_SQL = r"""
+WITH RECURSIVE p AS (
+    SELECT page_id, html, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+    FROM pages),
+rules(verdict, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+links AS (
+    SELECT DISTINCT page_id, url, html, host AS src,
+           translate(unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
+    FROM (SELECT p.*, pages.url FROM p JOIN pages USING (page_id, html))),
+edges AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM links WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+hosts AS (SELECT DISTINCT host, path, 1 AS own FROM p UNION ALL SELECT DISTINCT dst, '/', 0 FROM edges WHERE dst NOT IN (SELECT host FROM p)),
+fit AS (
+    SELECT host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS says
+    FROM (SELECT DISTINCT host, path FROM hosts), rules
+    WHERE (host = rhost OR suffix(host, '.' || rhost)) AND prefix(path, rpath) GROUP BY host, path),
+seeds AS (
+    SELECT host, unnest(['t', 'd']) AS kind, unnest([avg(CASE WHEN says = 'allow' THEN 1.0::DOUBLE ELSE 0.0 END), avg(CASE WHEN says = 'block' THEN 1.0::DOUBLE ELSE 0.0 END)]) AS x
+    FROM (SELECT host, path FROM p WHERE host <> '' UNION ALL SELECT host, path FROM hosts WHERE own = 0) LEFT JOIN fit USING (host, path) GROUP BY host),
+ways AS (SELECT 't' AS kind, src AS a, dst AS b, weight FROM edges UNION ALL SELECT 'd', dst, src, weight FROM edges),
+flow AS (SELECT kind, a, b, 0.85::DOUBLE * weight / sum(weight) OVER (PARTITION BY kind, a) AS share FROM ways),
+rounds(i, kind, host, x) AS (
+    SELECT 0, kind, host, 0.15::DOUBLE * x FROM seeds
+    UNION ALL
+    SELECT i, kind, host, sum(x) FROM (
+        SELECT r.i + 1 AS i, r.kind, f.b AS host, r.x * f.share AS x FROM rounds r JOIN flow f ON r.kind = f.kind AND r.host = f.a WHERE r.i < 20)
+    GROUP BY i, kind, host),
+scores AS (
+    SELECT host, coalesce(sum(x) FILTER (kind = 't'), 0) AS trust, coalesce(sum(x) FILTER (kind = 'd'), 0) AS distrust FROM rounds GROUP BY host)
+SELECT p.page_id, p.host, p.path, fit.rule,
+       coalesce(fit.says, CASE WHEN scores.distrust >= 0.01 AND scores.distrust > scores.trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fit ON p.host = fit.host AND p.path = fit.path LEFT JOIN scores ON p.host = scores.host
+"""
+
+
+@query("op2_link_trust", URL_SQL)
+def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op3_simhash_trie")
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
