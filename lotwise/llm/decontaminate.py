@@ -51,15 +51,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of texts in a row: lower-cased bytes, where each word starts and ends, its hash and its text."""
-
-    def __init__(self, texts: list[bytes | None]):
-        raw = b" ".join(text or b"" for text in texts)
-        low = _LOWER[np.frombuffer(raw, dtype=np.uint8)]
-        inside = np.zeros(len(low) + 2, dtype=bool)
-        inside[1:-1] = _WORD[low]
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        self.start, self.end = edges[::2], edges[1::2]
+    """The words of texts in a row: lower-cased bytes, where each word starts and ends, its hash and its text.
+
+    ``kinds``: the kind of each byte, 0 between words; bytes of one kind in a row are a word.
+    """
+
+    def __init__(self, texts: list[bytes | None], kinds: np.ndarray = _WORD.view(np.uint8), lower: bool = True):
+        raw = np.frombuffer(b" ".join(text or b"" for text in texts), dtype=np.uint8)
+        low = _LOWER[raw] if lower else raw
+        kind = np.zeros(len(low) + 2, dtype=np.uint8)
+        kind[1:-1] = kinds[low]
+        turn = kind[1:] != kind[:-1]
+        self.start, self.end = np.flatnonzero(turn & (kind[1:] != 0)), np.flatnonzero(turn & (kind[:-1] != 0))
         self.low = low.tobytes()
         self.hash = self._hashes(low)
         lengths = np.array([len(text or b"") for text in texts], dtype=np.int64)

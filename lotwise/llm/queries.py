@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import decontaminate, html_text, language, link_trust, mixing, neighbours, sharding, simhash, tokens
+from lotwise.llm import decontaminate, html_text, importance, language, link_trust, mixing, neighbours, sharding, simhash, tokens
 from lotwise.llm.common import table
 
 QUERIES: dict = {}
@@ -117,6 +117,11 @@ FROM r
 """
 
 
+@query("op6_importance_resampling")
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op7_hypergeometric_mix", MIX_SQL)
 def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

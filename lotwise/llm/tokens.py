@@ -44,7 +44,7 @@ ENTRY_ARROW = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("start"
 CUT = "\x01"
 SOLID = r"[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 JOINABLE = f"^[ \n]{SOLID}+$"
-KEPT_CHUNKS = 600_000
+KEPT_CHUNKS = 300_000
 LONG_CHUNK = 64
 
 
@@ -156,7 +156,7 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, bits: int, end_id
         return out
 
     for whole in batches:
-        for batch in common.slices(whole, 1, 8 << 20):
+        for batch in common.slices(whole, 1, 4 << 20):
             flat, sizes = encode(batch.column(1))
             ends = np.cumsum(sizes)
             flat = np.insert(flat, ends, end_id)  # the end id after each document
