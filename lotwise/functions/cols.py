@@ -62,7 +62,7 @@ def compact(*items: Column) -> Column:
 
 
 def hours_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("SECOND", start, end) / F.lit(3600.0)
+    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(3.6e9)
 
 
 def discount(price: Column, market: Column) -> Column:

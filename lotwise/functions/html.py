@@ -1,7 +1,7 @@
 """HTML helpers as Column expressions.
 
-Pages are read with regular expressions, not a DOM: an element ends at the first
-closing tag of its own name, attributes are double-quoted.
+Pages are read with regular expressions, not a DOM; attributes are double-quoted.
+Elements found by class end at their own closing tag, whatever they hold.
 """
 import re
 
@@ -34,15 +34,50 @@ def _class_test(names) -> str:
     return r'class="(?:[^"]*\s)?(?:' + "|".join(re.escape(n) for n in names) + r')(?:\s[^"]*)?"'
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def class_blocks(html: Column, *names: str) -> Column:
-    """Inner markup of every element that has one of the classes."""
-    return all_of(html, rf"(?s)<(\w+)[^>]*{_class_test(names)}[^>]*>(.*?)</\1>", 2)
+    """Inner markup of every element that has one of the classes, nested elements included.
+
+    The page is cut before every tag; from an opening tag on, tags of the same name
+    are counted up and down until its own closing tag, or the end of the page.
+    """
+    opening = rf"^<\w+[^>]*{_class_test(names)}[^>]*>"
+
+    def inner(page: Column, i: Column) -> Column:
+        parts, tags = page["parts"], page["tags"]
+        rest = F.slice(tags, i, F.size(tags))
+        name = F.get(tags, i - 1)
+
+        def step(s: Column, tag: Column) -> Column:
+            depth = s["depth"] + F.when(tag == name, 1).when(tag == F.concat(F.lit("/"), name), -1).otherwise(0)
+            return F.when(s["depth"] == 0, s).otherwise(F.struct(depth.alias("depth"), (s["n"] + 1).alias("n")))
+        # the opening tag is counted beforehand
+        walked = F.aggregate(F.slice(rest, 2, F.size(rest)), F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")), step)
+        kept = _bound(walked, lambda w: F.array_join(F.slice(parts, i, F.when(w["depth"] == 0, w["n"]).otherwise(w["n"] + 1)), ""))
+        return F.regexp_replace(kept, r"^<[^>]*>", "")
+
+    def blocks(page: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.size(page["parts"])), lambda i: F.regexp_like(F.get(page["parts"], i - 1), F.lit(opening)))
+        return F.transform(places, lambda i: inner(page, i))
+
+    pages = _bound(F.split(html, "(?=<)"), lambda parts: F.struct(parts.alias("parts"), F.transform(parts, lambda p: F.regexp_extract(p, r"^<(/?\w+)", 1)).alias("tags")))
+    none = F.array().cast("array<string>")
+    return F.when(html.rlike(_class_test(names)), _bound(pages, blocks)).otherwise(F.when(html.isNotNull(), none))
 
 
 def class_text(html: Column, *names: str) -> Column:
     return plain(F.try_element_at(class_blocks(html, *names), F.lit(1)))
 
 
+def first_text(html: Column, *names: str) -> Column:
+    """The first piece of text of the first element that has one of the classes, up to its first tag."""
+    return plain(F.regexp_extract(F.try_element_at(class_blocks(html, *names), F.lit(1)), "^([^<]*)", 1))
+
+
 def tag_text(html: Column, tag: str) -> Column:
     return plain(found(html, rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"))
 

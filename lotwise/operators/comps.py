@@ -95,7 +95,7 @@ def nearest_comps(keys: DataFrame, table: DataFrame, as_of: Column, p: CompsPara
     in_band = ~has(8) | F.col("km").between((F.col("km_k") * p.low).cast("int"), (F.col("km_k") * p.high).cast("int"))
     near = asking.join(numbered, [*GROUP, "y", "block"]).filter(
         F.col("pos").between(F.col("at") - p.limit + 1, F.col("at") + p.limit) & in_band)
-    far = F.when(has(4), F.abs(F.col("y") - F.col("year_k"))).otherwise(0).cast("bigint") * 10_000_000
+    far = F.when(has(4), F.abs(F.col("y") - F.col("year_k"))).otherwise(0).cast("bigint") * (1 << 33)
     near = near.select(*KEY, "y", "km", "n", (far + F.abs(F.col("km") - F.col("km_k"))).alias("dist"))
     before = Window.partitionBy(*KEY).orderBy("dist").rangeBetween(Window.unboundedPreceding, -1)
     needed = near.withColumn("seen", F.coalesce(F.sum("n").over(before), F.lit(0))) \
@@ -309,7 +309,7 @@ def price_drops(observations: DataFrame, min_gap_seconds: int = 3600) -> DataFra
     prev = day.withColumn("before", F.lag(F.struct("seen_at", "tie", "price")).over(order)) \
         .join(carried, ["listing_id", "day"]).withColumn("before", F.coalesce("before", "carry")) \
         .withColumns({"prev_price": F.col("before.price"), "prev_at": F.col("before.seen_at")})
-    gap = F.timestamp_diff("SECOND", F.col("prev_at"), F.col("seen_at"))
-    return prev.filter((gap > min_gap_seconds) & (F.col("price") != F.col("prev_price"))).withColumns({
+    gap = F.timestamp_diff("MICROSECOND", F.col("prev_at"), F.col("seen_at"))
+    return prev.filter((gap > min_gap_seconds * 1_000_000) & (F.col("price") != F.col("prev_price"))).withColumns({
         "pct": F.try_divide(F.col("price") - F.col("prev_price"), F.col("prev_price")) * 100,
         "is_drop": F.col("price") < F.col("prev_price")}).drop("day", "before", "carry")

@@ -152,7 +152,7 @@ def listing_detail(df: DataFrame) -> DataFrame:
         "site_ad_id": H.found(F.col("url"), r"/obiava-(\d+)"),
         "title": F.coalesce(H.tag_text(html, "h1"), F.lit("")),
         "price_text": F.array_join(F.transform(H.class_blocks(html, "Price"), lambda b: H.plain(b, " ")), " "),
-        "phone_text": H.class_text(html, "phone"), "text": H.class_text(html, "description", "adDescription"),
+        "phone_text": H.class_text(html, "phone"), "text": H.first_text(html, "description", "adDescription"),
         "place": H.class_text(html, "region", "location")}).filter("site_ad_id is not null")
     first = first.withColumn("title", F.when(F.col("title") != "", F.col("title")).otherwise(
         F.coalesce(C.text(H.class_text(html, "adTitle", "title")), H.tag_text(html, "title"), F.lit(""))))
@@ -262,7 +262,7 @@ def listing_detail_2(df: DataFrame) -> DataFrame:
     month = "(?:" + "|".join(R.MONTHS) + ")"
     srcs = F.transform(H.all_of(html, "<img[^>]*>", 0), lambda t: F.coalesce(H.attribute(t, "src"), F.lit("")))
     shown = F.filter(srcs, lambda s: F.contains(s, F.lit("cars.bg")) & F.contains(s, F.lit("/2")) & F.contains(s, F.lit("http")))
-    rest = F.array_join(F.filter(F.transform(F.slice("copies", 2, 1000), lambda b: H.plain(b)), lambda t: t != ""), " ")
+    rest = F.array_join(F.filter(F.transform(F.slice("copies", F.lit(2), F.size("copies")), lambda b: H.plain(b)), lambda t: t != ""), " ")
     return shared.withColumns({
         "listing_hash": F.md5(F.concat(F.lit("cars_bg_"), "site_ad_id")), "model": F.when(c("brand").isNotNull(), c("model")),
         "price": F.coalesce("bgn1", "eur1", "bgn2", "eur2"),

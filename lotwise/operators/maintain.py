@@ -13,20 +13,22 @@ AD = ["source", "site_ad_id"]
 def upsert_listings(current: DataFrame, seen: DataFrame) -> DataFrame:
     """current[source, site_ad_id, url, parsed_data, first_seen_at, last_seen_at, is_active] x sightings.
 
-    A known ad gets its url, last_seen_at and is_active from the newest sighting
-    and keeps first_seen_at and parsed_data; an unknown ad starts with its first
-    sighting.  Sightings shrink to one row per ad before the join.
+    A known ad gets its url, last_seen_at and is_active from the newest sighting,
+    unless the stored row is newer; its first_seen_at only moves back, and it keeps
+    its parsed_data.  An unknown ad starts with its first sighting.  Sightings
+    shrink to one row per ad before the join, and may come in any order.
     """
     tie = ("seen_at", "url")
     newest = seen.groupBy(*AD).agg(
         F.max(F.struct(*tie, "is_active")).alias("new"), F.min(F.struct(*tie, "parsed_data")).alias("start"))
     both = current.join(newest, AD, "full_outer")
+    later = F.col("new").isNotNull() & (F.col("last_seen_at").isNull() | (F.col("new.seen_at") >= F.col("last_seen_at")))
     return both.select(
-        *AD, F.coalesce("new.url", "url").alias("url"),
+        *AD, F.when(later, F.coalesce("new.url", "url")).otherwise(F.col("url")).alias("url"),
         F.when(F.col("first_seen_at").isNull(), F.col("start.parsed_data")).otherwise(F.col("parsed_data")).alias("parsed_data"),
-        F.coalesce("first_seen_at", "start.seen_at").alias("first_seen_at"),
-        F.coalesce("new.seen_at", "last_seen_at").alias("last_seen_at"),
-        F.when(F.col("new").isNotNull(), F.coalesce("new.is_active", F.lit(True))).otherwise(F.col("is_active")).alias("is_active"))
+        F.least("first_seen_at", "start.seen_at").alias("first_seen_at"),
+        F.greatest("new.seen_at", "last_seen_at").alias("last_seen_at"),
+        F.when(later, F.coalesce("new.is_active", F.lit(True))).otherwise(F.col("is_active")).alias("is_active"))
 
 
 def new_listings(seen: DataFrame, known: DataFrame, key: str = "site_ad_id") -> DataFrame:
@@ -114,7 +116,9 @@ def source_dispatch(raw: DataFrame, pages: DataFrame) -> DataFrame:
     docs = docs.withColumns({
         "model": F.when(second, F.coalesce("model_base", "model")).otherwise(F.col("model")),
         "fuel": F.when(second, F.coalesce(C.text(F.col("fuel")), F.initcap("engine_type"))).otherwise(F.col("fuel"))})
-    page = X.page_fields(pages.join(known.select("raw_id", "url"), "raw_id")).select(
+    # only pages that will be used are fetched and parsed
+    asked = known.filter((F.col("source") == "mobile_bg") & F.col("parsed_data").isNull())
+    page = X.page_fields(pages.join(asked.select("raw_id", "url"), "raw_id")).select(
         "raw_id", F.struct(F.col("brand").alias("brand"), F.col("model").alias("model"), F.col("year").alias("year"), F.col("mileage_km").alias("mileage_km"),
                            F.col("price").cast("double").alias("price"), F.col("currency").alias("currency"), F.col("fuel_raw").alias("fuel"),
                            F.col("gearbox_raw").alias("gearbox"), F.col("region").alias("region"), F.col("page_title").alias("title"),

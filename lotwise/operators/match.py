@@ -55,32 +55,26 @@ SELLER_KEYS = ["seller_id", "brand_id", "model_id"]
 PRICE_LEVELS = 10  # widest block: 4^10 cents
 
 
-def seller_price_dups(df: DataFrame, pair_limit: int = 256) -> DataFrame:
+def seller_price_dups(df: DataFrame) -> DataFrame:
     """Newest earlier listing of the same seller, brand and model within 10 % of the price.
 
-    Groups of at most ``pair_limit`` rows compare their own rows.  Larger groups
-    look the answer up in aligned price blocks by a running maximum of
-    (created_at, id), so their cost stays linear in their rows.
+    A listing without a price is not held to one: the newest earlier listing counts.
+    The answer is looked up in aligned price blocks by a running maximum of
+    (created_at, id), so the cost is linear in the rows of a group; the block that
+    holds everything answers listings without a price.
     """
-    usable = df.dropna(subset=SELLER_KEYS + ["cents"]).filter(~F.coalesce("is_duplicate", F.lit(False))) \
-        .select(*SELLER_KEYS, "listing_id", "created_at", "cents",
-                F.expr("(cents * 9 + 9) div 10").alias("lo"), F.expr("(cents * 11) div 10").alias("hi"))
+    usable = df.dropna(subset=SELLER_KEYS).filter(~F.coalesce("is_duplicate", F.lit(False))) \
+        .select(*SELLER_KEYS, "listing_id", "created_at", C.present(F.col("cents")).alias("cents"))
     sizes = usable.groupBy(*SELLER_KEYS).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    sized = usable.join(sizes, SELLER_KEYS)
-    return _by_pairs(sized.filter(F.col("size") <= pair_limit)).unionByName(_by_blocks(sized.filter(F.col("size") > pair_limit)))
-
-
-def _by_pairs(df: DataFrame) -> DataFrame:
-    other = df.select(*SELLER_KEYS, F.col("cents").alias("o_cents"), F.struct(*WHEN).alias("o"))
-    near = df.join(other, SELLER_KEYS).filter((F.col("o") < F.struct(*WHEN)) & F.col("o_cents").between(F.col("lo"), F.col("hi")))
-    return near.groupBy("listing_id").agg(F.max("o").alias("o")).select("listing_id", F.col("o.listing_id").alias("duplicate_of"))
-
-
-def _by_blocks(df: DataFrame) -> DataFrame:
+    df = usable.join(sizes, SELLER_KEYS).withColumns({"lo": F.expr("(cents * 9 + 9) div 10"), "hi": F.expr("(cents * 11) div 10")})
     keys = [*SELLER_KEYS, "level", "block"]
     mark = F.struct(*WHEN).alias("at")
-    stored = df.select(*SELLER_KEYS, mark, F.explode(blocks_holding(F.col("cents"), PRICE_LEVELS)).alias("b"), F.lit(0).alias("ask"))
-    asked = df.select(*SELLER_KEYS, mark, F.explode(blocks_covering(F.col("lo"), F.col("hi"), PRICE_LEVELS)).alias("b"), F.lit(1).alias("ask"))
+    every = F.array(F.struct(F.lit(PRICE_LEVELS + 1).alias("level"), F.lit(0).cast("bigint").alias("block")))
+    free = F.col("cents").isNull()
+    held = F.when(free, every).otherwise(F.concat(blocks_holding(F.col("cents"), PRICE_LEVELS), every))
+    wanted = F.when(free, every).otherwise(blocks_covering(F.col("lo"), F.col("hi"), PRICE_LEVELS))
+    stored = df.select(*SELLER_KEYS, mark, F.explode(held).alias("b"), F.lit(0).alias("ask"))
+    asked = df.select(*SELLER_KEYS, mark, F.explode(wanted).alias("b"), F.lit(1).alias("ask"))
     events = stored.unionByName(asked).select(*SELLER_KEYS, "b.level", "b.block", "at", "ask").withColumn("day", F.to_date("at.created_at"))
     seen = F.when(F.col("ask") == 0, F.col("at"))
     # inside a day by order of time; the days before by the running maximum of the daily maxima

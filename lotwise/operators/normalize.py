@@ -21,7 +21,7 @@ def alias_dictionary(mappings: DataFrame) -> DataFrame:
     keys = mappings.filter("active").select(
         F.lower("brand").alias("brand_key"), "normalized_brand", "normalized_model", "ord",
         F.posexplode(F.concat(F.array("model"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias_pos", "model_key"),
-    ).withColumns({"model_key": F.lower("model_key"), "place": F.col("ord") * 1000 + F.col("alias_pos")})
+    ).withColumns({"model_key": F.lower("model_key"), "place": F.struct("ord", "alias_pos")})
     return keys.groupBy("brand_key", "model_key").agg(
         F.max_by("normalized_brand", "place").alias("norm_brand"), F.max_by("normalized_model", "place").alias("norm_model"),
         F.min("place").alias("ord"))

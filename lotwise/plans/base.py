@@ -64,7 +64,7 @@ def as_of(*_) -> Column:
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``L`` as a stored table: written once per application, then scanned with pruned columns."""
     S.tune(spark)
-    return S.stored(spark, f"{sf_dir}/listings", lambda: listings_view(spark, sf_dir))
+    return S.stored(spark, f"{sf_dir}/listings", lambda: listings_view(spark, sf_dir), table(spark, sf_dir, "lineitem"))
 
 
 def listings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,8 +252,8 @@ def pages_first(df: DataFrame) -> DataFrame:
     ld = F.regexp_replace(ld, '"images":', '"image":')
     img = lambda *parts: F.concat(lit('<img src="'), *parts, lit('">'))
     id_ = c("listing_id").cast("string")
-    gallery = F.concat(lit('<div class="pic big">'), img(lit("//cdn.example/"), id_, lit("_Small.jpg")), img(lit("//cdn.example/"), id_, lit("_Small.jpg")),
-                       img(lit("/photo/"), id_, lit("_Thumb.jpg")), lit('<img data-src="https://cdn.example/x.png">'), img(lit("/no-image.png")), lit("</div>"))
+    gallery = F.concat(lit('<div class="pic big"><div class="frame">'), img(lit("//cdn.example/"), id_, lit("_Small.jpg")), img(lit("//cdn.example/"), id_, lit("_Small.jpg")),
+                       lit('</div><div><div>'), img(lit("/photo/"), id_, lit("_Thumb.jpg")), lit('</div></div><img data-src="https://cdn.example/x.png">'), img(lit("/no-image.png")), lit("</div>"))
     rows = F.concat(
         F.when(c("gearbox") == "automatic", F.concat(td("Марка", c("make")), td("Модел", c("model_raw")))).otherwise(""),
         td("Пробег", F.concat(spaced(c("mileage_km")), lit(" км"))), td("Гориво", c("fuel_raw")), td("Скоростна кутия", c("gearbox_raw")),
@@ -266,7 +266,7 @@ def pages_first(df: DataFrame) -> DataFrame:
         F.when(c("fuel") != "hybrid", F.concat(lit('<script type="application/ld+json">'), ld, lit("</script>"))).otherwise(""),
         lit("</head><body><h1>"), c("title"), lit('</h1><div class="Price">'), price, lit("</div>"),
         F.when(gone, "<p>Обявата е изтрита или не е активна</p>").otherwise(""),
-        lit("<table>"), rows, lit('</table><div class="description">'), c("description"), lit("</div>"), gallery,
+        lit("<table>"), rows, lit('</table><div class="description">'), F.replace("description", lit(" "), lit(" <div></div>")), lit("</div>"), gallery,
         lit('<span class="phone">0888'), c("seller_id").cast("string"), lit('</span><div class="sellerName">Seller '), c("seller_id").cast("string"),
         lit('</div><div class="location">'), c("region"), lit("</div></body></html>"))
     url = F.when(c("priority") == "5-LOW", F.concat(lit("https://www.mobile.bg/ad/"), id_)).otherwise(

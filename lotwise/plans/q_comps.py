@@ -152,7 +152,7 @@ def segment_slope(spark, d):
 @query("price_drops", """SELECT user_id AS listing_id, event_id, round(pct, 6) AS pct, is_drop FROM (
   SELECT *, (value - prev) / nullif(prev, 0) * 100 AS pct, value < prev AS is_drop FROM (
    SELECT *, lag(value) OVER w AS prev, lag(ts) OVER w AS prev_ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-  WHERE epoch_us(ts) - epoch_us(prev_ts) >= 3601000000 AND value <> prev)""")
+  WHERE epoch_us(ts) - epoch_us(prev_ts) > 3600000000 AND value <> prev)""")
 def price_drops(spark, d):
     seen = B.table(spark, d, "events").select(F.col("user_id").alias("listing_id"), F.col("ts").alias("seen_at"), F.col("value").alias("price"),
                                               F.col("event_id").alias("tie"))

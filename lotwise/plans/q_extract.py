@@ -98,7 +98,7 @@ def model_string_split(spark, d):
 
 
 @query("listing_detail", B.with_l() + f"""SELECT listing_id AS page_id, '17' || lpad(CAST(listing_id AS VARCHAR), 15, '0') AS site_ad_id, title, make AS brand, {TWO_WORDS % ('title', 2, 3)} AS model,
-  {WHOLE} AS price, currency, year, mileage_km, fuel, gearbox, trim(description) AS description, region, sha256('0888' || seller_id) AS phone_hash,
+  {WHOLE} AS price, currency, year, mileage_km, fuel, gearbox, split_part(description, ' ', 1) AS description, region, sha256('0888' || seller_id) AS phone_hash,
   '//cdn.example/' || listing_id || '_Small.jpg|//cdn.example/' || listing_id || '_Small.jpg|/photo/' || listing_id || '_Thumb.jpg|/no-image.png' AS images FROM l WHERE NOT {LOW} AND NOT {GONE}""")
 def listing_detail(spark, d):
     return X.listing_detail(first(spark, d)).select(

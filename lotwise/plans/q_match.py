@@ -55,36 +55,60 @@ def image_url_dups(spark, d):
     return M.image_url_dups(image_rows(B.listings(spark, d)))
 
 
-@query("trigram_similarity")
+# distinct trigram sets; two sets above 0.8 share one of the first trigrams in order of rarity
+TRIGRAM_CTE = f"""tg AS (SELECT listing_id, created_at, list_sort(list_distinct(flatten(list_transform(list_filter(string_split_regex(lower(sig), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''),
+   lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))) AS grams, length(sig) >= 10 AS fit FROM (SELECT listing_id, created_at, {SIG} AS sig FROM l)),
+ ts AS (SELECT row_number() OVER () AS k, * FROM (SELECT grams, len(grams) AS size, min((created_at, listing_id)) AS first FROM tg WHERE len(grams) > 0 GROUP BY grams)),
+ tu AS (SELECT k, size, unnest(grams) AS g FROM ts), tf AS (SELECT g, count(*) AS df FROM tu GROUP BY g),
+ tp AS (SELECT k, size, g FROM (SELECT k, size, g, row_number() OVER (PARTITION BY k ORDER BY df, g) AS rn FROM tu JOIN tf USING (g)) WHERE rn <= size - ceil(size * 0.8 - 1e-9) + 1),
+ tn AS (SELECT DISTINCT a.k, b.k AS o FROM tp a JOIN tp b USING (g) WHERE a.k <> b.k AND least(a.size, b.size) > greatest(a.size, b.size) * 0.8),
+ tm AS (SELECT a.first, b.first AS o, c / (a.size + b.size - c)::DOUBLE AS sim FROM (SELECT tn.k, tn.o, len(list_intersect(a.grams, b.grams)) AS c FROM tn JOIN ts a ON a.k = tn.k JOIN ts b ON b.k = tn.o WHERE b.first < a.first) x
+   JOIN ts a ON a.k = x.k JOIN ts b ON b.k = x.o WHERE c > 0.8 * (a.size + b.size - c)),
+ tx AS (SELECT listing_id, CASE WHEN (created_at, listing_id) > ts.first THEN ts.first[2] ELSE near.o[2] END AS duplicate_of, CASE WHEN (created_at, listing_id) > ts.first THEN 1.0 ELSE near.sim END::DOUBLE AS sim
+   FROM tg JOIN ts USING (grams) LEFT JOIN (SELECT first, arg_min(o, (-sim, o)) AS o, max(sim) AS sim FROM tm GROUP BY first) near ON near.first = (created_at, listing_id)
+   WHERE fit AND ((created_at, listing_id) > ts.first OR near.o IS NOT NULL))"""
+
+
+@query("trigram_similarity", B.with_l(TRIGRAM_CTE) + "SELECT listing_id, duplicate_of, round(sim, 6) AS sim FROM tx")
 def trigram_similarity(spark, d):
-    sigs = M.dedupe_signature(B.listings(spark, d)).select("listing_id", "created_at", "signature")
-    return M.trigram_similarity(sigs).select("listing_id", "duplicate_of", F.round("sim", 6).alias("sim"))
+    return trigram_links(B.listings(spark, d)).select("listing_id", "duplicate_of", F.round("sim", 6).alias("sim"))
 
 
-COSINE_CTE = """un AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
+def trigram_links(df):
+    return M.trigram_similarity(M.dedupe_signature(df).select("listing_id", "created_at", "signature"))
+
+
+# every tenth vector comes a second time, with its first component moved by a tenth
+COSINE_CTE = """em AS (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings UNION ALL
+  SELECT vec_id + 1000000000, list_prepend(CAST(CAST(embedding[1] * 1.1::DOUBLE AS FLOAT) AS DOUBLE), embedding[2:]::DOUBLE[]) FROM embeddings WHERE vec_id %% 10 = 0), un AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM em),
  cs AS (SELECT a.vec_id AS listing_id, arg_min(b.vec_id, {'s': -round(list_inner_product(a.v, b.v), 9), 'i': b.vec_id}) AS duplicate_of, round(max(list_inner_product(a.v, b.v)), 4) AS sim
   FROM un a JOIN un b ON b.vec_id < a.vec_id AND list_inner_product(a.v, b.v) > %s GROUP BY 1)"""
 
 
+def vectors(spark, d):
+    own = B.table(spark, d, "embeddings").select("vec_id", "embedding")
+    moved = F.concat(F.array((F.element_at("embedding", 1).cast("double") * 1.1).cast("float")), F.slice("embedding", F.lit(2), F.size("embedding") - 1))
+    return own.unionByName(own.filter("vec_id % 10 = 0").select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), moved.alias("embedding")))
+
+
 @query("embedding_cosine", "WITH " + COSINE_CTE % 0.85 + "SELECT * FROM cs")
 def embedding_cosine(spark, d):
-    return M.embedding_cosine(B.table(spark, d, "embeddings")).select("listing_id", "duplicate_of", F.round("sim", 4).alias("sim"))
+    return M.embedding_cosine(vectors(spark, d)).select("listing_id", "duplicate_of", F.round("sim", 4).alias("sim"))
 
 
 @query("embedding_cosine_loose", "WITH " + COSINE_CTE % 0.4 + "SELECT * FROM cs")
 def embedding_cosine_loose(spark, d):
-    return M.embedding_cosine(B.table(spark, d, "embeddings"), threshold=0.4).select("listing_id", "duplicate_of", F.round("sim", 4).alias("sim"))
+    return M.embedding_cosine(vectors(spark, d), threshold=0.4).select("listing_id", "duplicate_of", F.round("sim", 4).alias("sim"))
 
 
 def cascade(spark, d):
     df = B.listings(spark, d)
-    same = M.first_of_value(M.dedupe_signature(df), ["signature"])
-    return M.dedupe_cascade({"seller": M.seller_price_dups(dealers(df)), "image": M.image_url_dups(image_rows(df)), "text": same})
+    return M.dedupe_cascade({"seller": M.seller_price_dups(dealers(df)), "image": M.image_url_dups(image_rows(df)), "text": trigram_links(df)})
 
 
 CASCADE_CTES = (SELLER_CTE, IMG_CTE, """im AS (SELECT listing_id, arg_min(owner, index) AS duplicate_of FROM (SELECT a.listing_id, a.index, a.created_at,
   first_value(listing_id) OVER (PARTITION BY source, url ORDER BY created_at, listing_id) AS owner FROM img a) WHERE index < 3 AND owner <> listing_id GROUP BY 1)""",
-                f"""tx AS (SELECT listing_id, first AS duplicate_of FROM (SELECT listing_id, first_value(listing_id) OVER (PARTITION BY {SIG} ORDER BY created_at, listing_id) AS first FROM l) WHERE first <> listing_id)""",
+                TRIGRAM_CTE,
                 """cc AS (SELECT listing_id, coalesce(sd.duplicate_of, im.duplicate_of, tx.duplicate_of) AS duplicate_of, CASE WHEN sd.duplicate_of IS NOT NULL THEN 'heuristic' WHEN im.duplicate_of IS NOT NULL THEN 'image' ELSE 'heuristic' END AS method,
   CASE WHEN sd.duplicate_of IS NOT NULL THEN 0.95 WHEN im.duplicate_of IS NOT NULL THEN 0.90 ELSE 0.75 END::DOUBLE AS score FROM sd FULL JOIN im USING (listing_id) FULL JOIN tx USING (listing_id))""")
 

@@ -8,6 +8,7 @@ from lotwise.plans import base as B
 from lotwise.plans.q_score import _list
 from lotwise.plans.q_select import HOLE_CTE, MINED_CTE, _holes, worklist
 from lotwise.plans.registry import query
+from lotwise.session import scratch
 from lotwise.sources import io as IO
 
 D = "::DOUBLE"
@@ -26,10 +27,11 @@ def _mappings(spark, d):
     """Seed dictionary plus the dictionary rows mined from the listings' own make and model spelling."""
     seed = IO.seed(spark, "brand_models")
     mined = B.listings(spark, d).groupBy("make", "model_id").agg(F.count(F.lit(1)).alias("c")).filter("c >= 2").select(
-        (F.lit(1000) + F.pmod(F.hash("make", "model_id"), F.lit(1000000))).cast("int").alias("ord"), F.col("make").alias("brand"), F.col("model_id").alias("model"),
+        F.struct(F.lit(1).alias("list"), F.lit(0).alias("at"), F.col("make").alias("a"), F.col("model_id").alias("b")).alias("ord"), F.col("make").alias("brand"), F.col("model_id").alias("model"),
         F.lower("make").alias("normalized_brand"), F.col("model_id").alias("normalized_model"),
         F.array(F.replace("model_id", F.lit("-"), F.lit(" "))).alias("aliases"), F.lit(True).alias("active"))
-    return seed.unionByName(mined)
+    first = F.struct(F.lit(0).alias("list"), F.col("ord").alias("at"), F.lit("").alias("a"), F.lit("").alias("b"))
+    return seed.withColumn("ord", first).unionByName(mined)
 
 
 SEED_ROWS = ", ".join(f"({i}, '{b}', '{m}', '{nb}', '{nm}', {_list(al)})" for i, (b, m, nb, nm, al) in enumerate(R.BRAND_MODELS))
@@ -145,8 +147,8 @@ def stored_raw(spark, d):
 
 @query("upsert_listings", B.with_l(B.R_CTE, SEEN_CTE, """g AS (SELECT site_ad_id, max({'a': seen_at, 'b': url, 'c': is_active}) AS x, min({'a': seen_at, 'b': url, 'c': parsed_data}) AS f FROM sg GROUP BY 1)""",
                                    "o AS (SELECT * FROM r WHERE source = 'mobile_bg')")
-       + """SELECT site_ad_id, coalesce(x.b, o.url) AS url, o.first_seen_at IS NULL AS is_new, coalesce(o.first_seen_at, f.a) AS first_seen_at, coalesce(x.a, o.last_seen_at) AS last_seen_at,
-  CASE WHEN x IS NOT NULL THEN x.c ELSE o.is_active END AS is_active, CASE WHEN o.first_seen_at IS NULL THEN f.c END AS new_doc FROM o FULL JOIN g USING (site_ad_id)""")
+       + """SELECT site_ad_id, CASE WHEN o.last_seen_at IS NULL OR x.a >= o.last_seen_at THEN x.b ELSE o.url END AS url, o.first_seen_at IS NULL AS is_new, least(o.first_seen_at, f.a) AS first_seen_at,
+  greatest(x.a, o.last_seen_at) AS last_seen_at, CASE WHEN o.last_seen_at IS NULL OR x.a >= o.last_seen_at THEN x.c ELSE o.is_active END AS is_active, CASE WHEN o.first_seen_at IS NULL THEN f.c END AS new_doc FROM o FULL JOIN g USING (site_ad_id)""")
 def upsert_listings(spark, d):
     out = A.upsert_listings(stored_raw(spark, d), sightings(spark, d))
     fresh = F.get_json_object("parsed_data", "$.qty").isNotNull()
@@ -244,9 +246,31 @@ def json_fields(spark, d):
     return A.json_fields(B.raw(B.listings(spark, d)), "parsed_data", A.DOC_FIELDS).select("raw_id", "brand", "model", "year", "price", "mileage_km")
 
 
-@query("table_scan", "SELECT doc_id, lang, source, n_chars FROM documents WHERE n_chars > 500")
+@query("table_scan", B.with_l() + "SELECT CAST(listing_id AS VARCHAR) AS listing_id, CAST(price_bgn AS DECIMAL(10,2))::DOUBLE AS price_bgn, created_at AS seen_at FROM l")
 def table_scan(spark, d):
-    return B.table(spark, d, "documents").filter("n_chars > 500").select("doc_id", "lang", "source", "n_chars")
+    folder = scratch(spark, "tables")
+    ident = F.col("listing_id").cast("string")
+    rows = B.listings(spark, d).select(ident.alias("id"), ident.alias("listing_id"), F.col("price_bgn").cast("decimal(10,2)").alias("price_bgn"), F.col("created_at").alias("seen_at"))
+    rows.write.parquet(f"{folder}/prices_history")
+    return IO.table_scan(spark, folder, "prices_history").select("listing_id", F.col("price_bgn").cast("double").alias("price_bgn"), "seen_at")
+
+
+# observations come in two appends, partitioned by year
+@query("append_log", B.with_l() + "SELECT year(created_at) AS seen_year, count(*) AS n, count(DISTINCT listing_id) AS ids FROM l GROUP BY 1")
+def append_log(spark, d):
+    path = scratch(spark, "log")
+    rows = B.listings(spark, d).select("listing_id", "price_bgn", F.year("created_at").alias("seen_year"))
+    IO.append(rows.filter("listing_id % 2 = 0"), path, ["seen_year"])
+    IO.append(rows.filter("listing_id % 2 = 1"), path, ["seen_year"])
+    return spark.read.parquet(path).groupBy(F.col("seen_year").cast("bigint").alias("seen_year")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("listing_id").alias("ids"))
+
+
+# seed rows as they are, next to the listings that use them
+@query("seed_tables", B.with_l() + f"""SELECT s.brand, s.model, count(l.listing_id) AS listings FROM (VALUES {', '.join(f"('{b}', '{m}')" for b, m, *_ in R.BRAND_MODELS)}) s(brand, model)
+  LEFT JOIN l ON lower(s.brand) = l.brand_id GROUP BY ALL""")
+def seed_tables(spark, d):
+    seed = IO.seed(spark, "brand_models").select("brand", "model", F.lower("brand").alias("brand_id"))
+    return seed.join(B.listings(spark, d).select("brand_id", "listing_id"), "brand_id", "left").groupBy("brand", "model").agg(F.count("listing_id").alias("listings"))
 
 
 @query("config_explode", B.with_l() + """SELECT make AS owner, type, model, estimated FROM (
@@ -258,4 +282,6 @@ def config_explode(spark, d):
     lists = w.groupBy("brand").agg(F.collect_list(item).alias("s"))
     old = F.length("brand") % 2 == 0
     docs = lists.select(F.col("brand").alias("owner"), F.when(old, F.to_json(F.struct(F.col("s").alias("search_urls")))).otherwise(F.to_json(F.struct(F.col("s").alias("searches")))).alias("value"))
-    return IO.config_rows(docs).select("owner", "type", "model", "estimated")
+    path = scratch(spark, "configs")
+    docs.write.partitionBy("owner").text(path)
+    return IO.config_explode(spark, path).select("owner", "type", "model", "estimated")

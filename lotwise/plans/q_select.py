@@ -7,6 +7,7 @@ from lotwise.plans import base as B
 from lotwise.plans.q_comps import ESTIMATE_CTES, YEAR_CTE
 from lotwise.plans.q_score import MONITOR_CTE
 from lotwise.plans.registry import query
+from lotwise.session import scratch
 from lotwise.sources import io as IO
 
 AT = B.AS_OF_SQL
@@ -268,7 +269,11 @@ def log_summary(spark, d):
         .when(kind == "error", F.when(value > 60, "ERROR Traceback (most recent call last)").otherwise("ERROR timeout")) \
         .when(kind == "purchase", F.concat(F.lit("Score: "), F.floor(value / 10).cast("string"), F.lit(".0/10"))).otherwise("INFO start")
     lines = B.table(spark, d, "events").select(F.concat(F.lit("worker_"), (F.col("user_id") % 4 + 1).cast("string"), F.lit(".log")).alias("file"), "ts", line.alias("line"))
-    return J.log_summary(lines, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), hours=240)
+    path = scratch(spark, "logs")
+    stamped = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), "line")
+    lines.select("file", stamped.alias("value")).write.partitionBy("file").text(path)
+    # the folder tells the worker; a cluster's workers write one file each
+    return J.log_summary(IO.log_lines(spark, path), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), hours=240)
 
 
 @query("distinct_ids", "SELECT event_type, count(DISTINCT user_id) AS ids FROM events GROUP BY 1")

@@ -1,9 +1,7 @@
 """Registered queries: streaming jobs over the events table, run with ``availableNow``."""
-import os
-
 from pyspark.sql import functions as F
 
-from lotwise.operators import flags as G, maintain as A, score as P, select as H
+from lotwise.operators import flags as G, maintain as A, score as P
 from lotwise.plans import base as B
 from lotwise.plans.registry import query
 from lotwise.session import scratch
@@ -25,21 +23,19 @@ def _ntz(df, *cols):
 @query("stream_intake", """SELECT CAST(user_id AS VARCHAR) AS site_ad_id, min(ts) AS first_seen_at, max(ts) AS last_seen_at, arg_max('https://ads.example/' || user_id || '/' || event_type, {'t': ts, 'u': event_type}) AS url
   FROM events GROUP BY user_id""")
 def stream_intake(spark, d):
-    schema = "source string, site_ad_id string, url string, parsed_data string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, is_active boolean"
     ad = F.col("user_id").cast("string")
-
     seen = stream(spark, d).select(
-        F.lit("mobile_bg").alias("source"), ad.alias("site_ad_id"), F.concat(F.lit("https://ads.example/"), ad, F.lit("/"), "event_type").alias("url"),
-        F.col("props").alias("parsed_data"), F.col("ts").cast("timestamp_ntz").alias("seen_at"), (F.col("event_type") != "error").alias("is_active"))
-    table = S.BucketedState(scratch(spark, "intake"), schema, "site_ad_id")
-    S.run_batches(seen, "intake", S.upsert_into(table, A.upsert_listings))
-    return table.current(spark).select("site_ad_id", "first_seen_at", "last_seen_at", "url")
+        "ts", F.lit("mobile_bg").alias("source"), ad.alias("site_ad_id"), F.concat(F.lit("https://ads.example/"), ad, F.lit("/"), "event_type").alias("url"),
+        F.col("props").alias("parsed_data"), (F.col("event_type") != "error").alias("is_active"))
+    table = S.newest_versions(S.run_available(S.intake(seen), "intake"))
+    return _ntz(table, "first_seen_at", "last_seen_at").select("site_ad_id", "first_seen_at", "last_seen_at", "url")
 
 
-@query("stream_dedupe", "SELECT user_id, event_type, count(*) > 0 AS seen FROM events GROUP BY 1, 2")
+# in one batch a key comes out once: its rows lie within the watermark of the batch
+@query("stream_dedupe", "SELECT user_id, event_type, count(DISTINCT user_id) AS emitted FROM events GROUP BY 1, 2")
 def stream_dedupe(spark, d):
     firsts = S.dedupe(stream(spark, d).select("ts", "user_id", "event_type"), ["user_id", "event_type"])
-    return S.run_available(firsts, "dedupe").groupBy("user_id", "event_type").agg((F.count(F.lit(1)) > 0).alias("seen"))
+    return S.run_available(firsts, "dedupe").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("emitted"))
 
 
 @query("stream_tumbling", f"""SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events
@@ -59,22 +55,32 @@ def stream_stages(spark, d):
         parsed = A.json_fields(batch, "props", {"k": "int"}).withColumns({
             "title": F.col("event_type"), "description": F.when(F.col("event_type") == "error", "crashed, see notes").otherwise("fine"), "price_bgn": F.col("value") * 100})
         scored = G.risk_keywords(parsed).withColumn("bracket", P.price_bracket(F.col("price_bgn")))
-        return scored.filter(H._passes({"price_min": 500.0000001})).select("event_id", "risk_level", "bracket", "k")
+        return scored.filter("price_bgn > 500").select("event_id", "risk_level", "bracket", "k")
     S.run_batches(stream(spark, d), "stages", S.append_once(folder, stage))
     return spark.read.parquet(folder).select("event_id", "risk_level", "bracket", "k")
 
 
-@query("stream_price_change", """SELECT user_id AS listing_id, event_id, round((value - prev) / nullif(prev, 0) * 100, 6) AS pct FROM (SELECT *, lag(value) OVER w AS prev, lag(ts) OVER w AS prev_ts FROM events
-  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE epoch_us(ts) - epoch_us(prev_ts) >= 3601000000 AND value <> prev""")
+@query("stream_price_change", f"""SELECT user_id AS listing_id, event_id, round((value - prev) / nullif(prev, 0) * 100, 6) AS pct FROM (SELECT *, lag(value) OVER w AS prev, lag(ts) OVER w AS prev_ts FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE epoch_us(ts) - epoch_us(prev_ts) > 3600000000 AND value <> prev AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= {CLOSED}""")
 def stream_price_change(spark, d):
-    folder = scratch(spark, "prices")
-    seen = stream(spark, d).select(F.col("user_id").alias("listing_id"), F.col("ts").alias("seen_at"), F.col("value").alias("price"), F.col("event_id").alias("tie"))
-    state = S.BucketedState(os.path.join(folder, "state"), S.PRICE_STATE, "listing_id")
-    S.run_batches(seen, "prices", S.price_changes(state, os.path.join(folder, "out")))
-    out = spark.read.parquet(os.path.join(folder, "out"))
+    seen = stream(spark, d).select("ts", F.col("user_id").alias("listing_id"), F.col("value").alias("price"), F.col("event_id").alias("tie"))
+    out = S.run_available(S.price_changes(seen), "prices")
     return out.select("listing_id", F.col("tie").alias("event_id"), F.round("pct", 6).alias("pct"))
 
 
+# every batch is handed to the job twice, as after a failure; its rows are stored once
+@query("stream_retry", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1")
+def stream_retry(spark, d):
+    folder = scratch(spark, "retry")
+    body = S.append_once(folder, lambda batch: batch.select("event_id", "event_type"))
+
+    def again(batch, batch_id):
+        body(batch, batch_id)
+        body(batch, batch_id)
+    S.run_batches(stream(spark, d), "retry", again)
+    return spark.read.parquet(folder).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
+
+
 @query("stream_sessions", f"""SELECT user_id, min(ts) AS first_seen, max(ts) + INTERVAL 6 HOUR AS gone_at, count(*) AS sightings FROM (SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) > 21600000000 THEN 1 ELSE 0 END)
   OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sess FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY user_id, sess HAVING max(ts) + INTERVAL 6 HOUR <= {CLOSED}""")
 def stream_sessions(spark, d):

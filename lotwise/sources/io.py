@@ -41,13 +41,17 @@ def table_scan(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def page_scan(spark: SparkSession, rows: DataFrame, files: str | None = None) -> DataFrame:
-    """rows[page_id, url, html(, path)]: the page from the column, else from the file at ``path`` below ``files``."""
+    """rows[page_id, url, html(, path)]: the page from the column, else from the file at ``path`` below ``files``.
+
+    Files lie on any file system; paths are compared without scheme and host.
+    """
+    plain = lambda path: F.regexp_replace(path, "^[a-z][a-z0-9+.-]*:(?://[^/]*)?", "")
     if files is None:
         return rows.select("page_id", "url", "html")
     texts = spark.read.option("recursiveFileLookup", "true").text(files, wholetext=True) \
-        .select(F.col("value"), F.regexp_replace(F.input_file_name(), "^file:/+", "/").alias("file"))
+        .select(F.col("value"), plain(F.input_file_name()).alias("file"))
     at = F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(F.lit(files.rstrip("/") + "/"), "path"))
-    return rows.withColumn("file", at).join(texts, "file", "left").select("page_id", "url", F.coalesce("html", "value").alias("html"))
+    return rows.withColumn("file", plain(at)).join(texts, "file", "left").select("page_id", "url", F.coalesce("html", "value").alias("html"))
 
 
 CONFIG_SCHEMA = (
@@ -74,9 +78,14 @@ def watch_config(spark: SparkSession, path: str) -> list[dict]:
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Log files as [file, ts, line]; the time is the leading stamp of the line."""
-    return spark.read.text(path).select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"),
+    """Log files as [file, ts, line]; the time is the leading stamp of the line.
+
+    A log in parts, ``file=name/part``, has the name of its folder.
+    """
+    lines = spark.read.text(path)
+    name = F.col("file") if "file" in lines.columns else F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
+    return lines.select(
+        name.alias("file"),
         F.regexp_extract("value", r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)", 1).try_cast("timestamp_ntz").alias("ts"),
         F.col("value").alias("line"))
 

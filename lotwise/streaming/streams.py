@@ -1,6 +1,7 @@
 """Structured Streaming jobs: intake, repeat-sighting filter, windows, sessions, keyed state.
 
-Event time is ``ts``; rows more than two hours late are dropped by the watermark.
+Event time is ``ts``; windowed and keyed jobs hold their state for rows up to two hours
+late, stateless ``foreachBatch`` jobs take every row.
 Every function maps a streaming DataFrame to a streaming DataFrame, or is a
 ``foreachBatch`` body that can be run again for the same batch id.
 """
@@ -9,12 +10,10 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lotwise.operators.comps import price_drops
-from lotwise.session import scratch, staged
+from lotwise.session import scratch
 
 LATE = "2 hours"
 
@@ -69,12 +68,13 @@ def batch_sessions(events: DataFrame, gap_seconds: int = 21600) -> DataFrame:
 
 # --- keyed state -------------------------------------------------------------------------
 class Capped(StatefulProcessor):
-    """Passes the first rows of a (key, period): a counter of what the period already sent."""
+    """Passes the first rows of a (key, period): a counter of what the period already sent, dropped after the period."""
 
-    def __init__(self, cap: int):
-        self.cap = cap
+    def __init__(self, cap: int, period_ms: int):
+        self.cap, self.period_ms = cap, period_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.sent = handle.getValueState("sent", "n bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
@@ -85,133 +85,178 @@ class Capped(StatefulProcessor):
             both = chunk if best is None else pd.concat([best, chunk])
             best = both.sort_values(["at", "event_id"]).head(max(self.cap - used, 0))
         self.sent.update((used + len(best),))
+        # the watermark trails by the lateness, so no row of the period comes after this
+        self.handle.registerTimer(int(key[1]) + self.period_ms)
         yield best[["user_id", "event_id", "at"]].astype("int64")
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.sent.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
 class Delayed(StatefulProcessor):
-    """Holds a row for the plan's delay and releases it by an event-time timer."""
+    """Holds a row for the plan's delay and releases it by an event-time timer; waiting rows are kept by the time they are due."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "event_id bigint, at bigint, due bigint")
+        self.waiting = handle.getMapState("waiting", "due bigint", "event_ids array<bigint>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         for chunk in rows:
-            for event_id, at, delay in chunk[["event_id", "at", "delay_minutes"]].itertuples(index=False):
-                due = int(at) // 1000 + int(delay) * 60_000
-                self.waiting.appendValue((int(event_id), int(at), due))
-                self.handle.registerTimer(due)
+            due = chunk["at"] // 1000 + chunk["delay_minutes"] * 60_000
+            for at, ids in chunk["event_id"].groupby(due):
+                place, before = (int(at),), []
+                if self.waiting.containsKey(place):
+                    before = list(self.waiting.getValue(place)[0])
+                self.waiting.updateValue(place, (before + [int(i) for i in ids],))
+                self.handle.registerTimer(int(at))
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        rows = [tuple(r) for r in self.waiting.get()]
-        ready, later = [r for r in rows if r[2] <= now], [r for r in rows if r[2] > now]
-        if later:
-            self.waiting.put(later)
-        else:
-            self.waiting.clear()
-        yield pd.DataFrame({"user_id": [int(key[0])] * len(ready), "event_id": [r[0] for r in ready], "due": [r[2] for r in ready]}).astype("int64")
+        now = int(expiredTimerInfo.getExpiryTimeInMs())
+        ids = list(self.waiting.getValue((now,))[0]) if self.waiting.containsKey((now,)) else []
+        self.waiting.removeKey((now,))
+        yield pd.DataFrame({"user_id": [int(key[0])] * len(ids), "event_id": ids, "due": [now] * len(ids)}).astype("int64")
 
     def close(self) -> None:
         pass
 
 
-def _with_micros(events: DataFrame) -> DataFrame:
-    return events.withColumn("at", F.unix_micros("ts"))
+INTAKE = "source string, site_ad_id string, url string, parsed_data string, first_at bigint, last_at bigint, is_active boolean, version bigint"
 
 
-def use_state_store(spark: SparkSession) -> None:
-    """Keyed processors need the RocksDB state store: state spills to disk and is checkpointed."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+class Intake(StatefulProcessor):
+    """The stored row of an ad; every batch that sees the ad emits its new state. Sightings may come in any order."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.row = handle.getValueState("row", "url string, parsed_data string, first_at bigint, last_at bigint, is_active boolean, version bigint")
 
-def capped(events: DataFrame, cap: int, period: str) -> DataFrame:
-    """At most ``cap`` rows per user and period."""
-    return _with_micros(events).withColumn("period", F.date_trunc(period, "ts")).groupBy("user_id", "period").transformWithStateInPandas(
-        Capped(cap), "user_id bigint, event_id bigint, at bigint", "Append", "None")
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        url = document = first = last = active = None
+        version = 0
+        if self.row.exists():
+            url, document, first, last, active, version = self.row.get()
+        for chunk in rows:
+            ordered = chunk.sort_values(["at", "url"])
+            oldest, newest = ordered.iloc[0], ordered.iloc[-1]
+            if first is None or oldest["at"] < first:
+                document = oldest["parsed_data"] if first is None or version == 0 else document
+                first = int(oldest["at"])
+            if last is None or (newest["at"], newest["url"]) >= (last, url):
+                url, last = newest["url"], int(newest["at"])
+                active = True if pd.isna(newest["is_active"]) else bool(newest["is_active"])
+        self.row.update((url, document, first, last, active, version + 1))
+        yield pd.DataFrame([(key[0], key[1], url, document, first, last, active, version + 1)],
+                           columns=["source", "site_ad_id", "url", "parsed_data", "first_at", "last_at", "is_active", "version"])
+
+    def close(self) -> None:
+        pass
 
 
-PARTS = 64  # a busy user's waiting rows are spread over this many state keys
+HOUR_US = 3_600_000_000
+CHANGES = "listing_id bigint, at bigint, tie bigint, prev_price double, price double, pct double"
 
 
-def delayed(events: DataFrame) -> DataFrame:
-    """events with delay_minutes: each row leaves once event time passed its own time plus the delay.
+class PriceChanges(StatefulProcessor):
+    """Changes against the previous observation, in event-time order.
 
-    Rows wait independently of each other, so the state key carries a part number.
+    Observations wait by the hour until the watermark has passed it, so late and
+    unordered ones within the watermark give what the batch job gives; later
+    ones are dropped.
     """
-    part = F.pmod(F.hash("event_id"), F.lit(PARTS))
-    return _with_micros(events).withColumn("part", part).groupBy("user_id", "part").transformWithStateInPandas(
-        Delayed(), "user_id bigint, event_id bigint, due bigint", "Append", "EventTime")
 
+    def __init__(self, min_gap_us: int):
+        self.min_gap_us = min_gap_us
 
-# --- micro-batch jobs -----------------------------------------------------------------------
-class BucketedState:
-    """A keyed table for ``foreachBatch`` jobs, in ``bucket=b/version=n`` folders.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at bigint, price double")
+        self.hours = handle.getMapState("hours", "hour bigint", "at array<bigint>, tie array<bigint>, price array<double>")
 
-    A batch reads the newest version of the buckets it touches that is older than
-    its own id and writes those buckets as its own version.  Other buckets are
-    neither read nor written, and a repeated batch finds the same state and writes
-    the same folders again.
-    """
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        passed = int(timerValues.getCurrentWatermarkInMs())
+        for chunk in rows:
+            for hour, part in chunk.groupby(chunk["at"] // HOUR_US):
+                end = (int(hour) + 1) * HOUR_US // 1000
+                if end <= passed:
+                    continue
+                held = tuple(list(c) for c in self.hours.getValue((int(hour),))) if self.hours.containsKey((int(hour),)) else ([], [], [])
+                fresh = ([int(v) for v in part["at"]], [int(v) for v in part["tie"]], [float(v) for v in part["price"]])
+                self.hours.updateValue((int(hour),), tuple(a + b for a, b in zip(held, fresh)))
+                self.handle.registerTimer(end)
+        return iter([])
 
-    def __init__(self, folder: str, schema: str, key: str, buckets: int = 16):
-        self.folder, self.schema, self.key, self.buckets = folder, schema, key, buckets
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        hour = (int(expiredTimerInfo.getExpiryTimeInMs()) * 1000) // HOUR_US - 1
+        found = []
+        if self.hours.containsKey((hour,)):
+            seen = sorted(zip(*self.hours.getValue((hour,))))
+            before = self.last.get() if self.last.exists() else None
+            for at, tie, price in seen:
+                if before is not None and at - before[0] > self.min_gap_us and price != before[1]:
+                    found.append((int(key[0]), at, tie, before[1], price, (price - before[1]) / before[1] * 100 if before[1] else None))
+                before = (at, price)
+            self.last.update(before)
+            self.hours.removeKey((hour,))
+        yield pd.DataFrame(found, columns=["listing_id", "at", "tie", "prev_price", "price", "pct"]).astype(
+            {"listing_id": "int64", "at": "int64", "tie": "int64", "prev_price": "float64", "price": "float64", "pct": "float64"})
 
-    def _bucket(self):
-        return F.pmod(F.hash(F.col(self.key).cast("string")), F.lit(self.buckets)).cast("int")
+    def close(self) -> None:
+        pass
 
-    def _versions(self, session: SparkSession) -> DataFrame:
-        try:
-            return session.read.schema(f"{self.schema}, bucket int, version bigint").parquet(self.folder)
-        except AnalysisException:  # nothing written yet
-            return session.createDataFrame([], f"{self.schema}, bucket int, version bigint")
 
-    def before(self, batch: DataFrame, batch_id: int) -> DataFrame:
-        """The stored rows of the buckets that the batch touches."""
-        touched = [r[0] for r in batch.select(self._bucket().alias("b")).distinct().collect()]  # at most ``buckets`` numbers
-        old = self._versions(batch.sparkSession).filter(F.col("bucket").isin(touched) & (F.col("version") < batch_id))
-        newest = old.groupBy("bucket").agg(F.max("version").alias("version"))
-        return old.join(newest, ["bucket", "version"], "left_semi").drop("bucket", "version")
+def _with_micros(events: DataFrame) -> DataFrame:
+    return events.withColumn("at", F.unix_micros("ts"))
 
-    def write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.withColumns({"bucket": self._bucket(), "version": F.lit(batch_id).cast("bigint")}).write.mode("overwrite") \
-            .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(self.folder)
 
-    def current(self, session: SparkSession) -> DataFrame:
-        rows = self._versions(session)
-        newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
-        return rows.join(newest, ["bucket", "version"], "left_semi").drop("bucket", "version")
+def use_state_store(spark: SparkSession) -> None:
+    """Keyed processors need the RocksDB state store: state spills to disk and is checkpointed."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def upsert_into(state: BucketedState, merge):
-    """``foreachBatch`` body: merges the batch into the stored table."""
-    def body(batch: DataFrame, batch_id: int) -> None:
-        state.write(staged(merge(state.before(batch, batch_id), batch), "upsert"), batch_id)
-    return body
+PERIODS_MS = {"hour": 3_600_000, "day": 86_400_000, "month": 31 * 86_400_000}
+
+
+def capped(events: DataFrame, cap: int, period: str) -> DataFrame:
+    """At most ``cap`` rows per user and period (hour, day or month)."""
+    start = (F.unix_micros(F.date_trunc(period, "ts")) / 1000).cast("bigint")
+    return _with_micros(events).withColumn("period", start).groupBy("user_id", "period").transformWithStateInPandas(
+        Capped(cap, PERIODS_MS[period]), "user_id bigint, event_id bigint, at bigint", "Append", "EventTime")
+
+
+def intake(sightings: DataFrame) -> DataFrame:
+    """sightings[ts, source, site_ad_id, url, parsed_data, is_active]: a log of stored rows, one per ad and batch."""
+    return _with_micros(sightings).groupBy("source", "site_ad_id").transformWithStateInPandas(Intake(), INTAKE, "Append", "None")
 
 
-PRICE_STATE = "listing_id bigint, seen_at timestamp, price double, tie bigint"
+def newest_versions(log: DataFrame) -> DataFrame:
+    """The stored table that an intake log amounts to."""
+    top = log.groupBy("source", "site_ad_id").agg(F.max(F.struct("version", "url", "parsed_data", "first_at", "last_at", "is_active")).alias("x")).select("source", "site_ad_id", "x.*")
+    return top.withColumns({"first_seen_at": F.timestamp_micros("first_at"), "last_seen_at": F.timestamp_micros("last_at")}).drop("first_at", "last_at", "version")
 
 
-def price_changes(state: BucketedState, out: str):
-    """``foreachBatch`` body: changes against the last stored price of each listing.
+def price_changes(observations: DataFrame, min_gap_seconds: int = 3600) -> DataFrame:
+    """observations[ts, listing_id, price, tie]: changes against the previous observation, once the watermark has passed their hour."""
+    return _with_micros(observations).groupBy("listing_id").transformWithStateInPandas(PriceChanges(min_gap_seconds * 1_000_000), CHANGES, "Append", "EventTime")
 
-    The batch rule runs on stored plus new observations, so a listing with a
-    third of the batch is spread over its days like in the batch job.
+
+PARTS = 64  # a busy user's waiting rows are spread over this many state keys
+
+
+def delayed(events: DataFrame) -> DataFrame:
+    """events with delay_minutes: each row leaves once event time passed its own time plus the delay.
+
+    Rows wait independently of each other, so the state key carries a part number.
     """
-    def body(batch: DataFrame, batch_id: int) -> None:
-        both = staged(state.before(batch, batch_id).withColumn("stored", F.lit(True)).unionByName(batch.withColumn("stored", F.lit(False))), "prices")
-        price_drops(both).filter("not stored").select("listing_id", "seen_at", "tie", "prev_price", "price", "pct") \
-            .write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
-        newest = both.groupBy("listing_id").agg(F.max(F.struct("seen_at", "tie", "price")).alias("x"))
-        state.write(newest.select("listing_id", "x.seen_at", "x.price", "x.tie"), batch_id)
-    return body
+    part = F.pmod(F.hash("event_id"), F.lit(PARTS))
+    return _with_micros(events).withColumn("part", part).groupBy("user_id", "part").transformWithStateInPandas(
+        Delayed(), "user_id bigint, event_id bigint, due bigint", "Append", "EventTime")
 
 
+# --- micro-batch jobs -----------------------------------------------------------------------
 def append_once(path: str, stage):
     """``foreachBatch`` body: runs a DataFrame stage on the batch into a folder of its own batch id."""
     def body(batch: DataFrame, batch_id: int) -> None:

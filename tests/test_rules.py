@@ -84,6 +84,34 @@ def test_eligibility_cap_holds_inside_a_batch(spark):
     assert {r.reason for r in out if r.alert_id == 2} == {"no plan"} and {r.reason for r in out if r.alert_id == 3} == {"too fresh"}
 
 
+def test_eligibility_takes_caps_from_the_plans(spark):
+    rows = spark.sql("select 1 as alert_id, id as listing_id, timestamp_ntz'2025-01-01 00:00:00' + make_dt_interval(0,0,cast(id as int)) as created_at from range(2500)")
+    plans = spark.sql("select 'Big' plan, named_struct('max_alerts', 1, 'delay_minutes', 0, 'daily_alert_cap', 2000) limits")
+    sent = spark.createDataFrame([(1, 10)], "alert_id int, sent bigint")
+    out = A.alert_eligibility(rows, spark.createDataFrame([(1, "Big")], "alert_id int, plan string"), sent, plans, F.lit("2026-01-01 12:00:00").cast("timestamp_ntz"))
+    assert sorted(r.listing_id for r in out.filter("notify").collect()) == list(range(1990))
+
+
+def test_many_aliases_keep_their_entry(spark):
+    rows = [(0, "B", "M", "first", "x", [f"a{i}" for i in range(1500)], True), (1, "B", "N", "second", "y", ["a1400"], True)]
+    table = spark.createDataFrame(rows, "ord int, brand string, model string, normalized_brand string, normalized_model string, aliases array<string>, active boolean")
+    got = {r.model_key: r.norm_brand for r in N.alias_dictionary(table).collect()}
+    assert got["a1499"] == "first" and got["a1400"] == "second" and len(got) == 1502
+
+
+def test_long_pages_and_nested_elements(spark):
+    copies = "".join(f'<div class="text-copy">block {i}</div>' for i in range(1200))
+    page = f"<html><head><title>t</title></head><body>{copies}</body></html>"
+    df = spark.createDataFrame([(1, "https://www.cars.bg/offer/ab", page)], "page_id long, url string, html string")
+    assert X.listing_detail_2(df).first().description.endswith("block 1199")
+    nested = ('<div class="pic"><div><img src="/a_Small.jpg"></div><div><div><img src="/b.jpg"></div></div></div><div class="description">one<div><div class="x">two</div></div> three</div>'
+              '<div class="phone">1<span>2</span></div><p class="sellerName">open')
+    row = X.images(X.class_fields(spark.createDataFrame([(1, "u", nested), (2, "u", None), (3, "u", "")], "page_id long, url string, html string"))).orderBy("page_id").collect()
+    assert row[0].images == ["https://www.mobile.bg/a.jpg", "https://www.mobile.bg/b.jpg"]
+    assert (row[0].description, row[0].phone, row[0].seller) == ("onetwo three", "12", "open")
+    assert row[1].description is None and row[2].description is None
+
+
 @pytest.mark.parametrize("text,base,kind,size,trim", [
     ("308 HDI/USB/NAVI", "308", "diesel", None, "USB/NAVI"), ("C 220 CDI", "C 220", "diesel", None, None), ("320d xDrive", "320d xDrive", "diesel", None, "xDrive"),
     ("Astra 1.6 CDTI", "Astra 1.6", "diesel", 1.6, None), ("Octavia 150 к.с.", "Octavia 150 к.с.", "petrol", None, None)])

@@ -1,4 +1,5 @@
 """Files in and out, and streaming state across batches."""
+import datetime
 import json
 
 from pyspark.sql import functions as F
@@ -60,22 +61,51 @@ def _two_batches(spark, tmp_path):
     return ev, rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "40 days")
 
 
-def test_price_state_survives_batches(spark, tmp_path):
-    ev, stream = _two_batches(spark, tmp_path)
-    shape = lambda df: df.select(F.col("user_id").alias("listing_id"), F.col("ts").cast("timestamp").alias("seen_at"), F.col("value").alias("price"), F.col("event_id").alias("tie"))
-    S.run_batches(shape(stream), "t-prices", S.price_changes(S.BucketedState(str(tmp_path / "p" / "state"), S.PRICE_STATE, "listing_id"), str(tmp_path / "p" / "out")))
-    got = {(r.listing_id, r.tie, r.prev_price) for r in spark.read.parquet(str(tmp_path / "p" / "out")).collect()}
-    want = {(r.listing_id, r.tie, r.prev_price) for r in K.price_drops(shape(ev)).collect()}
-    assert got == want and len(spark.read.parquet(str(tmp_path / "p" / "out")).select("batch").distinct().collect()) == 2
+def _late_batches(spark, tmp_path):
+    """Three files, by time but with a tenth of the rows an hour late; watermark of two hours."""
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    late = F.col("event_id") % 10 == 0
+    at = F.when(late, F.col("ts") + F.expr("interval 1 hour")).otherwise(F.col("ts"))
+    days = [F.lit(f"2024-01-{d} 00:00:00").cast("timestamp_ntz") for d in (10, 20)]
+    for cond in (at < days[0], (at >= days[0]) & (at < days[1]), at >= days[1]):
+        ev.filter(cond).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    return ev, rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 hours")
+
+
+def test_price_changes_with_late_rows_equal_batch(spark, tmp_path):
+    ev, stream = _late_batches(spark, tmp_path)
+    S.use_state_store(spark)
+    rows = stream.select("ts", F.col("user_id").alias("listing_id"), F.col("value").alias("price"), F.col("event_id").alias("tie"))
+    got = {(r.listing_id, r.tie, r.prev_price) for r in S.run_available(S.price_changes(rows), "t-prices").collect()}
+    closed = ev.agg(F.max("ts")).first()[0] - datetime.timedelta(hours=2)
+    batch = ev.select(F.col("user_id").alias("listing_id"), F.col("ts").alias("seen_at"), F.col("value").alias("price"), F.col("event_id").alias("tie"))
+    want = {(r.listing_id, r.tie, r.prev_price) for r in K.price_drops(batch).collect() if r.seen_at.replace(minute=0, second=0, microsecond=0) + datetime.timedelta(hours=1) <= closed}
+    assert got == want and len(want) > 500
+
+
+def test_intake_with_late_rows_equals_batch(spark, tmp_path):
+    ev, stream = _late_batches(spark, tmp_path)
+    S.use_state_store(spark)
+    shape = lambda df: df.select("ts", F.lit("s").alias("source"), F.col("user_id").cast("string").alias("site_ad_id"), F.concat(F.lit("u"), "event_id").alias("url"), F.col("props").alias("parsed_data"), (F.col("value") > 50).alias("is_active"))
+    got = {r.site_ad_id: (r.url, r.is_active, r.first_seen_at, r.last_seen_at) for r in S.newest_versions(S.run_available(S.intake(shape(stream)), "t-intake")).collect()}
+    none = spark.createDataFrame([], "source string, site_ad_id string, url string, parsed_data string, first_seen_at timestamp, last_seen_at timestamp, is_active boolean")
+    seen = shape(ev).withColumn("seen_at", F.col("ts").cast("timestamp"))
+    assert got == {r.site_ad_id: (r.url, r.is_active, r.first_seen_at, r.last_seen_at) for r in A.upsert_listings(none, seen).collect()}
+
+
+def test_late_sighting_moves_only_the_start(spark):
+    cur = spark.sql("select 's' source, '1' site_ad_id, 'old' url, 'doc' parsed_data, timestamp_ntz'2025-02-01 00:00:00' first_seen_at, timestamp_ntz'2025-02-01 00:00:00' last_seen_at, true is_active")
+    seen = spark.sql("select 's' source, '1' site_ad_id, 'u' url, 'new' parsed_data, timestamp_ntz'2025-01-01 00:00:00' seen_at, false is_active")
+    row = A.upsert_listings(cur, seen).first()
+    assert (row.url, row.is_active, row.first_seen_at.month, row.last_seen_at.month) == ("old", True, 1, 2)
 
 
 def test_repeated_batch_changes_nothing(spark, tmp_path):
-    body = S.price_changes(S.BucketedState(str(tmp_path / "q" / "state"), S.PRICE_STATE, "listing_id"), str(tmp_path / "q" / "out"))
-    b0 = spark.sql("select 1L listing_id, timestamp'2025-01-01 00:00:00' seen_at, 10D price, 1L tie")
-    b1 = spark.sql("select 1L listing_id, timestamp'2025-01-02 00:00:00' seen_at, 8D price, 2L tie")
-    for batch, i in ((b0, 0), (b1, 1), (b1, 1)):
-        body(batch, i)
-    assert [(r.tie, r.prev_price) for r in spark.read.parquet(str(tmp_path / "q" / "out")).collect()] == [(2, 10.0)]
+    body = S.append_once(str(tmp_path / "q"), lambda batch: batch)
+    for i in (0, 1, 1):
+        body(spark.range(3), i)
+    assert spark.read.parquet(str(tmp_path / "q")).count() == 6
 
 
 def test_caps_hold_across_batches(spark, tmp_path):
