@@ -77,7 +77,7 @@ class Encoder:
     """Encodes text columns with a tokenizer file.
 
     With a byte-level tokenizer, texts are cut into chunks, and each distinct chunk is
-    encoded once; a bounded number of short ones is kept for later batches.  Any other
+    encoded once; the first short ones, up to a bound, are kept for later batches.  Any other
     tokenizer encodes whole texts.
     """
 
@@ -112,21 +112,20 @@ class Encoder:
         cut = pc.replace_substring_regex(texts, r"([a-z])([.,])", rf"\1{CUT}\2")
         cut = pc.split_pattern(pc.replace_substring_regex(cut, f"({SOLID})([ \n])", rf"\1{CUT}\2"), CUT)
         coded = cut.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        missing = [i for i, name in enumerate(names) if name not in self.kept]
+        names, kept = coded.dictionary.to_pylist(), self.kept
+        parts = [kept.get(name) for name in names]
+        missing = [i for i, part in enumerate(parts) if part is None]
         if missing:
-            if len(self.kept) > KEPT_CHUNKS:
-                self.kept = {}
-                missing = range(len(names))
             fits = pc.match_substring_regex(coded.dictionary, JOINABLE).to_pylist()
+            room = KEPT_CHUNKS - len(kept)
             for rows, encode in (([i for i in missing if fits[i]], self.joined), ([i for i in missing if not fits[i]], self.whole)):
                 for at in range(0, len(rows), 2_000):
-                    some = [names[i] for i in rows[at: at + 2_000]]
-                    self.kept.update(zip(some, encode(some)))
-        parts = [self.kept[name] for name in names]
-        for name in names:
-            if len(name) > LONG_CHUNK:
-                del self.kept[name]
+                    some = rows[at: at + 2_000]
+                    for i, part in zip(some, encode([names[i] for i in some])):
+                        parts[i] = part
+                        if room > 0 and len(names[i]) <= LONG_CHUNK:
+                            kept[names[i]] = part
+                            room -= 1
         sizes = np.array([len(part) // 4 for part in parts], dtype=np.int64)
         flat, at = np.frombuffer(b"".join(parts), dtype="<u4"), coded.indices.to_numpy()
         each = sizes[at]
