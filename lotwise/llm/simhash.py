@@ -13,8 +13,13 @@ so Spark deals the fingerprints out by rotation and first part, and each task wa
 subtries.  A pair of nodes whose leaves must all be linked is linked at once; pairs of nodes
 that are known to be connected are dropped.  Tasks return a spanning forest of their links,
 never all pairs.
+
+``drop_near_duplicates`` keeps one document of each group of near copies.  Its fingerprints
+are of the set of a text's words, which near copies change least, with a wider budget; links
+are confirmed inside the tasks by a one-permutation MinHash sketch of the texts' five-word
+shingles, whose estimate of their Jaccard similarity must reach ``SIMILAR``.
 """
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,8 @@ CHUNK = 20_000
 #: Node pairs that are walked down at once.
 PAIRS = 1 << 18
 _SOME = 8192
+#: Of the deduplication: differing bits of candidates, words of a shingle, similarity of near copies, and bins of a sketch.
+WIDE_BUDGET, SKETCH_SHINGLE, SIMILAR, BINS = 6, 5, 0.8, 512
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -51,6 +58,45 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def _hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, joined by spaces; of all words if there are fewer."""
+    row = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    n = max(1, len(words) - shingle + 1)
+    starts, hashed = np.concatenate([[0], ends[:-1] + 1])[:n].tolist(), xxhash.xxh64_intdigest
+    return np.array([hashed(row[a:b], seed) for a, b in zip(starts, ends[min(shingle, len(words)) - 1:].tolist())], dtype="<u8")
+
+
+def word_mark(text: bytes | None) -> int:
+    """SimHash of the set of a text's words; 0 without words."""
+    words = sorted(set((text or b"").lower().split()))
+    if not words:
+        return 0
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(words), _SOME):
+        some = np.array([xxhash.xxh64_intdigest(word, SEED) for word in words[at: at + _SOME]], dtype="<u8")
+        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(words), bitorder="little").view("<u8")[0])
+
+
+def sketch(text: bytes | None, bins: int = BINS) -> np.ndarray:
+    """One byte per bin: of the smallest shingle hash that falls into it, from 1 to 255; 0 if none does."""
+    words, out = (text or b"").lower().split(), np.zeros(bins, dtype=np.uint8)
+    least = np.full(bins, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, max(len(words) - SKETCH_SHINGLE + 1, min(len(words), 1)), _SOME):
+        hashes = _hashes(words[at: at + _SOME + SKETCH_SHINGLE - 1], SKETCH_SHINGLE, SEED)
+        spot = (hashes >> np.uint64(40)) % np.uint64(bins)
+        np.minimum.at(least, spot.astype(np.int64), hashes)
+        out[spot.astype(np.int64)] = 1
+    return np.where(out > 0, (least % np.uint64(255) + np.uint64(1)).astype(np.uint8), 0).astype(np.uint8)
+
+
+def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Jaccard similarity by rows of two arrays of sketches; texts without words are alike."""
+    either = ((x > 0) | (y > 0)).sum(axis=1)
+    return np.where(either > 0, ((x == y) & (x > 0)).sum(axis=1) / np.maximum(either, 1), 1.0)
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks = np.array([fingerprint(text) for text in common.texts_of(batch.column(1))], dtype=np.uint64)
@@ -102,14 +148,29 @@ class Forest:
                 self.label = up
 
 
-def walk(leaves: np.ndarray, allowed: list[int], budget: int = BUDGET) -> np.ndarray:
-    """Labels of ascending distinct ``leaves``: linked ones have the label of their first connected leaf.
+def walk(leaves: np.ndarray, allowed: list[int], budget: int = BUDGET, confirm: Callable | None = None) -> np.ndarray:
+    """Labels of ascending ``leaves``: linked ones have the label of their first connected leaf.
 
     Pairs of trie nodes, each a range of leaves, go down one bit at a time.  ``allowed``:
     differing bits by depth.  The top bits up to the first part are equal, so the walk
-    starts at the nodes of that depth.
+    starts at the nodes of that depth.  ``confirm`` says which pairs of leaves within the
+    budget are links (all, if None; leaves are then distinct).  Of equal leaves each meets
+    the one before it and the first one.
     """
     n, forest = len(leaves), Forest(len(leaves))
+
+    def link(x: np.ndarray, y: np.ndarray) -> None:
+        if confirm is not None:
+            some = forest.label[x] != forest.label[y]
+            x, y = x[some], y[some]
+            some = confirm(x, y)
+            x, y = x[some], y[some]
+        forest.join(x, y)
+
+    if confirm is not None and n > 1:
+        again = np.flatnonzero(leaves[1:] == leaves[:-1]) + 1
+        link(again - 1, again)
+        link(np.searchsorted(leaves, leaves[again]), again)
     top = allowed.index(1) - 1 if budget else 64
     heads = np.flatnonzero(np.concatenate([[True], leaves[1:] >> np.uint64(64 - top) != leaves[:-1] >> np.uint64(64 - top)])) if top < 64 else np.arange(n)
     ends = np.concatenate([heads[1:], [n]])
@@ -127,10 +188,16 @@ def walk(leaves: np.ndarray, allowed: list[int], budget: int = BUDGET) -> np.nda
             if ones.any():
                 x, y = a[ones], b[ones]
                 near = np.bitwise_count(leaves[x] ^ leaves[y]) <= budget
-                forest.join(x[near], y[near])
+                link(x[near], y[near])
             # all leaves of a pair are linked if the bits below can't exceed the budget
             sure = ~ones & (differ + (64 - depth) <= budget)
-            if sure.any():
+            if confirm is not None:
+                if depth == 64:  # equal leaves on a side stand for each other
+                    if sure.any():
+                        link(a[sure], b[sure])
+                else:
+                    sure[:] = False
+            elif sure.any():
                 for low, high in ((a[sure], a_end[sure]), (b[sure], b_end[sure])):
                     for k in range(int((high - low).max())):
                         more = low + k < high
@@ -172,46 +239,54 @@ def walk(leaves: np.ndarray, allowed: list[int], budget: int = BUDGET) -> np.nda
     return forest.label
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows rotation, slot, mark, node, ordered by slot within the task: links between nodes."""
-    held: list[np.ndarray] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate(held, axis=1)
-        for rotation in range(BUDGET + 1):
-            # slots of a rotation that are no chunks of one subtrie make one trie, as their first parts differ
-            for extra in np.unique(rows[1, rows[0] == rotation]):
-                some = rows[:, (rows[0] == rotation) & (rows[1] == extra)]
-                marks = turned(some[2].view(np.uint64), rotation)
-                order = np.argsort(marks, kind="stable")
-                marks, nodes = marks[order], some[3][order]
-                label = walk(marks, budgets(rotation))
-                linked = np.flatnonzero(label != np.arange(len(label)))
-                if len(linked):
-                    yield pa.record_batch([pa.array(nodes[linked]), pa.array(nodes[label[linked]])], names=["a", "b"])
-        held.clear()
-
-    for batch in batches:
-        held.append(np.stack([column.to_numpy(zero_copy_only=False).astype(np.int64) for column in batch.columns]))
-    if held:
-        yield from flush()
-
-
-def near_links(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """a, b: a spanning set of links between nodes (node, mark; distinct marks) within the budget."""
-    spark, width = nodes.sparkSession, parts()
+def _links(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+    """Rows rotation, extra, mark, node and maybe sketch: links between the nodes of this task."""
+    held = list(batches)
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    rows = [table.column(i).to_numpy().astype(np.int64) for i in range(4)]
+    sketches = None
+    if table.num_columns > 4:
+        sketches = np.frombuffer(b"".join(table.column(4).to_pylist()), dtype=np.uint8).reshape(table.num_rows, -1)
+    for rotation in np.unique(rows[0]).tolist():
+        # slots of a rotation that are no chunks of one subtrie make one trie, as their first parts differ
+        for extra in np.unique(rows[1][rows[0] == rotation]):
+            some = np.flatnonzero((rows[0] == rotation) & (rows[1] == extra))
+            marks = turned(rows[2][some].view(np.uint64), rotation, budget)
+            order = np.lexsort((rows[3][some], marks))
+            marks, some = marks[order], some[order]
+            confirm = None
+            if sketches is not None:
+                def confirm(x: np.ndarray, y: np.ndarray, mine: np.ndarray = some) -> np.ndarray:
+                    parts_ = [estimate(sketches[mine[x[i:i + _SOME]]], sketches[mine[y[i:i + _SOME]]]) >= SIMILAR for i in range(0, len(x), _SOME)]
+                    return np.concatenate(parts_) if parts_ else np.empty(0, dtype=bool)
+            label = walk(marks, budgets(rotation, budget), budget, confirm)
+            linked = np.flatnonzero(label != np.arange(len(label)))
+            if len(linked):
+                yield pa.record_batch([pa.array(rows[3][some[linked]]), pa.array(rows[3][some[label[linked]]])], names=["a", "b"])
+
+
+def near_links(nodes: DataFrame, chunk: int = CHUNK, budget: int = BUDGET) -> DataFrame:
+    """a, b: a spanning set of links between nodes (node, mark) within the budget.
+
+    With a column ``sketch`` links are confirmed by it, and marks may repeat; without it
+    marks are distinct.
+    """
+    spark, width = nodes.sparkSession, parts(budget)
+    more = [c for c in nodes.columns if c == "sketch"]
     turns = [F.struct(F.lit(r).alias("rotation"),
                       F.shiftrightunsigned(F.shiftleft("mark", sum(width[:r])) if r else F.col("mark"), 64 - width[r]).cast("int").alias("head")) for r in range(len(width))]
-    spread = nodes.select("node", "mark", F.explode(F.array(*turns)).alias("t")).select("node", "mark", "t.rotation", "t.head")
+    spread = nodes.select("node", "mark", *more, F.explode(F.array(*turns)).alias("t")).select("node", "mark", *more, "t.rotation", "t.head")
     crowded = spread.groupBy("rotation", "head").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("rotation", "head", F.ceil(F.col("n") / chunk).cast("int").alias("k"))
     # a subtrie of k chunks is walked once for each pair of chunks; pair (i, j) has the number i * k + j
-    mine = F.pmod(F.xxhash64("mark"), F.col("k")).cast("int")
+    mine = F.pmod(F.xxhash64("mark", "node"), F.col("k")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(mine, j) * F.col("k") + F.greatest(mine, j) + 1)
     slots = (spread.join(crowded, ["rotation", "head"], "left")
              .withColumn("extra", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(pairs))))
              .withColumn("extra", F.when(F.col("extra") == 0, F.lit(0).cast("long")).otherwise(F.col("head").cast("long") * (1 << 30) + F.col("extra"))))
-    dealt = slots.repartition(common.partitions(spark), "rotation", "head", "extra").select(F.col("rotation").cast("long").alias("rotation"), "extra", "mark", "node")
-    return common.arrow_map(dealt, _links, "a long, b long")
+    dealt = slots.repartition(common.partitions(spark), "rotation", "head", "extra").select(F.col("rotation").cast("long").alias("rotation"), "extra", "mark", "node", *more)
+    return common.arrow_map(dealt, lambda it: _links(it, budget), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -231,11 +306,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marks.join(named, "mark").select("doc_id", "tie", "mark", "group", "component_id")
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in common.slices(whole, 1):
+            texts = list(common.texts_of(batch.column(1)))
+            marks = np.array([word_mark(text) for text in texts], dtype=np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(marks), pa.array([sketch(text).tobytes() for text in texts], pa.binary())],
+                                  names=["doc_id", "tie", "mark", "sketch"])
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component with all its columns: the smallest doc_id, then the smallest hash of the text."""
-    found = near_duplicates(docs)
+    """One row of each group of near copies with all its columns: the smallest doc_id, then the smallest hash of the text.
+
+    Texts are alike if their sketches say so, or if they are equal; groups are connected
+    through likeness.  Null and blank texts are one group; a null doc_id comes last.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    found = staged(common.arrow_map(rows, _sketches, "doc_id long, tie long, mark long, sketch binary"), "sketches")
+    # equal texts are one node, numbered by the hash of the text
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
-    first = found.groupBy("group").agg(F.min(order).alias("s")).select("s.doc_id", "s.tie")
+    texts = staged(found.groupBy("tie").agg(F.min(order).alias("low"), F.first("mark").alias("mark"), F.first("sketch").alias("sketch")), "texts")
+    links = components(near_links(texts.select(F.col("tie").alias("node"), "mark", "sketch"), budget=WIDE_BUDGET))
+    grouped = texts.join(links, texts["tie"] == links["node"], "left").select("low", F.coalesce("root", "tie").alias("group"))
+    first = grouped.groupBy("group").agg(F.min("low").alias("s")).select("s.doc_id", "s.tie")
     chosen = staged(found.select("doc_id", "tie").alias("f").join(first.alias("c"), F.col("f.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("f.tie") == F.col("c.tie")))
                     .groupBy(F.col("f.doc_id").alias("__doc"), F.col("f.tie").alias("__tie")).agg(F.count(F.lit(1)).alias("__n")), "chosen")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__tie"))

@@ -105,11 +105,58 @@ def test_near_duplicates_equal_brute_force(spark):
             low[g] = min(low.get(g, doc_id), doc_id)
     want = sorted(((doc_id, m - (m >> 63 << 64), low.get(g)) for (doc_id, _), m, g in zip(rows, marks, groups)), key=repr)
     assert sorted(((r.doc_id, r.mark, r.component_id) for r in S.near_duplicates(docs).collect()), key=repr) == want
+
+
+def shingles(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else {()}
+
+
+def test_one_of_each_group_stays(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        base = [rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(rng.choice([40, 150, 400]))]
+        for _ in range(rng.choice([1, 1, 3, 5])):
+            text = list(base)
+            for _ in range(len(base) // 150):
+                text[rng.randrange(len(text))] = "new" + str(rng.randrange(99))
+            rows.append((len(rows), " ".join(text), i))
+        if rng.random() < 0.3:  # shares half of its words: not alike
+            rows.append((len(rows), " ".join(base[: len(base) // 2] + [f"z{rng.randrange(10**6)}" for _ in range(len(base) // 2)]), 1000 + i))
+    rows += [(5000, None, 2000), (5001, "", 2000), (5002, " \n", 2000), (7, rows[7][1], rows[7][2]), (7, rows[7][1], rows[7][2]), (None, "a text of its own with no id", 2001)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, grp int, mark string").repartition(3)
     kept = S.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    rows_kept = kept.collect()
-    assert len(rows_kept) == len(set(groups))
-    assert sorted((r.doc_id for r in rows_kept), key=repr) == sorted((low.get(g) for g in set(groups)), key=repr)
+    got = kept.collect()
+    for a in rows:
+        for b in rows:
+            x, y = shingles(a[1]), shingles(b[1])
+            assert (len(x & y) / len(x | y) >= 0.85) == (a[2] == b[2]) or 0.75 < len(x & y) / len(x | y) < 0.85
+    want = {}
+    for doc_id, _, g in rows:
+        want[g] = min((w for w in (want.get(g), doc_id) if w is not None), default=None)
+    stayed = [(r.grp, r.doc_id) for r in got]
+    # the first of each group stays; of the others a few may, whose fingerprints are further apart
+    assert set(want.items()) <= set(stayed) and len(set(map(str, stayed))) == len(stayed)
+    assert len(stayed) - len(want) <= 0.1 * (len({r[1] for r in rows}) - len(want))
+    again = S.drop_near_duplicates(docs.repartition(5))
+    assert sorted(map(repr, got)) == sorted(map(repr, again.collect()))
+
+
+def test_sketch_estimates_similarity():
+    rng = random.Random(1)
+    for n in (3, 30, 3000):
+        a = [str(rng.randrange(10**6)) for _ in range(n)]
+        for changed in (0, 1, n // 50):
+            b = list(a)
+            for _ in range(changed):
+                b[rng.randrange(n)] = "x"
+            x, y = " ".join(a), " ".join(b)
+            exact = len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y))
+            got = S.estimate(S.sketch(x.encode())[None], S.sketch(y.encode())[None])[0]
+            assert abs(got - exact) < 0.1, (n, changed, exact, got)
+    assert S.word_mark(None) == S.word_mark(b" ") == 0 and not S.sketch(b"").any()
 
 
 def test_empty_table(spark):
