@@ -16,6 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
@@ -36,9 +37,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors."""
-    ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` with this package at hand on the executors, and batches that stay small where texts are long."""
+    spark = df.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+    return df.mapInArrow(run, schema)
 
 
 def partitions(spark: SparkSession) -> int:
