@@ -10,7 +10,7 @@ its length has such a start).  So for each rotation of the parts a binary trie i
 pairs of its nodes are walked down together with the bits in which they differ; a pair is
 dropped as soon as it is over the budget of its depth.  Budget zero holds for the first part,
 so Spark deals the fingerprints out by rotation and first part, and each task walks its own
-subtries.  A pair of nodes whose leaves must all be linked is linked at once; pairs of nodes
+subtries; a crowded subtrie is dealt out further by its second part, of which one bit may differ.  A pair of nodes whose leaves must all be linked is linked at once; pairs of nodes
 that are known to be connected are dropped.  Tasks return a spanning forest of their links,
 never all pairs.
 
@@ -32,7 +32,7 @@ from lotwise.llm.components import components
 from lotwise.session import staged
 
 SHINGLE, BUDGET, SEED = 4, 4, 42
-#: Fingerprints of one subtrie that a task holds at most; a larger one is walked in pairs of chunks.
+#: Fingerprints of one subtrie that a task holds, about; a larger one is dealt out by its next part, then in pairs of chunks.
 CHUNK = 20_000
 #: Node pairs that are walked down at once.
 PAIRS = 1 << 18
@@ -249,22 +249,23 @@ def _links(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Record
     sketches = None
     if table.num_columns > 4:
         sketches = np.frombuffer(b"".join(table.column(4).to_pylist()), dtype=np.uint8).reshape(table.num_rows, -1)
-    for rotation in np.unique(rows[0]).tolist():
-        # slots of a rotation that are no chunks of one subtrie make one trie, as their first parts differ
-        for extra in np.unique(rows[1][rows[0] == rotation]):
-            some = np.flatnonzero((rows[0] == rotation) & (rows[1] == extra))
-            marks = turned(rows[2][some].view(np.uint64), rotation, budget)
-            order = np.lexsort((rows[3][some], marks))
-            marks, some = marks[order], some[order]
-            confirm = None
-            if sketches is not None:
-                def confirm(x: np.ndarray, y: np.ndarray, mine: np.ndarray = some) -> np.ndarray:
-                    parts_ = [estimate(sketches[mine[x[i:i + _SOME]]], sketches[mine[y[i:i + _SOME]]]) >= SIMILAR for i in range(0, len(x), _SOME)]
-                    return np.concatenate(parts_) if parts_ else np.empty(0, dtype=bool)
-            label = walk(marks, budgets(rotation, budget), budget, confirm)
-            linked = np.flatnonzero(label != np.arange(len(label)))
-            if len(linked):
-                yield pa.record_batch([pa.array(rows[3][some[linked]]), pa.array(rows[3][some[label[linked]]])], names=["a", "b"])
+    by = np.lexsort((rows[1], rows[0]))
+    new = (np.diff(rows[0][by]) != 0) | (np.diff(rows[1][by]) != 0)
+    # subtries that are not dealt out further make one trie, as their first parts differ
+    for some in np.split(by, np.flatnonzero(new) + 1):
+        rotation = int(rows[0][some[0]])
+        marks = turned(rows[2][some].view(np.uint64), rotation, budget)
+        order = np.lexsort((rows[3][some], marks))
+        marks, some = marks[order], some[order]
+        confirm = None
+        if sketches is not None:
+            def confirm(x: np.ndarray, y: np.ndarray, mine: np.ndarray = some) -> np.ndarray:
+                parts_ = [estimate(sketches[mine[x[i:i + _SOME]]], sketches[mine[y[i:i + _SOME]]]) >= SIMILAR for i in range(0, len(x), _SOME)]
+                return np.concatenate(parts_) if parts_ else np.empty(0, dtype=bool)
+        label = walk(marks, budgets(rotation, budget), budget, confirm)
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        if len(linked):
+            yield pa.record_batch([pa.array(rows[3][some[linked]]), pa.array(rows[3][some[label[linked]]])], names=["a", "b"])
 
 
 def near_links(nodes: DataFrame, chunk: int = CHUNK, budget: int = BUDGET) -> DataFrame:
@@ -278,13 +279,24 @@ def near_links(nodes: DataFrame, chunk: int = CHUNK, budget: int = BUDGET) -> Da
     turns = [F.struct(F.lit(r).alias("rotation"),
                       F.shiftrightunsigned(F.shiftleft("mark", sum(width[:r])) if r else F.col("mark"), 64 - width[r]).cast("int").alias("head")) for r in range(len(width))]
     spread = nodes.select("node", "mark", *more, F.explode(F.array(*turns)).alias("t")).select("node", "mark", *more, "t.rotation", "t.head")
-    crowded = spread.groupBy("rotation", "head").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("rotation", "head", F.ceil(F.col("n") / chunk).cast("int").alias("k"))
-    # a subtrie of k chunks is walked once for each pair of chunks; pair (i, j) has the number i * k + j
+    below = F.shiftrightunsigned(F.shiftleft("mark", width[0]), 64 - width[1]).cast("int")
+    for r in range(1, len(width)):
+        after = width[(r + 1) % len(width)]
+        turned_mark = F.col("mark") if not sum(width[:r + 1]) % 64 else F.shiftleft("mark", sum(width[:r + 1]))
+        below = F.when(F.col("rotation") == r, F.shiftrightunsigned(turned_mark, 64 - after).cast("int")).otherwise(below)
+    # a crowded subtrie is dealt out by its next part, of which one bit may differ: each mark also visits those neighbours
+    steps = F.array(F.lit(0), *(F.lit(1 << i) for i in range(max(width))))
+    crowded = spread.groupBy("rotation", "head").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("rotation", "head", F.lit(True).alias("crowded"))
+    placed = (spread.join(crowded, ["rotation", "head"], "left")
+              .withColumn("slot", F.explode(F.when(F.col("crowded"), F.transform(steps, lambda x: below.bitwiseXOR(x) + 1)).otherwise(F.array(F.lit(0))))).drop("crowded"))
+    # what is still crowded, such as very many near copies, is walked once for each pair of chunks; pair (i, j) has the number i * k + j
+    packed = placed.where("slot > 0").groupBy("rotation", "head", "slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk) \
+        .select("rotation", "head", "slot", F.ceil(F.col("n") / chunk).cast("int").alias("k"))
     mine = F.pmod(F.xxhash64("mark", "node"), F.col("k")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(mine, j) * F.col("k") + F.greatest(mine, j) + 1)
-    slots = (spread.join(crowded, ["rotation", "head"], "left")
-             .withColumn("extra", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(pairs))))
-             .withColumn("extra", F.when(F.col("extra") == 0, F.lit(0).cast("long")).otherwise(F.col("head").cast("long") * (1 << 30) + F.col("extra"))))
+    slots = (placed.join(packed, ["rotation", "head", "slot"], "left")
+             .withColumn("pair", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(pairs))))
+             .withColumn("extra", F.when(F.col("slot") == 0, F.lit(0).cast("long")).otherwise(F.xxhash64("head", "slot", "pair"))))
     dealt = slots.repartition(common.partitions(spark), "rotation", "head", "extra").select(F.col("rotation").cast("long").alias("rotation"), "extra", "mark", "node", *more)
     return common.arrow_map(dealt, lambda it: _links(it, budget), "a long, b long")
 
