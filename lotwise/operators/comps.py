@@ -279,10 +279,10 @@ def market_position(probes: DataFrame, table: DataFrame, km_needs_more_than: int
     }).drop("mean", "q10", "q25", "q75", "probe", "km")
 
 
-def formula_price(df: DataFrame, as_of_year: int = 2025) -> DataFrame:
+def formula_price(df: DataFrame, as_of: Column) -> DataFrame:
     """Formula estimate with a +-20 % band; a missing attribute costs nothing."""
     year, km = C.present(F.col("year")), C.present(F.col("mileage_km"))
-    base = F.lit(15000.0) - F.coalesce((F.lit(as_of_year) - year) * 500, F.lit(0)) - F.coalesce(km / 10000 * 200, F.lit(0.0))
+    base = F.lit(15000.0) - F.coalesce((F.year(as_of) - year) * 500, F.lit(0)) - F.coalesce(km / 10000 * 200, F.lit(0.0))
     return df.withColumns({"predicted": F.greatest(F.lit(1000.0), base), "p10": base * 0.8, "p50": base, "p90": base * 1.2})
 
 

@@ -33,12 +33,12 @@ def _message(hit: Column, kind: str) -> Column:
     return F.concat(F.lit(head), hit, F.lit(tail))
 
 
-def red_flags(df: DataFrame, as_of_year: int = 2025) -> DataFrame:
+def red_flags(df: DataFrame, as_of: Column) -> DataFrame:
     """Array of flag messages: at most one per check, in check order."""
     text = F.lower(F.coalesce(F.col("description"), F.lit("")))
     both = F.lower(F.concat(F.coalesce(F.col("description"), F.lit("")), F.lit(" "), F.coalesce(F.col("title"), F.lit(""))))
     premium = F.exists(C.words(R.FLAG_PREMIUM_WORDS), lambda w: F.contains(text, w))
-    too_cheap = F.when((F.col("year") >= as_of_year - 2) & (F.col("price_bgn") < 20000) & premium, R.FLAG_TEXT["too_cheap"])
+    too_cheap = F.when((F.col("year") >= F.year(as_of) - 2) & (F.col("price_bgn") < 20000) & premium, R.FLAG_TEXT["too_cheap"])
     urgent = F.size(F.filter(C.words(R.FLAG_URGENCY), lambda w: F.contains(text, w)))
     return df.withColumn("red_flags", C.compact(
         F.coalesce(_message(_first(text, R.FLAG_LEASING), "leasing"), too_cheap),

@@ -202,15 +202,22 @@ def score_monitor(df: DataFrame) -> DataFrame:
     return df.withColumns({"score": F.when(enough, score).otherwise(3.0), "discount_pct": F.when(enough, disc)})
 
 
-def score_enhanced(df: DataFrame, as_of: Column, as_of_year: int = 2025) -> DataFrame:
-    """Needs avg_price and n of ``comps.comps_enhanced``; rows without comparables have no score."""
+MOST_KM = 250_000
+
+
+def score_enhanced(df: DataFrame, as_of: Column) -> DataFrame:
+    """Needs avg_price and n of ``comps.comps_enhanced``; rows without comparables have no score.
+
+    Listings without a mileage, or above ``MOST_KM``, are not scored at all.
+    """
+    df = df.filter(C.present(F.col("mileage_km")) <= MOST_KM)
     price, year, km, n = F.col("price_bgn"), F.col("year"), F.col("mileage_km"), F.col("n")
     disc = C.discount(price, F.col("avg_price"))
     whole, pct = C.thousands(price), C.fixed1(disc)
     span = F.when(price < 5000, -1.5).when(price < 10000, 0.7).when(price <= 50000, 0.3).otherwise(0.0)
     points = F.coalesce(_monitor_steps(disc, [(30, 4.5), (25, 4.0), (20, 3.5), (15, 3.0), (10, 2.0), (5, 1.0), (0, 0.5)]), -F.abs(disc) / 10)
     sure = C.steps(n, [(20, 1.0), (10, 0.95)], 0.9)
-    expected = (lit(as_of_year) - year) * 15000
+    expected = (F.year(as_of) - year) * 15000
     low_km = km < expected * 0.7
     days = F.floor(F.timestamp_diff("SECOND", F.col("first_seen_at"), as_of) / 86400)
     score = C.clamp((lit(4.0) + span + points) * sure + F.when(year >= 2020, 0.3).otherwise(0.0)

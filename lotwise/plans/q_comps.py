@@ -139,7 +139,7 @@ FORMULA_CTE = """fp AS (SELECT *, 15000.0::DOUBLE - (2025 - year) * 500 - mileag
 @query("formula_price", B.with_l(FORMULA_CTE) + """SELECT listing_id, round(greatest(1000.0::DOUBLE, base), 4) AS predicted, round(base * 0.8::DOUBLE, 4) AS p10,
   round(base, 4) AS p50, round(base * 1.2::DOUBLE, 4) AS p90 FROM fp""")
 def formula_price(spark, d):
-    return K.formula_price(B.listings(spark, d)).select("listing_id", *[F.round(c, 4).alias(c) for c in ("predicted", "p10", "p50", "p90")])
+    return K.formula_price(B.listings(spark, d), B.as_of()).select("listing_id", *[F.round(c, 4).alias(c) for c in ("predicted", "p10", "p50", "p90")])
 
 
 @query("segment_slope", B.with_l() + """SELECT brand_id, model_id, count(*) AS n, round(quantile_cont(price_bgn, 0.5), 4) AS median_price,

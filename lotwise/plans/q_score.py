@@ -51,7 +51,7 @@ FLAG_CTE = f"""fl AS (SELECT *, list_filter([coalesce({_flag_sql('t', R.FLAG_LEA
 
 @query("red_flags", B.with_l(FLAG_CTE) + "SELECT listing_id, len(red_flags) AS flags, array_to_string(red_flags, '|') AS red_flags FROM fl")
 def red_flags(spark, d):
-    return G.red_flags(B.listings(spark, d)).select("listing_id", F.size("red_flags").cast("bigint").alias("flags"), F.array_join("red_flags", "|").alias("red_flags"))
+    return G.red_flags(B.listings(spark, d), B.as_of()).select("listing_id", F.size("red_flags").cast("bigint").alias("flags"), F.array_join("red_flags", "|").alias("red_flags"))
 
 
 EXTERNAL_CTE = """ex AS (SELECT doc_id AS listing_id, CASE WHEN toxic = 1 THEN 'high' WHEN quality = 1 THEN 'low' ELSE 'medium' END AS risk_level,
@@ -201,7 +201,7 @@ def _below(head: str) -> str:
    CASE WHEN ap >= 1.8 THEN '📅 Recent year: ' || year END, CASE WHEN mp >= 1.7 THEN '🚗 Low mileage: ' || format('{{:,}}', mileage_km) || ' км' END,
    CASE WHEN qp >= 0.8 THEN '📝 Well-documented listing' END, CASE WHEN {_bracket(None)} = 'sweet_spot' THEN '⭐ Sweet spot price range (10-30k)' END], '|'), '') END AS reasons FROM m4""")
 def score_market(spark, d):
-    df = G.red_flags(B.listings(spark, d))
+    df = G.red_flags(B.listings(spark, d), B.as_of())
     return P.score_market(K.market_position(df, df), B.as_of()).select(
         "listing_id", "score", "should_post", "blocked", "discount_pct", "n", "block_reason", "mileage_points", "quality_points", "state",
         F.array_join("reasons", "|").alias("reasons"))
@@ -235,7 +235,7 @@ WHOLE = "format('{:,.0f}', price_bgn)"
    CASE WHEN days >= 14 THEN 'On market ' || days || ' days - seller may negotiate' END], '|'), '') END AS reasons
  FROM (SELECT *, (avg_price - price_bgn) / avg_price * 100 AS disc, mileage_km < (2025 - year) * 15000 * 0.7 AS low_km,
    CAST(floor((epoch({B.AS_OF_SQL}) - epoch(first_seen_at)) / 86400) AS BIGINT) AS days,
-   CASE WHEN price_bgn < 5000 THEN -1.5 WHEN price_bgn < 10000 THEN 0.7 WHEN price_bgn <= 50000 THEN 0.3 ELSE 0 END AS span FROM l JOIN e USING (listing_id))""")
+   CASE WHEN price_bgn < 5000 THEN -1.5 WHEN price_bgn < 10000 THEN 0.7 WHEN price_bgn <= 50000 THEN 0.3 ELSE 0 END AS span FROM l JOIN e USING (listing_id) WHERE mileage_km BETWEEN 1 AND 250000)""")
 def score_enhanced(spark, d):
     df = B.listings(spark, d)
     return P.score_enhanced(K.comps_enhanced(df, df, extremes=False), B.as_of()).select(

@@ -6,6 +6,10 @@ from lotwise.functions import text as T
 from lotwise.operators import alerts as A, comps as K, extract as X, flags as G, normalize as N, score as P, select as H
 
 
+def at():
+    return F.lit("2025-06-01 00:00:00").cast("timestamp_ntz")
+
+
 def one(df):
     return df.collect()[0].asDict()
 
@@ -147,7 +151,7 @@ def test_risk_levels(spark):
 
 def test_red_flags_in_check_order(spark):
     df = spark.createDataFrame([("спешно, последна цена, лизинг", "rhd bmw", 15000.0, 2025), ("bmw за 15000", "", 15000.0, 2024)], "description string, title string, price_bgn double, year int")
-    got = [r.red_flags for r in G.red_flags(df).collect()]
+    got = [r.red_flags for r in G.red_flags(df, at()).collect()]
     assert [f.split(":")[0] for f in got[0]] == ["🚨 LEASING", "⚠️ RIGHT-HAND DRIVE", "⚠️ SUSPICIOUS"]
     assert got[1] == ["🚨 SUSPICIOUS: New premium car too cheap - possible leasing"]
 
@@ -174,6 +178,11 @@ def test_watch_target_missing_attribute_fails(spark):
 
 
 def test_formula_price(spark):
-    got = one(K.formula_price(spark.createDataFrame([(2020, 100000)], "year int, mileage_km int")))
+    got = one(K.formula_price(spark.createDataFrame([(2020, 100000)], "year int, mileage_km int"), at()))
     assert (got["predicted"], got["p10"]) == (10500.0, 8400.0)
-    assert one(K.formula_price(spark.createDataFrame([(1980, None)], "year int, mileage_km int")))["predicted"] == 1000.0
+    assert one(K.formula_price(spark.createDataFrame([(1980, None)], "year int, mileage_km int"), at()))["predicted"] == 1000.0
+
+
+def test_enhanced_score_needs_a_mileage_within_bounds(spark):
+    df = spark.sql("select id, 20000D price_bgn, 2018 year, km mileage_km, 25000D avg_price, 12L n, timestamp_ntz'2025-01-01 00:00:00' first_seen_at from values (1, 250000), (2, 250001), (3, null), (4, 0), (5, 90000) t(id, km)")
+    assert sorted(r.id for r in P.score_enhanced(df, at()).collect()) == [1, 5]
