@@ -287,17 +287,19 @@ def near_links(nodes: DataFrame, chunk: int = CHUNK, budget: int = BUDGET) -> Da
     # a crowded subtrie is dealt out by its next part, of which one bit may differ: each mark also visits those neighbours
     steps = F.array(F.lit(0), *(F.lit(1 << i) for i in range(max(width))))
     crowded = spread.groupBy("rotation", "head").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("rotation", "head", F.lit(True).alias("crowded"))
-    placed = (spread.join(crowded, ["rotation", "head"], "left")
+    # one row for each value of a first part at most, so it may be broadcast; the marks are then shuffled once only
+    placed = (spread.join(F.broadcast(crowded), ["rotation", "head"], "left")
               .withColumn("slot", F.explode(F.when(F.col("crowded"), F.transform(steps, lambda x: below.bitwiseXOR(x) + 1)).otherwise(F.array(F.lit(0))))).drop("crowded"))
     # what is still crowded, such as very many near copies, is walked once for each pair of chunks; pair (i, j) has the number i * k + j
     packed = placed.where("slot > 0").groupBy("rotation", "head", "slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk) \
         .select("rotation", "head", "slot", F.ceil(F.col("n") / chunk).cast("int").alias("k"))
     mine = F.pmod(F.xxhash64("mark", "node"), F.col("k")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(mine, j) * F.col("k") + F.greatest(mine, j) + 1)
-    slots = (placed.join(packed, ["rotation", "head", "slot"], "left")
+    whole = placed.where("slot = 0").select("rotation", "head", F.lit(0).cast("long").alias("extra"), "mark", "node", *more)
+    split = (placed.where("slot > 0").join(packed, ["rotation", "head", "slot"], "left")
              .withColumn("pair", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(pairs))))
-             .withColumn("extra", F.when(F.col("slot") == 0, F.lit(0).cast("long")).otherwise(F.xxhash64("head", "slot", "pair"))))
-    dealt = slots.repartition(common.partitions(spark), "rotation", "head", "extra").select(F.col("rotation").cast("long").alias("rotation"), "extra", "mark", "node", *more)
+             .select("rotation", "head", F.xxhash64("head", "slot", "pair").alias("extra"), "mark", "node", *more))
+    dealt = whole.unionByName(split).repartition(common.partitions(spark), "rotation", "head", "extra").select(F.col("rotation").cast("long").alias("rotation"), "extra", "mark", "node", *more)
     return common.arrow_map(dealt, lambda it: _links(it, budget), "a long, b long")
 
 
