@@ -17,9 +17,11 @@ never all pairs.
 ``drop_near_duplicates`` keeps one document of each group of near copies.  Its fingerprints
 are of the set of a text's words, which near copies change least, with a wider budget; links
 are confirmed inside the tasks by a one-permutation MinHash sketch of the texts' five-word
-shingles, whose estimate of their Jaccard similarity must reach ``SIMILAR``.
+shingles, whose estimate of their Jaccard similarity must reach ``SIMILAR``.  Texts of one
+fingerprint, and those of two near ones, are all candidates of each other; where they are many,
+only pairs that share a band of their sketches are compared, which loses none (``Sketches``).
 """
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ PAIRS = 1 << 18
 _SOME = 8192
 #: Of the deduplication: differing bits of candidates, words of a shingle, similarity of near copies, and bins of a sketch.
 WIDE_BUDGET, SKETCH_SHINGLE, SIMILAR, BINS = 6, 5, 0.8, 512
+#: Pairs of leaves of two nodes that are all compared; of more, those that share a band of sketches.
+FEW = 1 << 14
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -97,6 +101,73 @@ def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(either > 0, ((x == y) & (x > 0)).sum(axis=1) / np.maximum(either, 1), 1.0)
 
 
+class Sketches:
+    """Likeness of leaves by their sketches, and a sure way to the like ones among many.
+
+    Of alike sketches x and y at most ``(1 - SIMILAR) / SIMILAR`` times the used bins of x
+    differ, and at most ``1 - SIMILAR`` of all bins.  Each spoils one band of four bins.  So
+    if more bands of x or of y than that are used, one of them is equal in both.  Sketches
+    with fewer used bands are compared with all others like them.
+    """
+
+    def __init__(self, rows: np.ndarray):
+        self.rows, self.bands = rows, np.ascontiguousarray(rows).view("<u4")
+        most = np.minimum((rows > 0).sum(axis=1) * (1 - SIMILAR) / SIMILAR, rows.shape[1] * (1 - SIMILAR)) + 1e-6
+        self.weak = np.flatnonzero((self.bands > 0).sum(axis=1) <= np.floor(most))
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        parts_ = [estimate(self.rows[x[i:i + _SOME]], self.rows[y[i:i + _SOME]]) >= SIMILAR for i in range(0, len(x), _SOME)]
+        return np.concatenate(parts_) if parts_ else np.empty(0, dtype=bool)
+
+    def likely(self, leaves: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Leaves next to each other by some of the bands: few pairs that connect most like leaves."""
+        for band in range(0, self.bands.shape[1], 8):
+            order = leaves[np.argsort(self.bands[leaves, band], kind="stable")]
+            value = self.bands[order, band]
+            at = np.flatnonzero((value[1:] == value[:-1]) & (value[1:] > 0))
+            yield order[at], order[at + 1]
+
+    def candidates(self, a: int, a_end: int, b: int, b_end: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of leaves from a to a_end and from b to b_end with different labels, all alike ones among them."""
+        found, total, most = [], 0, (a_end - a) * (b_end - b)
+        mine, other = label[a:a_end].astype(np.uint64), label[b:b_end].astype(np.uint64)
+        for band in range(self.bands.shape[1]):
+            x, y = self.bands[a:a_end, band].astype(np.uint64) << np.uint64(32), self.bands[b:b_end, band].astype(np.uint64) << np.uint64(32)
+            order = np.argsort(y | other)
+            keys = (y | other)[order]
+            low = np.searchsorted(keys, x)
+            count = np.where(x > 0, np.searchsorted(keys, x | np.uint64((1 << 32) - 1), side="right") - low, 0)
+            strange = count - np.where(x > 0, np.searchsorted(keys, x | mine, side="right") - np.searchsorted(keys, x | mine), 0)
+            total += int(strange.sum())
+            if total >= most:  # bands select nothing: every pair once is less
+                found = None
+                break
+            found.append((order, low, np.where(strange > 0, count, 0)))
+        if found is None:
+            yield from _all_pairs(np.arange(a, a_end), np.arange(b, b_end))
+            return
+        for order, low, count in found:
+            for i, k in _spans(count):
+                yield a + i, b + order[low[i] + k]
+        yield from _all_pairs(self.weak[(self.weak >= a) & (self.weak < a_end)], self.weak[(self.weak >= b) & (self.weak < b_end)])
+
+
+def _spans(count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, k) for each k below count[i], about ``PAIRS`` at a time."""
+    ends = np.cumsum(count)
+    at, total = 0, int(ends[-1]) if len(ends) else 0
+    while at < total:
+        places = np.arange(at, min(total, at + PAIRS))
+        i = np.searchsorted(ends, places, side="right")
+        yield i, places - (ends[i] - count[i])
+        at += PAIRS
+
+
+def _all_pairs(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i, k in _spans(np.full(len(x), len(y), dtype=np.int64)):
+        yield x[i], y[k]
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks = np.array([fingerprint(text) for text in common.texts_of(batch.column(1))], dtype=np.uint64)
@@ -148,14 +219,14 @@ class Forest:
                 self.label = up
 
 
-def walk(leaves: np.ndarray, allowed: list[int], budget: int = BUDGET, confirm: Callable | None = None) -> np.ndarray:
+def walk(leaves: np.ndarray, allowed: list[int], budget: int = BUDGET, confirm: Sketches | None = None) -> np.ndarray:
     """Labels of ascending ``leaves``: linked ones have the label of their first connected leaf.
 
     Pairs of trie nodes, each a range of leaves, go down one bit at a time.  ``allowed``:
     differing bits by depth.  The top bits up to the first part are equal, so the walk
     starts at the nodes of that depth.  ``confirm`` says which pairs of leaves within the
-    budget are links (all, if None; leaves are then distinct).  Of equal leaves each meets
-    the one before it and the first one.
+    budget are links (all, if None; leaves are then distinct).  All leaves of two equal or
+    near nodes meet unless they are connected before.
     """
     n, forest = len(leaves), Forest(len(leaves))
 
@@ -167,7 +238,37 @@ def walk(leaves: np.ndarray, allowed: list[int], budget: int = BUDGET, confirm:
             x, y = x[some], y[some]
         forest.join(x, y)
 
+    def connected(a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+        """Which pairs of nodes have leaves of one connected set only."""
+        label = forest.label
+        same = (label[a] == label[b]) & (label[a_end - 1] == label[a]) & (label[b_end - 1] == label[a])
+        if same.any():
+            edges = np.flatnonzero(label[1:] != label[:-1]) + 1 if n > 1 else np.empty(0, dtype=np.int64)
+            same &= np.searchsorted(edges, a, side="right") == np.searchsorted(edges, a_end - 1, side="right")
+            same &= np.searchsorted(edges, b, side="right") == np.searchsorted(edges, b_end - 1, side="right")
+        return same
+
+    def meet(a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> None:
+        """All pairs of leaves of pairs of nodes; the first ones first, which mostly connect the others."""
+        link(a, b)
+        left = ~connected(a, a_end, b, b_end)
+        a, a_end, b, b_end = a[left], a_end[left], b[left], b_end[left]
+        count = (a_end - a) * (b_end - b)
+        few = count <= FEW
+        x, y, wide = a[few], b[few], (b_end - b)[few]
+        for i, k in _spans(count[few]):
+            one, other = x[i] + k // wide[i], y[i] + k % wide[i]
+            some = (one < other) | (x[i] != y[i])  # within a node each pair once
+            link(one[some], other[some])
+        for node in zip(*(column[~few].tolist() for column in (a, a_end, b, b_end))):
+            for one, other in confirm.likely(np.unique(np.concatenate([np.arange(*node[:2]), np.arange(*node[2:])]))):
+                link(one, other)
+            for one, other in confirm.candidates(*node, forest.label):
+                some = one < other if node[0] == node[2] else slice(None)
+                link(one[some], other[some])
+
     if confirm is not None and n > 1:
+        # near copies are mostly connected through those before them, so that few pairs are left
         again = np.flatnonzero(leaves[1:] == leaves[:-1]) + 1
         link(again - 1, again)
         link(np.searchsorted(leaves, leaves[again]), again)
@@ -192,9 +293,9 @@ def walk(leaves: np.ndarray, allowed: list[int], budget: int = BUDGET, confirm:
             # all leaves of a pair are linked if the bits below can't exceed the budget
             sure = ~ones & (differ + (64 - depth) <= budget)
             if confirm is not None:
-                if depth == 64:  # equal leaves on a side stand for each other
+                if depth == 64:  # leaves of one side are equal, but not their sketches
                     if sure.any():
-                        link(a[sure], b[sure])
+                        meet(a[sure], a_end[sure], b[sure], b_end[sure])
                 else:
                     sure[:] = False
             elif sure.any():
@@ -204,14 +305,7 @@ def walk(leaves: np.ndarray, allowed: list[int], budget: int = BUDGET, confirm:
                         forest.join(low[more], low[more] + k)
                 forest.join(a[sure], b[sure])
             # pairs within one connected set have nothing to add
-            label = forest.label
-            same = (label[a] == label[b]) & (label[a_end - 1] == label[a]) & (label[b_end - 1] == label[a])
-            if same.any():
-                edges = np.flatnonzero(label[1:] != label[:-1]) + 1 if n > 1 else np.empty(0, dtype=np.int64)
-                whole = (np.searchsorted(edges, a, side="right") == np.searchsorted(edges, a_end - 1, side="right"))
-                whole &= np.searchsorted(edges, b, side="right") == np.searchsorted(edges, b_end - 1, side="right")
-                same &= whole
-            left = ~(ones | sure | same)
+            left = ~(ones | sure | connected(a, a_end, b, b_end))
             a, a_end, b, b_end, differ = a[left], a_end[left], b[left], b_end[left], differ[left]
             if not len(a):
                 break
@@ -257,11 +351,7 @@ def _links(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Record
         marks = turned(rows[2][some].view(np.uint64), rotation, budget)
         order = np.lexsort((rows[3][some], marks))
         marks, some = marks[order], some[order]
-        confirm = None
-        if sketches is not None:
-            def confirm(x: np.ndarray, y: np.ndarray, mine: np.ndarray = some) -> np.ndarray:
-                parts_ = [estimate(sketches[mine[x[i:i + _SOME]]], sketches[mine[y[i:i + _SOME]]]) >= SIMILAR for i in range(0, len(x), _SOME)]
-                return np.concatenate(parts_) if parts_ else np.empty(0, dtype=bool)
+        confirm = None if sketches is None else Sketches(sketches[some])
         label = walk(marks, budgets(rotation, budget), budget, confirm)
         linked = np.flatnonzero(label != np.arange(len(label)))
         if len(linked):

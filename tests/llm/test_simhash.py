@@ -152,6 +152,57 @@ def test_one_of_each_group_stays(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, again.collect()))
 
 
+def permuted(rng, families, members, n=400):
+    """(family, text): texts over one set of words, near only within a family, with two parts of each swapped."""
+    words, out = [f"w{i}" for i in range(n)], []
+    for f in range(families):
+        base = rng.sample(words, n)
+        for _ in range(members):
+            a, b = sorted(rng.sample(range(n), 2))
+            out.append((f, " ".join(base[a:b] + base[:a] + base[b:])))
+    return rng.sample(out, len(out))
+
+
+def like_groups(sketches):
+    """Connected groups of rows by all pairs."""
+    root = list(range(len(sketches)))
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i in range(len(sketches)):
+        for j in np.flatnonzero(S.estimate(np.repeat(sketches[i:i + 1], i, axis=0), sketches[:i]) >= S.SIMILAR).tolist():
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [find(i) for i in range(len(sketches))]
+
+
+@pytest.mark.parametrize("few", [0, 1 << 14])
+def test_texts_of_equal_and_near_marks_all_meet(monkeypatch, few):
+    monkeypatch.setattr(S, "FEW", few)
+    monkeypatch.setattr(S, "PAIRS", 1000)
+    rng = random.Random(few)
+    for n in (400, 12, 6):
+        texts = [text for _, text in permuted(rng, 6, 8, n)] + ["a", "", " "]
+        sketches = np.array([S.sketch(text.encode()) for text in texts])
+        # one mark, then two near ones in which alike texts are on opposite sides
+        for marks in (np.zeros(len(texts), dtype=np.uint64), np.arange(len(texts), dtype=np.uint64) % np.uint64(2)):
+            order = np.argsort(marks, kind="stable")
+            label = S.walk(marks[order], S.budgets(0, 6), 6, S.Sketches(sketches[order]))
+            assert label.tolist() == like_groups(sketches[order])
+
+
+def test_interleaved_families_of_permuted_texts(spark):
+    rng = random.Random(11)
+    rows = [(i, f, text + " more" * (i % 2)) for i, (f, text) in enumerate(permuted(rng, 5, 12))]
+    assert len({S.word_mark(text.encode()) for _, _, text in rows}) == 2
+    docs = spark.createDataFrame(rows, "doc_id long, grp int, text string").repartition(3)
+    first = {}
+    for i, f, _ in rows:
+        first.setdefault(f, i)
+    assert sorted(r.doc_id for r in S.drop_near_duplicates(docs).collect()) == sorted(first.values())
+
+
 def test_sketch_estimates_similarity():
     rng = random.Random(1)
     for n in (3, 30, 3000):
