@@ -9,7 +9,8 @@ compared with every vector in them, in double precision, on the vectors as given
 Equal vectors are one vector with the few ids that can be in a result: as many of the smallest
 as are asked for, and one more for the query itself.  So very many copies don't crowd a bucket.
 A bucket of more than ``CHUNK`` vectors is dealt out in chunks, each of which meets the
-bucket's queries.
+bucket's queries.  A query whose buckets hold fewer vectors than are asked for visits all
+buckets of the first table, so it gets fewer rows only if there are fewer candidates.
 """
 from collections.abc import Iterator
 
@@ -103,13 +104,13 @@ def _by_length(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBa
 
 
 def _spread(batches: Iterator[pa.RecordBatch], tables: int, hashes: int, most: int) -> Iterator[pa.RecordBatch]:
-    """id, vector -> id, vector, length, bucket: the bucket of each table, or those a query visits."""
+    """id, vector -> id, vector, length, bucket, base: the bucket of each table, or those a query visits; whether it is of the first table."""
     for batch in batches:
         for part, x in _by_length(batch, 1):
             found = probes(x, tables, hashes, most) if most else buckets(x, tables, hashes)
             at = pa.array(np.repeat(np.arange(len(x)), found.shape[1]))
             yield pa.record_batch([part.column(0).take(at), part.column(1).take(at), pa.array(np.full(found.size, len(x[0]), dtype=np.int32)),
-                                   pa.array(found.reshape(-1))], names=["id", "vector", "length", "bucket"])
+                                   pa.array(found.reshape(-1)), pa.array(found.reshape(-1) < (2 * width(len(x[0]))) ** hashes)], names=["id", "vector", "length", "bucket", "base"])
 
 
 def _nearest(index: pa.Table, asked: pa.Table, k: int) -> pa.Table:
@@ -149,16 +150,34 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLES
     index = rows.distinct().withColumn("n", number).where(F.col("n") <= k + 1).select("id", "vector")
     asked = rows.where(F.col("id") % every == 0)
     first = asked.groupBy("vector").agg(F.min("id").alias("id")).select("id", "vector")
-    kind = f"id long, vector {rows.schema['vector'].dataType.simpleString()}, length int, bucket long"
+    kind = f"id long, vector {rows.schema['vector'].dataType.simpleString()}, length int, bucket long, base boolean"
     held = staged(common.arrow_map(index, lambda it: _spread(it, tables, hashes, 0), kind), "ann-index")
-    wanted = common.arrow_map(first, lambda it: _spread(it, tables, hashes, visits), kind)
-    sizes = held.groupBy("length", "bucket").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    wanted = common.arrow_map(first, lambda it: _spread(it, tables, hashes, visits), kind).drop("base")
+    buckets_of = held.groupBy("length", "bucket", "base").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    sizes = buckets_of.drop("base")
     held = held.join(sizes, ["length", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
     wanted = wanted.join(sizes, ["length", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     key = ["length", "bucket", "part"]
-    met = held.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInArrow(lambda x, q: _nearest(x, q, k + 1), "query long, id long, score double")
+    met = held.drop("base").groupBy(*key).cogroup(wanted.groupBy(*key)).applyInArrow(lambda x, q: _nearest(x, q, k + 1), "query long, id long, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    best = met.groupBy("query", "id").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
+
+    def top(met: DataFrame) -> DataFrame:
+        return met.groupBy("query", "id").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
+
+    best = staged(top(met), "ann-best")
+    # a query with fewer rows than there are candidates meets every vector of its length once
+    known = index.groupBy(F.size("vector").alias("length")).agg(F.count_distinct("id").alias("candidates"))
+    got = best.groupBy(F.col("query").alias("id")).agg(F.count(F.lit(1)).alias("got"))
+    short = staged(first.withColumn("length", F.size("vector")).join(known, "length").join(got, "id", "left")
+                   .where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k + 1), F.col("candidates"))).select("id", "vector", "length"), "ann-short")
+    if not short.isEmpty():
+        loads = short.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("groups"))
+        every_bucket = buckets_of.where("base").select(*(F.col(c).alias(c) for c in ("length", "bucket", "chunks")))
+        asked_all = (short.join(loads, "length").withColumn("grp", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int")).drop("groups")
+                     .join(every_bucket, "length").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks"))
+        held_all = held.where("base").drop("base").join(loads, "length").withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+        more = held_all.groupBy(*key, "grp").cogroup(asked_all.groupBy(*key, "grp")).applyInArrow(lambda x, q: _nearest(x, q, k + 1), "query long, id long, score double")
+        best = top(best.unionByName(more))
     # queries of equal vectors share what was found; each leaves out itself
     twins = asked.select(F.col("id").alias("query_id"), "vector").distinct().join(first.withColumnRenamed("id", "query"), "vector").select("query_id", "query")
     result = twins.join(best, "query").where("id <> query_id")

@@ -61,3 +61,14 @@ def test_recall_with_production_parameters(spark):
         print(sf, "recall", found)
         assert found >= 0.93
         assert len(got) == len(want)
+
+
+def test_no_query_is_short_of_rows_with_production_parameters(spark):
+    rng = random.Random(8)
+    one = [float(np.float32(rng.gauss(0, 1))) for _ in range(64)]
+    handful = [(i, [float(np.float32(rng.gauss(0, 1))) for _ in range(40)]) for i in range(100, 105)]
+    # a query and its opposite, with copies of the query; a length of its own with a handful of vectors
+    data = [(50, one), (51, [-v for v in one]), (150, one), *handful, (200, [1.0] * 24)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3)
+    assert result(N.search(df)) == brute(data)
+    assert result(N.search(df, chunk=1)) == brute(data)
