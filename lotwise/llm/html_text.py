@@ -21,9 +21,15 @@ from lotwise.llm import common
 SPAN, SURGE = 3, 80
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|canvas|select|textarea|head)\b.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?][^>]*>",
-    re.S | re.I)
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(/?)([a-zA-Z][^\s<>/\"']*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)/?>|<(/?)([a-zA-Z][^\s<>/\"']*+)([^<>]*)>|<[!?][^>]*>",
+    re.S)
+# elements whose content is no text of the page; unclosed ones hide nothing, but raw text runs to the end of the page
+_RAW = frozenset("script style textarea iframe".split())
+_HIDDEN = _RAW | frozenset("title noscript template svg math object canvas select".split())
+_CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
+_ENDS = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I) for tag in _HIDDEN - _RAW}
+_CUT_OFF = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _TOKEN = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+(?![a-z])")
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output picture progress q rp rt ruby s samp small source span strike strong sub sup time track tt u var wbr".split())
@@ -47,7 +53,7 @@ def _boiler(tag: str, attributes: str, content: bool) -> int:
     if tag in _BOILER_TAGS:
         # the headline of an article may stand in a header of its own
         return NOTHING if tag == "header" and content else HARD
-    if not attributes.strip() or tag in ("html", "body"):
+    if not attributes.strip() or tag in ("html", "head", "body"):
         return NOTHING
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
@@ -66,6 +72,35 @@ def _is_content(tag: str, attributes: str) -> bool:
     return tag in _CONTENT_TAGS or any(name.lower() in ("role", "itemprop") and "".join(values).lower() in ("main", "article", "articlebody") for name, *values in _ATTRIBUTE.findall(attributes))
 
 
+class _Hidden:
+    """Where hidden elements of a page end; each kind is looked for once."""
+
+    def __init__(self, page: str):
+        self.page, self.ends, self.open = page, {}, set()
+
+    def end(self, tag: str, start: int, after: int) -> int | None:
+        """The end of an element that starts at ``start``; None if it is not closed."""
+        if tag in _RAW:
+            close = None if tag in self.open else _CLOSE[tag].search(self.page, after)
+            if close is None:
+                self.open.add(tag)
+                return len(self.page)
+            return self._behind(close.end())
+        if tag not in self.ends:
+            pairs, opened = {}, []
+            for mark in _ENDS[tag].finditer(self.page):
+                if not mark[1]:
+                    opened.append(mark.start())
+                elif opened:
+                    pairs[opened.pop()] = mark.end()
+            self.ends[tag] = pairs
+        end = self.ends[tag].get(start)
+        return None if end is None else self._behind(end)
+
+    def _behind(self, at: int) -> int:
+        return self.page.find(">", at) + 1 or len(self.page)
+
+
 def lines(page: str) -> list[tuple[str, int, int, int]]:
     """Per block of text: the text, its length without links, the depth of boilerplate and of named content around it."""
     found: list[tuple[str, int, int, int]] = []
@@ -103,16 +138,21 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
         if not links:
             plain += len(text.strip())
 
-    for mark in _MARKUP.finditer(page):
+    hidden = _Hidden(page)
+    while mark := _MARKUP.search(page, at):
         if mark.start() > at:
             put(page[at: mark.start()])
         at = mark.end()
-        tag = (mark[3] or mark[6] or "").lower()
+        tag = (mark[2] or mark[5] or "").lower()
         if not tag:
-            if mark[1]:
-                close_line() if mark[1].lower() not in _INLINE else None
             continue
-        closing, attributes = mark[2] or mark[5], mark[4] or mark[7] or ""
+        closing, attributes = mark[1] or mark[4], mark[3] or mark[6] or ""
+        if tag in _HIDDEN and not closing and not (tag in ("svg", "math") and mark[0].endswith("/>")):
+            end = hidden.end(tag, mark.start(), at)
+            if end is not None:
+                close_line()
+                at = end
+                continue
         if tag in _INLINE:
             if tag == "a":
                 links = 0 if closing else 1
@@ -145,7 +185,8 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
                     break
         push(tag, _boiler(tag, attributes, content > 0), _is_content(tag, attributes))
     if at < len(page):
-        put(page[at:] if "<" not in page[at:] else page[at: at + page[at:].index("<")])
+        cut = _CUT_OFF.search(page, at)
+        put(page[at: cut.start()] if cut else page[at:])
     close_line()
     return found
 

@@ -44,6 +44,27 @@ def test_layouts(page, want):
     assert H.main_text(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<html><head><title>t</title><body><article><p>body text</p></article></body></html>", "body text"),
+    ("<head><title>t</title><style>p {}</style><article><p>body text</p></article>", "body text"),
+    ("<article><head-line>one</head-line><select_x>two</select_x><p>three</p></article>", "one\ntwo\nthree"),
+    ("<article><p>a<select><option>b<p>c</article>", "a\nb\nc"), ("<article><svg class=x>a<p>b<svg><text>no</text></svg>c</article>", "a\nb\nc"),
+    ("<article><svg/>a<noscript><p>b</article>", "a\nb"), ("<article><object><object>no</object>no</object><p>b</article>", "b"),
+    ("<article><p>a<textarea>no<p>no</article>", "a"), ("<article><p>a<SCRIPT>no</script >b</article>", "a\nb"),
+    ("<p>if a < b then more", "if a < b then more"), ("plain 1 < 2 text", "plain 1 < 2 text"), ("<p>x < y <b", "x < y"),
+])
+def test_omitted_end_tags_and_loose_brackets(page, want):
+    assert H.main_text(page) == want
+
+
+def test_hostile_hidden_elements_take_linear_time():
+    began = time.time()
+    for piece in ("<svg>", "<svg ", "</svg ", "<select><p>", "<title>", "<script>x", "<iframe></iframe ", "<a" + "b" * 9, "<noscript></noscript>"):
+        H.main_text(piece * 50_000)
+    H.main_text("<" + "a" * 500_000)
+    assert time.time() - began < 20
+
+
 def test_hostile_pages_take_linear_time():
     began = time.time()
     for piece in ("<a '", "<", '<p title="', "<!--", "<script ", "<div>", "</div>", "<p>x", "<b class='ad'>"):
