@@ -5,8 +5,12 @@ Set-at-a-time rule: a listing may only be linked to an *earlier* listing
 Every link table has the columns listing_id, duplicate_of and, where the
 method measures it, sim.
 """
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lotwise.functions import cols as C, text as T
@@ -242,29 +246,73 @@ def dedupe_canonical(links: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 
 # --- MinHash ------------------------------------------------------------------------------
+#: Texts of a band bucket that a task holds twice at most; a larger bucket is cut into pairs of chunks.
+BUCKET = 1_000
+#: Postings that are counted at once.
+POSTINGS = 1 << 20
+
+
+def _best_earlier(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """listing_id, duplicate_of, sim: of each text of a bucket the most similar earlier one, by exact shingle similarity."""
+    def best_of(table: pa.Table) -> pa.Table:
+        kind = pa.schema([("listing_id", table.schema.field("listing_id").type), ("duplicate_of", table.schema.field("listing_id").type), ("sim", pa.float64())])
+        table = table.take(pc.sort_indices(table, sort_keys=[("created_at", "ascending"), ("listing_id", "ascending")], null_placement="at_start"))
+        ids = table.column("listing_id").combine_chunks()
+        place = {value: i for i, value in enumerate(sorted(set(ids.to_pylist())))}
+        rank = np.array([place[value] for value in ids.to_pylist()])
+        lists = table.column("shingles").combine_chunks()
+        sizes = np.asarray(pc.list_value_length(lists), dtype=np.int64)
+        shared, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(code, kind="stable")  # per shingle its texts, earliest first
+        posts, first = text[order], np.searchsorted(code[order], np.arange(len(shared)))
+        nth = np.empty(len(order), dtype=np.int64)  # earlier texts with the shingle
+        nth[order] = np.arange(len(order)) - first[code[order]]
+        bounds, rows = np.concatenate([[0], np.cumsum(sizes)]), []
+        for i in range(1, len(sizes)):
+            common = np.zeros(i, dtype=np.int64)
+            count, start = nth[bounds[i]:bounds[i + 1]], first[code[bounds[i]:bounds[i + 1]]]
+            ends = np.cumsum(count)
+            for at in range(0, int(ends[-1]), POSTINGS):
+                spot = np.arange(at, min(int(ends[-1]), at + POSTINGS))
+                which = np.searchsorted(ends, spot, side="right")
+                common += np.bincount(posts[start[which] + spot - (ends[which] - count[which])], minlength=i)[:i]
+            sim = common / (sizes[:i] + sizes[i] - common)
+            sim[rank[:i] == rank[i]] = -1
+            best = sim.max()
+            if best >= threshold:
+                ties = np.flatnonzero(sim == best)
+                rows.append((i, int(ties[rank[ties].argmin()]), float(best)))
+        one, other = [pa.array([row[c] for row in rows], pa.int64()) for c in (0, 1)]
+        return pa.table([ids.take(one), ids.take(other), pa.array([row[2] for row in rows], pa.float64())], schema=kind)
+    return best_of
+
+
 def minhash_dups(docs: DataFrame, text: str = "text", threshold: float = 0.7, bands: int = 8, rows: int = 2, width: int = 3) -> DataFrame:
     """docs[listing_id, created_at, text]: near copies by word-shingle MinHash bands.
 
-    Identical texts are linked first; the distinct texts then meet only the
-    earliest text of each band bucket (a star, never all pairs of a bucket) and
-    the exact shingle similarity decides.
+    Identical texts are linked first; each of the distinct texts then meets all earlier
+    texts of its band buckets, and the one of the highest exact shingle similarity, then the
+    smallest id, is its link.  Large buckets are cut into pairs of chunks; tasks return one
+    best row per text.  A text of fewer than ``width`` words is one shingle.
     """
     words = F.filter(F.split(F.lower(F.col(text)), r"(?U)\s+"), lambda w: w != "")
     hashed = docs.withColumn("h", F.md5(F.col(text)))
     copies = first_of_value(hashed, ["h"]).withColumn("sim", F.lit(1.0))
     firsts = hashed.join(copies.select("listing_id"), "listing_id", "left_anti").withColumn("w", words) \
-        .filter(F.size("w") >= width).withColumn("shingles", F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, width), " ")))))
+        .filter(F.size("w") > 0).withColumn("shingles", F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, width), " ")))))
     low = lambda k: F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, F.lit(k))))
     lows = [low(k) for k in range(bands * rows)]
     keys = F.array(*[F.xxhash64(F.lit(b), *lows[b * rows:(b + 1) * rows]) for b in range(bands)])
-    signed = firsts.select("listing_id", "created_at", "shingles", F.explode(keys).alias("band"))
-    head = signed.groupBy("band").agg(F.min(F.struct(*WHEN)).alias("first"))
-    pairs = signed.select("listing_id", "created_at", "band").join(head, "band").filter(F.col("first") < F.struct(*WHEN)) \
-        .select("listing_id", F.col("first.listing_id").alias("duplicate_of")).distinct()
-    sets = firsts.select("listing_id", "shingles")
-    other = sets.select(F.col("listing_id").alias("duplicate_of"), F.col("shingles").alias("o_shingles"))
-    near = pairs.join(sets, "listing_id").join(other, "duplicate_of").withColumn("sim", T.jaccard(F.col("shingles"), F.col("o_shingles"))) \
-        .filter(F.col("sim") >= threshold)
+    signed = staged(firsts.select("listing_id", "created_at", "shingles", keys.alias("bands")), "minhash")
+    banded = signed.select("listing_id", "created_at", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("listing_id"), F.col("parts")).cast("int")
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(mine, j) * F.col("parts") + F.greatest(mine, j)))
+    met = (banded.join(buckets, "band").withColumn("pair", F.explode(pairs)).select("listing_id", "band", "pair")
+           .join(signed.select("listing_id", "created_at", "shingles"), "listing_id"))
+    id_type = signed.schema["listing_id"].dataType.simpleString()
+    near = met.groupBy("band", "pair").applyInArrow(_best_earlier(threshold), f"listing_id {id_type}, duplicate_of {id_type}, sim double")
     best = near.groupBy("listing_id").agg(F.min(F.struct((-F.col("sim")).alias("neg"), "duplicate_of")).alias("b"))
     return copies.unionByName(best.select("listing_id", F.col("b.duplicate_of").alias("duplicate_of"), (-F.col("b.neg")).alias("sim")))

@@ -137,6 +137,32 @@ def test_minhash_links_copies_and_near_copies(spark):
     assert got == {2: 1, 3: 1}
 
 
+@pytest.mark.parametrize("bucket", [1000, 4])
+def test_minhash_meets_all_earlier_texts_of_a_bucket(spark, monkeypatch, bucket):
+    monkeypatch.setattr(M, "BUCKET", bucket)
+    monkeypatch.setattr(M, "POSTINGS", 50)
+    rnd = random.Random(bucket)
+    # chains: each text differs from the one before in a few words, so the first and the last are not alike
+    docs = []
+    for c in range(4):
+        words = [f"c{c}w{i}" for i in range(60)]
+        for step in range(10):
+            docs.append((len(docs), rnd.randrange(5), " ".join(words)))
+            words = words[:2 * step] + [f"n{c}s{step}", f"m{c}s{step}"] + words[2 * step + 2:]
+    docs += [(100, 0, "Two words"), (101, 1, "two  words"), (102, 1, "two others"), (103, 0, ""), (104, 1, " "), (105, 2, None)]
+    got = {r.listing_id: (r.duplicate_of, round(r.sim, 6)) for r in M.minhash_dups(spark.createDataFrame(docs, "listing_id long, created_at int, text string"), bands=64, rows=1).collect()}
+    sets = {}
+    for i, t, text in docs:
+        w = (text or "").lower().split()
+        sets[i] = (t, {tuple(w[k:k + 3]) for k in range(max(1, len(w) - 2))} if w else set())
+    want = {}
+    for i, (t, a) in sets.items():
+        near = [(-len(a & b) / len(a | b), j) for j, (u, b) in sets.items() if (u, j) < (t, i) and a and b and len(a & b) / len(a | b) >= 0.7]
+        if near:
+            want[i] = (min(near)[1], round(-min(near)[0], 6))
+    assert got == want and got[101] == (100, 1.0)
+
+
 def test_canonical_of_long_chain(spark):
     from lotwise.session import checkpoint_root
     checkpoint_root(spark)
