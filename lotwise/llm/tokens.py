@@ -20,6 +20,7 @@ Any id range of a block is unpacked by numpy without touching the rest: id i lie
 """
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -84,11 +85,12 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kept: dict[str, bytes] = {}
         form = json.loads(self.tokenizer.to_str())
         kind = form["pre_tokenizer"] or {}
         self.by_chunk = kind.get("type") == "ByteLevel" and kind["use_regex"] and not kind["add_prefix_space"] and not form["normalizer"]
+        # special tokens in a text keep their own ids, so no cut may fall into one or beside the space it takes
+        self.by_chunk = self.by_chunk and not any(one["lstrip"] or one["rstrip"] or re.search(r"[\s.,]", one["content"]) for one in form["added_tokens"])
         self.n_bytes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=np.int64)
         for piece, one in self.tokenizer.get_vocab().items():
             self.n_bytes[one] = len(piece)

@@ -31,6 +31,16 @@ def test_width():
     assert [K.width(n) for n in (1, 2, 3, 256, 257, 32_000, 49_408, 50_257, 65_536, 65_537)] == [1, 1, 2, 8, 9, 15, 16, 16, 16, 17]
 
 
+def test_special_tokens_in_texts_are_encoded_as_by_the_library():
+    library, encoder = Tokenizer.from_file(byte_bpe()), K.Encoder(byte_bpe())
+    rng = random.Random(2)
+    texts = ["<|endoftext|>"] + ["".join(rng.choice(["<|endoftext|>", "<|endof", " ", "ab", ".", ",", "\n", "It's"]) for _ in range(rng.randint(1, 12))) for _ in range(2000)]
+    flat, sizes = encoder.ids(pa.array(texts))
+    assert encoder.by_chunk and flat[0] == 50256 and sizes[0] == 1
+    assert np.split(flat, np.cumsum(sizes)[:-1])[7].tolist() == library.encode(texts[7], add_special_tokens=False).ids
+    assert flat.tolist() == [i for text in texts for i in library.encode(text, add_special_tokens=False).ids]
+
+
 def test_chunks_encode_as_whole_texts(monkeypatch):
     monkeypatch.setattr(K, "KEPT_CHUNKS", 500)
     rng, encoder = random.Random(1), K.Encoder(byte_bpe())
