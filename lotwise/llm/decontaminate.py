@@ -254,8 +254,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = [covered(row) for row in runs]
         yield pa.record_batch([batch.column(0), batch.column(2), pa.array(hits, pa.int64()), pa.array([len(row) for row in items], pa.int64()),
                                pa.array([_digest(row) for row in items]),
-                               pa.array([is_contaminated(hit, n) for hit, n in zip(hits, batch.column(2).to_pylist())], pa.bool_())],
-                              names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                               pa.array([is_contaminated(hit, n) for hit, n in zip(hits, batch.column(2).to_pylist())], pa.bool_()), batch.column(1)],
+                              names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "tie"])
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, most_words: int = BLOCK_WORDS) -> DataFrame:
@@ -273,6 +273,12 @@ def judge(docs: DataFrame, benchmark: DataFrame, most_words: int = BLOCK_WORDS)
     if second is None:
         sent = spark.sparkContext.broadcast(first)
         return common.arrow_map(pairs, lambda it: _judge(it, sent), RESULT)
+    return _judge_blocks(pairs, first, second, rest).drop("tie")
+
+
+def _judge_blocks(pairs: DataFrame, first: Matcher, second: Matcher | None, rest: Iterator[Matcher]) -> DataFrame:
+    """The result columns and tie (the hash of the text) per row of ``pairs`` (doc_id, text), block by block."""
+    spark = pairs.sparkSession
     keyed = pairs.withColumn("tie", F.xxhash64("text"))
 
     def found(matcher: Matcher, all_rows: bool) -> DataFrame:
@@ -291,7 +297,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, most_words: int = BLOCK_WORDS)
              .join(met.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.tie") == F.col("m.tie")), "left")
              .select("d.doc_id", "d.tie", "d.n_words", F.coalesce("all_runs", F.array().cast("array<array<struct<a:int,b:int>>>")).alias("all_runs"),
                      F.coalesce("all_items", F.array().cast("array<array<string>>")).alias("all_items")))
-    return common.arrow_map(every, _merge, RESULT)
+    return common.arrow_map(every, _merge, RESULT + ", tie long")
 
 
 def _keep(batches: Iterator[pa.RecordBatch], matcher, column: int) -> Iterator[pa.RecordBatch]:
@@ -309,5 +315,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most_words: int = B
     if second is None:
         sent, column = docs.sparkSession.sparkContext.broadcast(first), docs.columns.index("text")
         return common.arrow_map(docs, lambda it: _keep(it, sent, column), docs.schema)
-    bad = judge(docs, benchmark, most_words).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad.withColumnRenamed("doc_id", "__bad"), F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bad = _judge_blocks(pairs, first, second, rest).where("contaminated").select(F.col("doc_id").alias("__bad"), F.col("tie").alias("__tie")).distinct()
+    # each row is judged by its own text: other rows may have the same doc_id, or none
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")) & (F.xxhash64("text") == F.col("__tie")), "left_anti")

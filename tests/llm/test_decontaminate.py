@@ -69,3 +69,13 @@ def test_filter_and_empty_tables(spark):
     assert D.drop_contaminated(d, b.limit(0)).count() == len(docs)
     assert D.judge(d.limit(0), b).count() == 0
     assert D.judge(d, b.limit(0)).where("n_hit > 0 or contaminated").count() == 0
+
+
+def test_rows_are_dropped_by_their_own_text_with_any_number_of_blocks(spark):
+    items = [(f"i{n}", " ".join(f"w{n}x{k}" for k in range(20))) for n in range(4)]
+    rows = [(1, items[0][1]), (1, "a clean text"), (None, items[3][1]), (None, "clean too"), (None, None), (2, items[2][1]), (3, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    for most_words in (1_000, 1):
+        kept = D.drop_contaminated(docs, benchmark, most_words)
+        assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [rows[1], rows[3], rows[4], rows[6]]))
