@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import decontaminate, filter_audit, html_text, importance, language, link_trust, mixing, neighbours, sharding, simhash, tokens
+from lotwise.llm import decontaminate, filter_audit, html_text, importance, language, lexical, link_trust, mixing, neighbours, sharding, simhash, tokens
 from lotwise.llm.common import table
 
 QUERIES: dict = {}
@@ -178,3 +178,29 @@ FROM e
 @query("op11_filter_audit", AUDIT_SQL)
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+LEXICAL_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents),
+i AS (
+    SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark),
+size AS (SELECT row, count(*) AS n FROM d GROUP BY row),
+whole AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM size),
+norm AS (SELECT row, 75 + (25 * n * big_n) // big_l AS m FROM size, whole),
+tf AS (SELECT row, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM i) GROUP BY row, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(big_n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY term),
+q AS (SELECT item, any_value(item_id) AS item_id, term, count(*) AS times FROM i GROUP BY item, term),
+s AS (
+    SELECT q.item, any_value(q.item_id) AS item_id, any_value(tf.doc_id) AS doc_id, CAST(sum(q.times * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * norm.m))) AS BIGINT) AS score
+    FROM q JOIN tf USING (term) JOIN w USING (term) JOIN norm USING (row) GROUP BY q.item, tf.row),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op12_lexical_treap", LEXICAL_SQL)
+def op12_lexical_treap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
