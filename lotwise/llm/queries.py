@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import decontaminate, filter_audit, html_text, importance, language, lexical, link_trust, mixing, neighbours, sharding, simhash, tokens
+from lotwise.llm import decontaminate, filter_audit, html_text, importance, jaccard_join, language, lexical, link_trust, mixing, neighbours, sharding, simhash, tokens
 from lotwise.llm.common import table
 
 QUERIES: dict = {}
@@ -204,3 +204,8 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
 @query("op12_lexical_treap", LEXICAL_SQL)
 def op12_lexical_treap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_jaccard_tiles")
+def op13_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
