@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from lotwise.session import remove, scratch, staged
 
-DAMPING, ROUNDS, TOLERANCE, LEAST_DISTRUST = 0.85, 20, 1e-9, 0.01
+DAMPING, TOLERANCE, LEAST_DISTRUST = 0.85, 1e-9, 0.01
+#: Rounds of propagation between two written tables.
+STEPS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"(?is)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
 
@@ -43,12 +45,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
             .groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust, distrust from ``edges`` (src, dst, weight) and ``seeds`` (host, trust, distrust).
 
     Trust goes from src to dst in the share of src's links; distrust from dst to src in the
-    share of the links to dst.  Both directions go in one table and one loop; each round is
-    written to the shared folder, and the one before it deleted.
+    share of the links to dst.  Both directions go in one table and one loop, until what is
+    still on its way is below ``tolerance`` of all: about 125 rounds at most.  Every few rounds
+    the state is written to the shared folder, and the one before it deleted.
     """
     spark = seeds.sparkSession
     start = staged(seeds.select("host", F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("trust").alias("x")), F.struct(F.lit("d").alias("kind"), F.col("distrust").alias("x")))).alias("s"))
@@ -57,20 +60,22 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
                                           F.struct(F.lit("d").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "weight"))).alias("e")).select("e.*")
     totals = ways.groupBy("kind", "a").agg(F.sum("weight").alias("total"))
     flow = staged(ways.join(totals, ["kind", "a"]).select("kind", "a", "b", (damping * F.col("weight") / F.col("total")).alias("share")), "trust-flow")
-    now, path, moved = start.withColumn("x", (1 - damping) * F.col("x")), None, 0.0
-    if not flow.isEmpty():
-        for _ in range(rounds):
+    fresh = start.withColumn("x", (1 - damping) * F.col("x"))
+    now, path, before = fresh, None, 0.0
+    while not flow.isEmpty():
+        for _ in range(STEPS):
             sent = flow.join(now.withColumnRenamed("host", "a"), ["kind", "a"]).select(F.col("b").alias("host"), "kind", (F.col("x") * F.col("share")).alias("x"))
-            fresh = start.withColumn("x", (1 - damping) * F.col("x")).unionByName(sent).groupBy("host", "kind").agg(F.sum("x").alias("x"))
-            done, path = path, scratch(spark, "trust-round")
-            fresh.write.parquet(path)
-            now = spark.read.schema("host string, kind string, x double").parquet(path)
-            if done:
-                remove(spark, done)
-            total = now.agg(F.coalesce(F.sum("x"), F.lit(0.0))).first()[0]
-            if abs(total - moved) <= tolerance * total:  # sums only grow from round to round
-                break
-            moved = total
+            now = fresh.unionByName(sent).groupBy("host", "kind").agg(F.sum("x").alias("x"))
+        done, path = path, scratch(spark, "trust-round")
+        now.write.parquet(path)
+        now = spark.read.schema("host string, kind string, x double").parquet(path)
+        if done:
+            remove(spark, done)
+        total = now.agg(F.coalesce(F.sum("x"), F.lit(0.0))).first()[0]
+        # sums only grow; what is still to come is at most this share of what came since the last look
+        if (total - before) * damping ** STEPS / (1 - damping ** STEPS) <= tolerance * total:
+            break
+        before = total
     return now.groupBy("host").agg(F.coalesce(F.sum(F.when(F.col("kind") == "t", F.col("x"))), F.lit(0.0)).alias("trust"),
                                    F.coalesce(F.sum(F.when(F.col("kind") == "d", F.col("x"))), F.lit(0.0)).alias("distrust"))
 

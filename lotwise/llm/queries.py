@@ -27,7 +27,7 @@ def byte_bpe() -> str:
 
 @query("op1_token_bits")
 def op1_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_index(table(spark, sf_dir, "documents"), byte_bpe(), 50_257)
+    return tokens.token_index(table(spark, sf_dir, "documents"), byte_bpe())
 
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -57,7 +57,7 @@ rounds(i, kind, host, x) AS (
     SELECT 0, kind, host, 0.15::DOUBLE * x FROM seeds
     UNION ALL
     SELECT i, kind, host, sum(x) FROM (
-        SELECT r.i + 1 AS i, r.kind, f.b AS host, r.x * f.share AS x FROM rounds r JOIN flow f ON r.kind = f.kind AND r.host = f.a WHERE r.i < 20)
+        SELECT r.i + 1 AS i, r.kind, f.b AS host, r.x * f.share AS x FROM rounds r JOIN flow f ON r.kind = f.kind AND r.host = f.a WHERE r.i < 150)
     GROUP BY i, kind, host),
 scores AS (
     SELECT host, coalesce(sum(x) FILTER (kind = 't'), 0) AS trust, coalesce(sum(x) FILTER (kind = 'd'), 0) AS distrust FROM rounds GROUP BY host)

@@ -10,6 +10,7 @@ block    int          position of the block in its shard
 start    long         ids of the shard before this block
 n_ids    long         ids in this block
 bits     int          width of an id: the bits of the largest id of the vocabulary
+first_doc, last_doc   smallest and largest doc_id, by which look-ups skip row groups
 doc_ids  array<long>  its documents, ascending
 offsets  array<long>  ids of this block before each document: the random-access index
 payload  binary       ids, least significant bit first, each in ``bits`` bits
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from lotwise.llm import common
 from lotwise.session import scratch
 
-BLOCKS = "shard int, block int, start long, n_ids long, bits int, doc_ids array<long>, offsets array<long>, payload binary"
-BLOCK_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.int32()),
+BLOCKS = "shard int, block int, start long, n_ids long, bits int, first_doc long, last_doc long, doc_ids array<long>, offsets array<long>, payload binary"
+BLOCK_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()),
                          ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
 ENTRIES = "doc_id long, shard int, start long, n_tokens long, ids_crc32 long"
 ENTRY_ARROW = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -55,7 +56,9 @@ def width(n_vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Ids in ``bits`` bits each, least significant bit first."""
+    """Ids in ``bits`` bits each, least significant bit first; an id that does not fit is an error."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit in {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
     wide = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
@@ -151,7 +154,8 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, bits: int, end_id
         nonlocal block, before, held, ids, docs
         lengths = np.array([len(one) for one in ids], dtype=np.int64)
         flat = np.concatenate(ids)
-        out = pa.record_batch([[shard], [block], [before], [len(flat)], [bits], [docs], [(np.cumsum(lengths) - lengths).tolist()], [pack(flat, bits)]],
+        known = [doc for doc in docs if doc is not None]
+        out = pa.record_batch([[shard], [block], [before], [len(flat)], [bits], [min(known, default=None)], [max(known, default=None)], [docs], [(np.cumsum(lengths) - lengths).tolist()], [pack(flat, bits)]],
                               schema=BLOCK_ARROW)
         block, before, held, ids, docs = block + 1, before + len(flat), 0, [], []
         return out
@@ -172,16 +176,17 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, bits: int, end_id
         yield close()
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, n_vocabulary: int, end_id: int = 0, block_ids: int = 65_536,
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, n_vocabulary: int | None = None, end_id: int = 0, block_ids: int = 65_536,
                  shards: int | None = None) -> None:
     """Encodes ``docs`` (doc_id, text) and writes the token set in ascending doc_id order.
 
     A null text is an empty one and has the end id alone; rows that repeat a doc_id are
     kept, ordered by a hash of their text; null doc_ids come first.  Other columns are
-    ignored.  An empty table gives a token set without blocks.
+    ignored.  An empty table gives a token set without blocks.  The width is that of the
+    tokenizer's vocabulary and the end id, unless ``n_vocabulary`` says otherwise.
     """
     spark = docs.sparkSession
-    bits = width(n_vocabulary)
+    bits = width(n_vocabulary or max(len(encoder(tokenizer).n_bytes), end_id + 1))
     ranged = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("tie"))
               .repartitionByRange(shards or common.partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
               .select("doc_id", "text", F.spark_partition_id().alias("shard")))
@@ -214,7 +219,7 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
     """Random access: the ids of one document, by the doc_id ranges of the blocks; one array per row with this doc_id."""
-    rows = (spark.read.schema(BLOCKS).parquet(path).where(F.array_contains("doc_ids", F.lit(doc_id)))
+    rows = (spark.read.schema(BLOCKS).parquet(path).where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id)).where(F.array_contains("doc_ids", F.lit(doc_id)))
             .select("n_ids", "bits", "doc_ids", "offsets", "payload").collect())
     found = []
     for row in rows:
@@ -223,7 +228,7 @@ def read_ids(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
     return found
 
 
-def token_index(docs: DataFrame, tokenizer: str, n_vocabulary: int, end_id: int = 0) -> DataFrame:
+def token_index(docs: DataFrame, tokenizer: str, n_vocabulary: int | None = None, end_id: int = 0) -> DataFrame:
     """Writes the token set of ``docs`` to shared storage and returns what the files hold per document."""
     path = scratch(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer, n_vocabulary, end_id)

@@ -5,6 +5,7 @@ import re
 import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 
 from lotwise.llm import link_trust as T
 from lotwise.llm.queries import URL_RULES, URL_SQL
@@ -42,9 +43,8 @@ def brute(rows):
     out, into = w / np.maximum(w.sum(1, keepdims=True), 1), w / np.maximum(w.sum(0, keepdims=True), 1)
     t0 = np.array([np.mean([s == "allow" for s in seen[h]]) for h in hosts])
     d0 = np.array([np.mean([s == "block" for s in seen[h]]) for h in hosts])
-    t, d = 0.15 * t0, 0.15 * d0
-    for _ in range(20):
-        t, d = 0.15 * t0 + 0.85 * out.T @ t, 0.15 * d0 + 0.85 * into @ d
+    one = np.eye(len(hosts))
+    t, d = 0.15 * np.linalg.solve(one - 0.85 * out.T, t0), 0.15 * np.linalg.solve(one - 0.85 * into, d0)
     score = {h: (a, b) for h, a, b in zip(hosts, t, d)}
     result = []
     for i, host, path, _ in parts:
@@ -81,5 +81,16 @@ def test_judge_equals_brute_force(spark):
         assert sorted(set(map(repr, ((a, b, c, d or None, e) for a, b, c, d, e in sql)))) == sorted(set(repr(r[:5]) for r in want))
 
 
+def test_trust_runs_along_long_chains_and_round_cycles(spark):
+    """Sixty hops from the seed, and a cycle that keeps all its mass but the damping."""
+    chain = [(f"h{i}", f"h{i + 1}", 1.0) for i in range(60)] + [("p", "q", 1.0), ("q", "p", 1.0)]
+    seeds = [("h0", 1.0, 0.0), ("p", 1.0, 0.0), ("h60", 0.0, 1.0)]
+    got = {r.host: (r.trust, r.distrust) for r in T.propagate(spark.createDataFrame(chain, "src string, dst string, weight double"),
+                                                               spark.createDataFrame(seeds, "host string, trust double, distrust double")).collect()}
+    for i in range(61):
+        assert got[f"h{i}"] == pytest.approx((0.15 * 0.85 ** i, 0.15 * 0.85 ** (60 - i)), abs=1e-8)
+    assert got["p"][0] == pytest.approx(0.15 / (1 - 0.85 ** 2), abs=1e-8) and got["q"][0] == pytest.approx(0.15 * 0.85 / (1 - 0.85 ** 2), abs=1e-8)
+
+
 def test_empty_table(spark):
     assert T.judge(spark.createDataFrame([], "page_id long, url string, html string"), URL_RULES).count() == 0

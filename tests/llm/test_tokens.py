@@ -14,7 +14,6 @@ from lotwise.llm.queries import byte_bpe
 
 def whole(texts):
     t = Tokenizer.from_file(byte_bpe())
-    t.encode_special_tokens = True
     return [one.ids for one in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -27,6 +26,13 @@ def test_packing_is_a_round_trip_with_random_access(bits):
     assert not len(K.unpack(packed, bits, 5, 0))
 
 
+def test_ids_beyond_the_width_are_an_error():
+    for bits, one in ((16, 65_536), (3, 8), (8, 300)):
+        with pytest.raises(ValueError):
+            K.pack(np.array([1, one], dtype=np.uint32), bits)
+    assert K.unpack(K.pack(np.array([65_535], dtype=np.uint32), 16), 16, 0, 1).tolist() == [65_535]
+
+
 def test_width():
     assert [K.width(n) for n in (1, 2, 3, 256, 257, 32_000, 49_408, 50_257, 65_536, 65_537)] == [1, 1, 2, 8, 9, 15, 16, 16, 16, 17]
 
