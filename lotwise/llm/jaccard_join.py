@@ -163,7 +163,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, percent: in
                               names=["token", "key", "n"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows a, b and their two sets, a and b of those that are alike."""
     for batch in batches:
         some = [alike(np.frombuffer(a.as_py(), dtype=np.uint64), np.frombuffer(b.as_py(), dtype=np.uint64), percent) for a, b in zip(batch.column(2), batch.column(3))]
         yield batch.select([0, 1]).filter(pa.array(some, pa.bool_()))
@@ -265,7 +266,7 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, chunk: i
                    .where(100 * most >= percent * (F.col("n") + F.col("m") - most)).select("a", "b"), "close-pairs")
     near = _arrays(sets, nodes, close.select(F.col("a").alias("key")).unionByName(close.select(F.col("b").alias("key"))))
     checked = close.join(near.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(near.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-    links = staged(common.arrow_map(checked.select("a", "b", "x", "y"), lambda it: _verified(it, percent), "a long, b long"), "star-links")
+    links = staged(common.arrow_map(checked.select("a", "b", "x", "y"), lambda it: verified(it, percent), "a long, b long"), "star-links")
     stars = components(links)
 
     # tiles of shingles whose nodes are not connected yet

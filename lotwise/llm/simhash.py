@@ -20,6 +20,10 @@ are confirmed inside the tasks by a one-permutation MinHash sketch of the texts'
 shingles, whose estimate of their Jaccard similarity must reach ``SIMILAR``.  Texts of one
 fingerprint, and those of two near ones, are all candidates of each other; where they are many,
 only pairs that share a band of their sketches are compared, which loses none (``Sketches``).
+An edit of a short text may turn more bits than the budget, and a sketch may fall short of the
+threshold by chance.  So texts that the tries leave apart, but that share one of ``BANDS`` hashes
+of ``BAND_ROWS`` minima of their shingles, are compared by their exact sets as well
+(``banded_links``).
 """
 from collections.abc import Iterator
 
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.llm import common
+from lotwise.llm import common, jaccard_join
 from lotwise.llm.components import components
 from lotwise.session import staged
 
@@ -41,6 +45,8 @@ PAIRS = 1 << 18
 _SOME = 8192
 #: Of the deduplication: differing bits of candidates, words of a shingle, similarity of near copies, and bins of a sketch.
 WIDE_BUDGET, SKETCH_SHINGLE, SIMILAR, BINS = 6, 5, 0.8, 512
+#: Of a pair at the threshold a band is equal with probability 0.8^7 = 0.21, one of 20 with 0.991.
+BANDS, BAND_ROWS = 20, 7
 #: Pairs of leaves of two nodes that are all compared; of more, those that share a band of sketches.
 FEW = 1 << 14
 
@@ -62,37 +68,50 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def _hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
-    """XXH64 of each run of ``shingle`` words, joined by spaces; of all words if there are fewer."""
-    row = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    n = max(1, len(words) - shingle + 1)
-    starts, hashed = np.concatenate([[0], ends[:-1] + 1])[:n].tolist(), xxhash.xxh64_intdigest
-    return np.array([hashed(row[a:b], seed) for a, b in zip(starts, ends[min(shingle, len(words)) - 1:].tolist())], dtype="<u8")
-
-
-def word_mark(text: bytes | None) -> int:
-    """SimHash of the set of a text's words; 0 without words."""
-    words = sorted(set((text or b"").lower().split()))
-    if not words:
+def _word_mark(words: np.ndarray) -> int:
+    """SimHash of the set of a text's words, by their hashes; 0 without words."""
+    words = np.unique(words)
+    if not len(words):
         return 0
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(words), _SOME):
-        some = np.array([xxhash.xxh64_intdigest(word, SEED) for word in words[at: at + _SOME]], dtype="<u8")
-        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += np.unpackbits(words[at: at + _SOME].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(words), bitorder="little").view("<u8")[0])
 
 
-def sketch(text: bytes | None, bins: int = BINS) -> np.ndarray:
+def _sketch(shingles: np.ndarray, bins: int = BINS) -> np.ndarray:
     """One byte per bin: of the smallest shingle hash that falls into it, from 1 to 255; 0 if none does."""
-    words, out = (text or b"").lower().split(), np.zeros(bins, dtype=np.uint8)
-    least = np.full(bins, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, max(len(words) - SKETCH_SHINGLE + 1, min(len(words), 1)), _SOME):
-        hashes = _hashes(words[at: at + _SOME + SKETCH_SHINGLE - 1], SKETCH_SHINGLE, SEED)
-        spot = (hashes >> np.uint64(40)) % np.uint64(bins)
-        np.minimum.at(least, spot.astype(np.int64), hashes)
-        out[spot.astype(np.int64)] = 1
-    return np.where(out > 0, (least % np.uint64(255) + np.uint64(1)).astype(np.uint8), 0).astype(np.uint8)
+    out = np.zeros(bins, dtype=np.uint8)
+    spot = ((shingles >> np.uint64(40)) % np.uint64(bins)).astype(np.int64)
+    # shingles ascend, so the last one written to a bin is its smallest
+    out[spot[::-1]] = (shingles[::-1] % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    return out
+
+
+_MINIMA = np.random.default_rng(20).integers(1, 1 << 63, size=(2, BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _bands(shingles: np.ndarray) -> np.ndarray:
+    """A hash per band of the minima of its permutations of the shingles."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), _SOME):
+        some = shingles[None, at: at + _SOME] ^ _MINIMA[0]
+        some *= _MINIMA[1]
+        np.minimum(least, some.min(axis=1), out=least)
+    mixed = np.zeros(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(31)
+    return mixed
+
+
+def word_mark(text: bytes | None) -> int:
+    return _word_mark(jaccard_join.word_hashes([text])[0])
+
+
+def sketch(text: bytes | None) -> np.ndarray:
+    """The sketch of the five-word shingles of a text."""
+    return _sketch(jaccard_join.shingle_set(jaccard_join.word_hashes([text])[0], SKETCH_SHINGLE))
 
 
 def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -413,24 +432,64 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in common.slices(whole, 1):
-            texts = list(common.texts_of(batch.column(1)))
-            marks = np.array([word_mark(text) for text in texts], dtype=np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(marks), pa.array([sketch(text).tobytes() for text in texts], pa.binary())],
-                                  names=["doc_id", "tie", "mark", "sketch"])
+            words = jaccard_join.word_hashes(list(common.texts_of(batch.column(1))))
+            sets = [jaccard_join.shingle_set(w, SKETCH_SHINGLE) for w in words]
+            marks = np.array([_word_mark(w) for w in words], dtype=np.uint64).view(np.int64)
+            bands = [_bands(s).view(np.int64) if len(s) else np.empty(0, dtype=np.int64) for s in sets]
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(marks), pa.array([_sketch(s).tobytes() for s in sets], pa.binary()),
+                                   common.list_array(np.concatenate(bands), np.array([len(b) for b in bands]), pa.int64())],
+                                  names=["doc_id", "tie", "mark", "sketch", "bands"])
+
+
+def _text_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in common.slices(whole, 1):
+            sets = [jaccard_join.shingle_set(w, SKETCH_SHINGLE).tobytes() for w in jaccard_join.word_hashes(list(common.texts_of(batch.column(1))))]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["tie", "shingles"])
+
+
+def banded_links(texts: DataFrame, docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: links by exact similarity between texts (tie, low, bands) of different components.
+
+    Texts that share a band are compared with three texts of it: the one that shares bands
+    with most others, which mostly is what the others were copied from, and two others by a
+    hash that differs from band to band.  ``roots``: node, root of texts that are connected.
+    """
+    spread = staged(texts.select("tie", F.posexplode("bands").alias("at", "value")).select("tie", F.xxhash64("at", "value").alias("band")), "bands")
+    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    live = staged(spread.join(shared, "band"), "shared-bands")
+    reach = live.groupBy("tie").agg(F.sum("n").alias("reach"))
+    turn = F.struct(F.xxhash64("band", "tie").alias("h"), "tie")
+    heads = (live.join(reach, "tie").groupBy("band").agg(F.max(F.struct("reach", "tie")).alias("x"), F.min(turn).alias("y"), F.max(turn).alias("z"))
+             .select("band", F.explode(F.array("x.tie", "y.tie", "z.tie")).alias("head")))
+    pairs = live.join(heads, "band").where("tie <> head").select(F.least("tie", "head").alias("a"), F.greatest("tie", "head").alias("b")).distinct()
+    root = roots.select("node", "root")
+    apart = (pairs.join(root.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+             .where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b"))
+    apart = staged(apart, "band-pairs")
+    wanted = apart.select(F.col("a").alias("__tie")).unionByName(apart.select(F.col("b").alias("__tie"))).distinct().join(texts.select(F.col("tie").alias("__tie"), "low.doc_id"), "__tie")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("tie"))
+    rows = rows.join(wanted, (F.col("tie") == F.col("__tie")) & F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("tie", "text")
+    sets = staged(common.arrow_map(rows, _text_sets, "tie long, shingles binary").dropDuplicates(["tie"]), "band-sets")
+    both = (apart.join(sets.select(F.col("tie").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("tie").alias("b"), F.col("shingles").alias("y")), "b")
+            .select("a", "b", "x", "y"))
+    percent = round(100 * SIMILAR)
+    return common.arrow_map(both, lambda it: jaccard_join.verified(it, percent), "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies with all its columns: the smallest doc_id, then the smallest hash of the text.
 
-    Texts are alike if their sketches say so, or if they are equal; groups are connected
-    through likeness.  Null and blank texts are one group; a null doc_id comes last.
+    Texts are alike if they are equal, if their sketches say so, or, beyond the budget of the
+    tries, if their sets of shingles do; groups are connected through likeness.  Null and blank texts are one group; a null doc_id comes last.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    found = staged(common.arrow_map(rows, _sketches, "doc_id long, tie long, mark long, sketch binary"), "sketches")
+    found = staged(common.arrow_map(rows, _sketches, "doc_id long, tie long, mark long, sketch binary, bands array<long>"), "sketches")
     # equal texts are one node, numbered by the hash of the text
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
-    texts = staged(found.groupBy("tie").agg(F.min(order).alias("low"), F.first("mark").alias("mark"), F.first("sketch").alias("sketch")), "texts")
-    links = components(near_links(texts.select(F.col("tie").alias("node"), "mark", "sketch"), budget=WIDE_BUDGET))
+    texts = staged(found.groupBy("tie").agg(F.min(order).alias("low"), F.first("mark").alias("mark"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "texts")
+    near = staged(near_links(texts.select(F.col("tie").alias("node"), "mark", "sketch"), budget=WIDE_BUDGET), "trie-links")
+    links = components(near.unionByName(staged(banded_links(texts, docs, components(near)), "banded-links")))
     grouped = texts.join(links, texts["tie"] == links["node"], "left").select("low", F.coalesce("root", "tie").alias("group"))
     first = grouped.groupBy("group").agg(F.min("low").alias("s")).select("s.doc_id", "s.tie")
     chosen = staged(found.select("doc_id", "tie").alias("f").join(first.alias("c"), F.col("f.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("f.tie") == F.col("c.tie")))

@@ -218,6 +218,39 @@ def test_sketch_estimates_similarity():
     assert S.word_mark(None) == S.word_mark(b" ") == 0 and not S.sketch(b"").any()
 
 
+def edited(rng, n_bases):
+    """(doc_id, text): bases and copies with a few edited words, about half of them near 0.8."""
+    out = []
+    for _ in range(n_bases):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([60, 100, 150, 300]))]
+        out.append(base)
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), max(1, round(len(copy) * rng.choice([0.005, 0.01, 0.018, 0.021])))):
+                copy[at] = f"n{rng.randrange(10**6)}"
+            out.append(copy)
+    return [(i, " ".join(words)) for i, words in enumerate(out)]
+
+
+def test_recall_against_an_exact_comparison(spark):
+    """Of the rows that an exact comparison at 0.8 drops, at least 0.95 go; rows unlike all others stay."""
+    rows = edited(random.Random(8), 120)
+    sets = [shingles(t) for _, t in rows]
+    alike = [[j for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(rows))]
+    root = list(range(len(rows)))
+    for i, some in enumerate(alike):
+        for j in some:
+            root = [root[j] if r == root[i] else r for r in root]
+    groups = {}
+    for i, r in enumerate(root):
+        groups.setdefault(r, []).append(i)
+    gone = {i for g in groups.values() for i in g if i != min(g)}
+    far = {i for i in range(len(rows)) if all(len(sets[i] & sets[j]) < 0.7 * len(sets[i] | sets[j]) for j in range(len(rows)) if j != i)}
+    kept = {r.doc_id for r in S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(gone) > 100 and len(gone - kept) >= 0.95 * len(gone)
+    assert far <= kept
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(docs).count() == 0 and S.drop_near_duplicates(docs).count() == 0
