@@ -1,11 +1,14 @@
 """Registered queries: streaming jobs over the events table, run with ``availableNow``."""
 from pyspark.sql import functions as F
 
-from lotwise.operators import flags as G, maintain as A, score as P
+from lotwise.operators import flags as G, maintain as A, normalize as N, score as P
 from lotwise.plans import base as B
+from lotwise.plans.q_normalize import FUZZY_CTE, PAIR_CTE, SEED_CTE
+from lotwise.plans.q_score import RISK_CTE
 from lotwise.plans.registry import query
-from lotwise.session import scratch
-from lotwise.streaming import streams as S
+from lotwise.session import scratch, staged
+from lotwise.sources import io as IO
+from lotwise.streaming import chain as H, streams as S
 
 CLOSED = "(SELECT max(ts) - INTERVAL 2 HOUR FROM events)"
 
@@ -96,3 +99,71 @@ def stream_caps(spark, d):
 def stream_delay(spark, d):
     rows = stream(spark, d).select("ts", "user_id", "event_id", F.when(F.col("event_type") == "view", 30).otherwise(0).alias("delay_minutes"))
     return S.run_available(S.delayed(rows), "delay").select("user_id", "event_id")
+
+
+# --- several batches against stored tables ----------------------------------------------------
+def in_batches(spark, rows, name, body, repeat=1):
+    """Runs a body over the rows of batch 0, 1 and 2 as they arrive; batch ``repeat`` is handed over twice, as after a failure."""
+    folder, state = scratch(spark, f"{name}-in"), scratch(spark, f"{name}-state")
+    rows = staged(rows, f"{name}-rows")
+    schema = rows.drop("batch").schema
+
+    def twice(batch, batch_id):
+        body(batch, batch_id)
+        if batch_id == repeat:
+            body(batch, batch_id)
+    for i in range(3):
+        rows.filter(F.col("batch") == i).drop("batch").write.mode("append").parquet(folder)
+        S.run_batches(spark.readStream.schema(schema).parquet(folder), name, twice, state)
+
+
+def batch_of(early, middle, late):
+    """Batch by time, a tenth of the rows one batch late."""
+    return F.least(F.lit(2), F.when(early, 0).when(middle, 1).otherwise(2) + F.when(late, 1).otherwise(0))
+
+
+T1, T2 = "2025-04-15", "2025-08-01"
+CHAIN_CTE = f"""x AS (SELECT l.listing_id, l.created_at, l.title, l.description, l.year, l.priority, coalesce(nb, lower(make)) AS kb, coalesce(nm, lower(model_raw)) AS km,
+    CAST(round(round(CAST(cents * CASE currency WHEN 'EUR' THEN 196 ELSE 100 END AS DECIMAL(18,0)) / 10000, 2) * 100) AS BIGINT) AS bgn_cents,
+    least(2, CASE WHEN created_at < TIMESTAMP '{T1}' THEN 0 WHEN created_at < TIMESTAMP '{T2}' THEN 1 ELSE 2 END + CASE WHEN listing_id % 10 = 0 THEN 1 ELSE 0 END) AS b
+  FROM l LEFT JOIN fz USING (make, model_raw)),
+ own AS (SELECT *, first_value(listing_id) OVER (PARTITION BY title, description ORDER BY b, created_at, listing_id) AS owner FROM x WHERE priority <> '4-NOT SPECIFIED'),
+ nd AS (SELECT * FROM own WHERE owner = listing_id),
+ cell AS (SELECT r.listing_id, count(*) AS n, sum(y.bgn_cents)::DOUBLE / 100::DOUBLE / count(*) AS avg_price FROM nd r JOIN nd y ON r.kb = y.kb AND r.km = y.km AND y.year BETWEEN r.year - 2 AND r.year + 2 AND y.b <= r.b GROUP BY 1),
+ sc AS (SELECT nd.listing_id, n, avg_price, risk_level, CASE WHEN n >= 5 THEN least(10, greatest(1, (4 + CASE WHEN disc >= 25 THEN 4 WHEN disc >= 20 THEN 3.5 WHEN disc >= 15 THEN 3 WHEN disc >= 10 THEN 2 WHEN disc >= 5 THEN 1
+    WHEN disc >= 0 THEN 0.5 ELSE -abs(disc) / 10 END) * CASE WHEN n >= 20 THEN 1 WHEN n >= 10 THEN 0.9 ELSE 0.8 END + CASE WHEN nd.year >= 2020 THEN 0.3 ELSE 0 END)) ELSE 3 END::DOUBLE AS score
+  FROM (SELECT nd.*, n, avg_price, (avg_price - bgn_cents / 100::DOUBLE) / avg_price * 100 AS disc FROM nd JOIN cell USING (listing_id)) nd JOIN rk USING (listing_id))"""
+
+
+@query("stream_chain", B.with_l(SEED_CTE, PAIR_CTE, FUZZY_CTE, RISK_CTE, CHAIN_CTE) + """SELECT listing_id, 'error' AS outcome, NULL::BIGINT AS duplicate_of, NULL::BIGINT AS n, NULL::DOUBLE AS avg_price, NULL::DOUBLE AS score, NULL AS risk_level, NULL::BOOLEAN AS sent
+    FROM x WHERE priority = '4-NOT SPECIFIED'
+  UNION ALL SELECT listing_id, 'duplicate', owner, NULL, NULL, NULL, NULL, NULL FROM own WHERE owner <> listing_id
+  UNION ALL SELECT listing_id, 'scored', NULL, n, round(avg_price, 4), round(score, 4), risk_level, score >= 7 AND risk_level <> 'high' FROM sc""")
+def stream_chain(spark, d):
+    """Parse, normalize, dedupe, price, risk, score and outbox over three batches with late rows, one of them repeated."""
+    df = B.listings(spark, d)
+    doc = F.to_json(F.struct(F.col("make").alias("brand"), F.col("model_raw").alias("model"), "year", F.col("price_bgn").alias("price"), "mileage_km", F.col("fuel_raw").alias("fuel"),
+                             F.col("gearbox_raw").alias("gearbox"), F.col("body_raw").alias("body"), "currency", "region", "title", "description"))
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
+    rows = df.select("listing_id", "created_at", F.when(F.col("priority") != "4-NOT SPECIFIED", doc).alias("parsed_data"),
+                     batch_of(F.col("created_at") < at(T1), F.col("created_at") < at(T2), F.col("listing_id") % 10 == 0).alias("batch"))
+    db = H.stores(spark, scratch(spark, "chain"))
+    db.dictionary.merge(0, N.alias_dictionary(IO.seed(spark, "brand_models")), lambda current, new: new)
+    in_batches(spark, rows, "chain", H.process(db, F.lit(2025)))
+    return H.results(spark, db).withColumns({"avg_price": F.round("avg_price", 4), "score": F.round("score", 4)})
+
+
+@query("stream_stored_intake", """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS site_ad_id, ts, 'https://ads.example/' || user_id || '/' || event_id AS url, props, event_type <> 'error' AS active,
+    least(2, CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 0 WHEN ts < TIMESTAMP '2024-01-20' THEN 1 ELSE 2 END + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) AS b FROM events)
+  SELECT site_ad_id, min(ts) AS first_seen_at, max(ts) AS last_seen_at, arg_max(url, {'t': ts, 'u': url}) AS url, arg_max(active, {'t': ts, 'u': url}) AS is_active,
+    arg_min(props, {'b': b, 't': ts, 'u': url}) AS parsed_data FROM s GROUP BY 1""")
+def stream_stored_intake(spark, d):
+    """Sightings of three batches, some of them late, upserted into a stored table of ads; the second batch comes twice."""
+    ev = B.table(spark, d, "events")
+    ad, at = F.col("user_id").cast("string"), lambda day: F.lit(day).cast("timestamp_ntz")
+    rows = ev.select(F.lit("mobile_bg").alias("source"), ad.alias("site_ad_id"), F.concat(F.lit("https://ads.example/"), ad, F.lit("/"), F.col("event_id").cast("string")).alias("url"),
+                     F.col("props").alias("parsed_data"), F.col("ts").cast("timestamp").alias("seen_at"), (F.col("event_type") != "error").alias("is_active"),
+                     batch_of(F.col("ts") < at("2024-01-10"), F.col("ts") < at("2024-01-20"), F.col("event_id") % 10 == 0).alias("batch"))
+    table = H.ads(spark, scratch(spark, "ads"))
+    in_batches(spark, rows, "stored-intake", H.store_sightings(table))
+    return _ntz(table.read(), "first_seen_at", "last_seen_at").select("site_ad_id", "first_seen_at", "last_seen_at", "url", "is_active", "parsed_data")

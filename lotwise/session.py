@@ -59,6 +59,14 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, on whatever file system it is; none if there is no such folder."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [status.getPath().getName() for status in files.listStatus(where)] if files.exists(where) else []
+
+
 def sweep(spark: SparkSession) -> None:
     """Deletes all that this application has staged; call it when the results that read it are written."""
     app = spark.sparkContext.applicationId

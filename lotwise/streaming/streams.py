@@ -34,8 +34,9 @@ def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
-def run_batches(df: DataFrame, name: str, body) -> None:
-    query = df.writeStream.foreachBatch(body).option("checkpointLocation", scratch(df.sparkSession, f"{name}-state")) \
+def run_batches(df: DataFrame, name: str, body, state: str | None = None) -> None:
+    """Runs a ``foreachBatch`` body over all available data; with a ``state`` folder, over what came since the last run with it."""
+    query = df.writeStream.foreachBatch(body).option("checkpointLocation", state or scratch(df.sparkSession, f"{name}-state")) \
         .trigger(availableNow=True).start()
     query.awaitTermination()
 
