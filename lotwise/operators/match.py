@@ -59,26 +59,59 @@ SELLER_KEYS = ["seller_id", "brand_id", "model_id"]
 PRICE_LEVELS = 10  # widest block: 4^10 cents
 
 
+PRICE_CELL = 1.25  # ratio of a price cell: a band of 10 % to either side lies in two of them at most
+LOOK_BACK = 40  # rows of a cell that are looked at before the blocks are asked
+HOT_ROWS = 100_000  # a larger group is searched day by day
+
+
 def seller_price_dups(df: DataFrame) -> DataFrame:
     """Newest earlier listing of the same seller, brand and model within 10 % of the price.
 
     A listing without a price is not held to one: the newest earlier listing counts.
-    The answer is looked up in aligned price blocks by a running maximum of
-    (created_at, id), so the cost is linear in the rows of a group; the block that
-    holds everything answers listings without a price.
+    Rows meet in cells of a logarithmic price grid, in order of time, and each looks back over
+    a fixed number of rows.  What is not settled so, because older rows are left in its cell or
+    earlier days of a large group, is looked up in aligned price blocks (``_newest_in_blocks``).
     """
     usable = df.dropna(subset=SELLER_KEYS).filter(~F.coalesce("is_duplicate", F.lit(False))) \
         .select(*SELLER_KEYS, "listing_id", "created_at", C.present(F.col("cents")).alias("cents"))
-    sizes = usable.groupBy(*SELLER_KEYS).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    df = usable.join(sizes, SELLER_KEYS).withColumns({"lo": F.expr("(cents * 9 + 9) div 10"), "hi": F.expr("(cents * 11) div 10")})
+    sizes = usable.groupBy(*SELLER_KEYS).agg(F.count(F.lit(1)).alias("size"), F.max(F.col("cents").isNull()).alias("any_free")).filter("size > 1")
+    rows = usable.join(sizes, SELLER_KEYS).withColumns({
+        "lo": F.expr("(cents * 9 + 9) div 10"), "hi": F.expr("(cents * 11) div 10"), "at": F.struct(*WHEN),
+        "part": F.when(F.col("size") > HOT_ROWS, F.to_date("created_at"))})
+    cell = lambda price: F.floor(F.log(F.greatest(price, F.lit(1)).cast("double")) / F.log(F.lit(PRICE_CELL))).cast("int")
+    every = F.array(F.lit(-1))
+    own = F.when(F.col("cents").isNull(), every).when(F.col("any_free"), F.array(cell(F.col("cents")), F.lit(-1))).otherwise(F.array(cell(F.col("cents"))))
+    wanted = F.when(F.col("cents").isNull(), every).otherwise(F.array_distinct(F.array(cell(F.col("lo")), cell(F.col("hi")))))
+    shape = lambda cells, ask: rows.select(*SELLER_KEYS, "part", "at", "cents", "lo", "hi", F.explode(cells).alias("cell"), F.lit(ask).alias("ask"))
+    # an ask sorts before the store of the same row, so a row never finds itself
+    order = Window.partitionBy(*SELLER_KEYS, "cell", "part").orderBy("at", F.col("ask").desc())
+    offered = F.when(F.col("ask") == 0, F.struct("at", "cents"))
+    events = shape(own, 0).unionByName(shape(wanted, 1)).withColumns({
+        "near": F.collect_list(offered).over(order.rowsBetween(-LOOK_BACK, -1)),
+        "before": F.count(offered).over(order.rowsBetween(Window.unboundedPreceding, -1))}).filter("ask = 1")
+    hit = F.array_max(F.transform(F.filter("near", lambda x: F.col("lo").isNull() | x["cents"].between(F.col("lo"), F.col("hi"))), lambda x: x["at"]))
+    open_ = F.col("hit").isNull() & ((F.col("before") > F.size("near")) | F.col("part").isNotNull())
+    settled = staged(events.withColumn("hit", hit).groupBy(*SELLER_KEYS, "at", "cents", "lo", "hi").agg(F.max("hit").alias("o"), F.max(open_).alias("open")), "seller-price")
+    left = settled.filter("open").select(*SELLER_KEYS, "at", "cents", "lo", "hi")
+    asked_groups = left.select(*SELLER_KEYS).distinct()
+    older = _newest_in_blocks(rows.select(*SELLER_KEYS, "at", "cents").join(asked_groups, SELLER_KEYS, "left_semi"), left)
+    return settled.filter("NOT open AND o IS NOT NULL").select("at", "o").unionByName(older) \
+        .select("at.listing_id", F.col("o.listing_id").alias("duplicate_of"))
+
+
+def _newest_in_blocks(rows: DataFrame, asking: DataFrame) -> DataFrame:
+    """at, o: for each asking row the newest earlier row of its group with a price from lo to hi (any, without a price).
+
+    Answers come from aligned price blocks by a running maximum of (created_at, id), so the cost
+    is linear in the rows of a group; the block that holds everything answers rows without a price.
+    """
     keys = [*SELLER_KEYS, "level", "block"]
-    mark = F.struct(*WHEN).alias("at")
     every = F.array(F.struct(F.lit(PRICE_LEVELS + 1).alias("level"), F.lit(0).cast("bigint").alias("block")))
     free = F.col("cents").isNull()
     held = F.when(free, every).otherwise(F.concat(blocks_holding(F.col("cents"), PRICE_LEVELS), every))
     wanted = F.when(free, every).otherwise(blocks_covering(F.col("lo"), F.col("hi"), PRICE_LEVELS))
-    stored = df.select(*SELLER_KEYS, mark, F.explode(held).alias("b"), F.lit(0).alias("ask"))
-    asked = df.select(*SELLER_KEYS, mark, F.explode(wanted).alias("b"), F.lit(1).alias("ask"))
+    stored = rows.select(*SELLER_KEYS, "at", F.explode(held).alias("b"), F.lit(0).alias("ask"))
+    asked = asking.select(*SELLER_KEYS, "at", F.explode(wanted).alias("b"), F.lit(1).alias("ask"))
     events = stored.unionByName(asked).select(*SELLER_KEYS, "b.level", "b.block", "at", "ask").withColumn("day", F.to_date("at.created_at"))
     seen = F.when(F.col("ask") == 0, F.col("at"))
     # inside a day by order of time; the days before by the running maximum of the daily maxima
@@ -86,10 +119,8 @@ def seller_price_dups(df: DataFrame) -> DataFrame:
     days = events.groupBy(*keys, "day").agg(F.max(seen).alias("top"))
     prior = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select(*keys, "day", F.max("top").over(prior).alias("carry"))
-    # an ask sorts before the store of the same row, so a row never finds itself
     found = events.withColumn("here", F.max(seen).over(inside)).filter("ask = 1").join(days, [*keys, "day"])
-    return found.withColumn("o", F.greatest("here", "carry")).filter("o is not null").groupBy("at") \
-        .agg(F.max("o").alias("o")).select("at.listing_id", F.col("o.listing_id").alias("duplicate_of"))
+    return found.withColumn("o", F.greatest("here", "carry")).filter("o is not null").groupBy("at").agg(F.max("o").alias("o"))
 
 
 # --- trigram similarity -------------------------------------------------------------
