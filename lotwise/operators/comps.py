@@ -1,12 +1,15 @@
 """Comparable listings and the market statistics built on them."""
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lotwise.functions import cols as C
+from lotwise.functions.order_stats import Levels
 from lotwise.functions.quantiles import percentiles
 from lotwise.functions.ranges import range_stats, range_sums
-from lotwise.session import staged
+from lotwise.session import ship, staged
 
 YEAR_BAND = 2
 
@@ -226,47 +229,88 @@ def comps_abs_band(probes: DataFrame, table: DataFrame, km_band: int = 20_000) -
 
 
 MARKET_KEY = ["brand_id", "model_id", "year", "km", "price_bgn"]
-BUCKET = 0.18  # width of a price bucket in ln(price): about 20 %
+MARKET_STATS = "probe bigint, n bigint, mean double, median_price int, min_price int, max_price int, q10 int, q25 int, q75 int"
+SLAB = 1_000_000  # cells and probes of whole groups that a task works on at once; a larger group stands alone
+
+
+def _market_slab(rows: pd.DataFrame, km_needs_more_than: int) -> pd.DataFrame:
+    """Order statistics of the probes among the cells of their group: rows sorted by (group, km), cells with f, probes with lo and hi."""
+    cells, asked = rows[rows["f"].notna()], rows[rows["probe"].notna()]
+    prices, ranks = np.unique(cells["price"].to_numpy(), return_inverse=True)
+    weights = cells["f"].to_numpy().astype(np.int64)
+    whole = prices.astype(np.int64)
+    levels = Levels(ranks, weights, weights * whole[ranks])
+    # groups and mileages as one ascending number; a mileage below zero is in no band
+    place = cells["grp"].to_numpy().astype(np.int64) << 32 | np.maximum(cells["km"].to_numpy().astype(np.int64), 0)
+    grp, km = asked["grp"].to_numpy().astype(np.int64), asked["km"].to_numpy().astype(np.int64)
+    find = lambda low: np.searchsorted(place, grp << 32 | low)
+    low_rank, high_rank = np.searchsorted(prices, asked["lo"].to_numpy()), np.searchsorted(prices, asked["hi"].to_numpy(), side="right")
+
+    def within(a, b):
+        under, under_sum = levels.below(a, b, low_rank)
+        upto, upto_sum = levels.below(a, b, high_rank)
+        return under, upto - under, upto_sum - under_sum
+
+    a, b = find(0), np.searchsorted(place, grp + 1 << 32)
+    by_km = (km > 0) & (within(a, b)[1] > km_needs_more_than)
+    a = np.where(by_km, find(np.maximum((km * 0.7).astype(np.int64), 1)), a)
+    b = np.where(by_km, find((km * 1.3).astype(np.int64) + 1), b)
+    under, n, total = within(a, b)
+    some = n > 0
+    a, b, under, n, total = a[some], b[some], under[some], n[some], total[some]
+    at = lambda k: whole[levels.kth(a, b, under + k)]
+    share = lambda q: np.floor(n * q).astype(np.int64)
+    return pd.DataFrame({"probe": asked["probe"].to_numpy()[some].astype(np.int64), "n": n, "mean": total / n, "median_price": at(n // 2), "min_price": at(n * 0), "max_price": at(n - 1),
+                         "q10": at(share(0.1)), "q25": at(share(0.25)), "q75": at(share(0.75))})
 
 
 def market_position(probes: DataFrame, table: DataFrame, km_needs_more_than: int = 20) -> DataFrame:
     """Market comparables (year +-2, price +-50 %, mileage +-30 % once more than
     20 rows exist) and the position of the probe's price among them.
 
-    Both sides shrink to distinct values with a frequency before the join; the
-    join key holds the year and a narrow price bucket, which spreads a hot model
-    over many partitions.  Order statistics come from a running total over the
-    integer prices of a probe, so no price list is collected.
+    Both sides shrink to distinct values with a frequency before the shuffle, which
+    deals out groups of (brand, model, year).  A task sorts its cells and probes once
+    and answers all probes by ``order_stats.Levels``, so a group costs its distinct
+    values times the bits of their number, not the pairs of values in the band.
     """
     km = C.present(F.col("mileage_km"))
-    bucket = lambda c: F.floor(F.log(F.greatest(c, F.lit(1.0))) / BUCKET)
     keyed = probes.dropna(subset=["brand_id", "model_id", "year", "price_bgn"]).withColumn("km", F.coalesce(km, F.lit(0)))
     asked = keyed.groupBy(*MARKET_KEY).agg(F.min("listing_id").alias("probe"))
     lo, hi = (F.col("price_bgn") * 0.5).cast("int"), (F.col("price_bgn") * 1.5).cast("int")
-    reach = asked.select("brand_id", "model_id", F.col("year").alias("y"), "probe", F.col("km").alias("probe_km"),
-                         lo.alias("lo"), hi.alias("hi"),
-                         F.explode(F.sequence(bucket(lo.cast("double")), bucket(hi.cast("double")))).alias("bucket"))
+    none = lambda kind: F.lit(None).cast(kind)
+    group = ["brand_id", "model_id", "y"]
+    ask = asked.select("brand_id", "model_id", F.col("year").alias("y"), F.col("km").cast("bigint").alias("km"), F.col("price_bgn").cast("double").alias("price"),
+                       none("bigint").alias("f"), F.col("probe").cast("bigint").alias("probe"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
     cells = table.dropna(subset=["price_bgn", "year"]).groupBy(
-        "brand_id", "model_id", "year", F.coalesce(km, F.lit(0)).alias("cell_km"), F.col("price_bgn").alias("cell_price")) \
+        "brand_id", "model_id", "year", F.coalesce(km, F.lit(0)).cast("bigint").alias("km"), F.col("price_bgn").cast("double").alias("price")) \
         .agg(F.count(F.lit(1)).alias("f"))
-    build = _year_spread(cells, "brand_id", "model_id", "cell_km", "cell_price", "f").withColumn("bucket", bucket(F.col("cell_price")))
-    near_km = (F.col("cell_km") > 0) & F.col("cell_km").between(
-        (F.col("probe_km") * 0.7).cast("int"), (F.col("probe_km") * 1.3).cast("int"))
-    per_price = reach.join(build, ["brand_id", "model_id", "y", "bucket"]) \
-        .filter(F.col("cell_price").between(F.col("lo"), F.col("hi"))) \
-        .groupBy("probe", "probe_km", F.col("cell_price").cast("int").alias("ip")) \
-        .agg(F.sum("f").alias("f_all"), F.sum(F.when(near_km, F.col("f")).otherwise(0)).alias("f_km"))
-    whole = Window.partitionBy("probe")
-    upto = whole.orderBy("ip").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = per_price.withColumn("n_all", F.sum("f_all").over(whole)).withColumn(
-        "f", F.when((F.col("probe_km") > 0) & (F.col("n_all") > km_needs_more_than), F.col("f_km")).otherwise(F.col("f_all"))
-    ).filter("f > 0").withColumns({"cum": F.sum("f").over(upto), "n": F.sum("f").over(whole)})
-    at = lambda share: F.min(F.when(F.col("cum") > F.floor(F.col("n") * F.lit(share)), F.col("ip")))
-    stats = chosen.groupBy("probe").agg(
-        F.max("n").alias("n"), F.min(F.when(F.col("cum") > F.floor(F.col("n") / 2), F.col("ip"))).alias("median_price"),
-        (F.sum(F.col("ip").cast("bigint") * F.col("f")) / F.max("n")).alias("mean"),
-        F.min("ip").alias("min_price"), F.max("ip").alias("max_price"),
-        at(0.1).alias("q10"), at(0.25).alias("q25"), at(0.75).alias("q75"))
+    stored = _year_spread(cells, "brand_id", "model_id", "km", "price", "f").select(*group, "km", "price", "f", none("bigint").alias("probe"), none("double").alias("lo"), none("double").alias("hi"))
+    ship(probes.sparkSession)
+
+    def slabs(batches):
+        held, size, most = [], 0, SLAB
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size < most:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            last = int(np.flatnonzero(starts(rows))[-1])
+            if last:
+                yield number(rows.iloc[:last])
+            held, size = [rows.iloc[last:]], len(rows) - last
+            most = max(SLAB, 2 * size)
+        if size:
+            yield number(pd.concat(held, ignore_index=True))
+
+    def starts(rows):
+        return (rows[group] != rows[group].shift()).any(axis=1).to_numpy()
+
+    def number(rows):
+        return _market_slab(rows.assign(grp=np.cumsum(starts(rows))), km_needs_more_than)
+
+    mixed = stored.unionByName(ask).repartition(*group).sortWithinPartitions(*group, "km")
+    stats = mixed.mapInPandas(slabs, MARKET_STATS)
     ip = F.col("price_bgn").cast("int")
     placed = keyed.join(asked, MARKET_KEY).join(stats, "probe", "left")
     return placed.withColumns({
