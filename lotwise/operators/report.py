@@ -103,6 +103,37 @@ def price_outliers(df: DataFrame, quantile: float = 0.99, factor: float = 1.1) -
     return df.join(limit, "brand_id").filter(F.col("price_bgn") > F.col("p99") * factor)
 
 
+# factor -> what such a value was probably entered as
+UNIT_ERRORS = {
+    "price": ((1.95583, "other currency, converted twice"), (1 / 1.95583, "other currency, not converted"), (10.0, "extra digit"), (0.1, "missing digit"),
+              (1000.0, "thousands entered in full"), (0.001, "entered in thousands")),
+    "mileage": ((1 / 1.609344, "entered in miles"), (10.0, "extra digit"), (0.1, "missing digit"), (1000.0, "entered in metres"), (0.001, "entered in thousands")),
+}
+ROBUST = 1.4826  # median absolute deviation of a normal distribution to its standard deviation
+
+
+def unit_mismatch(df: DataFrame, segment: list[str], value: str, kind: str = "price", most: float = 3.5, tolerance: float = 0.35, min_rows: int = 10) -> DataFrame:
+    """Rows whose value is out of its segment on a logarithmic scale, and whether a unit error explains it.
+
+    ratio: value over the segment's median.  deviation: distance of the logarithms in robust
+    standard deviations.  unit: the factor of ``UNIT_ERRORS`` nearest to the ratio, if it
+    brings the value within ``tolerance`` (of the logarithm) of the median; else NULL.  Values
+    of zero or less, null keys, segments of fewer than ``min_rows`` rows and those without
+    any spread are not judged.
+    """
+    used = df.dropna(subset=[*segment, value]).filter(F.col(value) > 0).withColumn("lv", F.log(F.col(value).cast("double")))
+    middle = percentiles(used, segment, "lv", {"middle": 0.5}, width=0.05)
+    apart = used.join(middle, segment).withColumn("off", F.abs(F.col("lv") - F.col("middle")))
+    spread = percentiles(apart, segment, "off", {"mad": 0.5}, width=0.05).filter("mad > 0")
+    size = used.groupBy(*segment).agg(F.count(F.lit(1)).alias("n_segment")).filter(F.col("n_segment") >= min_rows)
+    judged = apart.join(spread, segment).join(size, segment).withColumn("deviation", F.col("off") / (F.col("mad") * ROBUST)).filter(F.col("deviation") > most)
+    miss = lambda factor: F.abs(F.col("lv") - F.col("middle") - F.log(F.lit(factor)))
+    nearest = F.array_min(F.array(*[F.struct(miss(f).alias("miss"), F.lit(name).alias("unit"), F.lit(f).alias("factor")) for f, name in UNIT_ERRORS[kind]]))
+    return judged.withColumn("x", nearest).withColumns({
+        "ratio": F.exp(F.col("lv") - F.col("middle")), "unit": F.when(F.col("x.miss") <= tolerance, F.col("x.unit")),
+        "corrected": F.when(F.col("x.miss") <= tolerance, F.col(value) / F.col("x.factor"))}).drop("lv", "middle", "off", "mad", "x", "n_segment")
+
+
 def estimate_quality(estimates: DataFrame, segment: str = "segment") -> DataFrame:
     """estimates[segment, price_bgn, predicted, p10, p90] -> MAE, median absolute error, band coverage."""
     judged = estimates.withColumn("err", F.abs(F.col("price_bgn") - F.col("predicted")))

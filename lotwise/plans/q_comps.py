@@ -1,7 +1,7 @@
 """Registered queries: comparables and price statistics."""
 from pyspark.sql import functions as F
 
-from lotwise.operators import comps as K
+from lotwise.operators import comps as K, quantile_model as Q
 from lotwise.plans import base as B
 from lotwise.plans.registry import query
 
@@ -157,3 +157,45 @@ def price_drops(spark, d):
     seen = B.table(spark, d, "events").select(F.col("user_id").alias("listing_id"), F.col("ts").alias("seen_at"), F.col("value").alias("price"),
                                               F.col("event_id").alias("tie"))
     return K.price_drops(seen).select("listing_id", F.col("tie").alias("event_id"), F.round("pct", 6).alias("pct"), "is_drop")
+
+
+# --- price quantiles per segment -----------------------------------------------------------------
+_SUMS = ", ".join(f"sum(w * x{i} * x{j}) AS s{i}{j}" for i in range(3) for j in range(i, 3)) + ", " + ", ".join(f"sum(w * x{i} * y) AS t{i}" for i in range(3))
+
+
+def _det(columns) -> str:
+    (a, d, g), (b, e, h), (c, f, i) = columns
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _solve_sql() -> str:
+    ridge = f"{Q.RIDGE}::DOUBLE * s00"
+    m = [["s00", "s01", "s02"], ["s01", f"(s11 + {ridge})", "s12"], ["s02", "s12", f"(s22 + {ridge})"]]
+    t = ["t0", "t1", "t2"]
+    return ", ".join(f"{_det([t if j == k else m[j] for j in range(3)])} / {_det(m)} AS {c}" for k, c in enumerate("abc"))
+
+
+QUANTILE_CTE = f"""qd AS (SELECT brand_id, region, 1.0::DOUBLE AS x0, mileage_km / 100000::DOUBLE AS x1, (2025 - year) / 10::DOUBLE AS x2, price_bgn AS y FROM l),
+ qs AS (SELECT brand_id, region, any_value(n) AS n, avg(abs(y - mean)) AS dev FROM qd JOIN (SELECT brand_id, region, count(*) AS n, avg(y) AS mean FROM qd GROUP BY ALL) USING (brand_id, region) GROUP BY ALL),
+ qr AS (SELECT qd.*, n, dev FROM qd JOIN qs USING (brand_id, region) WHERE n >= {Q.MIN_ROWS} AND dev > 0),
+ fit(i, brand_id, region, q, a, b, c) AS (
+  SELECT 0, brand_id, region, unnest([0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE]), {_solve_sql()} FROM (SELECT brand_id, region, {_SUMS.replace('w * ', '')} FROM qr GROUP BY ALL)
+  UNION ALL
+  SELECT i + 1, brand_id, region, q, {_solve_sql()} FROM (SELECT i, brand_id, region, q, {_SUMS} FROM (
+    SELECT fit.i, fit.q, qr.*, (CASE WHEN y - (a + b * x1 + c * x2) >= 0 THEN q ELSE 1 - q END) / greatest(abs(y - (a + b * x1 + c * x2)), dev * greatest(pow(2::DOUBLE, -i), {Q.LEAST_FLOOR}::DOUBLE)) AS w
+    FROM fit JOIN qr USING (brand_id, region) WHERE i < {Q.ROUNDS}) GROUP BY ALL)),
+ fits AS (SELECT * FROM fit WHERE i = {Q.ROUNDS}),
+ qm AS (SELECT brand_id, region, q, a, b, c, 'regression' AS method FROM fits UNION ALL
+  SELECT brand_id, region, unnest([0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE]), unnest(p), 0, 0, 'percentiles' FROM (SELECT brand_id, region, quantile_cont(y, [0.1, 0.5, 0.9]) AS p FROM qd JOIN qs USING (brand_id, region) WHERE n < {Q.MIN_ROWS} OR dev = 0 GROUP BY ALL)),
+ qp AS (SELECT listing_id, l.brand_id, l.region, price_bgn, any_value(method) AS method, list_sort(list(greatest(0, a + b * mileage_km / 100000::DOUBLE + c * (2025 - year) / 10::DOUBLE))) AS p
+  FROM l JOIN qm USING (brand_id, region) GROUP BY ALL)"""
+
+
+@query("segment_quantiles", B.with_l(QUANTILE_CTE).replace("WITH ", "WITH RECURSIVE ", 1) + """SELECT brand_id, region, method, count(*) AS n, round(avg(p[1]) + 1e-4::DOUBLE, 1) AS p10, round(avg(p[2]) + 1e-4::DOUBLE, 1) AS p50, round(avg(p[3]) + 1e-4::DOUBLE, 1) AS p90,
+  round(avg(CASE WHEN price_bgn BETWEEN p[1] AND p[3] THEN 1 ELSE 0 END) + 1e-6::DOUBLE, 2) AS coverage FROM qp GROUP BY ALL""")
+def segment_quantiles(spark, d):
+    """Models by brand and region, and what they say of their own listings on average."""
+    df, segment = B.listings(spark, d), ["brand_id", "region"]
+    priced = Q.quantile_prices(df, Q.quantile_models(df, segment), segment)
+    covered = F.avg(F.col("price_bgn").between(F.col("p10"), F.col("p90")).cast("int"))
+    return priced.groupBy(*segment, "method").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(p) + 1e-4, 1).alias(p) for p in ("p10", "p50", "p90")], F.round(covered + 1e-6, 2).alias("coverage"))

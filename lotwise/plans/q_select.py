@@ -292,3 +292,27 @@ def estimate_quality(spark, d):
     n = B.normalized(spark, d)
     est = K.price_estimate(n, n, B.as_of()).join(n.select("listing_id", F.col("fuel").alias("segment")), "listing_id")
     return J.estimate_quality(est).select("segment", "n", F.round("mae", 4).alias("mae"), F.round("median_ae", 4).alias("median_ae"), F.round("coverage", 6).alias("coverage"))
+
+
+# a few prices and mileages are entered in other units
+BAD_UNITS_CTE = """bu AS (SELECT listing_id, brand_id, price_bgn * CASE listing_id % 199 WHEN 0 THEN 1000.0::DOUBLE WHEN 1 THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END AS price_bgn,
+  (CASE listing_id % 211 WHEN 0 THEN mileage_km * 1000::BIGINT WHEN 1 THEN mileage_km // 1000 ELSE mileage_km END)::BIGINT AS mileage_km FROM l)"""
+
+
+def _unit_sql(value: str, kind: str) -> str:
+    factors = ", ".join(f"{{'miss': abs(lv - middle - ln({f!r}::DOUBLE)), 'unit': '{name}'}}" for f, name in J.UNIT_ERRORS[kind])
+    return f"""SELECT listing_id, '{kind}' AS kind, round(exp(lv - middle), 4) AS ratio, round(off / (mad * {J.ROBUST}::DOUBLE), 4) AS deviation, CASE WHEN x.miss <= 0.35 THEN x.unit END AS unit
+ FROM (SELECT *, list_sort([{factors}])[1] AS x FROM (SELECT *, quantile_cont(off, 0.5) OVER (PARTITION BY brand_id) AS mad FROM (SELECT *, abs(lv - middle) AS off FROM (
+   SELECT *, quantile_cont(lv, 0.5) OVER (PARTITION BY brand_id) AS middle FROM (SELECT *, ln({value}::DOUBLE) AS lv FROM bu WHERE {value} > 0)))))
+ WHERE mad > 0 AND off / (mad * {J.ROBUST}::DOUBLE) > 3.5"""
+
+
+@query("unit_mismatch", B.with_l(BAD_UNITS_CTE) + _unit_sql("price_bgn", "price") + " UNION ALL " + _unit_sql("mileage_km", "mileage"))
+def unit_mismatch(spark, d):
+    case = lambda mod, values: F.when(F.col("listing_id") % mod == 0, values[0]).when(F.col("listing_id") % mod == 1, values[1])
+    km = F.col("mileage_km").cast("bigint")
+    df = B.listings(spark, d).select("listing_id", "brand_id", (F.col("price_bgn") * F.coalesce(case(199, (1000.0, 0.001)), F.lit(1.0))).alias("price_bgn"),
+                                     F.coalesce(case(211, (km * 1000, F.floor(km / 1000))), km).alias("mileage_km"))
+    one = lambda value, kind: J.unit_mismatch(df, ["brand_id"], value, kind).select(
+        "listing_id", F.lit(kind).alias("kind"), F.round("ratio", 4).alias("ratio"), F.round("deviation", 4).alias("deviation"), "unit")
+    return one("price_bgn", "price").unionByName(one("mileage_km", "mileage"))

@@ -138,7 +138,7 @@ CHAIN_CTE = f"""x AS (SELECT l.listing_id, l.created_at, l.title, l.description,
 @query("stream_chain", B.with_l(SEED_CTE, PAIR_CTE, FUZZY_CTE, RISK_CTE, CHAIN_CTE) + """SELECT listing_id, 'error' AS outcome, NULL::BIGINT AS duplicate_of, NULL::BIGINT AS n, NULL::DOUBLE AS avg_price, NULL::DOUBLE AS score, NULL AS risk_level, NULL::BOOLEAN AS sent
     FROM x WHERE priority = '4-NOT SPECIFIED'
   UNION ALL SELECT listing_id, 'duplicate', owner, NULL, NULL, NULL, NULL, NULL FROM own WHERE owner <> listing_id
-  UNION ALL SELECT listing_id, 'scored', NULL, n, round(avg_price, 4), round(score, 4), risk_level, score >= 7 AND risk_level <> 'high' FROM sc""")
+  UNION ALL SELECT listing_id, 'scored', NULL, n, round(avg_price + 1e-7::DOUBLE, 4), round(score, 4), risk_level, score >= 7 AND risk_level <> 'high' FROM sc""")
 def stream_chain(spark, d):
     """Parse, normalize, dedupe, price, risk, score and outbox over three batches with late rows, one of them repeated."""
     df = B.listings(spark, d)
@@ -150,7 +150,7 @@ def stream_chain(spark, d):
     db = H.stores(spark, scratch(spark, "chain"))
     db.dictionary.merge(0, N.alias_dictionary(IO.seed(spark, "brand_models")), lambda current, new: new)
     in_batches(spark, rows, "chain", H.process(db, F.lit(2025)))
-    return H.results(spark, db).withColumns({"avg_price": F.round("avg_price", 4), "score": F.round("score", 4)})
+    return H.results(spark, db).withColumns({"avg_price": F.round(F.col("avg_price") + 1e-7, 4), "score": F.round("score", 4)})
 
 
 @query("stream_stored_intake", """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS site_ad_id, ts, 'https://ads.example/' || user_id || '/' || event_id AS url, props, event_type <> 'error' AS active,
