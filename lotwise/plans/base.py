@@ -64,7 +64,8 @@ def as_of(*_) -> Column:
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``L`` as a stored table: written once per application, then scanned with pruned columns."""
     S.tune(spark)
-    return S.stored(spark, f"{sf_dir}/listings", lambda: listings_view(spark, sf_dir), table(spark, sf_dir, "lineitem"))
+    sources = [table(spark, sf_dir, name) for name in ("lineitem", "orders", "part", "supplier")]
+    return S.stored(spark, f"{sf_dir}/listings", lambda: listings_view(spark, sf_dir), sources)
 
 
 def listings_view(spark: SparkSession, sf_dir: str) -> DataFrame:

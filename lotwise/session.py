@@ -58,16 +58,27 @@ def ship(spark: SparkSession) -> None:
 _HOMES: dict[str, str] = {}
 
 
+def require_shared(root: str, master: str, default_fs: str) -> None:
+    """Raises where a folder is on the driver's own disk but tasks run elsewhere."""
+    scheme = root.split(":", 1)[0] if ":/" in root else default_fs.split(":", 1)[0]
+    if scheme == "file" and not master.startswith("local"):
+        raise ValueError(f"{root} is a local folder of the driver: set spark.checkpoint.dir to storage that all executors share")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """This application's folder for checkpoints and written tables, on storage that all executors share.
 
-    It lies below ``spark.checkpoint.dir``; where the cluster names none, below
-    ``spark.sql.warehouse.dir``, which is shared too.  The session's settings are
-    left as they are.  The folder goes when the application ends, or by ``sweep``.
+    It lies below ``spark.checkpoint.dir``; where none is named, below
+    ``spark.sql.warehouse.dir``.  On a cluster that must not be a folder of the driver's
+    machine, where executors would not find it: that is an error.  The session's settings
+    are left as they are.  The folder goes when the application ends, or by ``sweep``.
     """
     app = spark.sparkContext.applicationId
     if app not in _HOMES:
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+            require_shared(root, spark.sparkContext.master, spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///"))
         _HOMES[app] = f"{root.rstrip('/')}/lotwise-{app}"
         atexit.register(_end, spark, app)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -126,13 +137,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored(spark: SparkSession, key: str, build, source: DataFrame | None = None) -> DataFrame:
+def stamps(spark: SparkSession, source: DataFrame) -> tuple:
+    """Path, length and modification time of every file that a table is read from."""
+    jvm, found = spark.sparkContext._jvm, []
+    for name in sorted(source.inputFiles()):
+        where = jvm.org.apache.hadoop.fs.Path(name)
+        status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
+def stored(spark: SparkSession, key: str, build, sources: list[DataFrame] | tuple = ()) -> DataFrame:
     """A derived base table, written once per application and read by every later query.
 
-    ``source``: its file list becomes part of the key, so a changed input is derived anew.
+    ``sources``: the tables that it is built from; when one of their files changes, it is derived anew.
     """
-    files = tuple(sorted(source.inputFiles())) if source is not None else ()
-    slot = (spark.sparkContext.applicationId, key, files)
+    slot = (spark.sparkContext.applicationId, key, tuple(stamps(spark, source) for source in sources))
     if slot not in _STORED:
         df = build()
         path = scratch(spark, key.strip("/").replace("/", "_").replace(":", "_"))
