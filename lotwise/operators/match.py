@@ -279,6 +279,8 @@ def dedupe_canonical(links: DataFrame, max_rounds: int = 40) -> DataFrame:
 # --- MinHash ------------------------------------------------------------------------------
 #: Texts of a band bucket that a task holds twice at most; a larger bucket is cut into pairs of chunks.
 BUCKET = 1_000
+#: Permutation k of a shingle's code c is (a^(k+1) c + b (k+1)) mod p, in 64-bit integers; codes come from MD5.
+PRIME, PERMUTE = (1 << 31) - 1, (48_271, 1_013_904_223)
 #: Postings that are counted at once.
 POSTINGS = 1 << 20
 
@@ -331,9 +333,11 @@ def minhash_dups(docs: DataFrame, text: str = "text", threshold: float = 0.7, ba
     hashed = docs.withColumn("h", F.md5(F.col(text)))
     copies = first_of_value(hashed, ["h"]).withColumn("sim", F.lit(1.0))
     firsts = hashed.join(copies.select("listing_id"), "listing_id", "left_anti").withColumn("w", words) \
-        .filter(F.size("w") > 0).withColumn("shingles", F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, width), " ")))))
-    low = lambda k: F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, F.lit(k))))
+        .filter(F.size("w") > 0).withColumn("grams", F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, width), " ")))) \
+        .withColumns({"shingles": F.transform("grams", lambda g: F.xxhash64(g)),
+                      "codes": F.transform("grams", lambda g: F.pmod(F.conv(F.substring(F.md5(g), 1, 15), 16, 10).cast("bigint"), F.lit(PRIME)))})
+    low = lambda k: F.array_min(F.transform("codes", lambda c: F.pmod(c * F.lit(pow(PERMUTE[0], k + 1, PRIME)) + F.lit(PERMUTE[1] * (k + 1) % PRIME), F.lit(PRIME))))
     lows = [low(k) for k in range(bands * rows)]
     keys = F.array(*[F.xxhash64(F.lit(b), *lows[b * rows:(b + 1) * rows]) for b in range(bands)])
     signed = staged(firsts.select("listing_id", "created_at", "shingles", keys.alias("bands")), "minhash")

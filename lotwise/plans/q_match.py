@@ -24,6 +24,9 @@ def new_signatures(spark, d):
     return M.new_signatures(M.dedupe_signature(df).select("listing_id", "signature"), df.filter("priority = '1-URGENT'"))
 
 
+DOCUMENTS_SQL = "SELECT doc_id AS listing_id, 0 AS created_at, text FROM documents"
+
+
 def documents(spark, d):
     return B.table(spark, d, "documents").select(F.col("doc_id").alias("listing_id"), F.lit(0).alias("created_at"), "text")
 
@@ -130,9 +133,23 @@ def dedupe_canonical(spark, d):
     return M.dedupe_canonical(staged(cascade(spark, d), "links"))
 
 
-@query("minhash_dups")
+_LOWS = [f"list_min(list_transform(codes, lambda c: (c * {pow(M.PERMUTE[0], k + 1, M.PRIME)} + {M.PERMUTE[1] * (k + 1) % M.PRIME}) % {M.PRIME}))" for k in range(16)]
+_BANDS = ", ".join(f"[{b}, {_LOWS[2 * b]}, {_LOWS[2 * b + 1]}]" for b in range(8))
+MINHASH_SQL = f"""WITH d AS ({DOCUMENTS_SQL}),
+ f AS (SELECT *, first_value(listing_id) OVER (PARTITION BY text ORDER BY created_at, listing_id) AS owner FROM d WHERE text IS NOT NULL),
+ g AS (SELECT listing_id, created_at, list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS grams
+   FROM (SELECT *, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM f WHERE owner = listing_id) WHERE len(w) > 0),
+ h AS (SELECT *, list_transform(grams, lambda s: CAST('0x' || substr(md5(s), 1, 15) AS BIGINT) % {M.PRIME}) AS codes FROM g),
+ b AS (SELECT listing_id, created_at, unnest([{_BANDS}]) AS band FROM h),
+ p AS (SELECT DISTINCT x.listing_id, y.listing_id AS other FROM b x JOIN b y ON x.band = y.band AND (y.created_at, y.listing_id) < (x.created_at, x.listing_id)),
+ s AS (SELECT p.*, len(list_intersect(x.grams, y.grams)) AS c, len(x.grams) + len(y.grams) AS t FROM p JOIN g x ON x.listing_id = p.listing_id JOIN g y ON y.listing_id = p.other),
+ n AS (SELECT listing_id, arg_min(other, {{'s': -c / (t - c)::DOUBLE, 'o': other}}) AS duplicate_of, max(c / (t - c)::DOUBLE) AS sim FROM s WHERE c / (t - c)::DOUBLE >= 0.7 GROUP BY 1)
+ SELECT listing_id, owner AS duplicate_of, 1.0::DOUBLE AS sim FROM f WHERE owner <> listing_id UNION ALL SELECT listing_id, duplicate_of, round(sim, 6) FROM n"""
+
+
+@query("minhash_dups", MINHASH_SQL)
 def minhash_dups(spark, d):
-    return M.minhash_dups(documents(spark, d))
+    return M.minhash_dups(documents(spark, d)).withColumn("sim", F.round("sim", 6))
 
 
 @query("duplicate_report", B.with_l(*CASCADE_CTES) + """SELECT l.listing_id, cc.duplicate_of, m.brand_id AS master_brand, m.year AS master_year, m.price_bgn AS master_price, method, score AS method_score
