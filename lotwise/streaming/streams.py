@@ -130,10 +130,16 @@ INTAKE = "source string, site_ad_id string, url string, parsed_data string, firs
 
 
 class Intake(StatefulProcessor):
-    """The stored row of an ad; every batch that sees the ad emits its new state. Sightings may come in any order."""
+    """The stored row of an ad; every batch that sees the ad emits its new state. Sightings may come in any order.
+
+    The state of an ad that no batch has seen for ``keep_ms`` of processing time is dropped; the log keeps its rows.
+    """
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.row = handle.getValueState("row", "url string, parsed_data string, first_at bigint, last_at bigint, is_active boolean, version bigint")
+        self.row = handle.getValueState("row", "url string, parsed_data string, first_at bigint, last_at bigint, is_active boolean, version bigint", self.keep_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         url = document = first = last = active = None
@@ -157,7 +163,7 @@ class Intake(StatefulProcessor):
         pass
 
 
-HOUR_US = 3_600_000_000
+HOUR_US, HOUR_MS, DAY_MS = 3_600_000_000, 3_600_000, 86_400_000
 CHANGES = "listing_id bigint, at bigint, tie bigint, prev_price double, price double, pct double"
 
 
@@ -166,11 +172,12 @@ class PriceChanges(StatefulProcessor):
 
     Observations wait by the hour until the watermark has passed it, so late and
     unordered ones within the watermark give what the batch job gives; later
-    ones are dropped.
+    ones are dropped.  The last price of a listing is dropped once the watermark is
+    ``keep_us`` past it: the next observation then has none before it.
     """
 
-    def __init__(self, min_gap_us: int):
-        self.min_gap_us = min_gap_us
+    def __init__(self, min_gap_us: int, keep_us: int):
+        self.min_gap_us, self.keep_us = min_gap_us, keep_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -191,8 +198,15 @@ class PriceChanges(StatefulProcessor):
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        hour = (int(expiredTimerInfo.getExpiryTimeInMs()) * 1000) // HOUR_US - 1
-        found = []
+        now, found = int(expiredTimerInfo.getExpiryTimeInMs()), []
+        hour = now // HOUR_MS - 1
+        if now % HOUR_MS:  # the time of a last price, one millisecond past a full hour
+            if self.last.exists() and (self.last.get()[0] + self.keep_us) // 1000 < now:
+                self.last.clear()
+            return iter([])
+        return self._close(key, hour, found)
+
+    def _close(self, key: Any, hour: int, found: list) -> Iterator[pd.DataFrame]:
         if self.hours.containsKey((hour,)):
             seen = sorted(zip(*self.hours.getValue((hour,))))
             before = self.last.get() if self.last.exists() else None
@@ -201,6 +215,7 @@ class PriceChanges(StatefulProcessor):
                     found.append((int(key[0]), at, tie, before[1], price, (price - before[1]) / before[1] * 100 if before[1] else None))
                 before = (at, price)
             self.last.update(before)
+            self.handle.registerTimer(((before[0] + self.keep_us) // HOUR_US + 1) * HOUR_MS + 1)
             self.hours.removeKey((hour,))
         yield pd.DataFrame(found, columns=["listing_id", "at", "tie", "prev_price", "price", "pct"]).astype(
             {"listing_id": "int64", "at": "int64", "tie": "int64", "prev_price": "float64", "price": "float64", "pct": "float64"})
@@ -228,20 +243,27 @@ def capped(events: DataFrame, cap: int, period: str) -> DataFrame:
         Capped(cap, PERIODS_MS[period]), "user_id bigint, event_id bigint, at bigint", "Append", "EventTime")
 
 
-def intake(sightings: DataFrame) -> DataFrame:
-    """sightings[ts, source, site_ad_id, url, parsed_data, is_active]: a log of stored rows, one per ad and batch."""
-    return _with_micros(sightings).groupBy("source", "site_ad_id").transformWithStateInPandas(Intake(), INTAKE, "Append", "None")
+def intake(sightings: DataFrame, keep_days: int = 90) -> DataFrame:
+    """sightings[ts, source, site_ad_id, url, parsed_data, is_active]: a log of stored rows, one per ad and batch.
+
+    ``chain.store_sightings`` keeps the table itself, by buckets, without a growing log or state.
+    """
+    return _with_micros(sightings).groupBy("source", "site_ad_id").transformWithStateInPandas(Intake(keep_days * DAY_MS), INTAKE, "Append", "ProcessingTime")
 
 
 def newest_versions(log: DataFrame) -> DataFrame:
-    """The stored table that an intake log amounts to."""
-    top = log.groupBy("source", "site_ad_id").agg(F.max(F.struct("version", "url", "parsed_data", "first_at", "last_at", "is_active")).alias("x")).select("source", "site_ad_id", "x.*")
+    """The stored table that an intake log amounts to; versions start again where state had been dropped."""
+    order = F.struct("last_at", "version")
+    top = log.groupBy("source", "site_ad_id").agg(
+        F.max(F.struct("last_at", "version", "url", "is_active")).alias("x"), F.min("first_at").alias("first_at"), F.min_by("parsed_data", order).alias("parsed_data")) \
+        .select("source", "site_ad_id", "x.*", "first_at", "parsed_data")
     return top.withColumns({"first_seen_at": F.timestamp_micros("first_at"), "last_seen_at": F.timestamp_micros("last_at")}).drop("first_at", "last_at", "version")
 
 
-def price_changes(observations: DataFrame, min_gap_seconds: int = 3600) -> DataFrame:
-    """observations[ts, listing_id, price, tie]: changes against the previous observation, once the watermark has passed their hour."""
-    return _with_micros(observations).groupBy("listing_id").transformWithStateInPandas(PriceChanges(min_gap_seconds * 1_000_000), CHANGES, "Append", "EventTime")
+def price_changes(observations: DataFrame, min_gap_seconds: int = 3600, keep_days: int = 365) -> DataFrame:
+    """observations[ts, listing_id, price, tie]: changes against the previous observation of at most ``keep_days`` ago, once the watermark has passed their hour."""
+    processor = PriceChanges(min_gap_seconds * 1_000_000, keep_days * DAY_MS * 1000)
+    return _with_micros(observations).groupBy("listing_id").transformWithStateInPandas(processor, CHANGES, "Append", "EventTime")
 
 
 PARTS = 64  # a busy user's waiting rows are spread over this many state keys

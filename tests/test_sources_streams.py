@@ -125,3 +125,27 @@ def test_stream_sessions_equal_batch_sessions(spark, tmp_path):
     closed = ev.agg(F.max("ts") - F.expr("interval 2 hours")).collect()[0][0]
     batch = S.batch_sessions(ev).filter(F.col("last") + F.expr("interval 6 hours") <= F.lit(closed))
     assert got == {(r.user_id, r.first_seen, r.sightings) for r in batch.collect()}
+
+
+def test_last_prices_leave_the_state_after_their_time(spark, tmp_path):
+    """Within ten days a change is found, later there is nothing to compare with; what is left in the state is read back."""
+    S.use_state_store(spark)
+    folder, state, out = (str(tmp_path / name) for name in ("in", "state", "out"))
+    read = lambda: spark.readStream.schema("ts timestamp, listing_id long, price double, tie long").parquet(folder).withWatermark("ts", "2 hours")
+    left = []
+    # listing 1 changes within the time and again after it; listing 2 moves the time on; listing 3 is seen once
+    for day, rows in ((1, [(1, 100.0), (3, 5.0)]), (6, [(1, 90.0)]), (30, [(2, 1.0)]), (31, [(1, 80.0), (2, 1.0)])):
+        at = datetime.datetime(2024, 1, 1) + datetime.timedelta(days=day)
+        spark.createDataFrame([(at, i, p, 0) for i, p in rows], "ts timestamp, listing_id long, price double, tie long").write.mode("append").parquet(folder)
+        S.price_changes(read(), keep_days=10).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        last = spark.read.format("statestore").option("path", state).option("stateVarName", "last").load()
+        left.append({r.key.listing_id for r in last.collect()})
+    assert {(r.listing_id, r.prev_price, r.price) for r in spark.read.parquet(out).collect()} == {(1, 100.0, 90.0)}
+    assert 3 in left[1] and 3 not in left[2] and 1 in left[2] and 1 not in left[3]
+
+
+def test_intake_log_with_restarted_versions(spark):
+    log = spark.createDataFrame([("s", "1", "u1", "first doc", 10, 20, True, 1), ("s", "1", "u2", "first doc", 5, 30, True, 2), ("s", "1", "u3", "later doc", 900, 900, False, 1)], S.INTAKE)
+    row = S.newest_versions(log).first()
+    assert (row.url, row.parsed_data, row.is_active) == ("u3", "first doc", False)
+    assert row.last_seen_at > row.first_seen_at and row.first_seen_at.microsecond == 5
