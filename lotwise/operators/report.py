@@ -64,13 +64,18 @@ def score_summary(scores: DataFrame) -> DataFrame:
                       F.count_if(s < 5.5).alias("below"))
 
 
-def run_counters(seen: DataFrame) -> DataFrame:
-    """seen[is_known, passes, score, min_score] -> the counters of one monitor run."""
+def counters() -> list[Column]:
+    """The counters of a monitor run over rows is_known, passes, score, min_score; also for ``observe``."""
     new = ~F.col("is_known")
     evaluated = new & F.col("passes")
-    return seen.agg(F.count(F.lit(1)).alias("total_scraped"), F.count_if(new).alias("new_listings"), F.count_if("is_known").alias("duplicates"),
-                    F.count_if(new & ~F.col("passes")).alias("filtered_out"), F.count_if(evaluated).alias("evaluated"),
-                    F.count_if(evaluated & (F.col("score") >= F.col("min_score"))).alias("posted"))
+    return [F.count(F.lit(1)).alias("total_scraped"), F.count_if(new).alias("new_listings"), F.count_if("is_known").alias("duplicates"),
+            F.count_if(new & ~F.col("passes")).alias("filtered_out"), F.count_if(evaluated).alias("evaluated"),
+            F.count_if(evaluated & (F.col("score") >= F.col("min_score"))).alias("posted")]
+
+
+def run_counters(seen: DataFrame) -> DataFrame:
+    """seen[is_known, passes, score, min_score] -> the counters of one monitor run."""
+    return seen.agg(*counters())
 
 
 def worklist_summary(work: DataFrame) -> DataFrame:
@@ -97,6 +102,25 @@ def distinct_ids(df: DataFrame, key: str, by: list[str]) -> DataFrame:
     return df.select(*by, key).distinct().groupBy(*by).agg(F.count(key).alias("ids"))
 
 
+SKETCH_BITS = 12  # 2^12 registers: a standard error of 1.6 %
+SKETCH_BOUND = 0.05
+
+
+def daily_sketches(df: DataFrame, key: str, ts: str, by: list[str]) -> DataFrame:
+    """One mergeable sketch of the distinct keys per day and group: kept as a table, it answers for any span of days."""
+    return df.groupBy(*by, F.to_date(ts).alias("day")).agg(F.hll_sketch_agg(key, F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def distinct_over(sketches: DataFrame, by: list[str], since: Column | None = None, until: Column | None = None) -> DataFrame:
+    """Distinct keys of each group from day ``since`` to day ``until``, within ``SKETCH_BOUND`` of the exact number (three standard errors)."""
+    inside = F.lit(True)
+    if since is not None:
+        inside = inside & (F.col("day") >= since)
+    if until is not None:
+        inside = inside & (F.col("day") <= until)
+    return sketches.filter(inside).groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("ids"))
+
+
 def price_outliers(df: DataFrame, quantile: float = 0.99, factor: float = 1.1) -> DataFrame:
     """Rows priced beyond the brand's quantile times a factor."""
     limit = percentiles(df, ["brand_id"], "price_bgn", {"p99": quantile}, width=100.0)

@@ -7,7 +7,7 @@ from lotwise.plans import base as B
 from lotwise.plans.q_comps import ESTIMATE_CTES, YEAR_CTE
 from lotwise.plans.q_score import MONITOR_CTE
 from lotwise.plans.registry import query
-from lotwise.session import scratch
+from lotwise.session import scratch, staged
 from lotwise.sources import io as IO
 
 AT = B.AS_OF_SQL
@@ -281,6 +281,24 @@ def distinct_ids(spark, d):
     return J.distinct_ids(B.table(spark, d, "events"), "user_id", ["event_type"])
 
 
+# spans of days answered from one stored table of daily sketches, beside the exact numbers
+@query("distinct_over_days", """SELECT s.span, event_type, count(DISTINCT user_id) AS exact_ids, TRUE AS within_bound FROM events,
+  (VALUES ('first week', DATE '2024-01-01', DATE '2024-01-07'), ('middle', DATE '2024-01-10', DATE '2024-01-20'), ('all', DATE '2024-01-01', DATE '2024-12-31')) s(span, a, b)
+  WHERE CAST(ts AS DATE) BETWEEN a AND b GROUP BY 1, 2""")
+def distinct_over_days(spark, d):
+    events = B.table(spark, d, "events")
+    sketches = staged(J.daily_sketches(events, "user_id", "ts", ["event_type"]), "daily-sketches")
+    out = None
+    for span, a, b in (("first week", "2024-01-01", "2024-01-07"), ("middle", "2024-01-10", "2024-01-20"), ("all", "2024-01-01", "2024-12-31")):
+        a, b = F.lit(a).cast("date"), F.lit(b).cast("date")
+        exact = J.distinct_ids(events.filter(F.to_date("ts").between(a, b)), "user_id", ["event_type"])
+        near = J.distinct_over(sketches, ["event_type"], a, b).withColumnRenamed("ids", "estimate")
+        one = exact.join(near, "event_type", "left").select(F.lit(span).alias("span"), "event_type", F.col("ids").alias("exact_ids"),
+                                                            F.coalesce(F.abs(F.col("estimate") - F.col("ids")) <= J.SKETCH_BOUND * F.col("ids"), F.lit(False)).alias("within_bound"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("price_outliers", B.with_l() + """SELECT listing_id FROM l JOIN (SELECT brand_id, quantile_cont(price_bgn, 0.95) AS q FROM l GROUP BY 1) USING (brand_id) WHERE price_bgn > q * CAST(1.02 AS DOUBLE)""")
 def price_outliers(spark, d):
     return J.price_outliers(B.listings(spark, d), quantile=0.95, factor=1.02).select("listing_id")

@@ -1,7 +1,8 @@
 """Registered queries: streaming jobs over the events table, run with ``availableNow``."""
 from pyspark.sql import functions as F
 
-from lotwise.operators import flags as G, maintain as A, normalize as N, score as P
+from lotwise import rules as R
+from lotwise.operators import flags as G, maintain as A, normalize as N, report as J, score as P, select as SE
 from lotwise.plans import base as B
 from lotwise.plans.q_normalize import FUZZY_CTE, PAIR_CTE, SEED_CTE
 from lotwise.plans.q_score import RISK_CTE
@@ -167,3 +168,20 @@ def stream_stored_intake(spark, d):
     table = H.ads(spark, scratch(spark, "ads"))
     in_batches(spark, rows, "stored-intake", H.store_sightings(table))
     return _ntz(table.read(), "first_seen_at", "last_seen_at").select("site_ad_id", "first_seen_at", "last_seen_at", "url", "is_active", "parsed_data")
+
+
+@query("stream_run_counters", B.with_l(B.S_CTE) + f"""SELECT CAST(b AS BIGINT) AS batch, count(*) AS total_scraped, count(*) FILTER (NOT k) AS new_listings, count(*) FILTER (k) AS duplicates, count(*) FILTER (NOT k AND NOT p) AS filtered_out,
+  count(*) FILTER (NOT k AND p) AS evaluated, count(*) FILTER (NOT k AND p AND score >= 7.5) AS posted
+  FROM (SELECT status = 'F' AS k, price_bgn <= 100000 AND year >= 2015 AND mileage_km <= 150000 AS p, score,
+    least(2, CASE WHEN l.created_at < TIMESTAMP '{T1}' THEN 0 WHEN l.created_at < TIMESTAMP '{T2}' THEN 1 ELSE 2 END + CASE WHEN listing_id % 10 = 0 THEN 1 ELSE 0 END) AS b FROM l LEFT JOIN s USING (listing_id)) GROUP BY 1""")
+def stream_run_counters(spark, d):
+    """Counters of each batch of a streaming run, observed while its rows are stored."""
+    df = B.listings(spark, d)
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
+    rows = df.join(B.scores(df).select("listing_id", "score"), "listing_id", "left").select(
+        "listing_id", (F.col("status") == "F").alias("is_known"), SE._passes(R.WATCH_TARGETS[0]).alias("passes"), "score", F.lit(7.5).alias("min_score"),
+        batch_of(F.col("created_at") < at(T1), F.col("created_at") < at(T2), F.col("listing_id") % 10 == 0).alias("batch"))
+    folder = scratch(spark, "counters")
+    store = S.append_once(scratch(spark, "counted"), lambda batch: batch)
+    in_batches(spark, rows, "counters", S.counted(folder, J.counters(), store))
+    return spark.read.parquet(folder).drop("version")

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lotwise.session import scratch
@@ -285,3 +285,17 @@ def append_once(path: str, stage):
     def body(batch: DataFrame, batch_id: int) -> None:
         stage(batch).write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
     return body
+
+
+def counted(path: str, counters: list[Column], body):
+    """``foreachBatch`` body: runs ``body`` on the batch and writes counters that were taken of its rows on the way, one row per batch id.
+
+    The counters cost no further pass: they are observed by the first job that reads the
+    whole batch.  ``body`` has to run one.
+    """
+    def counting(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation(f"batch-{batch_id}")
+        body(batch.observe(seen, *counters), batch_id)
+        row = batch.sparkSession.createDataFrame([(batch_id, *seen.get.values())], ["batch", *seen.get])
+        row.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, f"version={batch_id}"))
+    return counting
