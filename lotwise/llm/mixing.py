@@ -147,10 +147,11 @@ def split_quotas(quotas: DataFrame, seed: str = "mix", levels: int = SHARDS_LOG2
 
 
 def plan(docs: DataFrame, seed: str = "mix", weights: tuple = WEIGHTS, most: int = MOST, levels: int = SHARDS_LOG2) -> DataFrame:
-    """Per row of ``docs``: doc_id, tie (hash of the text), source, size, source_size, target, shards, taken.
+    """Per row of ``docs``: doc_id, tie (hash of the text), source, size, source_size, target, shards, taken, blocks, spread.
 
     ``shards`` lists the output shard of each draw of the document; ``taken`` is its words
-    in all of them.  A null text has size 0 and is drawn like others.  A null source is a
+    in all of them.  ``blocks`` is what the shards' quotas of its source add up to, ``spread``
+    the most by which the quotas of two shards differ over all sources.  A null text has size 0 and is drawn like others.  A null source is a
     source of its own.  Rows that repeat a doc_id are rows of their own.  Other columns
     are ignored; an empty table gives no rows.
     """
@@ -173,18 +174,21 @@ def plan(docs: DataFrame, seed: str = "mix", weights: tuple = WEIGHTS, most: int
     quotas = (blocks.groupBy("source").agg((F.first("passes") * F.first("n_blocks")).alias("full"), F.max(F.when(touched, F.col("block") + 1)).alias("more"))
               .select("source", (F.col("full") + F.coalesce("more", F.lit(0))).alias("quota")))
     # where the run of each shard ends in the source's sequence of draws
-    ends = (split_quotas(quotas, seed, levels).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("shard", "quota"))).alias("s"))
-            .select("source", F.transform("s", lambda x: F.aggregate(F.filter("s", lambda y: y["shard"] <= x["shard"]), F.lit(0).cast("long"), lambda t, y: t + y["quota"])).alias("ends")))
+    tree = staged(split_quotas(quotas, seed, levels), "mix-quotas")
+    spread = tree.groupBy("shard").agg(F.sum("quota").alias("q")).agg(F.max("q") - F.min("q")).first()[0]
+    ends = (tree.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("shard", "quota"))).alias("s"), F.sum("quota").alias("drawn"))
+            .select("source", "drawn", F.transform("s", lambda x: F.aggregate(F.filter("s", lambda y: y["shard"] <= x["shard"]), F.lit(0).cast("long"), lambda t, y: t + y["quota"])).alias("ends")))
     dealt = (blocks.alias("r").join(ends.alias("g"), same_source)
-             .select("r.*", F.transform(F.sequence(F.lit(0), F.col("passes")), lambda p: F.size(F.filter("ends", lambda e: e <= p * F.col("n_blocks") + F.col("block")))).alias("homes")))
+             .select("r.*", "g.drawn", F.transform(F.sequence(F.lit(0), F.col("passes")), lambda p: F.size(F.filter("ends", lambda e: e <= p * F.col("n_blocks") + F.col("block")))).alias("homes")))
     within = Window.partitionBy("source", "block").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     full = (placed.alias("p").join(dealt.alias("a"), F.col("p.source").eqNullSafe(F.col("a.source")) & (F.col("p.block") == F.col("a.block")))
-            .select("p.*", "a.ahead", "a.source_size", "a.target", "a.passes", "a.rest", "a.homes"))
+            .select("p.*", "a.ahead", "a.source_size", "a.target", "a.passes", "a.rest", "a.homes", "a.drawn"))
     place = F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0))
     return (full.withColumn("place", place)
             .withColumn("copies", F.col("passes") + ((F.col("rest") > 0) & (2 * F.col("place") + F.col("size") <= 2 * F.col("rest"))).cast("int"))
             .withColumn("shards", F.slice("homes", 1, F.col("copies")))
-            .select("doc_id", "tie", "source", "size", "source_size", "target", "shards", (F.size("shards") * F.col("size")).cast("long").alias("taken")))
+            .select("doc_id", "tie", "source", "size", "source_size", "target", "shards", (F.size("shards") * F.col("size")).cast("long").alias("taken"),
+                    F.col("drawn").cast("long").alias("blocks"), F.lit(spread).cast("long").alias("spread")))
 
 
 def mix(docs: DataFrame, seed: str = "mix", weights: tuple = WEIGHTS, most: int = MOST, levels: int = SHARDS_LOG2) -> DataFrame:

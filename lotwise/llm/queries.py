@@ -88,7 +88,8 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-# The draws follow the documents' order by an MD5 of the doc_id, source by source.
+# The draws follow the documents' order by an MD5 of the doc_id, source by source.  What the tree of draws gives the
+# shards is checked by its sums: the blocks of a source, and shards that differ by one block at most.
 MIX_SQL = r"""
 WITH d AS (
     SELECT doc_id, CAST(source AS VARCHAR) AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -106,14 +107,20 @@ v AS (
 l AS (SELECT level FROM v WHERE cap > weight * level ORDER BY cap / weight, source IS NULL, source LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN (SELECT count(*) FROM l) = 0 THEN cap ELSE least(cap, weight * (SELECT level FROM l)) END AS target FROM v),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, CAST(floor(target / source_size) AS BIGINT)) ELSE 0 END AS passes FROM t),
-q AS (SELECT *, CAST(round(target - passes * source_size) AS BIGINT) AS rest FROM p),
+q AS (SELECT p.*, n_blocks, CAST(round(target - passes * source_size) AS BIGINT) AS rest FROM p JOIN (SELECT source, CAST(ceil(sqrt(count(*))) AS BIGINT) AS n_blocks FROM d GROUP BY 1) n ON p.source IS NOT DISTINCT FROM n.source),
 r AS (
-    SELECT d.doc_id, d.size, q.source_size, q.target, q.passes, q.rest,
+    SELECT d.doc_id, d.source, d.size, q.source_size, q.target, q.passes, q.rest, CAST(floor(d.key / 1152921504606846976.0::DOUBLE * q.n_blocks) AS BIGINT) AS block, q.n_blocks,
            coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
-    FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, source_size, target,
-       CAST(size * (passes + CASE WHEN rest > 0 AND 2 * place + size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM r
+    FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+z AS (
+    SELECT source, CAST(any_value(passes * n_blocks) + coalesce(max(block + 1) FILTER (rest > 0 AND ahead <= rest), 0) AS BIGINT) AS quota
+    FROM (SELECT source, block, any_value(passes) AS passes, any_value(n_blocks) AS n_blocks, any_value(rest) AS rest,
+                 sum(sum(size)) OVER (PARTITION BY source ORDER BY block) - sum(size) AS ahead FROM r GROUP BY source, block)
+    GROUP BY source)
+SELECT r.doc_id, r.size, r.source_size, r.target,
+       CAST(r.size * (r.passes + CASE WHEN r.rest > 0 AND 2 * place + r.size <= 2 * r.rest THEN 1 ELSE 0 END) AS BIGINT) AS taken,
+       z.quota AS blocks, CAST(CASE WHEN (SELECT sum(quota) FROM z) % 16 = 0 THEN 0 ELSE 1 END AS BIGINT) AS spread
+FROM r JOIN z ON r.source IS NOT DISTINCT FROM z.source
 """
 
 
@@ -124,7 +131,7 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_hypergeometric_mix", MIX_SQL)
 def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "blocks", "spread")
 
 
 @query("op8_cross_polytope")
