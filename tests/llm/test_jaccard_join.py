@@ -58,20 +58,26 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed,chunk", [(1, J.CHUNK), (2, 300), (3, 300)])
-def test_equals_all_pairs(spark, seed, chunk):
+def test_equals_all_pairs(spark, monkeypatch, seed, chunk):
+    monkeypatch.setattr(J, "MOST_BROADCAST", 0 if seed == 2 else J.MOST_BROADCAST)
+    monkeypatch.setattr(J, "DENSE", 1 if seed == 3 else J.DENSE)
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, n int").repartition(5)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.join(docs, chunk=chunk).collect()), key=repr)
     assert got == brute(rows)
 
 
+def tiles(sets, tile, upper, chunk, root):
+    maps = [J.bitmap(s) for s in sets]
+    return J.Tiles(tile, np.array([len(s) for s in sets]), upper, chunk, root, J.Bitmaps(np.concatenate(maps), np.array([len(m) for m in maps])))
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_tiles_alone_find_all_links(seed):
     rng = np.random.default_rng(seed)
     base = rng.integers(0, 1 << 62, size=60, dtype=np.uint64)
     sets = [np.unique(np.concatenate([base[rng.random(60) < rng.uniform(0.8, 1)], rng.integers(0, 1 << 62, size=int(rng.integers(0, 6)), dtype=np.uint64)])) for _ in range(40)]
-    n = np.array([len(s) for s in sets])
-    links = J.tile_links(n, np.zeros(40, dtype=bool), np.zeros(40, dtype=np.int64), np.arange(40), np.stack([J.bitmap(s) for s in sets]), sets)
+    links = tiles(sets, np.zeros(40, dtype=np.int64), np.zeros(40, dtype=bool), np.zeros(40, dtype=np.int64), np.arange(40)).links(sets)
     assert all(J.alike(sets[a], sets[b]) for a, b in links)
 
     def groups(pairs):
@@ -82,6 +88,34 @@ def test_tiles_alone_find_all_links(seed):
     assert groups(links) == groups([(a, b) for a in range(40) for b in range(a) if J.alike(sets[a], sets[b])])
 
 
+@pytest.mark.parametrize("dense", [1, 64])
+def test_groups_hold_all_links(monkeypatch, dense):
+    monkeypatch.setattr(J, "DENSE", dense)
+    rng = np.random.default_rng(dense)
+    for _ in range(20):
+        bases = [rng.integers(0, 1 << 62, size=40, dtype=np.uint64) for _ in range(3)]
+        sets = [np.unique(np.concatenate([bases[i % 3][rng.random(40) < 0.95], rng.integers(0, 1 << 62, size=int(rng.integers(0, 4)), dtype=np.uint64)])) for i in range(20)]
+        root, upper, chunk, tile = rng.integers(0, 12, 20), rng.random(20) < 0.3, rng.integers(0, 2, 20), np.repeat([4, 7], [14, 6])
+        group = tiles(sets, tile, upper, chunk, root).groups()
+        for x in range(20):
+            for y in range(x):
+                assert tile[x] != tile[y] or root[x] != root[y] or group[x] == group[y]
+                if tile[x] == tile[y] and J.alike(sets[x], sets[y]) and not (upper[x] and upper[y]) and chunk[x] != chunk[y]:
+                    assert group[x] == group[y]
+
+
+def test_longer_bitmaps_fold_to_shorter_ones():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, size=n, dtype=np.uint64)) for n in (10, 2000, 2100, 9000, 9001)]
+    maps = [J.bitmap(s) for s in sets]
+    assert len({len(m) for m in maps}) >= 3
+    pair = J.Bitmaps(np.concatenate(maps), np.array([len(m) for m in maps])).differ(np.array([0, 1, 3, 3]), np.array([3, 2, 4, 2]))
+    for got, (a, b) in zip(pair, ((0, 3), (1, 2), (3, 4), (3, 2))):
+        bits = 64 * min(len(maps[a]), len(maps[b]))
+        odd = [np.bincount((sets[x] % np.uint64(bits)).astype(int), minlength=bits) & 1 for x in (a, b)]
+        assert got == (odd[0] != odd[1]).sum() <= len(set(sets[a].tolist()) ^ set(sets[b].tolist()))
+
+
 def test_bounds_and_bands():
     rng = np.random.default_rng(4)
     first = J.bands()
