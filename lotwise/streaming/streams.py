@@ -130,16 +130,10 @@ INTAKE = "source string, site_ad_id string, url string, parsed_data string, firs
 
 
 class Intake(StatefulProcessor):
-    """The stored row of an ad; every batch that sees the ad emits its new state. Sightings may come in any order.
-
-    The state of an ad that no batch has seen for ``keep_ms`` of processing time is dropped; the log keeps its rows.
-    """
-
-    def __init__(self, keep_ms: int):
-        self.keep_ms = keep_ms
+    """The stored row of an ad; every batch that sees the ad emits its new state. Sightings may come in any order."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.row = handle.getValueState("row", "url string, parsed_data string, first_at bigint, last_at bigint, is_active boolean, version bigint", self.keep_ms)
+        self.row = handle.getValueState("row", "url string, parsed_data string, first_at bigint, last_at bigint, is_active boolean, version bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         url = document = first = last = active = None
@@ -243,16 +237,16 @@ def capped(events: DataFrame, cap: int, period: str) -> DataFrame:
         Capped(cap, PERIODS_MS[period]), "user_id bigint, event_id bigint, at bigint", "Append", "EventTime")
 
 
-def intake(sightings: DataFrame, keep_days: int = 90) -> DataFrame:
+def intake(sightings: DataFrame) -> DataFrame:
     """sightings[ts, source, site_ad_id, url, parsed_data, is_active]: a log of stored rows, one per ad and batch.
 
-    ``chain.store_sightings`` keeps the table itself, by buckets, without a growing log or state.
+    Its state holds every ad.  ``chain.store_sightings`` keeps the table itself, by buckets, without a growing log or state.
     """
-    return _with_micros(sightings).groupBy("source", "site_ad_id").transformWithStateInPandas(Intake(keep_days * DAY_MS), INTAKE, "Append", "ProcessingTime")
+    return _with_micros(sightings).groupBy("source", "site_ad_id").transformWithStateInPandas(Intake(), INTAKE, "Append", "None")
 
 
 def newest_versions(log: DataFrame) -> DataFrame:
-    """The stored table that an intake log amounts to; versions start again where state had been dropped."""
+    """The stored table that an intake log amounts to; versions may start again, where a query did with a new state."""
     order = F.struct("last_at", "version")
     top = log.groupBy("source", "site_ad_id").agg(
         F.max(F.struct("last_at", "version", "url", "is_active")).alias("x"), F.min("first_at").alias("first_at"), F.min_by("parsed_data", order).alias("parsed_data")) \
