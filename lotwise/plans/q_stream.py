@@ -136,9 +136,9 @@ CHAIN_CTE = f"""x AS (SELECT l.listing_id, l.created_at, l.title, l.description,
   FROM (SELECT nd.*, n, avg_price, (avg_price - bgn_cents / 100::DOUBLE) / avg_price * 100 AS disc FROM nd JOIN cell USING (listing_id)) nd JOIN rk USING (listing_id))"""
 
 
-@query("stream_chain", B.with_l(SEED_CTE, PAIR_CTE, FUZZY_CTE, RISK_CTE, CHAIN_CTE) + """SELECT listing_id, 'error' AS outcome, NULL::BIGINT AS duplicate_of, NULL::BIGINT AS n, NULL::DOUBLE AS avg_price, NULL::DOUBLE AS score, NULL AS risk_level, NULL::BOOLEAN AS sent
+@query("stream_chain", B.with_l(SEED_CTE, PAIR_CTE, FUZZY_CTE, RISK_CTE, CHAIN_CTE) + """SELECT listing_id, 'error' AS outcome, NULL::BIGINT AS duplicate_of, NULL::BIGINT AS n, NULL::DOUBLE AS avg_price, NULL::DOUBLE AS score, NULL AS risk_level, FALSE AS sent
     FROM x WHERE priority = '4-NOT SPECIFIED'
-  UNION ALL SELECT listing_id, 'duplicate', owner, NULL, NULL, NULL, NULL, NULL FROM own WHERE owner <> listing_id
+  UNION ALL SELECT listing_id, 'duplicate', owner, NULL, NULL, NULL, NULL, FALSE FROM own WHERE owner <> listing_id
   UNION ALL SELECT listing_id, 'scored', NULL, n, round(avg_price + 1e-7::DOUBLE, 4), round(score, 4), risk_level, score >= 7 AND risk_level <> 'high' FROM sc""")
 def stream_chain(spark, d):
     """Parse, normalize, dedupe, price, risk, score and outbox over three batches with late rows, one of them repeated."""

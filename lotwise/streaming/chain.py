@@ -131,7 +131,8 @@ def results(spark: SparkSession, db: Stores) -> DataFrame:
         known.get(c, none(kind)).alias(c) for c, kind in (("duplicate_of", "bigint"), ("n", "bigint"), ("avg_price", "double"), ("score", "double"), ("risk_level", "string"), ("sent", "boolean"))])
     sent = scores.join(outbox.select("listing_id", F.lit(True).alias("sent")), "listing_id", "left").withColumn("sent", F.coalesce("sent", F.lit(False)))
     names = ("n", "avg_price", "score", "risk_level", "sent")
-    return shape(errors, "error").unionByName(shape(duplicates, "duplicate", duplicate_of=F.col("duplicate_of"))).unionByName(shape(sent, "scored", **{c: F.col(c) for c in names}))
+    no = F.lit(False)
+    return shape(errors, "error", sent=no).unionByName(shape(duplicates, "duplicate", duplicate_of=F.col("duplicate_of"), sent=no)).unionByName(shape(sent, "scored", **{c: F.col(c) for c in names}))
 
 
 # --- stored intake ---------------------------------------------------------------------------
