@@ -5,10 +5,10 @@ Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters.  A
 
 From both sides the k-gram whose hash is the smallest in some run of ``WINDOW - K + 1``
 k-grams is kept (ties: all of them).  A shared window has the same smallest k-gram on both
-sides, so every shared window shares a kept fingerprint, and extending the match of a
-fingerprint word by word to both sides finds it; words are compared themselves, hashes only
-propose.  A short item keeps one fingerprint, of all its words, which is looked up among all
-k-grams of that length.
+sides, so every shared window shares a kept fingerprint.  A match is extended to both sides, to
+all windows that hold the fingerprint; each is looked up among the windows of the items, once
+per text however often it repeats, and then compared word by word.  A short item is one window,
+which is looked up among all word sequences of that length.
 """
 import hashlib
 from collections import defaultdict
@@ -97,6 +97,13 @@ class Words:
             total = total * _BASE + self.hash[j: j + n]
         return _mix(total), self.text[:n] == self.text[k - 1: k - 1 + n]
 
+    def gram_at(self, starts: np.ndarray, k: int) -> np.ndarray:
+        """Hash of the k words from each of some positions on."""
+        total = np.zeros(len(starts), dtype=np.uint64)
+        for j in range(k):
+            total = total * _BASE + self.hash[starts + j]
+        return _mix(total)
+
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     """``pick`` (minimum or maximum) of each ``width`` values in a row."""
@@ -122,59 +129,68 @@ def winnow(words: Words, k: int = K, window: int = WINDOW) -> tuple[np.ndarray,
 
 
 class Matcher:
-    """A block of benchmark items with their fingerprints."""
+    """A block of benchmark items: their fingerprints, and their windows with the items that hold each."""
 
     def __init__(self, items: list[tuple[str, str | None]]):
         self.names = [name for name, _ in items]
-        words = Words([None if text is None else text.encode("utf-8", "surrogatepass") for _, text in items])
-        bounds = words.bounds.tolist()
-        self.words = [[words.word(i) for i in range(a, b)] for a, b in zip(bounds, bounds[1:])]
-        self.prints = {}  # length of the k-grams -> sorted hashes, their first posting, postings (item, position)
+        self.words = words = Words([None if text is None else text.encode("utf-8", "surrogatepass") for _, text in items])
+        self.prints = np.unique(winnow(words)[1])
+        self.windows = {}  # words of a window -> sorted hashes, places in the items, the first place of each hash (one place per item)
+        sizes = np.diff(words.bounds)
+        for length in range(1, WINDOW + 1):
+            hashes, whole = words.grams(length)
+            mine = np.flatnonzero(whole & (sizes[words.text[: len(hashes)]] == length) if length < WINDOW else whole)
+            if not len(mine):
+                continue
+            at = mine[np.lexsort((words.text[mine], hashes[mine]))]
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (hashes[at[1:]] != hashes[at[:-1]]) | (words.text[at[1:]] != words.text[at[:-1]])
+            at = at[new]
+            keys, first = np.unique(hashes[at], return_index=True)
+            self.windows[length] = keys, at, np.append(first, len(at))
+
+    def _extended(self, words: Words) -> np.ndarray:
+        """Where the windows start that hold a fingerprint of an item."""
         at, hashes = winnow(words)
-        posts = {K: [(int(h), int(words.text[i]), int(i - words.bounds[words.text[i]])) for h, i in zip(hashes.tolist(), at)]}
-        for length in range(1, WINDOW):
-            mine = [item for item, one in enumerate(self.words) if len(one) == length]
-            if mine:
-                hashes, _ = words.grams(length)
-                posts[-length] = [(int(hashes[bounds[item]]), item, 0) for item in mine]
-        for length, rows in posts.items():
-            rows.sort()
-            keys = np.array([row[0] for row in rows], dtype=np.uint64)
-            firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, dtype=np.int64)
-            self.prints[length] = (keys[firsts], [*firsts.tolist(), len(rows)], [row[1:] for row in rows])
+        if not len(at) or not len(self.prints):
+            return at[:0]
+        at = at[self.prints[np.minimum(np.searchsorted(self.prints, hashes), len(self.prints) - 1)] == hashes]
+        text = words.text[at]
+        low, high = np.maximum(at - (WINDOW - K), words.bounds[text]), np.minimum(at, words.bounds[text + 1] - WINDOW)
+        fits = low <= high
+        n = len(words.hash) + 1
+        return np.flatnonzero(np.cumsum(np.bincount(low[fits], minlength=n) - np.bincount(high[fits] + 1, minlength=n)) > 0)
 
     def runs(self, words: Words) -> dict[int, tuple[list[tuple[int, int]], set[int]]]:
-        """Per text with hits: the intervals of hit words (from its first word on), and the items that occur."""
+        """Per text with hits: the intervals of hit words (from its first word on), and the items that occur.
+
+        Equal windows of a text are compared with the items once, so the time is linear in its words.
+        """
         found: dict[int, tuple[list, set]] = defaultdict(lambda: ([], set()))
-        for length, (keys, firsts, posts) in self.prints.items():
-            if not len(keys):
-                continue
-            if length < 0:
-                hashes, whole = words.grams(-length)
-                at = np.flatnonzero(whole)
-                hashes = hashes[at]
-            else:
-                at, hashes = winnow(words)
+        for length, (keys, places, first) in self.windows.items():
+            starts = self._extended(words) if length == WINDOW else np.flatnonzero(words.grams(length)[1])
+            hashes = words.gram_at(starts, length)
             spot = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            hit = np.flatnonzero(keys[spot] == hashes)
-            reached: dict[tuple[int, int, int], int] = {}  # text, item, offset -> the first word beyond the last run
-            for i, key in zip(at[hit].tolist(), spot[hit].tolist()):
-                text = int(words.text[i])
-                low, high = int(words.bounds[text]), int(words.bounds[text + 1])
-                for item, j in posts[firsts[key]: firsts[key + 1]]:
-                    diagonal = (text, item, i - j)
-                    if reached.get(diagonal, -1) > i:
-                        continue
-                    other = self.words[item]
-                    a = b = 0  # words that agree before and from here on
-                    while j + b < len(other) and i + b < high and words.word(i + b) == other[j + b]:
-                        b += 1
-                    while b and a < j and a < i - low and words.word(i - a - 1) == other[j - a - 1]:
-                        a += 1
-                    reached[diagonal] = i + max(b, 1)
-                    if a + b >= min(WINDOW, len(other)):
-                        found[text][0].append((i - a - low, i + b - low))
-                        found[text][1].add(item)
+            hit = keys[spot] == hashes
+            starts, spot = starts[hit], spot[hit]
+            same, other = np.ones(len(starts), dtype=bool), places[first[spot]]
+            for j in range(length):
+                same &= words.hash[starts + j] == self.words.hash[other + j]
+            starts, spot = starts[same], spot[same]
+            cuts = np.flatnonzero(np.diff(words.text[starts])) + 1
+            for mine, kinds in zip(np.split(starts, cuts), np.split(spot, cuts)) if len(starts) else ():
+                text = int(words.text[mine[0]])
+                distinct, some, kind = np.unique(kinds, return_index=True, return_inverse=True)
+                equal = np.array([all(words.word(i + j) == self.words.word(place + j) for j in range(length))
+                                  for i, place in zip(mine[some].tolist(), places[first[distinct]].tolist())])
+                mine = mine[equal[kind]]
+                if not len(mine):
+                    continue
+                apart = np.diff(mine) > length
+                begins, ends = mine[np.append(True, apart)] - words.bounds[text], mine[np.append(apart, True)] + length - words.bounds[text]
+                found[text][0].extend(zip(begins.tolist(), ends.tolist()))
+                for one in distinct[equal].tolist():
+                    found[text][1].update(self.words.text[places[first[one]: first[one + 1]]].tolist())
         return found
 
 

@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import time
 
 from lotwise.llm import decontaminate as D
 
@@ -79,3 +80,15 @@ def test_rows_are_dropped_by_their_own_text_with_any_number_of_blocks(spark):
     for most_words in (1_000, 1):
         kept = D.drop_contaminated(docs, benchmark, most_words)
         assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [rows[1], rows[3], rows[4], rows[6]]))
+
+
+def test_periodic_texts_take_linear_time():
+    items = [("same", "same " * 20_000), ("two", "a b " * 10_000), ("short", "a b a")]
+    block = D.Matcher(items)
+    began = time.time()
+    texts = ["same " * 20_000, "a b " * 10_000 + "x", "b a " * 6, None]
+    found = block.runs(D.Words([text and text.encode() for text in texts]))
+    assert time.time() - began < 5
+    assert [(sorted(block.names[i] for i in found[t][1]), D.covered(found[t][0])) for t in range(3)] == [
+        (["same"], 20_000), (["short", "two"], 20_000), (["short"], 11)]
+    assert 3 not in found
