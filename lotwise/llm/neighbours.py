@@ -88,9 +88,10 @@ def probes(x: np.ndarray, tables: int, hashes: int, most: int) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of equal length as doubles."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    """Rows of equal length as doubles, each by a power of two near one: no cosine changes, and no square overflows or vanishes."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    _, exponent = np.frexp(np.abs(x).max(axis=1, initial=0.0))
+    return np.ldexp(x, -exponent[:, None])
 
 
 def _by_length(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -104,30 +105,31 @@ def _by_length(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBa
 
 
 def _spread(batches: Iterator[pa.RecordBatch], tables: int, hashes: int, most: int) -> Iterator[pa.RecordBatch]:
-    """id, vector -> id, vector, length, bucket, base: the bucket of each table, or those a query visits; whether it is of the first table."""
+    """id, vector, mark -> the same with length, bucket, base: the bucket of each table, or those a query visits; whether it is of the first table."""
     for batch in batches:
         for part, x in _by_length(batch, 1):
             found = probes(x, tables, hashes, most) if most else buckets(x, tables, hashes)
             at = pa.array(np.repeat(np.arange(len(x)), found.shape[1]))
-            yield pa.record_batch([part.column(0).take(at), part.column(1).take(at), pa.array(np.full(found.size, len(x[0]), dtype=np.int32)),
-                                   pa.array(found.reshape(-1)), pa.array(found.reshape(-1) < (2 * width(len(x[0]))) ** hashes)], names=["id", "vector", "length", "bucket", "base"])
+            yield pa.record_batch([*(part.column(c).take(at) for c in range(3)), pa.array(np.full(found.size, len(x[0]), dtype=np.int32)),
+                                   pa.array(found.reshape(-1)), pa.array(found.reshape(-1) < (2 * width(len(x[0]))) ** hashes)], names=["id", "vector", "mark", "length", "bucket", "base"])
 
 
 def _nearest(index: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     """The k nearest of a bucket's vectors for each of its queries; all that tie with the k-th."""
-    out = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    out = pa.schema([("query", pa.int64()), ("query_mark", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("score", pa.float64())])
     if not index.num_rows or not asked.num_rows:
         return out.empty_table()
     x, q = _matrix(index.column("vector").combine_chunks()), _matrix(asked.column("vector").combine_chunks())
     x_norm, q_norm = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-    ids, queries = index.column("id").to_numpy(), asked.column("id").to_numpy()
+    ids, marks = index.column("id").to_numpy(), index.column("mark").to_numpy()
+    queries, query_marks = asked.column("id").to_numpy(), asked.column("mark").to_numpy()
     rows = []
     for at in range(0, len(q), 256):
         near = (q[at:at + 256] @ x.T) / q_norm[at:at + 256, None] / x_norm
         least = np.partition(near, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else near.min(axis=1)
         i, j = np.nonzero(near >= least[:, None] - 1e-9)
         # the matrix product rounds by position: scores are taken row by row, in one order
-        rows.append((queries[at + i], ids[j], (q[at + i] * x[j]).sum(axis=1) / (q_norm[at + i] * x_norm[j])))
+        rows.append((queries[at + i], query_marks[at + i], ids[j], marks[j], (q[at + i] * x[j]).sum(axis=1) / (q_norm[at + i] * x_norm[j])))
     return pa.table([pa.array(np.concatenate(c)) for c in zip(*rows)], schema=out)
 
 
@@ -136,21 +138,22 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLES
 
     Null or zero vectors and those with null or non-finite components take no part; vectors
     of different lengths are not compared.  Equal scores rank by vec_id.  Rows with a null
-    vec_id take no part; rows that repeat a vec_id with another vector are candidates of their own.
+    vec_id take no part.  Rows equal in vec_id and vector are one row; rows that repeat a vec_id with
+    another vector are queries and candidates of their own, also of each other.
     Other columns are ignored.
     """
     spark = vectors.sparkSession
     common.ship(spark)
     vector = F.col("embedding").cast("array<double>")
-    norm = F.aggregate(vector, F.lit(0.0), lambda s, v: s + v * v)
-    fit = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (norm > 0) & (norm < float("inf"))
+    fit = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vector, lambda v: v != 0)
     rows = staged(vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector")).where(F.col("id").isNotNull()).where(fit), "vectors")
     # of equal vectors the smallest ids
     number = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
-    index = rows.distinct().withColumn("n", number).where(F.col("n") <= k + 1).select("id", "vector")
+    mark = F.xxhash64("vector").alias("mark")  # tells rows of one vec_id apart
+    index = rows.distinct().withColumn("n", number).where(F.col("n") <= k + 1).select("id", "vector", mark)
     asked = rows.where(F.col("id") % every == 0)
-    first = asked.groupBy("vector").agg(F.min("id").alias("id")).select("id", "vector")
-    kind = f"id long, vector {rows.schema['vector'].dataType.simpleString()}, length int, bucket long, base boolean"
+    first = asked.groupBy("vector").agg(F.min("id").alias("id")).select("id", "vector", mark)
+    kind = f"id long, vector {rows.schema['vector'].dataType.simpleString()}, mark long, length int, bucket long, base boolean"
     held = staged(common.arrow_map(index, lambda it: _spread(it, tables, hashes, 0), kind), "ann-index")
     wanted = common.arrow_map(first, lambda it: _spread(it, tables, hashes, visits), kind).drop("base")
     buckets_of = held.groupBy("length", "bucket", "base").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
@@ -158,28 +161,30 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLES
     held = held.join(sizes, ["length", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
     wanted = wanted.join(sizes, ["length", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     key = ["length", "bucket", "part"]
-    met = held.drop("base").groupBy(*key).cogroup(wanted.groupBy(*key)).applyInArrow(lambda x, q: _nearest(x, q, k + 1), "query long, id long, score double")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    found = "query long, query_mark long, id long, mark long, score double"
+    met = held.drop("base").groupBy(*key).cogroup(wanted.groupBy(*key)).applyInArrow(lambda x, q: _nearest(x, q, k + 1), found)
+    order = Window.partitionBy("query", "query_mark").orderBy(F.desc("score"), "id", "mark")
 
     def top(met: DataFrame) -> DataFrame:
-        return met.groupBy("query", "id").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
+        return met.groupBy("query", "query_mark", "id", "mark").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
 
     best = staged(top(met), "ann-best")
     # a query with fewer rows than there are candidates meets every vector of its length once
-    known = index.groupBy(F.size("vector").alias("length")).agg(F.count_distinct("id").alias("candidates"))
-    got = best.groupBy(F.col("query").alias("id")).agg(F.count(F.lit(1)).alias("got"))
-    short = staged(first.withColumn("length", F.size("vector")).join(known, "length").join(got, "id", "left")
-                   .where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k + 1), F.col("candidates"))).select("id", "vector", "length"), "ann-short")
+    known = index.groupBy(F.size("vector").alias("length")).agg(F.count(F.lit(1)).alias("candidates"))
+    got = best.groupBy(F.col("query").alias("id"), F.col("query_mark").alias("mark")).agg(F.count(F.lit(1)).alias("got"))
+    short = staged(first.withColumn("length", F.size("vector")).join(known, "length").join(got, ["id", "mark"], "left")
+                   .where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k + 1), F.col("candidates"))).select("id", "vector", "mark", "length"), "ann-short")
     if not short.isEmpty():
         loads = short.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("groups"))
         every_bucket = buckets_of.where("base").select(*(F.col(c).alias(c) for c in ("length", "bucket", "chunks")))
         asked_all = (short.join(loads, "length").withColumn("grp", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int")).drop("groups")
                      .join(every_bucket, "length").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks"))
         held_all = held.where("base").drop("base").join(loads, "length").withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
-        more = held_all.groupBy(*key, "grp").cogroup(asked_all.groupBy(*key, "grp")).applyInArrow(lambda x, q: _nearest(x, q, k + 1), "query long, id long, score double")
+        more = held_all.groupBy(*key, "grp").cogroup(asked_all.groupBy(*key, "grp")).applyInArrow(lambda x, q: _nearest(x, q, k + 1), found)
         best = top(best.unionByName(more))
     # queries of equal vectors share what was found; each leaves out itself
-    twins = asked.select(F.col("id").alias("query_id"), "vector").distinct().join(first.withColumnRenamed("id", "query"), "vector").select("query_id", "query")
-    result = twins.join(best, "query").where("id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    asked_by = first.select(F.col("id").alias("query"), F.col("mark").alias("query_mark"), "vector")
+    twins = asked.select(F.col("id").alias("query_id"), "vector").distinct().join(asked_by, "vector").select("query_id", "query", "query_mark")
+    result = twins.join(best, ["query", "query_mark"]).where((F.col("id") != F.col("query_id")) | (F.col("mark") != F.col("query_mark")))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_mark").orderBy(F.desc("score"), "id", "mark"))
     return result.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")

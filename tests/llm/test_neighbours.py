@@ -11,13 +11,14 @@ from lotwise.llm.common import table
 def brute(rows, every=50, k=5):
     ok = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = []
-    for q, a in sorted(set((i, tuple(v)) for i, v in ok if i % every == 0)):
-        found = {}
-        for i, b in ok:
-            if i != q and len(b) == len(a):
-                score = float(np.dot(a, b) / np.sqrt(np.dot(a, a)) / np.sqrt(np.dot(b, b)))
-                found[i] = max(found.get(i, -2), score)
-        best = sorted(found.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k]
+    distinct = sorted(set((i, tuple(v)) for i, v in ok))
+    for q, a in [row for row in distinct if row[0] % every == 0]:
+        found = []
+        for i, b in distinct:
+            if (i, b) != (q, a) and len(b) == len(a):
+                x, y = np.array(a) / np.max(np.abs(a)), np.array(b) / np.max(np.abs(b))
+                found.append((i, float(np.dot(x, y) / np.sqrt(np.dot(x, x)) / np.sqrt(np.dot(y, y)))))
+        best = sorted(found, key=lambda x: (-round(x[1], 9), x[0]))[:k]
         out += [(q, r + 1, i, round(s, 9)) for r, (i, s) in enumerate(best)]
     return sorted(out)
 
@@ -72,3 +73,14 @@ def test_no_query_is_short_of_rows_with_production_parameters(spark):
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3)
     assert result(N.search(df)) == brute(data)
     assert result(N.search(df, chunk=1)) == brute(data)
+
+
+def test_repeated_ids_and_extreme_components(spark):
+    rng = random.Random(3)
+    data = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(40)]
+    data += [(0, [1.0, 2.0, 3.0, 4.0]), (0, [1.0, 2.0, 3.0, 5.0]), (0, [1.0, 2.0, 3.0, 4.0]), (7, [1.0, 2.0, 3.0, 4.5]),
+             (50, [1e200, 2e200, -1e200, 3e200]), (51, [1e-200, 2e-200, -1e-200, 3.1e-200]), (52, [5e-324, 0.0, 0.0, 0.0]), (53, [1.7e308, 1e-300, 0.0, -1.7e308])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    got = result(N.search(df, visits=1000))
+    assert got == brute(data)
+    assert (0, 2, 0) in {row[:3] for row in got} and (50, 1, 51) in {row[:3] for row in got}
