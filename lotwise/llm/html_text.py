@@ -2,15 +2,20 @@
 
 Markup is stripped so that every block element gives a line.  Lines inside elements that are
 no content by their tag, role, class or id (menus, headers, footers, sidebars, notices,
-adverts, forms, comments of readers) and lines outside the page's article, where it names
-one, count as blank; text of links counts for nothing.  The lengths of ``SPAN`` lines in a row
-are summed.  Text surges where a sum reaches ``SURGE`` and dives where it falls to zero; the
-lines between, with the shorter ones that touch them, are the main text.  In an element that
-the page itself names its article any text is a surge.
+adverts, forms, comments of readers) count as blank; text of links counts for nothing.  The
+lengths of ``SPAN`` lines in a row are summed.  Text surges where a sum reaches ``SURGE`` and
+dives where it falls to zero; the lines between, with the shorter ones that touch them, are the
+main text.
+
+Where the page names an element its article, the article sets the level: its lines are text,
+but parts whose class or id has a word of ``_WEAK`` have to surge themselves; and text outside
+of it has to surge higher than any of the article's own windows.
 """
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,11 +50,15 @@ _CONTENT_TAGS = frozenset(("article", "main"))
 _SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _NOT_THE_ARTICLE = frozenset("ad ads advert sponsored promo comment comments reply replies related teaser recommended sidebar".split())
 _HEADLINE_TOKENS = frozenset("header masthead tags".split())
-NOTHING, SOFT, HARD = 0, 1, 2
+# words that inside an article may as well name a part of it
+_WEAK = frozenset("widget widgets alert modal overlay popup toolbar tags legal disclaimer copyright".split())
+_TRANSPARENT = frozenset("p b i em strong span".split())
+NOTHING, SOFT, HARD, WEAK = 0, 1, 2, 3
 
 
 def _boiler(tag: str, attributes: str, content: bool) -> int:
-    """Whether an element is boilerplate: HARD by what it is, SOFT by what its class or id says."""
+    """Whether an element is boilerplate: HARD by what it is, SOFT by what its class or id says, WEAK if that is open inside an article."""
+    weak = NOTHING
     if tag in _BOILER_TAGS:
         # the headline of an article may stand in a header of its own
         return NOTHING if tag == "header" and content else HARD
@@ -63,9 +72,12 @@ def _boiler(tag: str, attributes: str, content: bool) -> int:
         if name in ("class", "id"):
             tokens = {token.lower() for token in _TOKEN.findall(value)}
             known = _NOT_THE_ARTICLE if tag in _CONTENT_TAGS else _BOILER_TOKENS - _HEADLINE_TOKENS if content else _BOILER_TOKENS
-            if not known.isdisjoint(tokens):
+            said = known & tokens
+            if content and tag not in _CONTENT_TAGS and said and said <= _WEAK:
+                weak = WEAK
+            elif said:
                 return SOFT
-    return NOTHING
+    return weak
 
 
 def _is_content(tag: str, attributes: str) -> bool:
@@ -101,36 +113,46 @@ class _Hidden:
         return self.page.find(">", at) + 1 or len(self.page)
 
 
-def lines(page: str) -> list[tuple[str, int, int, int]]:
-    """Per block of text: the text, its length without links, the depth of boilerplate and of named content around it."""
-    found: list[tuple[str, int, int, int]] = []
+def lines(page: str) -> list[tuple[str, int, int, int, int]]:
+    """Per block of text: the text, its length without links, the depth of boilerplate and of named content around it, and the weak element it is in."""
+    found: list[tuple[str, int, int, int, int]] = []
     parts: list[str] = []
-    plain = links = hard = soft = content = at = 0
-    stack: list[tuple[str, int, int, int]] = []  # tag, and the three counts outside of it
+    plain = links = hard = soft = content = weak = at = 0
+    stack: list[tuple[str, int, int, int, int]] = []  # tag, and the counts outside of it
+    places: defaultdict[str, list[int]] = defaultdict(list)  # depths of the open elements of a tag
+    walls: list[int] = []  # depths of the open elements that are not transparent
 
     def close_line() -> None:
         nonlocal plain
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                found.append((text, plain, hard + soft, content))
+                found.append((text, plain, hard + soft, content, weak))
             parts.clear()
         plain = 0
 
     def push(tag: str, kind: int, named: bool) -> None:
-        nonlocal hard, soft, content
-        stack.append((tag, hard, soft, content))
+        nonlocal hard, soft, content, weak
+        places[tag].append(len(stack))
+        if tag not in _TRANSPARENT:
+            walls.append(len(stack))
+        stack.append((tag, hard, soft, content, weak))
         if named and not kind and not content:
             soft = 0  # a wrapper whose class has such a word may hold the article
         hard += kind == HARD
         soft += kind == SOFT
-        content += named and not kind
+        content += named and kind in (NOTHING, WEAK)
+        if kind == WEAK and not weak:
+            weak = at  # the outermost one; 0 is none
 
     def pop(upto: int) -> None:
-        nonlocal hard, soft, content
+        nonlocal hard, soft, content, weak
         if len(stack) > upto:
-            _, hard, soft, content = stack[upto]
-            del stack[upto:]
+            _, hard, soft, content, weak = stack[upto]
+            while len(stack) > upto:
+                places[stack.pop()[0]].pop()
+            while walls and walls[-1] >= upto:
+                walls.pop()
 
     def put(text: str) -> None:
         nonlocal plain
@@ -159,7 +181,7 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
             elif tag == "br":
                 parts.append(" ")
             kind = NOTHING if closing or tag in _EMPTY else _boiler(tag, attributes, content > 0)
-            if kind:
+            if kind in (SOFT, HARD):
                 close_line()
                 push(tag, kind, False)
             elif closing and stack and stack[-1][0] == tag:
@@ -169,20 +191,15 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
         close_line()
         links = 0
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    pop(depth)
-                    break
+            if places[tag]:
+                pop(places[tag][-1])
             continue
         if tag in _EMPTY:
             continue
         if tag in _SELF_CLOSING:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in _SELF_CLOSING[tag]:
-                    pop(depth)
-                    break
-                if stack[depth][0] not in ("p", "b", "i", "em", "strong", "span"):
-                    break
+            depth = max((places[kind][-1] for kind in _SELF_CLOSING[tag] if places[kind]), default=-1)
+            if depth >= 0 and depth >= (walls[-1] if walls else 0):
+                pop(depth)
         push(tag, _boiler(tag, attributes, content > 0), _is_content(tag, attributes))
     if at < len(page):
         cut = _CUT_OFF.search(page, at)
@@ -191,14 +208,10 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
     return found
 
 
-def main_text(page: str | None, span: int = SPAN, surge: int = SURGE) -> str:
-    """The main text's blocks, joined by newlines; empty if the page has none.  A null page is an empty one."""
-    rows = lines(page or "")
-    named = any(content and not boiler for _, _, boiler, content in rows)
-    # length of each line as far as it may be content
-    sizes = [0 if boiler or named and not content else max(plain, 1 if named else 0) for _, plain, boiler, content in rows]
+def _surges(sizes: list[int], span: int, least: float | None, surge: int = SURGE) -> list[int]:
+    """Indexes of the lines between a surge to ``least`` (null: to ``surge``, or the highest there is) and its dive."""
     sums = [sum(sizes[i: i + span]) for i in range(len(sizes))]
-    least = 1 if named else min(surge, max(sums, default=0))
+    least = min(surge, max(sums, default=0)) if least is None else least
     kept, i = [], 0
     while i < len(sizes):
         if not sizes[i]:
@@ -208,9 +221,29 @@ def main_text(page: str | None, span: int = SPAN, surge: int = SURGE) -> str:
         while end < len(sizes) and sums[end]:
             end += 1
         if max(sums[i:end]) >= least:
-            kept += [rows[j][0] for j in range(i, end) if sizes[j]]
+            kept += [j for j in range(i, end) if sizes[j]]
         i = end
-    return "\n".join(kept)
+    return kept
+
+
+def main_text(page: str | None, span: int = SPAN, surge: int = SURGE) -> str:
+    """The main text's blocks, joined by newlines; empty if the page has none.  A null page is an empty one."""
+    rows = lines(page or "")
+    inside = [bool(content and not boiler) for _, _, boiler, content, _ in rows]
+    sizes = [0 if boiler else plain for _, plain, boiler, _, _ in rows]
+    if not any(inside):
+        return "\n".join(rows[i][0] for i in _surges(sizes, span, None, surge))
+    article, rest = [i for i, own in enumerate(inside) if own], [i for i, own in enumerate(inside) if not own]
+    kept = []
+    for weak, lot in groupby(article, key=lambda i: rows[i][4]):
+        part = list(lot)
+        kept += [part[j] for j in _surges([sizes[i] for i in part], span, surge)] if weak else part
+    lengths = [len(rows[i][0]) for i in kept]
+    higher = max((sum(lengths[i: i + span]) for i in range(len(lengths))), default=0) + 1
+    for _, lot in groupby(enumerate(rest), key=lambda pair: pair[1] - pair[0]):
+        part = [i for _, i in lot]
+        kept += [part[j] for j in _surges([sizes[i] for i in part], span, max(surge, higher))]
+    return "\n".join(rows[i][0] for i in sorted(kept))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,6 +72,34 @@ def test_hostile_pages_take_linear_time():
     assert time.time() - began < 20
 
 
+@pytest.mark.parametrize("page,want", [
+    (f"<article><p>x</p><div class='widget-content'><p>{LONG}</p><p>more</p></div><div class=widget>Vote now</div></article>", f"x\n{LONG}\nmore"),
+    ("<article><p>an <span class='alert'>urgent</span> word</p></article>", "an urgent word"),
+    (f"<article><p>x</p><div class='ad widget'>{LONG}</div></article>", "x"),
+    (f"<article class=card><p>Teaser</p></article><div id=story><p>{LONG}</p><p>{LONG}</p></div><p>tail</p><footer>{LONG}</footer>", f"Teaser\n{LONG}\n{LONG}\ntail"),
+    (f"<article><p>{LONG}</p></article><p>{LONG}</p>", LONG),
+    (f"<article><p>{LONG}</p></article><div>Call us</div><article>short</article>", f"{LONG}\nshort"),
+])
+def test_the_distribution_decides_inside_and_outside_of_articles(page, want):
+    assert H.main_text(page) == want
+
+
+def test_the_surge_decides_on_given_pages_with_a_widget(spark):
+    for r in table(spark, "/root/testdata/sf0.01", "pages").collect():
+        own = article(r.html)
+        page = r.html.replace("</article>", "<div class=widget>Vote now</div></article><p>Call us today</p>")
+        assert H.main_text(page) == own
+        assert H.main_text(page, surge=1) != own
+
+
+def test_deep_pages_take_linear_time():
+    began = time.time()
+    for opened, closed in (("<div>", "</section>"), ("<div>", "</div>"), ("<li><div><b class=ad>", "<li></li>"), ("<div><p>", "</li>"), ("<b class=ad>", "<dt></dt>")):
+        H.main_text(opened * 50_000 + closed * 50_000)
+        H.main_text("<li><div>" + opened * 50_000 + closed * 50_000)
+    assert time.time() - began < 20
+
+
 def test_nulls_repeats_and_empty_table(spark):
     rows = [(1, None, None, 5), (None, "u", "<main>x</main>", 6), (None, "u", "<main>x</main>", 6), (2, "v", "<main>" + "word " * 400_000, 7)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
