@@ -6,6 +6,7 @@ Every link table has the columns listing_id, duplicate_of and, where the
 method measures it, sim.
 """
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -179,40 +180,81 @@ def trigram_similarity(sigs: DataFrame, threshold: float = 0.8, min_length: int
 CHUNK = 2000  # vectors per side of one comparison task
 
 
-def embedding_cosine(vecs: DataFrame, threshold: float = 0.85, pivots: int = 32, seed: int = 7) -> DataFrame:
+def _unit() -> Callable:
+    """Rows as unit vectors, whatever the size of their components; a local function, so that tasks get its code."""
+    def unit(vectors: pd.Series) -> np.ndarray:
+        m = np.array(vectors.tolist(), dtype="float64")
+        m = np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+    return unit
+
+
+def metric_leaves(vecs: DataFrame, reach: float, pivots: int = 32, seed: int = 7, leaf: int | None = None) -> DataFrame:
+    """vecs[vec_id, embedding] -> [cell, own, vec_id, embedding]: leaves of a metric tree.
+
+    A vector stands in every leaf that may hold one within ``reach`` of its angle; ``own``
+    marks the one leaf that holds the vector itself.  A node of more than ``leaf`` vectors (null: four
+    CHUNKs, which copy a vector less often than a split may) is split by the nearest of ``pivots``
+    of its own vectors; clusters that hold more than a leaf are told apart.  A vector goes to a child if its angle to the child's pivot is at
+    most 2 * reach above the least one (hyperplane bound) and within ``reach`` of the angles of
+    the child's own (ball bound).  A child that holds all of its node stays a leaf of any size,
+    as only vectors that no pivot tells apart make one.
+    """
+    unit = _unit()
+    columns = ["cell", "own", "vec_id", "embedding"]
+
+    def deal(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(centres):
+            return pd.DataFrame({c: [] for c in ("parent", *columns, "angle")}).astype({"own": "bool", "vec_id": "int64", "angle": "float64"})
+        angle = np.arccos(np.clip(unit(rows["embedding"]) @ unit(centres.sort_values("vec_id")["embedding"]).T, -1, 1))
+        at, child = np.nonzero(angle - angle.min(axis=1, keepdims=True) <= 2 * reach)
+        some = rows.iloc[at]
+        return pd.DataFrame({"parent": some["cell"].to_numpy(), "cell": [f"{c}/{i}" for c, i in zip(some["cell"], child)],
+                             "own": some["own"].to_numpy() & (angle.argmin(axis=1)[at] == child), "vec_id": some["vec_id"].to_numpy(),
+                             "embedding": some["embedding"].to_numpy(), "angle": angle[at, child]})
+
+    schema = f"parent string, cell string, own boolean, vec_id bigint, embedding {vecs.schema['embedding'].dataType.simpleString()}, angle double"
+    rows, done = vecs.select(F.size("embedding").cast("string").alias("cell"), F.lit(True).alias("own"), "vec_id", "embedding"), []
+    while True:
+        sizes = rows.groupBy("cell").agg(F.count_if("own").alias("n"), F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+        big = staged(sizes.filter(F.col("n") > (leaf or 4 * CHUNK)), "crowded")
+        done.append(rows.join(big, "cell", "left_anti").select(*columns))
+        if big.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        crowd = rows.join(big, "cell")
+        first = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id"))
+        centres = crowd.filter("own").withColumn("rn", first).filter(F.col("rn") <= pivots) \
+            .select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(c) for c in ("cell", "vec_id", "embedding")))
+        dealt = crowd.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).select("part", *columns)
+        inner = staged(dealt.groupBy("cell", "part").cogroup(centres.groupBy("cell", "part")).applyInPandas(deal, schema), "members")
+        balls = inner.filter("own").groupBy("parent", "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("size")) \
+            .join(big.select(F.col("cell").alias("parent"), "n"), "parent").select("cell", "low", "high", (F.col("size") == F.col("n")).alias("whole"))
+        reached = inner.join(balls, "cell").filter((F.col("angle") <= F.col("high") + reach) & (F.col("angle") >= F.col("low") - reach))
+        done.append(reached.filter("whole").select(*columns))
+        rows = reached.filter("NOT whole").select(*columns)
+
+
+def embedding_cosine(vecs: DataFrame, threshold: float = 0.85, pivots: int = 32, seed: int = 7, leaf: int | None = None) -> DataFrame:
     """vecs[vec_id, embedding] -> most similar earlier vector with cosine above the threshold, exact.
 
-    Vectors live in the cell of their nearest pivot (a bounded sample).  A probe
-    visits every cell that can hold a match: by the triangle inequality for
-    angles those with angle(pivot) - angle(nearest pivot) <= 2 * acos(threshold).
-    Large cells are cut into chunks, so a task compares at most CHUNK x CHUNK
-    vectors and returns one best row per probe.
+    Equal vectors are searched for once, by the earliest; the leaves that can hold a match are
+    those of :func:`metric_leaves`.  Large ones are cut into chunks, so a task compares at
+    most CHUNK x CHUNK vectors and returns one best row per probe.  Null or zero vectors, those
+    with null or non-finite components and rows without vec_id take no part; vectors of
+    different lengths are not compared.
     """
-    sample = vecs.select("embedding").orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(pivots).collect()
-    centre = np.array([r[0] for r in sample], dtype="float64")
-    centre = centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-    reach = 2 * np.arccos(threshold) + 1e-6
-
-    def unit(pdf):
-        m = np.array(pdf["embedding"].tolist(), dtype="float64")
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-
-    def place(batches):
-        for pdf in batches:
-            if len(pdf):
-                angle = np.arccos(np.clip(unit(pdf) @ centre.T, -1, 1))
-                home = angle.argmin(axis=1)
-                near = angle - angle[np.arange(len(pdf)), home][:, None] <= reach
-                yield pd.DataFrame({"vec_id": pdf["vec_id"], "embedding": pdf["embedding"], "home": home.astype("int32"),
-                                    "visits": [np.flatnonzero(row).astype("int32").tolist() for row in near]})
-
-    placed = vecs.select("vec_id", "embedding").mapInPandas(place, "vec_id bigint, embedding array<float>, home int, visits array<int>")
-    placed = staged(placed, "placed")
-    parts = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    fit = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
+    rows = staged(vecs.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & fit), "vectors")
+    owners = staged(rows.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "embedding"), "owners")
+    probes = staged(metric_leaves(owners, np.arccos(threshold) + 1e-6, pivots, seed, leaf), "leaves")
+    held = probes.filter("own")
+    unit = _unit()
+
+    parts = held.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
     piece = F.pmod(F.hash("vec_id"), F.col("parts"))
-    stored = placed.select("vec_id", "embedding", F.col("home").alias("cell")).join(parts, "cell") \
+    stored = held.join(parts, "cell") \
         .select("cell", piece.alias("chunk"), "vec_id", "embedding", F.lit(True).alias("stored"))
-    asked = placed.select("vec_id", "embedding", F.explode("visits").alias("cell")).join(parts, "cell") \
+    asked = probes.join(parts, "cell") \
         .select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"), "vec_id", "embedding")
     loads = asked.groupBy("cell", "chunk").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("groups"))
     asked = asked.join(loads, ["cell", "chunk"]).select("cell", "chunk", F.pmod(F.hash("vec_id"), F.col("groups")).alias("grp"), "vec_id", "embedding", F.lit(False).alias("stored"))
@@ -223,7 +265,7 @@ def embedding_cosine(vecs: DataFrame, threshold: float = 0.85, pivots: int = 32,
         if not len(base) or not len(ask):
             return pd.DataFrame({"vec_id": [], "other": [], "sim": []}).astype({"vec_id": "int64", "other": "int64", "sim": "float64"})
         base = base.sort_values("vec_id")
-        sim = np.round(unit(ask) @ unit(base).T, 9)
+        sim = np.round(unit(ask["embedding"]) @ unit(base["embedding"]).T, 9)
         ids = base["vec_id"].to_numpy()
         sim[ids[None, :] >= ask["vec_id"].to_numpy()[:, None]] = -2
         at = sim.argmax(axis=1)
@@ -231,8 +273,13 @@ def embedding_cosine(vecs: DataFrame, threshold: float = 0.85, pivots: int = 32,
         keep = top > threshold
         return pd.DataFrame({"vec_id": ask["vec_id"].to_numpy()[keep], "other": ids[at][keep], "sim": top[keep]})
 
-    found = stored.unionByName(asked).groupBy("cell", "chunk", "grp").applyInPandas(best, "vec_id bigint, other bigint, sim double")
-    return found.groupBy("vec_id").agg(F.min(F.struct((-F.col("sim")).alias("neg"), "other")).alias("b")) \
+    found = staged(stored.unionByName(asked).groupBy("cell", "chunk", "grp").applyInPandas(best, "vec_id bigint, other bigint, sim double"), "nearest")
+    # a copy has its earliest equal, or what that one is as near to
+    first = owners.select("embedding", F.col("vec_id").alias("owner"))
+    copies = rows.join(first, "embedding").filter(F.col("vec_id") > F.col("owner")).select("vec_id", "owner")
+    links = found.unionByName(copies.select("vec_id", F.col("owner").alias("other"), F.lit(1.0).alias("sim")).filter(F.col("sim") > threshold)) \
+        .unionByName(copies.join(found.filter("sim >= 1").withColumnRenamed("vec_id", "owner"), "owner").select("vec_id", "other", "sim"))
+    return links.groupBy("vec_id").agg(F.min(F.struct((-F.col("sim")).alias("neg"), "other")).alias("b")) \
         .select(F.col("vec_id").alias("listing_id"), F.col("b.other").alias("duplicate_of"), (-F.col("b.neg")).alias("sim"))
 
 

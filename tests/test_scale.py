@@ -130,6 +130,39 @@ def test_embedding_join_equals_brute_force(spark, chunk, monkeypatch):
     assert got == want and len(want) > 20
 
 
+def test_embedding_join_of_copies_nulls_and_extremes(spark, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK", 5)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(40)]
+    rows += [(100 + i, rows[3][1]) for i in range(30)] + [(200, rows[3][1]), (200, rows[3][1]), (201, [2 * x for x in rows[3][1]])]
+    rows += [(300, [1e200, 2e200, -1e200]), (301, [1e-200, 2e-200, -1e-200]), (302, [1.0, 2.0]), (303, [1.0, 2.1])]
+    bad = [(400, None), (401, []), (402, [0.0] * 3), (403, [1.0, None, 1.0]), (404, [float("nan")] * 3), (405, [float("inf"), 1.0, 1.0]), (None, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.listing_id, r.duplicate_of, round(r.sim, 6)) for r in M.embedding_cosine(df, 0.85, pivots=4).collect())
+    want, units = [], [(i, np.array(v) / max(map(abs, v))) for i, v in rows]
+    units = [(i, v / np.linalg.norm(v)) for i, v in units]
+    for i in sorted({i for i, _ in rows}):
+        near = [(-round(float(a @ b), 9), j) for k, a in units if k == i for j, b in units if j < i and len(a) == len(b)]
+        if near and -min(near)[0] > 0.85:
+            want.append((i, min(near)[1], round(-min(near)[0], 6)))
+    assert got == want
+    assert M.embedding_cosine(df.limit(0)).count() == 0
+
+
+def test_embedding_leaves_compare_a_falling_share_of_clustered_pairs(spark, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK", 1000)
+    rng = np.random.default_rng(6)
+    share = []
+    for clusters in (8, 32):
+        base = rng.normal(size=(clusters, 24))
+        vecs = base[rng.integers(0, clusters, 150 * clusters)] + 0.1 * rng.normal(size=(150 * clusters, 24))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+        loads = M.metric_leaves(df, float(np.arccos(0.95)), pivots=16, leaf=60).groupBy("cell").agg(F.count_if("own").alias("a"), F.count("*").alias("b"))
+        share.append(loads.selectExpr("sum(a * b)").first()[0] / len(vecs) ** 2)
+    print("share of pairs compared", share)
+    assert share[0] < 0.4 and share[1] < share[0] / 2
+
+
 def test_minhash_links_copies_and_near_copies(spark):
     text = " ".join(f"word{i}" for i in range(200))
     docs = [(1, 0, text), (2, 1, text), (3, 2, text + " tail"), (4, 3, " ".join(f"other{i}" for i in range(200))), (5, 4, "short")]
