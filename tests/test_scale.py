@@ -264,3 +264,13 @@ def test_scratch_is_swept_and_settings_stay(spark, tmp_path):
     first = S.stored(spark, "k", lambda: spark.read.parquet(str(tmp_path / "t")), spark.read.parquet(str(tmp_path / "t")))
     source.write.mode("append").parquet(str(tmp_path / "t"))
     assert first.count() == 1 and S.stored(spark, "k", lambda: spark.read.parquet(str(tmp_path / "t")), spark.read.parquet(str(tmp_path / "t"))).count() == 2
+
+
+def test_derived_texts_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path):
+    from lotwise import session as S
+    spark.range(100_000).write.parquet(str(tmp_path / "ids"))
+    S.tune(spark)
+    ids = spark.read.parquet(str(tmp_path / "ids"))
+    pages = ids.select("id", F.repeat(F.lit("x"), 2_000).alias("html"))
+    plan = ids.select("id", F.lit(1).alias("asked")).join(pages, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
