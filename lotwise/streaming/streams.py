@@ -68,24 +68,30 @@ def batch_sessions(events: DataFrame, gap_seconds: int = 21600) -> DataFrame:
 
 
 # --- keyed state -------------------------------------------------------------------------
+HOUR_US, HOUR_MS, DAY_MS = 3_600_000_000, 3_600_000, 86_400_000
+
+
 class Capped(StatefulProcessor):
-    """Passes the first rows of a (key, period): a counter of what the period already sent, dropped after the period."""
+    """Passes the first rows of each user in a period; the key is (part of the users, period), its counters are dropped after the period."""
 
     def __init__(self, cap: int, period_ms: int):
         self.cap, self.period_ms = cap, period_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sent = handle.getValueState("sent", "n bigint")
+        self.sent = handle.getValueState("sent", "user_ids array<bigint>, counts array<bigint>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        used = self.sent.get()[0] if self.sent.exists() else 0
-        # only the first (cap - used) rows in time order can pass; keep no more than that per chunk
+        used = dict(zip(*self.sent.get())) if self.sent.exists() else {}
+        # only the first (cap - used) rows of a user in time order can pass; keep no more than that per chunk
         best = None
         for chunk in rows:
-            both = chunk if best is None else pd.concat([best, chunk])
-            best = both.sort_values(["at", "event_id"]).head(max(self.cap - used, 0))
-        self.sent.update((used + len(best),))
+            both = (chunk if best is None else pd.concat([best, chunk])).sort_values(["user_id", "at", "event_id"])
+            room = self.cap - both["user_id"].map(used).fillna(0)
+            best = both[both.groupby("user_id").cumcount() < room]
+        for user, n in best["user_id"].value_counts().items():
+            used[int(user)] = used.get(int(user), 0) + int(n)
+        self.sent.update((list(used), list(used.values())))
         # the watermark trails by the lateness, so no row of the period comes after this
         self.handle.registerTimer(int(key[1]) + self.period_ms)
         yield best[["user_id", "event_id", "at"]].astype("int64")
@@ -98,29 +104,54 @@ class Capped(StatefulProcessor):
         pass
 
 
+HELD_ROWS = 500_000  # rows of a state key that are put by hours at once
+
+
 class Delayed(StatefulProcessor):
-    """Holds a row for the plan's delay and releases it by an event-time timer; waiting rows are kept by the time they are due."""
+    """Holds a row for the plan's delay and releases it by event time.
+
+    Waiting rows are kept by the hour in which they are due; an hour has a timer at its
+    earliest row, and one at the earliest of what that leaves.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "due bigint", "event_ids array<bigint>")
+        self.waiting = handle.getMapState("waiting", "hour bigint", "user_ids array<bigint>, event_ids array<bigint>, due array<bigint>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for chunk in rows:
-            due = chunk["at"] // 1000 + chunk["delay_minutes"] * 60_000
-            for at, ids in chunk["event_id"].groupby(due):
-                place, before = (int(at),), []
-                if self.waiting.containsKey(place):
-                    before = list(self.waiting.getValue(place)[0])
-                self.waiting.updateValue(place, (before + [int(i) for i in ids],))
-                self.handle.registerTimer(int(at))
+            held.append(chunk[["user_id", "event_id"]].assign(due=chunk["at"] // 1000 + chunk["delay_minutes"] * 60_000))
+            size += len(chunk)
+            if size >= HELD_ROWS:
+                self._put(pd.concat(held))
+                held, size = [], 0
+        if size:
+            self._put(pd.concat(held))
         return iter([])
 
+    def _put(self, rows: pd.DataFrame) -> None:
+        for hour, part in rows.groupby(rows["due"] // HOUR_MS):
+            place, fresh = (int(hour),), tuple(part[c].tolist() for c in ("user_id", "event_id", "due"))
+            before = tuple(list(c) for c in self.waiting.getValue(place)) if self.waiting.containsKey(place) else ([], [], [])
+            self.waiting.updateValue(place, tuple(a + b for a, b in zip(before, fresh)))
+            if not before[2] or min(fresh[2]) < min(before[2]):
+                self.handle.registerTimer(min(fresh[2]))
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = int(expiredTimerInfo.getExpiryTimeInMs())
-        ids = list(self.waiting.getValue((now,))[0]) if self.waiting.containsKey((now,)) else []
-        self.waiting.removeKey((now,))
-        yield pd.DataFrame({"user_id": [int(key[0])] * len(ids), "event_id": ids, "due": [now] * len(ids)}).astype("int64")
+        place, passed = (now // HOUR_MS,), max(now, int(timerValues.getCurrentWatermarkInMs()))
+        if not self.waiting.containsKey(place):
+            return
+        rows = pd.DataFrame(dict(zip(("user_id", "event_id", "due"), map(list, self.waiting.getValue(place)))), dtype="int64")
+        out = rows["due"] <= passed
+        left = rows[~out]
+        if left.empty:
+            self.waiting.removeKey(place)
+        elif out.any():
+            self.waiting.updateValue(place, tuple(left[c].tolist() for c in left))
+            self.handle.registerTimer(int(left["due"].min()))
+        yield rows[out]
 
     def close(self) -> None:
         pass
@@ -157,17 +188,17 @@ class Intake(StatefulProcessor):
         pass
 
 
-HOUR_US, HOUR_MS, DAY_MS = 3_600_000_000, 3_600_000, 86_400_000
 CHANGES = "listing_id bigint, at bigint, tie bigint, prev_price double, price double, pct double"
 
 
 class PriceChanges(StatefulProcessor):
     """Changes against the previous observation, in event-time order.
 
-    Observations wait by the hour until the watermark has passed it, so late and
+    Observations wait until the watermark has passed their hour, so late and
     unordered ones within the watermark give what the batch job gives; later
-    ones are dropped.  The last price of a listing is dropped once the watermark is
-    ``keep_us`` past it: the next observation then has none before it.
+    ones are dropped.  A listing has one timer at the end of its earliest waiting hour.
+    The last price of a listing is dropped once the watermark is ``keep_us`` past it:
+    the next observation then has none before it.
     """
 
     def __init__(self, min_gap_us: int, keep_us: int):
@@ -176,41 +207,49 @@ class PriceChanges(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "at bigint, price double")
-        self.hours = handle.getMapState("hours", "hour bigint", "at array<bigint>, tie array<bigint>, price array<double>")
+        self.waiting = handle.getValueState("waiting", "at array<bigint>, tie array<bigint>, price array<double>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        passed = int(timerValues.getCurrentWatermarkInMs())
+        passed, fresh = int(timerValues.getCurrentWatermarkInMs()), ([], [], [])
         for chunk in rows:
-            for hour, part in chunk.groupby(chunk["at"] // HOUR_US):
-                end = (int(hour) + 1) * HOUR_US // 1000
-                if end <= passed:
-                    continue
-                held = tuple(list(c) for c in self.hours.getValue((int(hour),))) if self.hours.containsKey((int(hour),)) else ([], [], [])
-                fresh = ([int(v) for v in part["at"]], [int(v) for v in part["tie"]], [float(v) for v in part["price"]])
-                self.hours.updateValue((int(hour),), tuple(a + b for a, b in zip(held, fresh)))
-                self.handle.registerTimer(end)
+            open_ = chunk[(chunk["at"] // HOUR_US + 1) * HOUR_MS > passed]
+            for held, column, kind in zip(fresh, ("at", "tie", "price"), ("int64", "int64", "float64")):
+                held += open_[column].astype(kind).tolist()
+        if fresh[0]:
+            before = tuple(list(c) for c in self.waiting.get()) if self.waiting.exists() else ([], [], [])
+            self.waiting.update(tuple(a + b for a, b in zip(before, fresh)))
+            if not before[0] or min(fresh[0]) < min(before[0]):
+                self.handle.registerTimer((min(fresh[0]) // HOUR_US + 1) * HOUR_MS)
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now, found = int(expiredTimerInfo.getExpiryTimeInMs()), []
-        hour = now // HOUR_MS - 1
+        now = int(expiredTimerInfo.getExpiryTimeInMs())
         if now % HOUR_MS:  # the time of a last price, one millisecond past a full hour
             if self.last.exists() and (self.last.get()[0] + self.keep_us) // 1000 < now:
                 self.last.clear()
             return iter([])
-        return self._close(key, hour, found)
-
-    def _close(self, key: Any, hour: int, found: list) -> Iterator[pd.DataFrame]:
-        if self.hours.containsKey((hour,)):
-            seen = sorted(zip(*self.hours.getValue((hour,))))
-            before = self.last.get() if self.last.exists() else None
-            for at, tie, price in seen:
-                if before is not None and at - before[0] > self.min_gap_us and price != before[1]:
-                    found.append((int(key[0]), at, tie, before[1], price, (price - before[1]) / before[1] * 100 if before[1] else None))
-                before = (at, price)
-            self.last.update(before)
-            self.handle.registerTimer(((before[0] + self.keep_us) // HOUR_US + 1) * HOUR_MS + 1)
-            self.hours.removeKey((hour,))
+        return self._close(key, max(now, int(timerValues.getCurrentWatermarkInMs())))
+
+    def _close(self, key: Any, passed: int) -> Iterator[pd.DataFrame]:
+        seen = sorted(zip(*self.waiting.get())) if self.waiting.exists() else []
+        done = sum((row[0] // HOUR_US + 1) * HOUR_MS <= passed for row in seen)
+        if not done:
+            return
+        found, before = [], self.last.get() if self.last.exists() else None
+        for at, tie, price in seen[:done]:
+            if before is not None and (before[0] + self.keep_us) // HOUR_US < at // HOUR_US:
+                before = None
+            if before is not None and at - before[0] > self.min_gap_us and price != before[1]:
+                found.append((int(key[0]), at, tie, before[1], price, (price - before[1]) / before[1] * 100 if before[1] else None))
+            before = (at, price)
+        self.last.update(before)
+        self.handle.registerTimer(((before[0] + self.keep_us) // HOUR_US + 1) * HOUR_MS + 1)
+        left = seen[done:]
+        if left:
+            self.waiting.update(tuple(map(list, zip(*left))))
+            self.handle.registerTimer((left[0][0] // HOUR_US + 1) * HOUR_MS)
+        else:
+            self.waiting.clear()
         yield pd.DataFrame(found, columns=["listing_id", "at", "tie", "prev_price", "price", "pct"]).astype(
             {"listing_id": "int64", "at": "int64", "tie": "int64", "prev_price": "float64", "price": "float64", "pct": "float64"})
 
@@ -230,10 +269,14 @@ def use_state_store(spark: SparkSession) -> None:
 PERIODS_MS = {"hour": 3_600_000, "day": 86_400_000, "month": 31 * 86_400_000}
 
 
+CAP_PARTS = 256  # the users of a period share so many state keys
+
+
 def capped(events: DataFrame, cap: int, period: str) -> DataFrame:
     """At most ``cap`` rows per user and period (hour, day or month)."""
     start = (F.unix_micros(F.date_trunc(period, "ts")) / 1000).cast("bigint")
-    return _with_micros(events).withColumn("period", start).groupBy("user_id", "period").transformWithStateInPandas(
+    part = F.pmod(F.xxhash64("user_id"), F.lit(CAP_PARTS))
+    return _with_micros(events).withColumns({"part": part, "period": start}).groupBy("part", "period").transformWithStateInPandas(
         Capped(cap, PERIODS_MS[period]), "user_id bigint, event_id bigint, at bigint", "Append", "EventTime")
 
 
@@ -260,16 +303,16 @@ def price_changes(observations: DataFrame, min_gap_seconds: int = 3600, keep_day
     return _with_micros(observations).groupBy("listing_id").transformWithStateInPandas(processor, CHANGES, "Append", "EventTime")
 
 
-PARTS = 64  # a busy user's waiting rows are spread over this many state keys
+PARTS = 64  # waiting rows are spread over so many state keys, whoever their user is
 
 
 def delayed(events: DataFrame) -> DataFrame:
     """events with delay_minutes: each row leaves once event time passed its own time plus the delay.
 
-    Rows wait independently of each other, so the state key carries a part number.
+    Rows wait independently of each other, so the state key is a part number.
     """
     part = F.pmod(F.hash("event_id"), F.lit(PARTS))
-    return _with_micros(events).withColumn("part", part).groupBy("user_id", "part").transformWithStateInPandas(
+    return _with_micros(events).withColumn("part", part).groupBy("part").transformWithStateInPandas(
         Delayed(), "user_id bigint, event_id bigint, due bigint", "Append", "EventTime")
 
 

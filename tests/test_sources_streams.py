@@ -2,6 +2,7 @@
 import datetime
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lotwise.operators import comps as K, maintain as A
@@ -149,3 +150,78 @@ def test_intake_log_with_restarted_versions(spark):
     row = S.newest_versions(log).first()
     assert (row.url, row.parsed_data, row.is_active) == ("u3", "first doc", False)
     assert row.last_seen_at > row.first_seen_at and row.first_seen_at.microsecond == 5
+
+
+class _Counted:
+    """State variables and timers of one key that count how often they are asked."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, []
+
+    def getValueState(self, *_):
+        return _Slots(self)
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+class _Slots:
+    def __init__(self, owner):
+        self.owner, self.held = owner, {}
+
+    def __getattr__(self, name):
+        def call(key=None, value=None):
+            self.owner.calls += 1
+            if name in ("exists", "containsKey"):
+                return key in self.held
+            if name in ("get", "getValue"):
+                return self.held[key]
+            if name == "update":
+                key, value = None, key
+            self.held[key] = value
+        return call
+
+
+def _asked(processor, key, rows):
+    state = _Counted()
+    processor.init(state)
+    list(processor.handleInputRows(key, iter([rows]), state))
+    return state.calls
+
+
+def test_waiting_prices_ask_the_state_per_listing_not_per_hour():
+    rows = pd.DataFrame({"listing_id": 1, "at": [i * S.HOUR_US for i in range(500)], "tie": range(500), "price": [float(i) for i in range(500)]})
+    assert _asked(S.PriceChanges(0, S.DAY_MS * 1000), (1,), rows) <= 5
+
+
+def test_delayed_rows_ask_the_state_per_hour_not_per_row(spark):
+    rows = pd.DataFrame({"user_id": range(500), "event_id": range(500), "at": [i * 1_000_000 for i in range(500)], "delay_minutes": 0})
+    assert _asked(S.Delayed(), (1,), rows) <= 5
+
+
+def test_delayed_rows_leave_when_due(spark, tmp_path):
+    ev, stream = _late_batches(spark, tmp_path)
+    S.use_state_store(spark)
+    delay = F.when(F.col("event_id") % 2 == 0, 150).otherwise(0)
+    got = S.run_available(S.delayed(stream.select("ts", "user_id", "event_id", delay.alias("delay_minutes"))), "t-delay").collect()
+    closed = ev.agg(F.max("ts")).first()[0] - datetime.timedelta(hours=2)
+    want = {(r.user_id, r.event_id) for r in ev.withColumn("m", delay).collect() if r.ts + datetime.timedelta(minutes=r.m) <= closed}
+    assert len(got) == len(want) and {(r.user_id, r.event_id) for r in got} == want and len(want) > 500
+
+
+def test_caps_share_state_keys_between_users(spark, tmp_path):
+    _, stream = _two_batches(spark, tmp_path)
+    users = stream.select("ts", (F.col("event_id") + 1_000).alias("user_id"), "event_id")
+    S.use_state_store(spark)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    S.capped(users, 3, "month").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.parquet(out)
+    assert kept.count() == kept.select("user_id").distinct().count() > 2 * S.CAP_PARTS
+    left = spark.read.format("statestore").option("path", state).option("stateVarName", "sent").load()
+    assert left.select("key").distinct().count() <= 2 * S.CAP_PARTS
