@@ -448,12 +448,29 @@ def _text_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["tie", "shingles"])
 
 
-def banded_links(texts: DataFrame, docs: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b: links by exact similarity between texts (tie, low, bands) of different components.
+def _exact_links(pairs: DataFrame, texts: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """a, b: those of the pairs of texts whose exact sets are alike; sets of too unlike sizes are not paired."""
+    pairs = staged(pairs, f"{name}-pairs")
+    wanted = pairs.select(F.col("a").alias("__tie")).unionByName(pairs.select(F.col("b").alias("__tie"))).distinct().join(texts.select(F.col("tie").alias("__tie"), "low.doc_id"), "__tie")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("tie"))
+    rows = rows.join(wanted, (F.col("tie") == F.col("__tie")) & F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("tie", "text")
+    sets = staged(common.arrow_map(rows, _text_sets, "tie long, shingles binary").dropDuplicates(["tie"]), f"{name}-sets")
+    percent = round(100 * SIMILAR)
+    size = sets.select("tie", F.octet_length("shingles").alias("n"))
+    near = (pairs.join(size.select(F.col("tie").alias("a"), F.col("n").alias("x")), "a").join(size.select(F.col("tie").alias("b"), F.col("n").alias("y")), "b")
+            .where(100 * F.least("x", "y") >= percent * F.greatest("x", "y")).select("a", "b"))
+    both = (near.join(sets.select(F.col("tie").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("tie").alias("b"), F.col("shingles").alias("y")), "b")
+            .select("a", "b", "x", "y"))
+    return staged(common.arrow_map(both, lambda it: jaccard_join.verified(it, percent), "a long, b long"), f"{name}-links")
+
 
-    Texts that share a band are compared with three texts of it: the one that shares bands
+def banded_links(texts: DataFrame, docs: DataFrame, near: DataFrame) -> DataFrame:
+    """a, b: links by exact similarity between texts (tie, low, bands) that the links ``near`` do not connect.
+
+    Texts that share a band are first compared with three texts of it: the one that shares bands
     with most others, which mostly is what the others were copied from, and two others by a
-    hash that differs from band to band.  ``roots``: node, root of texts that are connected.
+    hash that differs from band to band.  All pairs of a band that this leaves in different
+    components are compared next, so no link between texts of a band is lost.
     """
     spread = staged(texts.select("tie", F.posexplode("bands").alias("at", "value")).select("tie", F.xxhash64("at", "value").alias("band")), "bands")
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -463,18 +480,18 @@ def banded_links(texts: DataFrame, docs: DataFrame, roots: DataFrame) -> DataFra
     heads = (live.join(reach, "tie").groupBy("band").agg(F.max(F.struct("reach", "tie")).alias("x"), F.min(turn).alias("y"), F.max(turn).alias("z"))
              .select("band", F.explode(F.array("x.tie", "y.tie", "z.tie")).alias("head")))
     pairs = live.join(heads, "band").where("tie <> head").select(F.least("tie", "head").alias("a"), F.greatest("tie", "head").alias("b")).distinct()
-    root = roots.select("node", "root")
+    root = components(near).select("node", "root")
     apart = (pairs.join(root.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
              .where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b"))
-    apart = staged(apart, "band-pairs")
-    wanted = apart.select(F.col("a").alias("__tie")).unionByName(apart.select(F.col("b").alias("__tie"))).distinct().join(texts.select(F.col("tie").alias("__tie"), "low.doc_id"), "__tie")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("tie"))
-    rows = rows.join(wanted, (F.col("tie") == F.col("__tie")) & F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("tie", "text")
-    sets = staged(common.arrow_map(rows, _text_sets, "tie long, shingles binary").dropDuplicates(["tie"]), "band-sets")
-    both = (apart.join(sets.select(F.col("tie").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("tie").alias("b"), F.col("shingles").alias("y")), "b")
-            .select("a", "b", "x", "y"))
-    percent = round(100 * SIMILAR)
-    return common.arrow_map(both, lambda it: jaccard_join.verified(it, percent), "a long, b long")
+    compared = staged(apart, "band-heads")
+    first = _exact_links(compared, texts, docs, "band-head")
+    root = components(near.unionByName(first)).select(F.col("node").alias("tie"), "root")
+    placed = live.join(root, "tie", "left").select("band", "tie", F.coalesce("root", "tie").alias("root"))
+    several = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
+    left = staged(placed.join(several, "band"), "bands-left")
+    rest = (left.select("band", F.col("tie").alias("a"), F.col("root").alias("x")).join(left.select("band", F.col("tie").alias("b"), F.col("root").alias("y")), "band")
+            .where("a < b AND x <> y").select("a", "b").distinct().join(compared, ["a", "b"], "left_anti"))
+    return first.unionByName(_exact_links(rest, texts, docs, "band-rest"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -489,7 +506,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
     texts = staged(found.groupBy("tie").agg(F.min(order).alias("low"), F.first("mark").alias("mark"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "texts")
     near = staged(near_links(texts.select(F.col("tie").alias("node"), "mark", "sketch"), budget=WIDE_BUDGET), "trie-links")
-    links = components(near.unionByName(staged(banded_links(texts, docs, components(near)), "banded-links")))
+    links = components(near.unionByName(banded_links(texts, docs, near)))
     grouped = texts.join(links, texts["tie"] == links["node"], "left").select("low", F.coalesce("root", "tie").alias("group"))
     first = grouped.groupBy("group").agg(F.min("low").alias("s")).select("s.doc_id", "s.tie")
     chosen = staged(found.select("doc_id", "tie").alias("f").join(first.alias("c"), F.col("f.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("f.tie") == F.col("c.tie")))

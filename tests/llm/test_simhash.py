@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lotwise.llm import simhash as S
 from lotwise.llm.components import components
@@ -254,3 +255,17 @@ def test_recall_against_an_exact_comparison(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(docs).count() == 0 and S.drop_near_duplicates(docs).count() == 0
+
+
+def test_texts_of_a_crowded_band_are_all_compared(spark):
+    """Thirty pairs of near copies in one band, of which three texts are compared with all first."""
+    rows = []
+    for i in range(30):
+        words = [f"w{i}x{j}" for j in range(60)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-1] + ["changed"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.select(F.xxhash64("text").alias("tie"), F.struct("doc_id").alias("low"), F.array(F.lit(7).cast("long")).alias("bands"))
+    none = spark.createDataFrame([], "a long, b long")
+    ids = {r.tie: r.low.doc_id for r in texts.collect()}
+    found = {tuple(sorted((ids[r.a], ids[r.b]))) for r in S.banded_links(texts, docs, none).collect()}
+    assert found == {(2 * i, 2 * i + 1) for i in range(30)}
