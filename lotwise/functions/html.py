@@ -39,12 +39,27 @@ def _bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+NESTED = 3
+
+
 def class_blocks(html: Column, *names: str) -> Column:
     """Inner markup of every element that has one of the classes, nested elements included.
 
-    The page is cut before every tag; from an opening tag on, tags of the same name
-    are counted up and down until its own closing tag, or the end of the page.
+    Where every such element is closed, and tags of its own name lie at most ``NESTED`` deep in
+    it, one pattern reads them all.  Else the page is cut before every tag; from an opening tag on, tags of the same
+    name are counted up and down until its own closing tag, or the end of the page.
     """
+    loose, strict = (_class_test(names).replace('[^"]', f'[^"{more}]') for more in ("<", "<>"))
+    openings = F.regexp_count(html, F.lit(rf"<\w+[^<>]*{loose}[^<>]*>"))
+    body = r"[^<]*+(?:<(?!/?\1(?!\w))[^<]*+)*+"
+    for _ in range(NESTED):
+        body = rf"[^<]*+(?:<(?!/?\1(?!\w))[^<]*+|<\1(?!\w){body}</\1(?!\w)[^<]*+)*+"
+    simple = all_of(html, rf"<(\w++)[^<>]*{strict}[^<>]*>({body})</\1(?!\w)", 2)
+    return _bound(simple, lambda found_: F.when(F.size(found_) == openings, found_).otherwise(_counted_blocks(html, names)))
+
+
+def _counted_blocks(html: Column, names) -> Column:
+    """``class_blocks`` of any page, by counting tags."""
     opening = rf"^<\w+[^>]*{_class_test(names)}[^>]*>"
 
     def inner(page: Column, i: Column) -> Column:

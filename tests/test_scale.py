@@ -274,3 +274,14 @@ def test_derived_texts_are_not_broadcast_by_the_size_of_their_files(spark, tmp_p
     pages = ids.select("id", F.repeat(F.lit("x"), 2_000).alias("html"))
     plan = ids.select("id", F.lit(1).alias("asked")).join(pages, "id")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_class_blocks_by_pattern_equal_counted_ones(spark):
+    from lotwise.functions import html as H
+    rnd = random.Random(5)
+    piece = ['<div class="x">', '<div class="a x b">', "<div>", "</div>", "</div>", '<p class="x">', "</p>", "<br>", "text", '<div class="a > x">', "<divx>", "</divx>", "< x", '<img class="x" src="1">']
+    pages = [(i, "".join(rnd.choice(piece) for _ in range(rnd.randrange(14)))) for i in range(1_500)]
+    pages += [(-1, None), (-2, ""), (-3, '<div class="x">' + "<div>a" * 3 + "</div>" * 4), (-4, '<div class="x">' + "<div>a" * 9 + "</div>" * 10), (-5, '<div class="x">' + "<p>a</p>" * 20_000 + "</div>")]
+    df = spark.createDataFrame(pages, "id long, html string")
+    got = df.select("id", H.class_blocks(F.col("html"), "x", "y").alias("p"), H._counted_blocks(F.col("html"), ("x", "y")).alias("c")).collect()
+    assert [r.id for r in got if r.p != r.c] == [] and sum(len(r.p or ()) for r in got) > 1_000
