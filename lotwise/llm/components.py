@@ -6,7 +6,7 @@ from lotwise.session import remove, scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node reachable over ``edges`` (a, b: long, no nulls), for every node of an edge.
+    """node, root: the smallest node reachable over ``edges`` (a, b: long, no nulls), for every node of an edge but the roots themselves.
 
     Alternates two steps on star graphs until nothing changes: each node hands its larger
     neighbours to its smallest one, then its smaller ones.  The rows of a node are only

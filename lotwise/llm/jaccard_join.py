@@ -23,7 +23,7 @@ components then is one tile, so that its sets are sent once and not with every s
 Large tiles are cut into chunks, and go to tasks in pairs of chunks.
 """
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -382,15 +382,7 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, chunk: i
     placed = (rooted.join(apart, "token").join(nodes.select("key", "band"), "key")
               .select("token", "key", "n", "root", "band", F.explode(F.array(F.lit(0), F.lit(1))).alias("upper"))
               .withColumn("tile", F.xxhash64("token", F.col("band") - F.col("upper"))))
-    dealt = _dealt(staged(placed.select("tile", "key", "n", "upper", "root"), "tile-rows"), chunk)
-    # pairs within the bound join components to groups; all nodes of a group that had partners make one tile
-    hopeful = staged(common.arrow_map(_by_tile(dealt.join(nodes.select("key", "bits"), "key")), lambda it: _tiles(it, percent), "key long, root long, head long").distinct(), "tile-groups")
-    groups = components(hopeful.where("root <> head").select(F.col("root").alias("a"), F.col("head").alias("b")).distinct())
-    members = (hopeful.select("key", "root").distinct().join(groups, hopeful["root"] == groups["node"]).select("key", groups["root"].alias("tile"), hopeful["root"].alias("root"))
-               .join(nodes.select("key", "n"), "key").select("tile", "key", "n", F.lit(0).alias("upper"), "root"))
-    members = _dealt(staged(members, "group-rows"), chunk)
-    whole = _by_tile(members.join(_arrays(docs, nodes, width, members.select("key")), "key").join(nodes.select("key", "bits"), "key"), "shingles")
-    more = staged(common.arrow_map(whole, lambda it: _tiles(it, percent), "a long, b long"), "tile-links")
+    more = tile_links(placed.select("tile", "key", "n", "upper", "root"), nodes.select("key", "n", "bits"), lambda keys: _arrays(docs, nodes, width, keys), percent, chunk)
 
     roots = components(links.unionByName(more))
     named = nodes.join(roots, nodes["key"] == roots["node"], "left").select("key", "low", F.coalesce("root", "key").alias("root"))
@@ -399,6 +391,24 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, chunk: i
             .unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))))
 
 
+def tile_links(rows: DataFrame, nodes: DataFrame, arrays: Callable[[DataFrame], DataFrame], percent: int, chunk: int = CHUNK) -> DataFrame:
+    """a, b: links inside tiles between nodes of different components, as many as connect what is linked.
+
+    ``rows``: tile, key, n, upper, root; ``nodes``: key, n, bits; ``arrays`` gives key and shingles of some keys.
+    """
+    dealt = _dealt(staged(rows, "tile-rows"), chunk)
+    # pairs within the bound join components to groups; all nodes of a group that had partners make one tile
+    hopeful = staged(common.arrow_map(_by_tile(dealt.join(nodes.select("key", "bits"), "key")), lambda it: _tiles(it, percent), "key long, root long, head long").distinct(), "tile-groups")
+    groups = components(hopeful.where("root <> head").select(F.col("root").alias("a"), F.col("head").alias("b")).distinct())
+    # the smallest component of a group names it and is no node of ``groups``
+    members = (hopeful.select("key", "root").distinct().join(groups.select("node", F.col("root").alias("tile")), F.col("root") == F.col("node"), "left")
+               .select("key", F.coalesce("tile", "root").alias("tile"), "root")
+               .join(nodes.select("key", "n"), "key").select("tile", "key", "n", F.lit(0).alias("upper"), "root"))
+    members = _dealt(staged(members, "group-rows"), chunk)
+    whole = _by_tile(members.join(arrays(members.select("key")), "key").join(nodes.select("key", "bits"), "key"), "shingles")
+    return staged(common.arrow_map(whole, lambda it: _tiles(it, percent), "a long, b long"), "tile-links")
+
+
 def _dealt(rows: DataFrame, chunk: int) -> DataFrame:
     """Rows tile, key, n, upper, root of tiles with links to find, with chunk and part: a large tile has a part for each pair of its chunks."""
     tiles = (rows.groupBy("tile").agg(F.min("upper").alias("own"), F.min("root").alias("x"), F.max("root").alias("y"), F.sum("n").alias("total"))

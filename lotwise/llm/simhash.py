@@ -444,19 +444,26 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _text_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in common.slices(whole, 1):
-            sets = [jaccard_join.shingle_set(w, SKETCH_SHINGLE).tobytes() for w in jaccard_join.word_hashes(list(common.texts_of(batch.column(1))))]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["tie", "shingles"])
+            sets = [jaccard_join.shingle_set(w, SKETCH_SHINGLE) for w in jaccard_join.word_hashes(list(common.texts_of(batch.column(1))))]
+            maps = [jaccard_join.bitmap(s).view(np.int64) for s in sets]
+            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), common.list_array(np.concatenate(maps), np.array([len(m) for m in maps]), pa.int64()),
+                                   pa.array([s.tobytes() for s in sets], pa.binary())], names=["tie", "n", "bits", "shingles"])
+
+
+def _exact_sets(ties: DataFrame, texts: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """tie, n, bits, shingles: the exact sets of some texts, their sizes and bitmaps."""
+    wanted = ties.select(F.col("tie").alias("__tie")).distinct().join(texts.select(F.col("tie").alias("__tie"), "low.doc_id"), "__tie")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("tie"))
+    rows = rows.join(wanted, (F.col("tie") == F.col("__tie")) & F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("tie", "text")
+    return staged(common.arrow_map(rows, _text_sets, "tie long, n long, bits array<long>, shingles binary").dropDuplicates(["tie"]), f"{name}-sets")
 
 
 def _exact_links(pairs: DataFrame, texts: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """a, b: those of the pairs of texts whose exact sets are alike; sets of too unlike sizes are not paired."""
     pairs = staged(pairs, f"{name}-pairs")
-    wanted = pairs.select(F.col("a").alias("__tie")).unionByName(pairs.select(F.col("b").alias("__tie"))).distinct().join(texts.select(F.col("tie").alias("__tie"), "low.doc_id"), "__tie")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("tie"))
-    rows = rows.join(wanted, (F.col("tie") == F.col("__tie")) & F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("tie", "text")
-    sets = staged(common.arrow_map(rows, _text_sets, "tie long, shingles binary").dropDuplicates(["tie"]), f"{name}-sets")
+    sets = _exact_sets(pairs.select(F.col("a").alias("tie")).unionByName(pairs.select(F.col("b").alias("tie"))), texts, docs, name)
     percent = round(100 * SIMILAR)
-    size = sets.select("tie", F.octet_length("shingles").alias("n"))
+    size = sets.select("tie", "n")
     near = (pairs.join(size.select(F.col("tie").alias("a"), F.col("n").alias("x")), "a").join(size.select(F.col("tie").alias("b"), F.col("n").alias("y")), "b")
             .where(100 * F.least("x", "y") >= percent * F.greatest("x", "y")).select("a", "b"))
     both = (near.join(sets.select(F.col("tie").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("tie").alias("b"), F.col("shingles").alias("y")), "b")
@@ -469,8 +476,9 @@ def banded_links(texts: DataFrame, docs: DataFrame, near: DataFrame) -> DataFram
 
     Texts that share a band are first compared with three texts of it: the one that shares bands
     with most others, which mostly is what the others were copied from, and two others by a
-    hash that differs from band to band.  All pairs of a band that this leaves in different
-    components are compared next, so no link between texts of a band is lost.
+    hash that differs from band to band.  A band that this leaves in different components is a
+    tile of the exact join next: its pairs are told by bitmaps in a task and are never rows,
+    and no link between texts of a band is lost.
     """
     spread = staged(texts.select("tie", F.posexplode("bands").alias("at", "value")).select("tie", F.xxhash64("at", "value").alias("band")), "bands")
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -489,9 +497,10 @@ def banded_links(texts: DataFrame, docs: DataFrame, near: DataFrame) -> DataFram
     placed = live.join(root, "tie", "left").select("band", "tie", F.coalesce("root", "tie").alias("root"))
     several = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
     left = staged(placed.join(several, "band"), "bands-left")
-    rest = (left.select("band", F.col("tie").alias("a"), F.col("root").alias("x")).join(left.select("band", F.col("tie").alias("b"), F.col("root").alias("y")), "band")
-            .where("a < b AND x <> y").select("a", "b").distinct().join(compared, ["a", "b"], "left_anti"))
-    return first.unionByName(_exact_links(rest, texts, docs, "band-rest"))
+    sets = _exact_sets(left, texts, docs, "band-rest").withColumnRenamed("tie", "key")
+    tiles = left.join(sets.select(F.col("key").alias("tie"), "n"), "tie").select(F.col("band").alias("tile"), F.col("tie").alias("key"), "n", F.lit(0).alias("upper"), "root")
+    rest = jaccard_join.tile_links(tiles, sets.select("key", "n", "bits"), lambda keys: sets.select("key", "shingles").join(keys.distinct(), "key", "left_semi"), round(100 * SIMILAR))
+    return first.unionByName(rest)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

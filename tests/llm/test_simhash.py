@@ -269,3 +269,16 @@ def test_texts_of_a_crowded_band_are_all_compared(spark):
     ids = {r.tie: r.low.doc_id for r in texts.collect()}
     found = {tuple(sorted((ids[r.a], ids[r.b]))) for r in S.banded_links(texts, docs, none).collect()}
     assert found == {(2 * i, 2 * i + 1) for i in range(30)}
+
+
+def test_pairs_of_a_crowded_band_are_never_rows(spark, monkeypatch):
+    """Of 300 unlike texts in one band no more pairs are made than are compared with three of them."""
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(60 - i % 2))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.select(F.xxhash64("text").alias("tie"), F.struct("doc_id").alias("low"), F.array(F.lit(7).cast("long")).alias("bands"))
+    made, staged = {}, S.staged
+    monkeypatch.setattr(S, "staged", lambda df, name: made.setdefault(name, staged(df, name)))
+    links = S.banded_links(texts, docs, spark.createDataFrame([], "a long, b long")).collect()
+    ids = {r.tie: r.low.doc_id for r in texts.collect()}
+    assert {tuple(sorted((ids[r.a], ids[r.b]))) for r in links} == {(i, i + 1) for i in range(0, 300, 2)}
+    assert sum(df.count() for name, df in made.items() if name.endswith("-pairs")) <= 3 * 300
