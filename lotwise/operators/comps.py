@@ -230,7 +230,7 @@ def comps_abs_band(probes: DataFrame, table: DataFrame, km_band: int = 20_000) -
 
 MARKET_KEY = ["brand_id", "model_id", "year", "km", "price_bgn"]
 MARKET_STATS = "probe bigint, n bigint, mean double, median_price int, min_price int, max_price int, q10 int, q25 int, q75 int"
-SLAB = 1_000_000  # cells and probes of whole groups that a task works on at once; a larger group stands alone
+SLAB = 250_000  # cells and probes of whole groups that a task works on at once; a larger group stands alone
 
 
 def _market_slab(rows: pd.DataFrame, km_needs_more_than: int) -> pd.DataFrame:
