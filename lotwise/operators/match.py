@@ -89,9 +89,11 @@ def seller_price_dups(df: DataFrame) -> DataFrame:
     offered = F.when(F.col("ask") == 0, F.struct("at", "cents"))
     events = shape(own, 0).unionByName(shape(wanted, 1)).withColumns({
         "near": F.collect_list(offered).over(order.rowsBetween(-LOOK_BACK, -1)),
+        "close": F.count(offered).over(order.rowsBetween(-LOOK_BACK, -1)),
         "before": F.count(offered).over(order.rowsBetween(Window.unboundedPreceding, -1))}).filter("ask = 1")
     hit = F.array_max(F.transform(F.filter("near", lambda x: F.col("lo").isNull() | x["cents"].between(F.col("lo"), F.col("hi"))), lambda x: x["at"]))
-    open_ = F.col("hit").isNull() & ((F.col("before") > F.size("near")) | F.col("part").isNotNull())
+    open_ = F.col("hit").isNull() & ((F.col("before") > F.col("close")) | F.col("part").isNotNull())
+    # the rows looked back over end here: what is sorted for the best of each row holds none of them
     settled = staged(events.withColumn("hit", hit).groupBy(*SELLER_KEYS, "at", "cents", "lo", "hi").agg(F.max("hit").alias("o"), F.max(open_).alias("open")), "seller-price")
     left = settled.filter("open").select(*SELLER_KEYS, "at", "cents", "lo", "hi")
     asked_groups = left.select(*SELLER_KEYS).distinct()
