@@ -150,21 +150,24 @@ def trigram_similarity(sigs: DataFrame, threshold: float = 0.8, min_length: int
     rarity order).  Differing bits of two hash bitmaps never exceed the number of
     differing trigrams, so most candidates fall before the exact comparison.
     """
-    pack = F.transform(T.trigrams(F.col("signature")), _packed)
-    rows = sigs.withColumn("grams", F.array_sort(pack)).filter(F.size("grams") > 0)
-    sets = rows.groupBy("grams").agg(F.min(F.struct(*WHEN)).alias("first")).withColumn("sid", F.col("first.listing_id"))
-    repeat = rows.filter(F.length("signature") >= min_length).join(sets, "grams").filter(F.struct(*WHEN) > F.col("first")) \
-        .select("listing_id", F.col("first.listing_id").alias("duplicate_of"), F.lit(1.0).alias("sim"))
-
-    body = staged(sets.select("sid", "grams", "first", F.size("grams").alias("size"),
+    # trigrams are taken once of each distinct signature; the smallest row of one stands for it
+    firsts = sigs.groupBy("signature").agg(F.min(F.struct(*WHEN)).alias("first")) \
+        .withColumn("grams", F.array_sort(F.transform(T.trigrams(F.col("signature")), _packed))).filter(F.size("grams") > 0)
+    texts = staged(firsts, "signatures")
+    long_enough = F.length("signature") >= min_length
+    sets = texts.groupBy("grams").agg(F.min("first").alias("first"), F.min_by(long_enough, "first").alias("long")).withColumn("sid", F.col("first.listing_id"))
+    owner = texts.filter(long_enough).select("signature", "grams").join(sets.select("grams", F.col("first").alias("owner")), "grams").select("signature", "owner")
+    repeat = sigs.join(owner, "signature").filter(F.struct(*WHEN) > F.col("owner")) \
+        .select("listing_id", F.col("owner.listing_id").alias("duplicate_of"), F.lit(1.0).alias("sim"))
+
+    body = staged(sets.select("sid", "grams", "first", "long", F.size("grams").alias("size"),
                               _bitmap(F.col("grams"), 0).alias("b0"), _bitmap(F.col("grams"), 1).alias("b1")), "sets")
     spread = body.select("sid", "size", F.explode("grams").alias("g"))
     rarity = spread.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("sid").orderBy("df", "g")
     keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
     prefix = spread.join(rarity, "g").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= keep).select("sid", "g")
-    long_enough = rows.filter(F.length("signature") >= min_length).select("listing_id")
-    left = prefix.join(body, "sid").join(long_enough, F.col("sid") == F.col("listing_id"), "left_semi")
+    left = prefix.join(body.filter("long"), "sid")
     right = prefix.join(body, "sid").select("g", F.col("grams").alias("o_grams"), F.col("first").alias("o_first"), F.col("size").alias("o_size"),
                                              F.col("b0").alias("o_b0"), F.col("b1").alias("o_b1"))
     differ = F.bit_count(F.col("b0").bitwiseXOR(F.col("o_b0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("o_b1")))

@@ -285,3 +285,43 @@ def test_class_blocks_by_pattern_equal_counted_ones(spark):
     df = spark.createDataFrame(pages, "id long, html string")
     got = df.select("id", H.class_blocks(F.col("html"), "x", "y").alias("p"), H._counted_blocks(F.col("html"), ("x", "y")).alias("c")).collect()
     assert [r.id for r in got if r.p != r.c] == [] and sum(len(r.p or ()) for r in got) > 1_000
+
+
+def test_rows_looked_back_over_are_not_sorted_for_the_best(spark, monkeypatch):
+    """The forty rows of each look-back end below the aggregation, which sorts its input."""
+    from lotwise.operators import match as M
+    df = spark.range(50).select(F.col("id").alias("listing_id"), F.timestamp_seconds("id").alias("created_at"), F.lit(1).alias("seller_id"), F.lit("b").alias("brand_id"),
+                                F.lit("m").alias("model_id"), (F.col("id") + 100).alias("cents"), F.lit(False).alias("is_duplicate"))
+    plans, staged = [], M.staged
+    monkeypatch.setattr(M, "staged", lambda x, name: plans.append(x._jdf.queryExecution().optimizedPlan().toString()) or staged(x, name))
+    M.seller_price_dups(df)
+    assert plans[0].lstrip().startswith("Aggregate") and "near#" not in plans[0].lstrip().splitlines()[0]
+
+
+def test_trigrams_are_taken_of_distinct_signatures(spark, monkeypatch):
+    from lotwise.operators import match as M
+    sigs = spark.range(1000).select(F.col("id").alias("listing_id"), F.timestamp_seconds("id").alias("created_at"),
+                                    F.when(F.col("id") % 2 == 0, "bmw x5 2020 diesel manual").otherwise("BMW x5  2020 diesel manual").alias("signature"))
+    made, staged = {}, M.staged
+    monkeypatch.setattr(M, "staged", lambda x, name: made.setdefault(name, staged(x, name)))
+    links = M.trigram_similarity(sigs).collect()
+    assert made["signatures"].count() == 2 and made["sets"].count() == 1
+    assert len(links) == 999 and {r.duplicate_of for r in links} == {0} and {r.sim for r in links} == {1.0}
+
+
+def test_a_slab_of_market_cells_stays_small():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+    from lotwise.operators import comps as K
+    n, nan = K.SLAB, np.nan
+    rng = np.random.default_rng(1)
+    cells = pd.DataFrame({"grp": np.sort(rng.integers(0, 50, n)), "km": rng.integers(1, 200_000, n), "price": rng.integers(500, 100_000, n).astype(float), "f": 1.0, "probe": nan, "lo": nan, "hi": nan})
+    ask = cells.head(10).assign(f=nan, probe=1.0, lo=0.0, hi=1e6)
+    rows = pd.concat([cells, ask]).sort_values(["grp", "km"], ignore_index=True)
+    tracemalloc.start()
+    K._market_slab(rows, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6
