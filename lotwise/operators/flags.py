@@ -1,4 +1,6 @@
 """Text rules: keyword risk, red flags, external evaluations, distinct texts."""
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lotwise import rules as R
@@ -8,20 +10,30 @@ HIT = "array<struct<category:string,keyword:string>>"
 
 
 def _hits(text: Column, table) -> Column:
-    pairs = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(k).alias("keyword")) for c, ks in table for k in ks])
-    return F.filter(pairs, lambda p: F.contains(text, p["keyword"])).cast(HIT)
+    """Which keywords of the table a text contains: bit i for the i-th, 63 at most."""
+    words = [k for _, ks in table for k in ks]
+    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("bigint") * F.lit(1 << i).cast("bigint") for i, w in enumerate(words)])
+
+
+def _hit_list(hits: Column, table) -> Column:
+    pairs = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(k).alias("keyword")) for c, ks in table for k in ks]).cast(HIT)
+    return F.filter(pairs, lambda p, i: F.getbit(hits, i) == 1)
 
 
 def risk_keywords(df: DataFrame, title: str = "title", text: str = "description") -> DataFrame:
-    """All (category, keyword) hits and the risk level they imply."""
+    """All (category, keyword) hits and the risk level they imply.
+
+    The folded text and the hits are columns of their own, computed once a row; levels
+    count bits, and the lists are made only where they are asked for.
+    """
     body = F.lower(F.concat(F.coalesce(F.col(title), F.lit("")), F.lit("\n"), F.coalesce(F.col(text), F.lit(""))))
-    df = df.withColumn("flags", F.struct(_hits(body, R.RISK_RED).alias("red_flags"),
-                                         _hits(body, R.RISK_POSITIVE).alias("positive_flags")))
-    red, good = F.size("flags.red_flags"), F.size("flags.positive_flags")
+    df = df.withColumn("__body", body).withColumns({"__red": _hits(F.col("__body"), R.RISK_RED), "__good": _hits(F.col("__body"), R.RISK_POSITIVE)})
+    red, good = F.bit_count("__red"), F.bit_count("__good")
     level = F.when(red >= 3, "high").when(red >= 1, "medium").otherwise("low")
     sure = F.when(red >= 3, 0.8).when(red >= 1, 0.6).when(good >= 2, 0.7).otherwise(0.5)
-    return df.withColumns({"risk_level": level, "rule_confidence": sure,
-                           "needs_llm": (sure < 0.7) | (level == "medium")})
+    flags = F.struct(_hit_list(F.col("__red"), R.RISK_RED).alias("red_flags"), _hit_list(F.col("__good"), R.RISK_POSITIVE).alias("positive_flags"))
+    return df.withColumns({"flags": flags, "risk_level": level, "rule_confidence": sure,
+                           "needs_llm": (sure < 0.7) | (level == "medium")}).drop("__body", "__red", "__good")
 
 
 def _first(text: Column, words) -> Column:

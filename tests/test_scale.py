@@ -325,3 +325,14 @@ def test_a_slab_of_market_cells_stays_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 400e6
+
+
+def test_keyword_hits_read_the_folded_text_once(spark):
+    """Levels count bits: neither lists of hits nor a text that is folded again for each keyword are in their plan."""
+    from lotwise.operators import flags as G
+    df = spark.range(3).select("id", F.element_at(F.array(F.lit("Crashed, FOR PARTS, urgent"), F.lit("first owner, well maintained"), F.lit(None)), (F.col("id") + 1).cast("int")).alias("description"),
+                               F.lit("катастрофа").alias("title"))
+    plan = G.risk_keywords(df).select("id", "risk_level", "rule_confidence")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("lower(") == 1
+    got = [([f.keyword for f in r.flags.red_flags], [f.keyword for f in r.flags.positive_flags], r.risk_level, r.rule_confidence) for r in G.risk_keywords(df).orderBy("id").collect()]
+    assert got == [(["катастрофа", "crashed", "for parts", "urgent"], [], "high", 0.8), (["катастрофа"], ["well maintained", "first owner"], "medium", 0.6), (["катастрофа"], [], "medium", 0.6)]
