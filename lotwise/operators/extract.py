@@ -197,20 +197,23 @@ def sitemap_detail(df: DataFrame) -> DataFrame:
 
 
 # --- second source --------------------------------------------------------------------
-def title_brand(title: Column) -> tuple[Column, Column]:
-    """(brand, model) of a second-source title: dictionary scan, then text up to a comma or price, at most three words."""
-    text = F.regexp_replace(title, r"(?i)CARS\.BG\s*-\s*", "")
-    brand = F.try_element_at(F.filter(C.words(R.TITLE_BRANDS), lambda b: F.contains(F.upper(text), F.upper(b))), F.lit(1))
-    after = strip(F.substring(text, F.position(F.upper(brand), F.upper(text)) + F.length(brand), F.length(text)))
-    raw = strip(H.found(after, r"(?i)^([A-Za-z0-9\-\s/\.]+?)(?:\s*,|\s+\d+\s*(?:BGN|EUR)|$)"))
-    words = F.filter(F.split(raw, r"(?U)\s+"), lambda w: w != "")
-    short = F.when(F.size(words) > 3, F.array_join(F.slice(words, 1, 3), " ")).otherwise(raw)
-    return brand, F.when(F.size(words) > 0, strip(F.regexp_replace(short, r"[/\.\-]+$", "")))
+def title_brand(df: DataFrame, title: Column, brand: str, model: str) -> DataFrame:
+    """Adds brand and model of a second-source title: dictionary scan, then text up to a comma or price, at most three words.
+
+    Texts that several steps use are columns of their own, computed once.
+    """
+    c, text, upper = F.col, F.col("__text"), F.col("__upper")
+    df = df.withColumn("__text", F.regexp_replace(title, r"(?i)CARS\.BG\s*-\s*", "")).withColumn("__upper", F.upper(text))
+    df = df.withColumn(brand, C.first_word_hit(upper, [(F.upper(F.lit(b)), b) for b in R.TITLE_BRANDS]))
+    after = strip(F.substring(text, F.position(F.upper(brand), upper) + F.length(brand), F.length(text)))
+    df = df.withColumn("__raw", strip(H.found(after, r"(?i)^([A-Za-z0-9\-\s/\.]+?)(?:\s*,|\s+\d+\s*(?:BGN|EUR)|$)"))) \
+        .withColumn("__words", F.filter(F.split("__raw", r"(?U)\s+"), lambda w: w != ""))
+    short = F.when(F.size("__words") > 3, F.array_join(F.slice("__words", 1, 3), " ")).otherwise(c("__raw"))
+    return df.withColumn(model, F.when(F.size("__words") > 0, strip(F.regexp_replace(short, r"[/\.\-]+$", "")))).drop("__text", "__upper", "__raw", "__words")
 
 
 def brand_dictionary_scan(df: DataFrame, column: str = "title") -> DataFrame:
-    brand, model = title_brand(F.col(column))
-    return df.withColumns({"scan_brand": brand, "scan_model": F.when(brand.isNotNull(), model)})
+    return title_brand(df, F.col(column), "scan_brand", "scan_model").withColumn("scan_model", F.when(F.col("scan_brand").isNotNull(), F.col("scan_model")))
 
 
 def clean_price(text: Column) -> Column:
@@ -256,8 +259,7 @@ def listing_detail_2(df: DataFrame) -> DataFrame:
         "location": F.coalesce(F.when((F.length("near") > 2) & ~c("near").rlike(r"\d"), c("near")),
                                F.try_element_at(F.filter(C.words(R.PAGE2_CITIES), lambda w: F.contains("body_text", w)), F.lit(1))),
         "phone_hash": F.md5(strip(F.replace(F.replace("tel", F.lit("tel:"), F.lit("")), F.lit("+359"), F.lit("0"))))})
-    brand, model = title_brand(c("title"))
-    shared = shared.withColumns({"brand": brand, "model": model, "seller_name": F.when(~c("is_dealer"), C.text(_class_like(html, "seller")))})
+    shared = title_brand(shared, c("title"), "brand", "model").withColumns({"seller_name": F.when(~c("is_dealer"), C.text(_class_like(html, "seller")))})
     d = c("details")
     month = "(?:" + "|".join(R.MONTHS) + ")"
     srcs = F.transform(H.all_of(html, "<img[^>]*>", 0), lambda t: F.coalesce(H.attribute(t, "src"), F.lit("")))

@@ -336,3 +336,15 @@ def test_keyword_hits_read_the_folded_text_once(spark):
     assert "lambda" not in plan and plan.count("lower(") == 1
     got = [([f.keyword for f in r.flags.red_flags], [f.keyword for f in r.flags.positive_flags], r.risk_level, r.rule_confidence) for r in G.risk_keywords(df).orderBy("id").collect()]
     assert got == [(["катастрофа", "crashed", "for parts", "urgent"], [], "high", 0.8), (["катастрофа"], ["well maintained", "first owner"], "medium", 0.6), (["катастрофа"], [], "medium", 0.6)]
+
+
+def test_title_is_folded_once_for_the_brand_scan(spark):
+    from lotwise.operators import extract as X
+    titles = ["CARS.BG - audi A4 Avant TDI Quattro, 9000 BGN", "Mercedes-Benz C-Class", "Lada Niva", None, "citroën C3, x", "Seat"]
+    df = spark.createDataFrame(list(enumerate(titles)), "id int, title string")
+    out = X.brand_dictionary_scan(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(") <= 2 and plan.count("CARS\\.BG") == 1
+    assert [(r.scan_brand, r.scan_model) for r in out.orderBy("id").collect()] == [
+        ("Audi", "A4 Avant TDI"), ("Mercedes-Benz", "C-Class"), (None, None), (None, None), ("Citroën", "C3"), ("Seat", None)]
+    assert out.columns == ["id", "title", "scan_brand", "scan_model"]
