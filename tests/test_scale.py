@@ -348,3 +348,26 @@ def test_title_is_folded_once_for_the_brand_scan(spark):
     assert [(r.scan_brand, r.scan_model) for r in out.orderBy("id").collect()] == [
         ("Audi", "A4 Avant TDI"), ("Mercedes-Benz", "C-Class"), (None, None), (None, None), ("Citroën", "C3"), ("Seat", None)]
     assert out.columns == ["id", "title", "scan_brand", "scan_model"]
+
+
+def test_alerts_of_equal_filters_are_matched_as_one(spark, monkeypatch):
+    """Pairs are neither stored nor sorted, but for matches up to the day on which the cap is reached."""
+    from lotwise.operators import alerts as A
+    listings = spark.sql("select id as listing_id, 'bmw' brand_id, 'x5' model_id, 2020 year, 'diesel' fuel, 'automatic' gearbox, cast(null as string) body, 1000D price_bgn, 5000 mileage_km, 100 power_hp, "
+                         "'Sofia' region, if(id = 7, null, timestamp_ntz'2025-01-01 00:00:00' + make_dt_interval(cast(id div 6 as int), 0, cast(id as int))) created_at from range(60)")
+    plan = lambda i: (None, "Free", "Pro")[i % 3]
+    alerts = spark.createDataFrame([(i, "BMW X5 diesel" if i < 2500 else "Audi", plan(i), True) for i in range(2600)], "alert_id long, dsl_query string, plan string, active boolean")
+    sent = spark.createDataFrame([(1, 4), (4, 10), (2, 990)], "alert_id long, sent long")
+    made, staged = {}, A.staged
+    monkeypatch.setattr(A, "staged", lambda x, name: made.setdefault(name, staged(x, name)))
+    parsed, as_of = A.alert_parse(alerts), F.lit("2025-01-09 00:20:00").cast("timestamp_ntz")
+    pairs = A.alert_match(listings, parsed)
+    assert made["wanted"].count() < 10 and pairs.count() == pairs.distinct().count() == 2500 * 60
+    made.clear()
+    out = A.alert_notices(listings, parsed, sent, A.plan_table(spark), as_of)
+    assert max(df.count() for name, df in made.items() if name != "alerts") < 100
+    some = F.col("alert_id").isin(0, 1, 2, 4, 5, 7)
+    plain = A.alert_eligibility(pairs.filter(some).join(listings.select("listing_id", "created_at"), "listing_id"), alerts, sent, A.plan_table(spark), as_of)
+    got, want = (sorted(map(tuple, df.select("alert_id", "listing_id", "notify", "reason").collect())) for df in (out.filter(some), plain.filter("listing_id <> 7")))
+    assert [r for r in got if r[1] != 7] == [r for r in want if r[1] != 7] and out.count() == 2500 * 60
+    assert {r[3] for r in got} == {"ok", "no plan", "too fresh", "daily cap"}
