@@ -5,7 +5,7 @@ Set-at-a-time rule: a listing may only be linked to an *earlier* listing
 Every link table has the columns listing_id, duplicate_of and, where the
 method measures it, sim.
 """
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -373,6 +373,22 @@ def _best_earlier(threshold: float) -> Callable[[pa.Table], pa.Table]:
     return best_of
 
 
+def _lows(count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Replaces the shingle codes of each text by their least value under each of ``count`` permutations."""
+    def lows_of(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column("codes")
+            sizes = np.asarray(pc.list_value_length(codes), dtype=np.int64)
+            flat, starts = codes.flatten().to_numpy().astype(np.int64), np.cumsum(sizes) - sizes
+            lows = [np.minimum.reduceat((flat * pow(PERMUTE[0], k + 1, PRIME) + PERMUTE[1] * (k + 1) % PRIME) % PRIME, starts) for k in range(count)]
+            ends = pa.array(np.arange(batch.num_rows + 1) * count, pa.int32())
+            names = [name for name in batch.schema.names if name != "codes"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in names], pa.ListArray.from_arrays(ends, pa.array(np.stack(lows, axis=1).ravel()))], names=[*names, "lows"])
+    return lows_of
+
+
 def minhash_dups(docs: DataFrame, text: str = "text", threshold: float = 0.7, bands: int = 8, rows: int = 2, width: int = 3) -> DataFrame:
     """docs[listing_id, created_at, text]: near copies by word-shingle MinHash bands.
 
@@ -389,10 +405,12 @@ def minhash_dups(docs: DataFrame, text: str = "text", threshold: float = 0.7, ba
             F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, width), " ")))) \
         .withColumns({"shingles": F.transform("grams", lambda g: F.xxhash64(g)),
                       "codes": F.transform("grams", lambda g: F.pmod(F.conv(F.substring(F.md5(g), 1, 15), 16, 10).cast("bigint"), F.lit(PRIME)))})
-    low = lambda k: F.array_min(F.transform("codes", lambda c: F.pmod(c * F.lit(pow(PERMUTE[0], k + 1, PRIME)) + F.lit(PERMUTE[1] * (k + 1) % PRIME), F.lit(PRIME))))
-    lows = [low(k) for k in range(bands * rows)]
+    kept = firsts.select("listing_id", "created_at", "shingles")
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    least = firsts.select(*kept.columns, "codes").mapInArrow(_lows(bands * rows), f"{shape}, lows array<bigint>")
+    lows = [F.get("lows", F.lit(k)) for k in range(bands * rows)]
     keys = F.array(*[F.xxhash64(F.lit(b), *lows[b * rows:(b + 1) * rows]) for b in range(bands)])
-    signed = staged(firsts.select("listing_id", "created_at", "shingles", keys.alias("bands")), "minhash")
+    signed = staged(least.select(*kept.columns, keys.alias("bands")), "minhash")
     banded = signed.select("listing_id", "created_at", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts"))
     mine = F.pmod(F.xxhash64("listing_id"), F.col("parts")).cast("int")

@@ -371,3 +371,16 @@ def test_alerts_of_equal_filters_are_matched_as_one(spark, monkeypatch):
     got, want = (sorted(map(tuple, df.select("alert_id", "listing_id", "notify", "reason").collect())) for df in (out.filter(some), plain.filter("listing_id <> 7")))
     assert [r for r in got if r[1] != 7] == [r for r in want if r[1] != 7] and out.count() == 2500 * 60
     assert {r[3] for r in got} == {"ok", "no plan", "too fresh", "daily cap"}
+
+
+def test_least_codes_are_taken_per_batch(spark, monkeypatch):
+    import pyarrow as pa
+    from lotwise.operators import match as M
+    lists = [[5], [M.PRIME - 1, 0, 7], [1, 2]]
+    out = pa.Table.from_batches(M._lows(16)(iter([pa.record_batch({"id": [1, 2, 3], "codes": pa.array(lists, pa.list_(pa.int64()))}).slice(1), pa.record_batch({"id": pa.array([], pa.int64()), "codes": pa.array([], pa.list_(pa.int64()))})])))
+    least = lambda codes, k: min((c * pow(M.PERMUTE[0], k + 1, M.PRIME) + M.PERMUTE[1] * (k + 1) % M.PRIME) % M.PRIME for c in codes)
+    assert out.to_pydict() == {"id": [2, 3], "lows": [[least(codes, k) for k in range(16)] for codes in lists[1:]]}
+    plans, staged = [], M.staged
+    monkeypatch.setattr(M, "staged", lambda x, name: plans.append(x._jdf.queryExecution().optimizedPlan().toString()) or staged(x, name))
+    M.minhash_dups(spark.createDataFrame([(1, 1, "a b c d"), (2, 2, "a b c d e")], "listing_id long, created_at int, text string"))
+    assert not any("array_min" in plan for plan in plans)
