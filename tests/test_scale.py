@@ -384,3 +384,16 @@ def test_least_codes_are_taken_per_batch(spark, monkeypatch):
     monkeypatch.setattr(M, "staged", lambda x, name: plans.append(x._jdf.queryExecution().optimizedPlan().toString()) or staged(x, name))
     M.minhash_dups(spark.createDataFrame([(1, 1, "a b c d"), (2, 2, "a b c d e")], "listing_id long, created_at int, text string"))
     assert not any("array_min" in plan for plan in plans)
+
+
+def test_comparables_are_not_broadcast_by_the_size_of_their_files(spark):
+    from lotwise import session as S
+    S.tune(spark)
+    i = F.col("id")
+    table = spark.range(60_000).select(
+        i.alias("listing_id"), F.concat(F.lit("b"), i % 7).alias("brand_id"), F.concat(F.lit("m"), i % 31).alias("model_id"), (2015 + i % 5).cast("int").alias("year"),
+        (F.pmod(F.hash(i), F.lit(200_000)) + 1).alias("mileage_km"), F.lit("petrol").alias("fuel"), F.lit("manual").alias("gearbox"), F.lit(9000.0).alias("price_bgn"),
+        F.lit("2025-11-01 00:00:00").cast("timestamp_ntz").alias("created_at"), F.lit(False).alias("is_duplicate"))
+    keys = S.staged(K.with_comp_key(table, K.STRICT).select(*K.KEY).distinct(), "keys")
+    found = K.nearest_comps(keys, table, F.lit("2025-11-06 00:00:00").cast("timestamp_ntz"), K.STRICT)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
