@@ -106,7 +106,6 @@ def stream_delay(spark, d):
 def in_batches(spark, rows, name, body, repeat=1):
     """Runs a body over the rows of batch 0, 1 and 2 as they arrive; batch ``repeat`` is handed over twice, as after a failure."""
     folder, state = scratch(spark, f"{name}-in"), scratch(spark, f"{name}-state")
-    rows = staged(rows, f"{name}-rows")
     schema = rows.drop("batch").schema
 
     def twice(batch, batch_id):
@@ -183,5 +182,5 @@ def stream_run_counters(spark, d):
         batch_of(F.col("created_at") < at(T1), F.col("created_at") < at(T2), F.col("listing_id") % 10 == 0).alias("batch"))
     folder = scratch(spark, "counters")
     store = S.append_once(scratch(spark, "counted"), lambda batch: batch)
-    in_batches(spark, rows, "counters", S.counted(folder, J.counters(), store))
+    in_batches(spark, staged(rows, "counters-rows"), "counters", S.counted(folder, J.counters(), store))
     return spark.read.parquet(folder).drop("version")

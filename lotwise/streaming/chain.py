@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lotwise.functions import cols as C, text as T
 from lotwise.operators import alerts as AL, comps as K, flags as G, maintain as A, normalize as N, score as P
-from lotwise.session import staged
+from lotwise.session import children, staged
 from lotwise.sources.snapshots import Snapshot
 
 FIELDS = {**A.DOC_FIELDS, "body": "string"}
@@ -46,7 +46,7 @@ def stores(spark: SparkSession, folder: str, buckets: int = 16) -> Stores:
 def _parse(batch: DataFrame) -> DataFrame:
     """The newest sighting of each listing in the batch, with the fields of its document."""
     last = batch.groupBy("listing_id").agg(F.max(F.struct("created_at", "parsed_data")).alias("x")).select("listing_id", "x.*")
-    return A.json_fields(last, "parsed_data", FIELDS)
+    return A.json_fields(last, "parsed_data", FIELDS).drop("parsed_data")
 
 
 def _normalize(parsed: DataFrame, dictionary: DataFrame, as_of_year: Column) -> DataFrame:
@@ -94,9 +94,12 @@ def process(db: Stores, as_of_year: Column, min_score: float = 7.0):
 
     A listing that comes again replaces what it added to the prices; a document without a
     title or price goes to ``errors``; a duplicate goes to ``duplicates`` and no further.
+    The outbox is written last: a batch that has it is finished, and is not done again.
     """
     def body(batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
+        if "_SUCCESS" in children(batch.sparkSession, f"{db.sink('outbox')}/version={version}"):
+            return
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{db.sink(name)}/version={version}")
         parsed = staged(_parse(batch), "chain-parsed")
         broken = C.text(F.col("title")).isNull() | F.col("price").isNull()

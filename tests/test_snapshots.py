@@ -100,6 +100,29 @@ def test_chain_updates_a_listing_that_comes_again(spark, tmp_path):
     assert {r.sent for r in H.results(spark, db).collect()} == {False}
 
 
+def test_chain_leaves_a_finished_batch_and_ends_a_broken_one(spark, tmp_path, monkeypatch):
+    doc = lambda price, title: f'{{"brand":"BMW","model":"zz","year":"2022","price":{price},"mileage_km":"1000","title":"{title}","description":"ok"}}'
+    db = H.stores(spark, str(tmp_path), buckets=2)
+    db.dictionary.merge(0, spark.createDataFrame([("bmw", "x5", "bmw", "x5", (0, 0))], db.dictionary.schema), lambda a, b: b)
+    body, written = H.process(db, F.lit(2025)), []
+    plain = H.staged
+    monkeypatch.setattr(H, "staged", lambda df, name: written.append(name) or plain(df, name))
+    batch = chain_rows(spark, [(1, "2025-01-01 00:00:00", doc(100, "a")), (2, "2025-01-01 00:00:00", doc(300, "b")), (3, "2025-01-02 00:00:00", doc(900, "a"))])
+    state = lambda: (sorted(H.results(spark, db).collect(), key=repr), sorted(db.cells.read().collect()), sorted(db.owners.read().collect()))
+    body(batch, 0)
+    first, once = state(), len(written)
+    body(batch, 0)
+    assert once and len(written) == once and state() == first
+    for sink in H.SINKS[::-1]:
+        os.remove(f"{db.sink(sink)}/version=1/_SUCCESS")  # as if the run had ended before this sink was written
+        body(batch, 0)
+        if sink != "outbox":
+            os.remove(f"{db.sink('outbox')}/version=1/_SUCCESS")
+            body(batch, 0)
+        assert state() == first
+    assert len(written) > once
+
+
 def test_streams_resume_where_they_stopped(spark, tmp_path):
     seen = []
     read = lambda: spark.readStream.schema("k bigint").parquet(str(tmp_path / "in"))
