@@ -15,7 +15,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lotwise.functions import cols as C, text as T
-from lotwise.functions.ranges import blocks_covering, blocks_holding
 from lotwise.session import staged
 
 WHEN = ("created_at", "listing_id")
@@ -57,73 +56,162 @@ def image_url_dups(images: DataFrame, first_n: int = 3) -> DataFrame:
 
 # --- same seller, similar price ---------------------------------------------------
 SELLER_KEYS = ["seller_id", "brand_id", "model_id"]
-PRICE_LEVELS = 10  # widest block: 4^10 cents
-
-
-PRICE_CELL = 1.25  # ratio of a price cell: a band of 10 % to either side lies in two of them at most
-LOOK_BACK = 40  # rows of a cell that are looked at before the blocks are asked
-HOT_ROWS = 100_000  # a larger group is searched day by day
+GROUP_BUCKETS = 1 << 16  # groups are counted by buckets, so that the counts stay few
+HOT_ROWS = 1_000_000  # the groups of a larger bucket are cut into slices of time of about as many rows
+TASK_ROWS = 500_000  # about as many rows as a task sorts
 
 
 def seller_price_dups(df: DataFrame) -> DataFrame:
     """Newest earlier listing of the same seller, brand and model within 10 % of the price.
 
     A listing without a price is not held to one: the newest earlier listing counts.
-    Rows meet in cells of a logarithmic price grid, in order of time, and each looks back over
-    a fixed number of rows.  What is not settled so, because older rows are left in its cell or
-    earlier days of a large group, is looked up in aligned price blocks (``_newest_in_blocks``).
+    Each row is shuffled once, to its group and slice of time, and sorted there by time; the
+    search (``_newest_earlier``) is exact and holds one slice.  Only a bucket of more than HOT_ROWS
+    rows has several slices: what a slice leaves open is then asked of the rows that
+    earlier slices hand on, which are the newest ones of each price.
+    """
+    rows = df.dropna(subset=SELLER_KEYS).filter(~F.coalesce("is_duplicate", F.lit(False))) \
+        .select(*SELLER_KEYS, *WHEN, C.present(F.col("cents")).cast("bigint").alias("cents"))
+    bucket = F.pmod(F.xxhash64(*SELLER_KEYS), F.lit(GROUP_BUCKETS))
+    sizes = staged(rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("size")), "seller-sizes")
+    total, largest = sizes.agg(F.sum("size"), F.max("size")).first()
+    sliced = (largest or 0) > HOT_ROWS
+    if sliced:
+        rows = _with_slice(rows.withColumn("bucket", bucket), sizes.filter(F.col("size") > HOT_ROWS).select("bucket")).drop("bucket")
+    else:
+        rows = rows.withColumn("slice", F.lit(-1))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // TASK_ROWS))
+    band = {"lo": F.expr("(cents * 9 + 9) div 10"), "hi": F.expr("(cents * 11) div 10"), "kind": F.lit("row")}
+    dealt = rows.repartition(tasks, *SELLER_KEYS, "slice").sortWithinPartitions(*SELLER_KEYS, "slice", *WHEN, "cents").withColumns(band)
+    id_type = df.schema["listing_id"].dataType.simpleString()
+    links = f"listing_id {id_type}, duplicate_of {id_type}"
+    if not sliced:
+        return dealt.mapInArrow(_newest_earlier(False), links)
+    # links, open rows and rows handed on stand in one table
+    told = staged(dealt.mapInArrow(_newest_earlier(True), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields) + f", duplicate_of {id_type}"), "seller-slices")
+    # an open row comes before what its own slice hands on
+    later = told.filter("kind <> 'link'").repartition(*SELLER_KEYS).sortWithinPartitions(*SELLER_KEYS, "slice", F.col("kind") == "held", *WHEN, "cents") \
+        .select(*dealt.columns).withColumn("slice", F.lit(0))
+    return told.filter("kind = 'link'").select("listing_id", "duplicate_of").unionByName(later.mapInArrow(_newest_earlier(False), links))
+
+
+def _with_slice(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows with ``slice``: the number of cuts in time of its bucket up to the row, -1 in one that is not hot.
+
+    Cuts are made between minutes, so a slice holds at most a minute more than HOT_ROWS rows.
     """
-    usable = df.dropna(subset=SELLER_KEYS).filter(~F.coalesce("is_duplicate", F.lit(False))) \
-        .select(*SELLER_KEYS, "listing_id", "created_at", C.present(F.col("cents")).alias("cents"))
-    sizes = usable.groupBy(*SELLER_KEYS).agg(F.count(F.lit(1)).alias("size"), F.max(F.col("cents").isNull()).alias("any_free")).filter("size > 1")
-    rows = usable.join(sizes, SELLER_KEYS).withColumns({
-        "lo": F.expr("(cents * 9 + 9) div 10"), "hi": F.expr("(cents * 11) div 10"), "at": F.struct(*WHEN),
-        "part": F.when(F.col("size") > HOT_ROWS, F.to_date("created_at"))})
-    cell = lambda price: F.floor(F.log(F.greatest(price, F.lit(1)).cast("double")) / F.log(F.lit(PRICE_CELL))).cast("int")
-    every = F.array(F.lit(-1))
-    own = F.when(F.col("cents").isNull(), every).when(F.col("any_free"), F.array(cell(F.col("cents")), F.lit(-1))).otherwise(F.array(cell(F.col("cents"))))
-    wanted = F.when(F.col("cents").isNull(), every).otherwise(F.array_distinct(F.array(cell(F.col("lo")), cell(F.col("hi")))))
-    shape = lambda cells, ask: rows.select(*SELLER_KEYS, "part", "at", "cents", "lo", "hi", F.explode(cells).alias("cell"), F.lit(ask).alias("ask"))
-    # an ask sorts before the store of the same row, so a row never finds itself
-    order = Window.partitionBy(*SELLER_KEYS, "cell", "part").orderBy("at", F.col("ask").desc())
-    offered = F.when(F.col("ask") == 0, F.struct("at", "cents"))
-    events = shape(own, 0).unionByName(shape(wanted, 1)).withColumns({
-        "near": F.collect_list(offered).over(order.rowsBetween(-LOOK_BACK, -1)),
-        "close": F.count(offered).over(order.rowsBetween(-LOOK_BACK, -1)),
-        "before": F.count(offered).over(order.rowsBetween(Window.unboundedPreceding, -1))}).filter("ask = 1")
-    hit = F.array_max(F.transform(F.filter("near", lambda x: F.col("lo").isNull() | x["cents"].between(F.col("lo"), F.col("hi"))), lambda x: x["at"]))
-    open_ = F.col("hit").isNull() & ((F.col("before") > F.col("close")) | F.col("part").isNotNull())
-    # the rows looked back over end here: what is sorted for the best of each row holds none of them
-    settled = staged(events.withColumn("hit", hit).groupBy(*SELLER_KEYS, "at", "cents", "lo", "hi").agg(F.max("hit").alias("o"), F.max(open_).alias("open")), "seller-price")
-    left = settled.filter("open").select(*SELLER_KEYS, "at", "cents", "lo", "hi")
-    asked_groups = left.select(*SELLER_KEYS).distinct()
-    older = _newest_in_blocks(rows.select(*SELLER_KEYS, "at", "cents").join(asked_groups, SELLER_KEYS, "left_semi"), left)
-    return settled.filter("NOT open AND o IS NOT NULL").select("at", "o").unionByName(older) \
-        .select("at.listing_id", F.col("o.listing_id").alias("duplicate_of"))
-
-
-def _newest_in_blocks(rows: DataFrame, asking: DataFrame) -> DataFrame:
-    """at, o: for each asking row the newest earlier row of its group with a price from lo to hi (any, without a price).
-
-    Answers come from aligned price blocks by a running maximum of (created_at, id), so the cost
-    is linear in the rows of a group; the block that holds everything answers rows without a price.
+    minute = F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / 60_000_000)
+    minutes = rows.join(hot, "bucket", "left_semi").groupBy("bucket", minute.alias("minute")).agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("start"))
+    upto = F.sum("n").over(Window.partitionBy("bucket").orderBy("minute"))
+    cuts = minutes.withColumn("part", F.floor((upto - 1) / HOT_ROWS)).groupBy("bucket", "part").agg(F.min("start").alias("start")) \
+        .groupBy("bucket").agg(F.array_sort(F.collect_list(F.when(F.col("part") > 0, F.col("start")))).alias("cuts"))
+    passed = F.size(F.filter("cuts", lambda cut: cut <= F.col("created_at")))
+    return rows.join(staged(cuts, "seller-cuts"), "bucket", "left").withColumn("slice", F.when(F.col("cuts").isNull(), -1).otherwise(passed)).drop("cuts")
+
+
+def _newest_earlier(sliced: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by group, slice and time -> listing_id, duplicate_of of each row that has a match in its slice.
+
+    ``kind`` is ``row``, or ``open`` for a row that only asks and ``held`` for one that is only found.
+    ``sliced``: gives all columns and duplicate_of, with kind ``link``, and besides the rows that stay
+    open and those that later slices may find.  Rows look back over 1, 2, 4 ... rows at once.
+    Rows that are not settled after d rows are more than 10 % apart in price wherever they are less
+    than d rows apart, so they are few, and all looks of a group cost its rows times their logarithm.
     """
-    keys = [*SELLER_KEYS, "level", "block"]
-    every = F.array(F.struct(F.lit(PRICE_LEVELS + 1).alias("level"), F.lit(0).cast("bigint").alias("block")))
-    free = F.col("cents").isNull()
-    held = F.when(free, every).otherwise(F.concat(blocks_holding(F.col("cents"), PRICE_LEVELS), every))
-    wanted = F.when(free, every).otherwise(blocks_covering(F.col("lo"), F.col("hi"), PRICE_LEVELS))
-    stored = rows.select(*SELLER_KEYS, "at", F.explode(held).alias("b"), F.lit(0).alias("ask"))
-    asked = asking.select(*SELLER_KEYS, "at", F.explode(wanted).alias("b"), F.lit(1).alias("ask"))
-    events = stored.unionByName(asked).select(*SELLER_KEYS, "b.level", "b.block", "at", "ask").withColumn("day", F.to_date("at.created_at"))
-    seen = F.when(F.col("ask") == 0, F.col("at"))
-    # inside a day by order of time; the days before by the running maximum of the daily maxima
-    inside = Window.partitionBy(*keys, "day").orderBy("at", F.col("ask").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    days = events.groupBy(*keys, "day").agg(F.max(seen).alias("top"))
-    prior = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(*keys, "day", F.max("top").over(prior).alias("carry"))
-    found = events.withColumn("here", F.max(seen).over(inside)).filter("ask = 1").join(days, [*keys, "day"])
-    return found.withColumn("o", F.greatest("here", "carry")).filter("o is not null").groupBy("at").agg(F.max("o").alias("o"))
+    keys, when = tuple(SELLER_KEYS), tuple(WHEN)
+    free, cells, flush = -(1 << 63) + 1, 1 << 22, 250_000
+
+    def changes(table: pa.Table, names) -> np.ndarray:
+        """Whether a row differs from the one before it."""
+        out = np.ones(table.num_rows, dtype=bool)
+        out[1:] = False
+        for name in names:
+            column = table.column(name).combine_chunks()
+            one, other = column.slice(1), column.slice(0, max(len(column) - 1, 0))
+            out[1:] |= pc.fill_null(pc.not_equal(one, other), False).to_numpy(zero_copy_only=False)
+            out[1:] |= pc.not_equal(pc.is_null(one), pc.is_null(other)).to_numpy(zero_copy_only=False)
+        return out
+
+    def numbers(table: pa.Table, name: str, missing: int) -> np.ndarray:
+        return pc.fill_null(table.column(name), missing).to_numpy()
+
+    def look_back(ask, first, end, price, lo, hi) -> np.ndarray:
+        """Of each row of ``ask`` the last position from ``first`` to before ``end`` with a price in its band, -1 without one."""
+        found, width = np.full(len(price), -1, dtype=np.int64), 1
+        end = end.copy()
+        ask = ask[(end[ask] > first[ask]) & (lo[ask] <= hi[ask])]
+        while len(ask):
+            for at in range(0, len(ask), max(1, cells // width)):
+                some = ask[at:at + max(1, cells // width)]
+                for back in range(0, width, cells):  # newest first
+                    steps = np.arange(back + 1, min(width, back + cells) + 1)
+                    spot = end[some][:, None] - steps[None, :]
+                    near = price[np.maximum(spot, 0)]
+                    hit = (spot >= first[some][:, None]) & (near >= lo[some][:, None]) & (near <= hi[some][:, None])
+                    any_hit = hit.any(axis=1) & (found[some] < 0)
+                    found[some[any_hit]] = spot[any_hit, hit[any_hit].argmax(axis=1)]
+            end[ask] -= width
+            width *= 2
+            ask = ask[(found[ask] < 0) & (end[ask] > first[ask])]
+        return found
+
+    def handed_on(start: int, stop: int, price: np.ndarray) -> np.ndarray:
+        """Rows of a slice that a later row may find.
+
+        No band of 10 % to either side ends on both sides inside a price cell of ratio 1.1, so of a cell
+        only rows below or above all newer prices of it can be the newest in a band.
+        """
+        kept, place = [np.array([stop - 1])], np.arange(stop - 1, start - 1, -1)
+        place = place[price[place] > 0]
+        cell = np.floor(np.log(price[place].astype(np.float64)) / np.log(1.1))
+        order = np.argsort(cell, kind="stable")
+        for part in np.split(place[order], np.flatnonzero(np.diff(cell[order])) + 1):
+            for sign in (1, -1):
+                value = price[part] * sign
+                kept.append(part[np.concatenate([[True], value[1:] < np.minimum.accumulate(value)[:-1]])] if len(part) else part)
+        return np.unique(np.concatenate(kept))
+
+    def search(table: pa.Table) -> pa.Table:
+        place = np.arange(table.num_rows)
+        group = changes(table, (*keys, "slice"))
+        moment = group | changes(table, when)
+        repeated = ~(moment | changes(table, ("cents",)))
+        first, end = np.maximum.accumulate(np.where(group, place, 0)), np.maximum.accumulate(np.where(moment, place, 0))
+        kind = table.column("kind")
+        stored, asks = (pc.not_equal(kind, other).to_numpy() for other in ("open", "held"))
+        price = np.where(stored, numbers(table, "cents", free), free - 1)  # less than any band holds
+        lo, hi = numbers(table, "lo", free), numbers(table, "hi", (1 << 63) - 1)
+        found = look_back(place[asks & ~repeated], first, end, price, lo, hi)
+        hit = np.flatnonzero(found >= 0)
+        ids = table.column("listing_id").combine_chunks()
+        if not sliced:
+            return pa.table([ids.take(pa.array(hit)), ids.take(pa.array(found[hit]))], names=["listing_id", "duplicate_of"])
+
+        def some(rows, name, owners):
+            out = table.take(pa.array(rows)).drop_columns(["kind"])
+            return out.append_column("kind", pa.array([name] * len(rows), pa.string())).append_column("duplicate_of", owners)
+        left = np.flatnonzero((found < 0) & ~repeated & (lo <= hi))
+        bounds, slices = [*np.flatnonzero(group), table.num_rows], table.column("slice").to_numpy()
+        held = np.concatenate([np.empty(0, dtype=np.int64), *[handed_on(a, b, price) for a, b in zip(bounds, bounds[1:]) if slices[a] >= 0]])
+        nothing = lambda rows: pa.nulls(len(rows), ids.type)
+        left = left[slices[left] > 0]  # nothing is earlier than the first slice
+        return pa.concat_tables([some(hit, "link", ids.take(pa.array(found[hit]))), some(left, "open", nothing(left)), some(held, "held", nothing(held))])
+
+    def batches_of(batches):
+        waiting, count, due = [], 0, flush
+        for batch in batches:
+            waiting.append(batch)
+            count += batch.num_rows
+            if count >= due:
+                table = pa.Table.from_batches(waiting)
+                last = int(np.flatnonzero(changes(table, (*keys, "slice")))[-1])
+                if last:
+                    yield from search(table.slice(0, last)).to_batches()
+                waiting, count = table.slice(last).combine_chunks().to_batches(), table.num_rows - last
+                due = max(flush, 2 * count)
+        if count:
+            yield from search(pa.Table.from_batches(waiting)).to_batches()
+    return batches_of
 
 
 # --- trigram similarity -------------------------------------------------------------

@@ -298,6 +298,43 @@ def test_rows_looked_back_over_are_not_sorted_for_the_best(spark, monkeypatch):
     assert plans[0].lstrip().startswith("Aggregate") and "near#" not in plans[0].lstrip().splitlines()[0]
 
 
+def _seller_rows(spark, n, seed, prices):
+    rnd = random.Random(seed)
+    rows = [(i, rnd.choice([1, 1, 1, 2]), "b", rnd.choice(["m", "m", "n"]), (pd.Timestamp("2025-05-01") + pd.Timedelta(minutes=rnd.randrange(n // 2))).to_pydatetime(), prices(rnd, i)) for i in range(n)]
+    rows += [(n + i, 1, "b", "m", None, prices(rnd, i)) for i in range(5)] + [(n + 9, None, "b", "m", rows[0][4], 100)]
+    return rows, spark.createDataFrame(rows, "listing_id long, seller_id int, brand_id string, model_id string, created_at timestamp_ntz, cents long").withColumn("is_duplicate", F.lit(False))
+
+
+def _seller_brute(rows):
+    want, live = {}, sorted((r for r in rows if r[1] is not None), key=lambda r: (r[4] is not None, r[4] or pd.Timestamp(0), r[0]))
+    for i, p in enumerate(live):
+        for r in reversed(live[:i]):
+            if r[1:4] == p[1:4] and (not p[5] or r[5] and p[5] * 9 <= r[5] * 10 <= p[5] * 11):
+                want[p[0]] = r[0]
+                break
+    return want
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 40])
+@pytest.mark.parametrize("prices", [lambda rnd, i: rnd.choice([None, 0, -5, 1, 7, *[int(1.13 ** k) for k in range(60)]]), lambda rnd, i: 100 + i, lambda rnd, i: int(10 ** rnd.uniform(0, 7))])
+def test_seller_dups_of_cut_groups_equal_brute_force(spark, monkeypatch, hot, prices):
+    rows, df = _seller_rows(spark, 900, 3, prices)
+    monkeypatch.setattr(M, "HOT_ROWS", hot)
+    links = M.seller_price_dups(df).collect()
+    got = {r.listing_id: r.duplicate_of for r in links}
+    assert got == _seller_brute(rows) and len(links) == len(got)
+
+
+def test_seller_rows_are_shuffled_once(spark, monkeypatch):
+    """Before, a row stood in up to three price cells, and all rows of a group in which one stayed open in twelve price blocks."""
+    made, staged = {}, M.staged
+    monkeypatch.setattr(M, "staged", lambda x, name: made.setdefault(name, staged(x, name)))
+    df = spark.range(3000).select(F.col("id").alias("listing_id"), F.timestamp_seconds("id").alias("created_at"), F.lit(1).alias("seller_id"), F.lit("b").alias("brand_id"),
+                                  F.lit("m").alias("model_id"), F.when(F.col("id") == 2999, 1).otherwise(1000 + F.col("id") % 2).alias("cents"), F.lit(False).alias("is_duplicate"))
+    plan = M.seller_price_dups(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and not any(word in plan for word in ("Join", "Window", "Generate", "Union")) and made.keys() == {"seller-sizes"}
+
+
 def test_trigrams_are_taken_of_distinct_signatures(spark, monkeypatch):
     from lotwise.operators import match as M
     sigs = spark.range(1000).select(F.col("id").alias("listing_id"), F.timestamp_seconds("id").alias("created_at"),
