@@ -434,3 +434,48 @@ def test_comparables_are_not_broadcast_by_the_size_of_their_files(spark):
     keys = S.staged(K.with_comp_key(table, K.STRICT).select(*K.KEY).distinct(), "keys")
     found = K.nearest_comps(keys, table, F.lit("2025-11-06 00:00:00").cast("timestamp_ntz"), K.STRICT)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("rows, lists", [(100_000, 1_000), (40, 3)])
+def test_alerts_over_slices_equal_pair_by_pair(spark, monkeypatch, rows, lists):
+    """Cut into slices and lots, pairs and reasons are those of each pair on its own; none passes a join or an explode."""
+    from lotwise.operators import alerts as A
+    monkeypatch.setattr(A, "SLICE_ROWS", rows)
+    monkeypatch.setattr(A, "LISTS", lists)
+    monkeypatch.setattr(A, "PAIRS", 50)
+    rnd = random.Random(4)
+    pick = lambda *values: rnd.choice(values)
+    cars = [(i, pick("BMW", "bmw", "audi", None), pick("x5", "X5-2", "a4", None), pick(2015, 2018, 0, None), pick("diesel", "petrol", "", None), pick("automatic", "manual"), pick("suv", None),
+             pick(900.0, 5000.0, 0.0, float("nan"), None), pick(10_000, 200_000, None), pick(90, 200, None), pick("Sofia", "sofia city", "Varna", None),
+             pick(None, *[(pd.Timestamp("2025-01-01") + pd.Timedelta(minutes=rnd.randrange(3000))).to_pydatetime() for _ in range(9)])) for i in range(400)]
+    listings = spark.createDataFrame(cars, "listing_id long, brand_id string, model_id string, year int, fuel string, gearbox string, body string, price_bgn double, mileage_km int, power_hp int, region string, created_at timestamp_ntz")
+    texts = ["BMW X5", "bmw", "Audi A4 diesel", "BMW x5 <6000 2016+", "BMW >1000", "audi >800 <150000km", "BMW diesel automatic", "Bmw Sofia", "Audi >100hp", "BMW джип", "Lada", "BMW 2014-2016"]
+    alerts = spark.createDataFrame([(i, texts[i % 12], pick(None, "Free", "Premium", "Slow"), pick(True, None)) for i in range(60)], "alert_id long, dsl_query string, plan string, active boolean")
+    plans = A.plan_table(spark).select("plan", "limits").unionByName(spark.sql("select 'Slow' plan, named_struct('max_alerts', 1, 'delay_minutes', 1500, 'daily_alert_cap', 7) limits"))
+    sent = spark.createDataFrame([(i, rnd.randrange(12)) for i in range(0, 60, 2)], "alert_id long, sent long")
+    parsed, as_of = A.alert_parse(alerts), F.lit("2025-01-03 00:00:00").cast("timestamp_ntz")
+    out, pairs = A.alert_notices(listings, parsed, sent, plans, as_of), A.alert_match(listings, parsed)
+    holds = lambda column, bound, test: F.col(bound).isNull() | F.coalesce(test(F.nullif(F.col(column), F.lit(0)) if bound not in ("f_fuel", "f_gearbox", "f_body") else F.col(column), F.col(bound)), F.lit(False))
+    p = parsed.select("alert_id", F.lower("brand").alias("a_brand"), F.lower("model").alias("a_model"), *[F.col(c).alias(f"f_{c}") for c in A.FILTERS[2:]])
+    le, ge, eq = (lambda a, b: a <= b), (lambda a, b: a >= b), (lambda a, b: a == b)
+    rule = (F.lower("brand_id") == F.col("a_brand")) & (F.col("a_model").isNull() | F.contains(F.lower("model_id"), "a_model"))
+    for column, bound, test in (("price_bgn", "price_max", le), ("price_bgn", "price_min", ge), ("year", "year_min", ge), ("year", "year_max", le), ("mileage_km", "mileage_max", le), ("power_hp", "power_min", ge),
+                                ("fuel", "fuel", eq), ("gearbox", "gearbox", eq), ("body", "body", eq)):
+        rule = rule & holds(column, f"f_{bound}", test)
+    rule = rule & (F.col("f_region").isNull() | F.contains(F.lower("region"), F.lower("f_region")))
+    one_by_one = p.join(listings, rule).select("alert_id", "listing_id", "created_at")
+    want = sorted(map(tuple, one_by_one.select("alert_id", "listing_id").collect()))
+    assert sorted(map(tuple, pairs.collect())) == want and len(want) > 2_000
+    limits = {r.plan: (r.limits.delay_minutes, r.limits.daily_alert_cap) for r in plans.collect()}
+    plan, told, expected = {r.alert_id: r.plan for r in alerts.collect()}, {r.alert_id: r.sent for r in sent.collect()}, []
+    count = {}
+    for a, i, when in sorted(map(tuple, one_by_one.collect()), key=lambda r: (r[0], r[2] is not None, r[2] or pd.Timestamp(0), r[1])):
+        delay, cap = limits.get(plan[a], (0, None))
+        due = delay <= 0 or when is not None and (pd.Timestamp("2025-01-03") - when).total_seconds() / 60 >= delay
+        count[a] = count.get(a, told.get(a, 0)) + bool(cap and due)
+        expected.append((a, i, "no plan" if cap is None else "too fresh" if not due else "daily cap" if count[a] > cap else "ok"))
+    assert sorted((r.alert_id, r.listing_id, r.reason) for r in out.collect()) == sorted(expected) and {r.notify == (r.reason == "ok") for r in out.collect()} == {True}
+    assert {r[2] for r in expected} == set(A.WHY)
+    for df in (out, pairs):
+        top = df._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+        assert not any(word in top for word in ("Join", "Window", "Generate", "Union"))
