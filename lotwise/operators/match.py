@@ -15,7 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lotwise.functions import cols as C, text as T
-from lotwise.session import staged
+from lotwise.functions.ranges import time_slices
+from lotwise.session import remove, scratch, staged, written
 
 WHEN = ("created_at", "listing_id")
 
@@ -77,7 +78,7 @@ def seller_price_dups(df: DataFrame) -> DataFrame:
     total, largest = sizes.agg(F.sum("size"), F.max("size")).first()
     sliced = (largest or 0) > HOT_ROWS
     if sliced:
-        rows = _with_slice(rows.withColumn("bucket", bucket), sizes.filter(F.col("size") > HOT_ROWS).select("bucket")).drop("bucket")
+        rows = time_slices(rows.withColumn("bucket", bucket), "bucket", sizes.filter(F.col("size") > HOT_ROWS), HOT_ROWS).drop("bucket", "slices")
     else:
         rows = rows.withColumn("slice", F.lit(-1))
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // TASK_ROWS))
@@ -95,20 +96,6 @@ def seller_price_dups(df: DataFrame) -> DataFrame:
     return told.filter("kind = 'link'").select("listing_id", "duplicate_of").unionByName(later.mapInArrow(_newest_earlier(False), links))
 
 
-def _with_slice(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Rows with ``slice``: the number of cuts in time of its bucket up to the row, -1 in one that is not hot.
-
-    Cuts are made between minutes, so a slice holds at most a minute more than HOT_ROWS rows.
-    """
-    minute = F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / 60_000_000)
-    minutes = rows.join(hot, "bucket", "left_semi").groupBy("bucket", minute.alias("minute")).agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("start"))
-    upto = F.sum("n").over(Window.partitionBy("bucket").orderBy("minute"))
-    cuts = minutes.withColumn("part", F.floor((upto - 1) / HOT_ROWS)).groupBy("bucket", "part").agg(F.min("start").alias("start")) \
-        .groupBy("bucket").agg(F.array_sort(F.collect_list(F.when(F.col("part") > 0, F.col("start")))).alias("cuts"))
-    passed = F.size(F.filter("cuts", lambda cut: cut <= F.col("created_at")))
-    return rows.join(staged(cuts, "seller-cuts"), "bucket", "left").withColumn("slice", F.when(F.col("cuts").isNull(), -1).otherwise(passed)).drop("cuts")
-
-
 def _newest_earlier(sliced: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows sorted by group, slice and time -> listing_id, duplicate_of of each row that has a match in its slice.
 
@@ -382,13 +369,11 @@ METHODS = {"seller": ("heuristic", 0.95), "image": ("image", 0.90), "text": ("he
 
 def dedupe_cascade(links: dict[str, DataFrame]) -> DataFrame:
     """Most reliable method first; one link per listing."""
-    union = None
-    for rank, (name, (method, score)) in enumerate(METHODS.items()):
-        if name in links:
-            part = links[name].select("listing_id", "duplicate_of", F.lit(method).alias("method"), F.lit(score).alias("score"), F.lit(rank).alias("rank"))
-            union = part if union is None else union.unionByName(part)
-    best = union.groupBy("listing_id").agg(F.min_by(F.struct("duplicate_of", "method", "score"), "rank").alias("b"))
-    return best.select("listing_id", "b.*")
+    # only ids and ranks are shuffled, in a form that is added up without a sort
+    union = reduce(DataFrame.unionByName, [links[name].select("listing_id", "duplicate_of", F.lit(rank).alias("rank")) for rank, name in enumerate(METHODS) if name in links])
+    best = union.groupBy("listing_id").agg(F.min_by("duplicate_of", "rank").alias("duplicate_of"), F.min("rank").alias("rank"))
+    of_rank = lambda i: F.element_at(F.array(*[F.lit(value[i]) for value in METHODS.values()]), F.col("rank") + 1)
+    return best.select("listing_id", "duplicate_of", of_rank(0).alias("method"), of_rank(1).alias("score"))
 
 
 def dedupe_marks(df: DataFrame, links: DataFrame) -> DataFrame:
@@ -403,13 +388,17 @@ def dedupe_canonical(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Root of every link chain by pointer doubling: chain length n needs log2(n) rounds.
 
     Each listing has one link and links point back in time, so there are no cycles.
-    ``checkpoint`` cuts the lineage on shared storage between rounds.
+    Every round is written to the shared folder and the one before it deleted.
     """
-    current = links.select("listing_id", F.col("duplicate_of").alias("canonical")).checkpoint()
+    spark, path = links.sparkSession, None
+    current = links.select("listing_id", F.col("duplicate_of").alias("canonical"))
     for _ in range(max_rounds):
         step = current.select(F.col("listing_id").alias("canonical"), F.col("canonical").alias("further"))
-        moved = current.join(step, "canonical", "left").select(
-            "listing_id", F.coalesce("further", "canonical").alias("canonical"), F.col("further").isNotNull().alias("moved")).checkpoint()
+        done, path = path, scratch(spark, "canonical")
+        moved = written(current.join(step, "canonical", "left").select(
+            "listing_id", F.coalesce("further", "canonical").alias("canonical"), F.col("further").isNotNull().alias("moved")), path)
+        if done:
+            remove(spark, done)
         current = moved.select("listing_id", "canonical")
         if moved.filter("moved").isEmpty():
             break

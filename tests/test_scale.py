@@ -436,6 +436,29 @@ def test_comparables_are_not_broadcast_by_the_size_of_their_files(spark):
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def _bytes_below(path):
+    import os
+    return sum(os.path.getsize(os.path.join(folder, name)) for folder, _, names in os.walk(path) for name in names)
+
+
+def test_rounds_of_a_chain_leave_one_table(spark, monkeypatch):
+    """Before, each round's checkpoint stayed until the application ended, and so did what it shuffled."""
+    n, folders, scratch = 5000, [], M.scratch
+    monkeypatch.setattr(M, "scratch", lambda spark, name: folders.append(scratch(spark, name)) or folders[-1])
+    links = spark.range(1, n).select(F.col("id").alias("listing_id"), (F.col("id") - 1).alias("duplicate_of"))
+    out = M.dedupe_canonical(links)
+    assert {r.canonical for r in out.collect()} == {0} and out.count() == n - 1
+    assert len(folders) > 10 and [bool(_bytes_below(folder)) for folder in folders] == [False] * (len(folders) - 1) + [True]
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    from lotwise import session as S
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    before, setting = _bytes_below(local), spark.conf.get(S.CLEANUP, None)
+    assert S.staged(spark.range(300_000).select(F.xxhash64("id").alias("h")).repartition(8, "h"), "shuffled").count() == 300_000
+    assert _bytes_below(local) - before < 1_000_000 and spark.conf.get(S.CLEANUP, None) == setting
+
+
 @pytest.mark.parametrize("rows, lists", [(100_000, 1_000), (40, 3)])
 def test_alerts_over_slices_equal_pair_by_pair(spark, monkeypatch, rows, lists):
     """Cut into slices and lots, pairs and reasons are those of each pair on its own; none passes a join or an explode."""
