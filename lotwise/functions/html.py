@@ -34,7 +34,7 @@ def _class_test(names) -> str:
     return r'class="(?:[^"]*\s)?(?:' + "|".join(re.escape(n) for n in names) + r')(?:\s[^"]*)?"'
 
 
-def _bound(value: Column, body) -> Column:
+def bound(value: Column, body) -> Column:
     """``body`` of a value that is computed once per row."""
     return F.get(F.transform(F.array(value), body), 0)
 
@@ -50,12 +50,13 @@ def class_blocks(html: Column, *names: str) -> Column:
     name are counted up and down until its own closing tag, or the end of the page.
     """
     loose, strict = (_class_test(names).replace('[^"]', f'[^"{more}]') for more in ("<", "<>"))
-    openings = F.regexp_count(html, F.lit(rf"<\w+[^<>]*{loose}[^<>]*>"))
+    # one letter of the name is enough here: more of them would be tried again from each letter
+    openings = F.regexp_count(html, F.lit(rf"<\w[^<>]*?{loose}[^<>]*>"))
     body = r"[^<]*+(?:<(?!/?\1(?!\w))[^<]*+)*+"
     for _ in range(NESTED):
         body = rf"[^<]*+(?:<(?!/?\1(?!\w))[^<]*+|<\1(?!\w){body}</\1(?!\w)[^<]*+)*+"
-    simple = all_of(html, rf"<(\w++)[^<>]*{strict}[^<>]*>({body})</\1(?!\w)", 2)
-    return _bound(simple, lambda found_: F.when(F.size(found_) == openings, found_).otherwise(_counted_blocks(html, names)))
+    simple = all_of(html, rf"<(\w++)[^<>]*?{strict}[^<>]*>({body})</\1(?!\w)", 2)
+    return bound(simple, lambda found_: F.when(F.size(found_) == openings, found_).otherwise(_counted_blocks(html, names)))
 
 
 def _counted_blocks(html: Column, names) -> Column:
@@ -72,16 +73,16 @@ def _counted_blocks(html: Column, names) -> Column:
             return F.when(s["depth"] == 0, s).otherwise(F.struct(depth.alias("depth"), (s["n"] + 1).alias("n")))
         # the opening tag is counted beforehand
         walked = F.aggregate(F.slice(rest, 2, F.size(rest)), F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")), step)
-        kept = _bound(walked, lambda w: F.array_join(F.slice(parts, i, F.when(w["depth"] == 0, w["n"]).otherwise(w["n"] + 1)), ""))
+        kept = bound(walked, lambda w: F.array_join(F.slice(parts, i, F.when(w["depth"] == 0, w["n"]).otherwise(w["n"] + 1)), ""))
         return F.regexp_replace(kept, r"^<[^>]*>", "")
 
     def blocks(page: Column) -> Column:
         places = F.filter(F.sequence(F.lit(1), F.size(page["parts"])), lambda i: F.regexp_like(F.get(page["parts"], i - 1), F.lit(opening)))
         return F.transform(places, lambda i: inner(page, i))
 
-    pages = _bound(F.split(html, "(?=<)"), lambda parts: F.struct(parts.alias("parts"), F.transform(parts, lambda p: F.regexp_extract(p, r"^<(/?\w+)", 1)).alias("tags")))
+    pages = bound(F.split(html, "(?=<)"), lambda parts: F.struct(parts.alias("parts"), F.transform(parts, lambda p: F.regexp_extract(p, r"^<(/?\w+)", 1)).alias("tags")))
     none = F.array().cast("array<string>")
-    return F.when(html.rlike(_class_test(names)), _bound(pages, blocks)).otherwise(F.when(html.isNotNull(), none))
+    return F.when(html.rlike(_class_test(names)), bound(pages, blocks)).otherwise(F.when(html.isNotNull(), none))
 
 
 def class_text(html: Column, *names: str) -> Column:

@@ -132,9 +132,9 @@ def price_text(text: Column) -> tuple[Column, Column]:
 
 
 def live_pages(df: DataFrame) -> DataFrame:
-    """Drops pages that say the listing was deleted."""
+    """Drops pages that say the listing was deleted; the filter reads the page once, so one made by an expression is made once for it."""
     exact, word = R.DELETED_MARKERS
-    return df.filter(~F.col("html").contains(exact) & ~F.lower("html").contains(word))
+    return df.filter(H.bound(F.col("html"), lambda page: ~F.contains(page, F.lit(exact)) & ~F.contains(F.lower(page), F.lit(word))))
 
 
 def _class_like(html: Column, part: str) -> Column:

@@ -287,6 +287,26 @@ def test_class_blocks_by_pattern_equal_counted_ones(spark):
     assert [r.id for r in got if r.p != r.c] == [] and sum(len(r.p or ()) for r in got) > 1_000
 
 
+def test_a_long_tag_name_is_read_once(spark):
+    """The count of opening tags tried every part of a name: its cost grew with the square of the length."""
+    import time
+    from lotwise.functions import html as H
+    df = spark.createDataFrame([("<" + "a" * 200_000 + ' class="x">t</b><p class="x">u</p>',)], "html string")
+    start = time.time()
+    blocks = df.select(F.size(H.all_of(F.col("html"), r"<p", 0)), F.regexp_count("html", F.lit("<p"))).first()
+    plan = df.select(H.class_blocks(F.col("html"), "y").alias("b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert df.select(H.class_blocks(F.col("html"), "y").alias("b")).first().b == [] and time.time() - start < 20 and tuple(blocks) == (1, 1)
+    assert r"<\w+[^<>]*class" not in plan
+
+
+def test_a_filter_on_pages_makes_them_once(spark):
+    from lotwise.operators import extract as X
+    pages = spark.range(4).select("id", F.concat(F.lit("<p>"), F.element_at(F.array(F.lit("DELETED"), F.lit("fine"), F.lit(X.R.DELETED_MARKERS[0]), F.lit(None)), (F.col("id") + 1).cast("int"))).alias("html"))
+    live = X.live_pages(pages)
+    condition = next(line for line in live._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line)
+    assert condition.count("concat(") == 1 and [r.id for r in live.collect()] == [1]
+
+
 def test_rows_looked_back_over_are_not_sorted_for_the_best(spark, monkeypatch):
     """The forty rows of each look-back end below the aggregation, which sorts its input."""
     from lotwise.operators import match as M
